@@ -76,7 +76,8 @@ def show_date(moment: Column) -> Column:
 
 
 def show_percent(percent: Column) -> Column:
-    return F.concat(F.format_number(percent, 1), F.lit("%"))
+    """``16.7%``, half up."""
+    return F.concat(F.format_number(F.round(percent, 1), 1), F.lit("%"))
 
 
 def or_empty(value: Column) -> Column:

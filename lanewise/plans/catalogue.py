@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType, MapType, StructType
 
 from lanewise.functions import messages, pricing, status, text, timing
 from lanewise.operators import (
     documents, lifecycle, matching, metrics, outbox, quality, rates, reports, scorecard, search,
-    skew, spend, tracking, upsert,
+    spend, tracking, upsert,
 )
 from lanewise.sources import sample
 
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SCORECARD_DAY = "1998-06-30"
 REPORT_DAY = "1998-07-01"
+AVERAGE_MS, P99_MS, SUM_MS = 500.0, 2000.0, 2500.0
 BASE_URL = "https://freight.example.com"
 
 
@@ -601,15 +602,15 @@ def _hourly_alarm(spark: SparkSession, d: str, statistic: str, threshold: float)
 
 
 def alarm_average(spark: SparkSession, d: str) -> DataFrame:
-    return _hourly_alarm(spark, d, "average", 250.0)
+    return _hourly_alarm(spark, d, "average", AVERAGE_MS)
 
 
 def alarm_p99(spark: SparkSession, d: str) -> DataFrame:
-    return _hourly_alarm(spark, d, "p99", 700.0)
+    return _hourly_alarm(spark, d, "p99", P99_MS)
 
 
 def alarm_sum(spark: SparkSession, d: str) -> DataFrame:
-    return _hourly_alarm(spark, d, "sum", 1500.0)
+    return _hourly_alarm(spark, d, "sum", SUM_MS)
 
 
 def alarm_two_minutes(spark: SparkSession, d: str) -> DataFrame:
@@ -618,13 +619,12 @@ def alarm_two_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alarm_composite(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.composite_alarm([_hourly_alarm(spark, d, "average", 250.0),
-                                    _hourly_alarm(spark, d, "p99", 700.0)])
+    return metrics.composite_alarm([_hourly_alarm(spark, d, "average", AVERAGE_MS),
+                                    _hourly_alarm(spark, d, "p99", P99_MS)])
 
 
 def email_counts(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("is_deliverable"), "email.sent.count").otherwise("email.skipped.count")
-    mails = _mails(spark, d).withColumn("metric_name", name)
+    mails = _mails(spark, d)
     sent = metrics.samples(mails.filter("is_deliverable"), "ts", "email.sent.count",
                            template=F.col("template"))
     skipped = metrics.samples(mails.filter("NOT is_deliverable"), "ts", "email.skipped.count",

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from lanewise.fixed_values import DOLLAR_TOLERANCE, PERCENT_TOLERANCE
 
 MONEY = "decimal(12,2)"
-HUNDREDTH = F.lit("0.01").cast("decimal(2,2)")
 
 
 def decimal_lit(text: str, precision: int, scale: int) -> Column:
     return F.lit(text).cast(f"decimal({precision},{scale})")
 
 
+def _hundredth() -> Column:
+    return decimal_lit("0.01", 2, 2)
+
+
 def percent_to_factor(percent: Column) -> Column:
     """``percent / 100`` at four decimals, half up; NULL counts as none."""
-    exact = percent.cast("decimal(7,4)") * HUNDREDTH
+    exact = percent.cast("decimal(7,4)") * _hundredth()
     return F.coalesce(F.round(exact, 4), decimal_lit("0", 8, 4)).cast("decimal(8,4)")
 
 
@@ -28,7 +31,7 @@ def contract_rate(weight_lbs: Column, rate_per_cwt: Column, fuel_percent: Column
     Hundredweights x rate x fuel factor, but never below the card's minimum.  The comparison uses
     the unrounded charge.  Without a weight or a rate only the minimum is left (0 if none).
     """
-    cwt = F.round(weight_lbs.cast("decimal(12,4)") * HUNDREDTH, 4).cast("decimal(12,4)")
+    cwt = F.round(weight_lbs.cast("decimal(12,4)") * _hundredth(), 4).cast("decimal(12,4)")
     fuel = (F.lit(1).cast("decimal(1,0)") + percent_to_factor(fuel_percent)).cast("decimal(8,4)")
     charge = cwt * rate_per_cwt.cast("decimal(10,4)") * fuel
     floor = minimum.cast(MONEY)

@@ -1 +1 @@
-
+"""Structured Streaming: the tracking pipeline and live metrics."""

@@ -18,6 +18,7 @@ from lanewise.operators import (
     spend, tracking, upsert,
 )
 from lanewise.sources import sample
+from lanewise.streaming import pipeline, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -462,6 +463,25 @@ def reference_numbers(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.reference_numbers(sample.shipments(spark, d), "SH")
 
 
+# Streams, run to the end of what there is
+
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    events = sample.tracking_events(spark, d, sample.event_stream(spark, d))
+    requests = tracking.status_requests(pipeline.once(events)).withColumn(
+        "start_status", F.lit(lifecycle.DEFAULT_START))
+    judged = pipeline.drain(state.replay_stream(requests))
+    return judged.select("event_id", "shipment_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                         "requested_status", "old_status", "new_status", "accepted")
+
+
+def stream_error_counts(spark: SparkSession, d: str) -> DataFrame:
+    logs = sample.log_lines(spark, d, sample.event_stream(spark, d))
+    samples = metrics.samples(metrics.error_lines(logs), "ts", "ErrorCount",
+                              service=F.col("service"))
+    closed = pipeline.drain(pipeline.live_counters(samples))
+    return closed.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+
+
 # Documents
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -695,6 +715,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     lifecycle_fold, lifecycle_fold_sliced, lifecycle_final_status, delivery_events,
     status_changed_events, carrier_assignment, created_events, delivery_variance,
     reference_numbers,
+    stream_lifecycle, stream_error_counts,
     document_key_parse, document_batch_counts, document_index, document_register,
     document_delete, ocr_jobs, ocr_batch_counts, ocr_job_documents,
     notification_outbox, display_values, places_and_lanes,

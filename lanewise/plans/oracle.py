@@ -869,6 +869,15 @@ SQL: dict[str, tuple[str, str]] = {
                        ORDER BY hour(created_at), substr(md5(shipment_id), 1, 2), shipment_id)
                        AS varchar), 6, '0')) AS reference_number
         FROM shipments"""),
+    "stream_lifecycle": ("fold", FOLD_COLUMNS),
+    # Windows that end after the last event less ten minutes are still open.
+    "stream_error_counts": ("logs", f"""
+        SELECT * FROM (
+            SELECT {PERIOD.format('ts')} AS period_start, 'ErrorCount' AS metric,
+                   concat('service=', service) AS tags, count(*) AS value
+            FROM logs WHERE level LIKE 'ERROR%' GROUP BY 1, 2, 3)
+        WHERE period_start + interval 1 minute <=
+              (SELECT max(ts) FROM logs WHERE level LIKE 'ERROR%') - interval 10 minute"""),
     "document_key_parse": ("parsed", """
         SELECT doc_id, s3_bucket, s3_key, file_size_bytes, outcome, file_name, document_type,
                shipment_id, document_id, extension, content_type

@@ -183,12 +183,20 @@ def rate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tracking_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, with a timestamp a watermark can use."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.par[q]uet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def tracking_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
     kind = F.col("event_type")
     code = (F.when(kind == "signup", "PACKAGE_RECEIVED").when(kind == "view", "DEPARTED_FACILITY")
             .when(kind == "click", "out_for_delivery").when(kind == "purchase", "DELIVERED")
             .when(F.col("event_id") % 4 == 0, "LABEL_PRINTED").otherwise("UNABLE_TO_DELIVER"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "ts", _digits("user_id").alias("shipment_id"),
         code.alias("carrier_status"),
         F.concat(F.lit("value "), F.floor("value").cast("string")).alias("status_reason"),
@@ -396,10 +404,11 @@ def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("uploaded from "), F.col("source")).alias("description"))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
     kind, eid = F.col("event_type"), F.col("event_id")
     level = F.when((kind == "error") & (eid % 2 == 0), "ERROR").when(kind == "error", "ERROR_FATAL")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "ts", level.otherwise("INFO").alias("level"),
         F.concat(F.lit("service-"), (eid % 3).cast("string")).alias("service"),
         F.lit("prod").alias("environment"),

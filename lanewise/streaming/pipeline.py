@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lanewise import schemas
 from lanewise.operators import lifecycle, matching, metrics, tracking
 from lanewise.sources import messages, results
+from lanewise.session import ROCKSDB, shared_dir
 from lanewise.streaming.state import replay_stream
 
 WATERMARK = "10 minutes"
 STATE_ORDER = ["ts", "event_id"]
 
 
+def once(events: DataFrame) -> DataFrame:
+    """Drop repeats of an event id that come within the watermark."""
+    return events.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def tracking_requests(queue: DataFrame) -> DataFrame:
     """Status requests from a stream of raw messages, each event once.
 
@@ -27,8 +37,7 @@ def tracking_requests(queue: DataFrame) -> DataFrame:
         F.col("timestamp").try_cast("timestamp").alias("ts"),
         F.col("shipmentId").alias("shipment_id"), F.col("carrierStatus").alias("carrier_status"),
         F.col("statusDescription").alias("status_reason"), "location")
-    once = rows.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-    return tracking.status_requests(once)
+    return tracking.status_requests(once(rows))
 
 
 def judged_requests(requests: DataFrame, shipments: DataFrame) -> DataFrame:
@@ -68,6 +77,36 @@ def matches_on_delivery(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
     return matching.match_on_delivery(delivered, invoices)
 
 
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings for a stateful run: RocksDB state, and no more state stores than cores."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(min(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism)),
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over all it can read now and give what it wrote to the shared folder."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/drain-{uuid4().hex}"
+    with _state_settings(spark):
+        query = (messages.append_stream(stream, f"{root}/out", f"{root}/checkpoint")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def live_counters(samples: DataFrame, step: str = metrics.METRIC_STEP) -> DataFrame:
     """Counters over a stream of samples; rows later than the watermark are left out and show up in
     the query's ``numRowsDroppedByWatermark``."""

@@ -18,8 +18,9 @@ VERDICT = [StructField("old_status", StringType()), StructField("new_status", St
 class StatusProcessor(StatefulProcessor):
     """Keeps one status per shipment and judges every request against it.
 
-    Requests are applied as they arrive; those that arrive in one Arrow batch are applied in
-    ``(ts, event_id)`` order.  State is a single value, so a busy shipment costs no memory.
+    The requests of one micro-batch are applied in ``(ts, event_id)`` order, micro-batches as they
+    come.  State is a single value; what a busy shipment holds at a time is bounded by the source's
+    limit per trigger.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -27,18 +28,16 @@ class StatusProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = self.status.get()[0] if self.status.exists() else None
-        for batch in rows:
-            batch = batch.sort_values(["ts", "event_id"], kind="stable")
-            old, new = [], []
-            for start, wanted in zip(batch["start_status"], batch["requested_status"]):
-                now = now or start
-                old.append(now)
-                now = wanted if wanted in TRANSITIONS.get(now, []) else now
-                new.append(now)
-            verdict = batch.assign(old_status=old, new_status=new)
-            yield verdict.assign(accepted=verdict["old_status"] != verdict["new_status"])
-        if now is not None:
-            self.status.update((now,))
+        batch = pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
+        old, new = [], []
+        for start, wanted in zip(batch["start_status"], batch["requested_status"]):
+            now = now or start
+            old.append(now)
+            now = wanted if wanted in TRANSITIONS.get(now, []) else now
+            new.append(now)
+        self.status.update((now,))
+        verdict = batch.assign(old_status=old, new_status=new)
+        yield verdict.assign(accepted=verdict["old_status"] != verdict["new_status"])
 
     def close(self) -> None:
         pass

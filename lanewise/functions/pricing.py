@@ -24,25 +24,34 @@ def percent_to_factor(percent: Column) -> Column:
     return F.coalesce(F.round(exact, 4), decimal_lit("0", 8, 4)).cast("decimal(8,4)")
 
 
-def contract_rate(weight_lbs: Column, rate_per_cwt: Column, fuel_percent: Column,
-                  minimum: Column) -> Column:
-    """What the rate card charges for a weight.
+def charge_factor(rate_per_cwt: Column, fuel_percent: Column) -> Column:
+    """Price per hundredweight with fuel; NULL without a rate."""
+    fuel = (F.lit(1).cast("decimal(1,0)") + percent_to_factor(fuel_percent)).cast("decimal(8,4)")
+    return (rate_per_cwt.cast("decimal(10,4)") * fuel).cast("decimal(18,8)")
+
+
+def charge(weight_lbs: Column, factor: Column, minimum: Column) -> Column:
+    """Hundredweights x factor, but never below the minimum.
 
-    Hundredweights x rate x fuel factor, but never below the card's minimum.  The comparison uses
-    the unrounded charge.  Without a weight or a rate only the minimum is left (0 if none).
+    The comparison uses the unrounded charge.  Without a weight or a factor only the minimum is left
+    (0 if none).
     """
     cwt = F.round(weight_lbs.cast("decimal(12,4)") * _hundredth(), 4).cast("decimal(12,4)")
-    fuel = (F.lit(1).cast("decimal(1,0)") + percent_to_factor(fuel_percent)).cast("decimal(8,4)")
-    charge = cwt * rate_per_cwt.cast("decimal(10,4)") * fuel
+    exact = cwt * factor
     floor = minimum.cast(MONEY)
     return (
-        F.when(weight_lbs.isNull() | rate_per_cwt.isNull(),
-               F.coalesce(floor, decimal_lit("0", 12, 2)))
-        .when(charge < floor, floor)
-        .otherwise(F.round(charge, 2).cast(MONEY))
+        F.when(exact.isNull(), F.coalesce(floor, decimal_lit("0", 12, 2)))
+        .when(exact < floor, floor)
+        .otherwise(F.round(exact, 2).cast(MONEY))
     )
 
 
+def contract_rate(weight_lbs: Column, rate_per_cwt: Column, fuel_percent: Column,
+                  minimum: Column) -> Column:
+    """What a rate card charges for a weight."""
+    return charge(weight_lbs, charge_factor(rate_per_cwt, fuel_percent), minimum)
+
+
 def weight_bucket(weight_lbs: Column, width: int = 50) -> Column:
     """Lower edge of the weight bucket; unknown weights fall into bucket 0."""
     whole = weight_lbs.cast("bigint")

@@ -229,22 +229,21 @@ def reference_numbers(shipments: DataFrame, prefix: str) -> DataFrame:
     """Human-readable numbers ``PREFIX-yyyyMMdd-000001``, counted from 1 within each day.
 
     Numbers follow the creation hour and, inside an hour, a hash of the id.  The hash cuts even a
-    single busy hour into 256 slices; a slice is numbered on its own and shifted by the size of the
-    slices before it.
+    single busy hour into 65,536 slices; a slice is numbered on its own and shifted by the size of
+    the slices before it, of which a day has at most 24 times as many.
     """
     key = ["day", "hour", "bucket"]
     placed = shipments.select(
         "shipment_id", F.to_date("created_at").alias("day"), F.hour("created_at").alias("hour"),
-        F.substring(F.md5("shipment_id"), 1, 2).alias("bucket"))
+        F.substring(F.md5("shipment_id"), 1, 4).alias("bucket"))
     within_day = Window.partitionBy("day").orderBy("hour", "bucket")
     offsets = (
         placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.sum("n").over(within_day) - F.col("n")).drop("n")
     )
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("shipment_id"))
-    number = F.lpad((F.col("before") + F.col("place")).cast("string"), 6, "0")
-    longer = (F.col("before") + F.col("place")).cast("string")
-    number = F.when(F.length(longer) > 6, longer).otherwise(number)
+    digits = (F.col("before") + F.col("place")).cast("string")
+    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
     return (
         placed.withColumn("place", inside).join(offsets, key)
         .select("shipment_id", F.concat(F.lit(prefix), F.lit("-"),

@@ -9,7 +9,7 @@ from lanewise.fixed_values import (
     DEFAULT_CURRENCY, DOLLAR_TOLERANCE, PAYMENT_TERMS_DAYS, PERCENT_TOLERANCE,
 )
 from lanewise.functions import pricing, text, timing
-from lanewise.operators.rates import CARD, RATE_KEY, active, total_rate
+from lanewise.operators.rates import RATE_KEY, price_list, total_rate
 from lanewise.operators.skew import earliest
 
 
@@ -19,7 +19,8 @@ def expected_amounts(shipments: DataFrame, rates: DataFrame) -> DataFrame:
     Shipments without a card stay, with no expected amount.
     """
     lane_id = text.lane(F.col("origin_state"), F.col("dest_state"), F.col("shipment_type"))
-    cards = active(rates).select(*RATE_KEY, *CARD, F.lit(True).alias("has_card"))
+    cards = price_list(rates).select(*RATE_KEY, "factor", "minimum_charge",
+                                     F.lit(True).alias("has_card"))
     return (
         shipments.select("shipment_id", "carrier_id", lane_id.alias("lane_id"), "weight_lbs")
         .join(cards, RATE_KEY, "left")

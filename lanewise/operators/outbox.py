@@ -54,36 +54,44 @@ VARIABLES = {
 }
 
 
-def _field(message: Column, name: str) -> Column:
-    return F.get_json_object(message, f"$.{name}")
+STATUS_CHANGED = "ShipmentStatusChangedEvent"
+LINKS = {"trackingUrl": "shipmentId", "invoiceUrl": "invoiceId"}
+DERIVED = {"trackingUrl", "invoiceUrl", "rateIncreased"}
 
 
-def _subject(message: Column, pattern: str) -> Column:
+def event_schema() -> str:
+    """All event fields a mail can need, as text."""
+    names = {"newStatus", "changePercentage", *LINKS.values()}
+    for fields in (*VARIABLES.values(), *RECIPIENTS.values()):
+        names.update(set(fields) - DERIVED)
+    return ", ".join(f"{name} string" for name in sorted(names))
+
+
+def _subject(event: Column, pattern: str) -> Column:
     """The pattern with its {fields} filled; a missing field shows as ``null``."""
     parts: list[Column] = []
     for piece in pattern.split("{"):
         name, closed, rest = piece.partition("}")
         if closed:
-            parts.append(F.coalesce(_field(message, name), F.lit("null")))
+            parts.append(F.coalesce(event[name], F.lit("null")))
             parts.append(F.lit(rest))
         else:
             parts.append(F.lit(piece))
     return F.concat(*parts)
 
 
-def _variable(message: Column, kind: str, name: str, base_url: str) -> Column:
-    change = _field(message, "changePercentage").try_cast("double")
+def _variable(event: Column, kind: str, name: str, base_url: str) -> Column:
     if name == "trackingUrl":
-        return text.tracking_url(base_url, _field(message, "shipmentId"))
+        return text.tracking_url(base_url, event[LINKS[name]])
     if name == "invoiceUrl":
-        return text.invoice_url(base_url, _field(message, "invoiceId"))
+        return text.invoice_url(base_url, event[LINKS[name]])
     if name == "carrierName" and kind == "ShipmentCreatedEvent":
-        return F.coalesce(_field(message, name), F.lit("TBD"))
+        return F.coalesce(event[name], F.lit("TBD"))
     if name == "rateIncreased":
-        return (change > 0).cast("string")
+        return (event["changePercentage"].try_cast("double") > 0).cast("string")
     if name in ("changePercentage", "discrepancyPercentage"):
-        return F.abs(_field(message, name).try_cast("double")).cast("string")
-    return _field(message, name)
+        return F.abs(event[name].try_cast("double")).cast("string")
+    return event[name]
 
 
 def outbox(events: DataFrame, base_url: str, message: str = "message",
@@ -93,23 +101,24 @@ def outbox(events: DataFrame, base_url: str, message: str = "message",
     ``recipients`` holds the addresses that are neither missing nor blank; without any the mail is
     not deliverable, but stays listed.
     """
-    body, event = F.col(message), F.col(kind)
-    changed = "ShipmentStatusChangedEvent"
-    case = F.when(event == changed, F.concat(event, F.lit("/"), _field(body, "newStatus"))
-                  ).otherwise(event)
+    event, named = F.col("event"), F.col(kind)
+    case = F.when(named == STATUS_CHANGED, F.concat(named, F.lit("/"), event["newStatus"])
+                  ).otherwise(named)
     template, subject, recipients, variables = F, F, F, F
     for name, (template_name, pattern) in TEMPLATES.items():
         template = template.when(F.col("mail_case") == name, template_name)
-        subject = subject.when(F.col("mail_case") == name, _subject(body, pattern))
+        subject = subject.when(F.col("mail_case") == name, _subject(event, pattern))
     for name, fields in RECIPIENTS.items():
-        recipients = recipients.when(event == name, F.array(*[_field(body, f) for f in fields]))
+        recipients = recipients.when(named == name, F.array(*[event[f] for f in fields]))
         pairs = [x for v in VARIABLES[name]
-                 for x in (F.lit(v), _variable(body, name, v, base_url))]
-        variables = variables.when(event == name, F.create_map(*pairs))
+                 for x in (F.lit(v), _variable(event, name, v, base_url))]
+        variables = variables.when(named == name, F.create_map(*pairs))
     usable = F.filter(recipients, lambda a: F.coalesce(~a.rlike(r"^\s*$"), F.lit(False)))
     kept = [c for c in events.columns if c not in (message, "body", "readable")]
     return (
-        events.withColumn("mail_case", case)
+        events.filter(named.isin(list(RECIPIENTS)))
+        .withColumn("event", F.from_json(F.col(message), event_schema()))
+        .withColumn("mail_case", case)
         .filter(F.col("mail_case").isin(list(TEMPLATES)))
         .select(*kept, template.alias("template"), subject.alias("subject"),
                 usable.alias("recipients"), variables.alias("variables"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.fixed_values import RATE_CARDS, RATE_EVENT
@@ -11,14 +11,23 @@ from lanewise.operators.skew import latest, previous_value
 
 CARD = ["rate_per_cwt", "fuel_surcharge_percent", "minimum_charge"]
 RATE_KEY = ["carrier_id", "lane_id"]
+# Room for the offer number beside the cents in one 64-bit integer.
+OFFERS_PER_LANE = 1 << 22
 
 
 def active(rates: DataFrame) -> DataFrame:
     return rates.filter(F.col("active"))
 
 
-def total_rate(weight: str = "weight_lbs") -> Column:
-    return pricing.contract_rate(F.col(weight), *[F.col(c) for c in CARD])
+def price_list(rates: DataFrame, *columns: str) -> DataFrame:
+    """Active cards with their price factor, worked out once per card and not once per quote."""
+    factor = pricing.charge_factor(F.col("rate_per_cwt"), F.col("fuel_surcharge_percent"))
+    return active(rates).select("lane_id", "carrier_id", *columns, factor.alias("factor"),
+                                "minimum_charge")
+
+
+def total_rate() -> Column:
+    return pricing.charge(F.col("weight_lbs"), F.col("factor"), F.col("minimum_charge"))
 
 
 def quote_requests(shipments: DataFrame) -> DataFrame:
@@ -34,30 +43,48 @@ def carrier_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     shipments brings no more rows than it has weights.  Cheapest first means ordering by
     ``total_rate``, then ``carrier_id``; the global order is left to the reader.
     """
-    cards = active(rates).select("lane_id", "carrier_id", "carrier_name", "transit_days", *CARD)
     return (
-        requests.select("lane_id", "weight_lbs").distinct().join(cards, "lane_id")
+        requests.select("lane_id", "weight_lbs").distinct()
+        .join(price_list(rates, "carrier_name", "transit_days"), "lane_id")
         .select("lane_id", "weight_lbs", "carrier_id", "carrier_name",
                 total_rate().alias("total_rate"), "transit_days")
     )
 
 
+def numbered_offers(rates: DataFrame) -> DataFrame:
+    """Cards that price alike reduced to their smallest carrier id, numbered in carrier order."""
+    offers = (
+        price_list(rates, "carrier_name", "transit_days")
+        .groupBy("lane_id", "factor", "minimum_charge")
+        .agg(F.min(F.struct("carrier_id", "carrier_name", "transit_days")).alias("offer"))
+        .select("lane_id", "factor", "minimum_charge", "offer.*")
+    )
+    number = F.row_number().over(Window.partitionBy("lane_id").orderBy("carrier_id"))
+    fits = F.when(number < OFFERS_PER_LANE, number).otherwise(
+        F.raise_error(F.lit("too many different prices on one lane")))
+    return offers.withColumn("offer_no", fits.cast("bigint"))
+
+
 def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """The cheapest active carrier per (lane, weight), ties to the smaller carrier id.
 
-    Cards that price alike are reduced to their smallest carrier id before the join, so a lane meets
-    its different price formulas and not its carriers.
+    A request meets the different price formulas of its lane and not its carriers.  Cents and offer
+    number are packed into one integer, so the minimum is a plain hash aggregation that combines
+    before the shuffle; the winner's columns are looked up afterwards.
     """
-    formulas = (
-        active(rates).groupBy("lane_id", *CARD)
-        .agg(F.min(F.struct("carrier_id", "carrier_name", "transit_days")).alias("offer"))
+    offers = numbered_offers(rates)
+    cents = (total_rate() * 100).cast("bigint")
+    packed = cents * F.lit(OFFERS_PER_LANE) + F.col("offer_no")
+    winners = (
+        requests.select("lane_id", "weight_lbs").distinct()
+        .join(offers.select("lane_id", "factor", "minimum_charge", "offer_no"), "lane_id")
+        .groupBy("lane_id", "weight_lbs").agg(F.min(packed).alias("best"))
+        .withColumn("offer_no", F.col("best") % OFFERS_PER_LANE)
     )
     return (
-        requests.select("lane_id", "weight_lbs").distinct().join(formulas, "lane_id")
-        .groupBy("lane_id", "weight_lbs")
-        .agg(F.min(F.struct(total_rate().alias("total_rate"), "offer")).alias("best"))
-        .select("lane_id", "weight_lbs", "best.total_rate", "best.offer.carrier_id",
-                "best.offer.carrier_name", "best.offer.transit_days")
+        winners.join(offers, ["lane_id", "offer_no"])
+        .select("lane_id", "weight_lbs", total_rate().alias("total_rate"), "carrier_id",
+                "carrier_name", "transit_days")
     )
 
 
@@ -127,6 +154,15 @@ def with_fallback(carriers: DataFrame, fresh: DataFrame, literal: DataFrame) ->
     return sent.unionByName(backup)
 
 
+def refresh_counts(carriers: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored cards, carriers looked at, and carriers that ended up without a card."""
+    cards = stored.groupBy("carrier_id").agg(F.count(F.lit(1)).alias("cards"))
+    return carriers.select("carrier_id").distinct().join(cards, "carrier_id", "left").agg(
+        F.coalesce(F.sum("cards"), F.lit(0)).alias("updated"),
+        F.count(F.lit(1)).alias("carriers_processed"),
+        F.count_if(F.col("cards").isNull()).alias("carriers_without_cards"))
+
+
 def rate_changes(history: DataFrame, max_rows: int = 1_000_000,
                  slices: int | None = None) -> DataFrame:
     """Old rate, new rate and signed change in percent for every refresh of a card.

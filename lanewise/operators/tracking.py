@@ -31,65 +31,66 @@ def _city(address: Column, city: str, region: str) -> Column:
     return F.concat(or_empty(address[city]), F.lit(", "), or_empty(address[region]))
 
 
-def _fedex(body: Column) -> tuple[Column, list[Column]]:
-    parsed = F.from_json(body, schemas.FEDEX_PAYLOAD, schemas.PARSE_OPTIONS)
+def _fedex(parsed: Column, body: Column) -> list[Column]:
     info = parsed["TrackingInfo"]
     last = info["latestStatus"]
-    return parsed, [info["customerTrackingId"], info["trackingNumber"], last["statusCode"],
-                    last["description"],
-                    _city(last["scanLocation"], "city", "stateOrProvinceCode")]
+    return [info["customerTrackingId"], info["trackingNumber"], last["statusCode"],
+            last["description"], _city(last["scanLocation"], "city", "stateOrProvinceCode")]
 
 
-def _ups(body: Column) -> tuple[Column, list[Column]]:
-    parsed = F.from_json(body, schemas.UPS_PAYLOAD, schemas.PARSE_OPTIONS)
+def _ups(parsed: Column, body: Column) -> list[Column]:
     shipment = parsed["shipment"]
     package = shipment["package"]
     last = F.get(package["activity"], F.lit(0))
-    return parsed, [shipment["referenceNumber"], package["trackingNumber"],
-                    last["status"]["type"], last["description"],
-                    _city(last["location"]["address"], "city", "stateProvince")]
+    return [shipment["referenceNumber"], package["trackingNumber"], last["status"]["type"],
+            last["description"], _city(last["location"]["address"], "city", "stateProvince")]
 
 
-def _dhl(body: Column) -> tuple[Column, list[Column]]:
-    parsed = F.from_json(body, schemas.DHL_PAYLOAD, schemas.PARSE_OPTIONS)
+def _dhl(parsed: Column, body: Column) -> list[Column]:
     tracking = parsed["shipmentTrackingNumber"]
     last = F.get(parsed["events"], F.lit(0))
     named = F.array_contains(F.json_object_keys(body), "customerReference")
-    return parsed, [F.when(named, parsed["customerReference"]).otherwise(tracking), tracking,
-                    last["status"], last["description"],
-                    _city(last["location"]["address"], "addressLocality", "countryCode")]
+    return [F.when(named, parsed["customerReference"]).otherwise(tracking), tracking,
+            last["status"], last["description"],
+            _city(last["location"]["address"], "addressLocality", "countryCode")]
 
 
-def _generic(body: Column) -> tuple[Column, list[Column]]:
-    parsed = F.from_json(body, schemas.GENERIC_PAYLOAD, schemas.PARSE_OPTIONS)
-    return parsed, [parsed["shipmentId"], parsed["trackingNumber"], parsed["status"],
-                    parsed["description"], parsed["location"]]
+def _generic(parsed: Column, body: Column) -> list[Column]:
+    return [parsed["shipmentId"], parsed["trackingNumber"], parsed["status"],
+            parsed["description"], parsed["location"]]
 
 
-PAYLOADS = {"fedex": _fedex, "ups": _ups, "dhl": _dhl}
+GENERIC = "other"
+PAYLOADS = {"fedex": (schemas.FEDEX_PAYLOAD, _fedex), "ups": (schemas.UPS_PAYLOAD, _ups),
+            "dhl": (schemas.DHL_PAYLOAD, _dhl), GENERIC: (schemas.GENERIC_PAYLOAD, _generic)}
 
 
 def normalise(requests: DataFrame) -> DataFrame:
     """Bring the four payload shapes to one; absent keys become empty text.
 
     The shape goes by the lower-cased carrier id of the request path.  ``payload_ok`` is false when
-    the body is JSON but not of the carrier's shape.
+    the body is JSON but not of the carrier's shape.  Each body is parsed once, into a column of its
+    own, and the fields are read from there.
     """
-    kind = F.lower("carrier_id")
-    candidates = {name: read(F.when(kind == name, F.col("body")))
-                  for name, read in PAYLOADS.items()}
-    other, other_fields = _generic(F.when(~kind.isin(list(PAYLOADS)), F.col("body")))
+    named = [kind for kind in PAYLOADS if kind != GENERIC]
+    carrier = F.lower("carrier_id")
+    shaped = requests.withColumn("shape", F.when(carrier.isin(named), carrier).otherwise(GENERIC))
+    parsed = shaped.withColumns({
+        f"parsed_{kind}": F.from_json(F.when(F.col("shape") == kind, F.col("body")), schema,
+                                      schemas.PARSE_OPTIONS)
+        for kind, (schema, _) in PAYLOADS.items()})
+    fields = {kind: read(F.col(f"parsed_{kind}"), F.col("body"))
+              for kind, (_, read) in PAYLOADS.items()}
     columns = {}
     for i, field in enumerate(EVENT_FIELDS):
         value = F
-        for name, (_, fields) in candidates.items():
-            value = value.when(kind == name, fields[i])
-        columns[field] = or_empty(value.otherwise(other_fields[i]))
-    corrupt = F.coalesce(*[parsed[schemas.CORRUPT] for parsed, _ in candidates.values()],
-                         other[schemas.CORRUPT])
+        for kind in PAYLOADS:
+            value = value.when(F.col("shape") == kind, fields[kind][i])
+        columns[field] = or_empty(value)
+    corrupt = F.coalesce(*[F.col(f"parsed_{kind}")[schemas.CORRUPT] for kind in PAYLOADS])
     is_object = F.json_object_keys(F.col("body")).isNotNull()
     columns["payload_ok"] = F.coalesce(is_object & corrupt.isNull(), F.lit(False))
-    return requests.withColumns(columns)
+    return parsed.withColumns(columns).drop("shape", *[f"parsed_{kind}" for kind in PAYLOADS])
 
 
 def receive_webhooks(requests: DataFrame, keys: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def shipment_with_legs(spark: SparkSession, d: str) -> DataFrame:
     nested = search.shipment_with_legs(parents, sample.legs(spark, d))
     shown = F.transform("legs", lambda leg: F.concat_ws(
         ":", leg["sequence"].cast("string"), leg["carrier_id"]))
-    return nested.select("shipment_id", "status", "part", F.size("legs").alias("leg_count"),
+    return nested.select("shipment_id", "status", "part", F.size("legs").cast("bigint").alias("leg_count"),
                          F.array_join(shown, ";").alias("legs"))
 
 
@@ -218,11 +218,9 @@ def rate_valid_on_date(spark: SparkSession, d: str) -> DataFrame:
     return plain(found.select("shipment_id", "effective_date", "rate_per_cwt"))
 
 
-def rate_fallback(spark: SparkSession, d: str) -> DataFrame:
-    literal = rates.literal_cards(spark)
-    suppliers = sample.table(spark, d, "supplier")
+def _refresh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nth = F.col("s_suppkey").cast("string")
-    carriers = suppliers.select(
+    carriers = sample.table(spark, d, "supplier").select(
         F.when(F.col("s_suppkey") == 0, "FedEx").when(F.col("s_suppkey") == 10, "dhl")
         .otherwise(nth).alias("carrier_id"))
     fresh = rates.active(sample.carrier_rates(spark, d)).select(
@@ -230,8 +228,16 @@ def rate_fallback(spark: SparkSession, d: str) -> DataFrame:
         F.col("rate_per_cwt").cast("string").alias("rate_per_cwt"),
         F.col("fuel_surcharge_percent").cast("string").alias("fuel_surcharge_percent"),
         F.col("minimum_charge").cast("string").alias("minimum_charge"), "transit_days")
-    stored = rates.refreshed(rates.with_fallback(carriers, fresh, literal), "1998-01-01 06:00:00")
-    return plain(stored.drop("last_refreshed_at"))
+    cards = rates.with_fallback(carriers, fresh, rates.literal_cards(spark))
+    return carriers, rates.refreshed(cards, "1998-01-01 06:00:00")
+
+
+def rate_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return plain(_refresh(spark, d)[1].drop("last_refreshed_at"))
+
+
+def rate_refresh_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rates.refresh_counts(*_refresh(spark, d))
 
 
 def rate_event_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -706,7 +712,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     invoice_listing, carrier_invoices, overdue_shipments, overdue_invoices, status_counts_since,
     invoice_with_lines, shipment_with_legs,
     multi_carrier_quote, best_quote, rate_lookup, weight_buckets, rate_changes,
-    latest_rate_per_key, rate_upsert, rate_valid_on_date, rate_fallback, rate_event_messages,
+    latest_rate_per_key, rate_upsert, rate_valid_on_date, rate_fallback,
+    rate_refresh_counts, rate_event_messages,
     three_way_match, contract_match, match_on_delivery, invoice_events, discrepancy_flags,
     invoice_intake, intake_line_items, duplicate_invoices, line_rollup, manual_approval,
     paid_invoices,

@@ -700,6 +700,14 @@ SQL: dict[str, tuple[str, str]] = {
                      ('dhl', 'TX-CA-LTL', 13.1, 19, 260, 3),
                      ('dhl', 'NY-FL-LTL', 14.8, 19, 310, 2)) v(carrier, lane_id, rate, fuel, least, days)
           ON v.carrier = c.carrier_id"""),
+    "rate_refresh_counts": ("rates", """
+        SELECT cast((SELECT count(*) FROM rates WHERE active)
+                    + sum(CASE s_suppkey WHEN 0 THEN 4 WHEN 10 THEN 2 ELSE 0 END) AS bigint)
+                   AS updated,
+               count(*) AS carriers_processed,
+               count(*) FILTER (s_suppkey % 10 = 0 AND s_suppkey NOT IN (0, 10))
+                   AS carriers_without_cards
+        FROM supplier"""),
     "rate_event_messages": ("rates", """
         SELECT 'CarrierRateUpdatedEvent' AS event_type, carrier_id, lane_id,
                'CarrierRateUpdatedEvent' AS "eventType", origin_state AS "originState",
@@ -866,7 +874,7 @@ SQL: dict[str, tuple[str, str]] = {
     "reference_numbers": ("shipments", """
         SELECT shipment_id, concat('SH-', strftime(created_at, '%Y%m%d'), '-',
                    lpad(cast(row_number() OVER (PARTITION BY cast(created_at AS date)
-                       ORDER BY hour(created_at), substr(md5(shipment_id), 1, 2), shipment_id)
+                       ORDER BY hour(created_at), substr(md5(shipment_id), 1, 4), shipment_id)
                        AS varchar), 6, '0')) AS reference_number
         FROM shipments"""),
     "stream_lifecycle": ("fold", FOLD_COLUMNS),

@@ -7,6 +7,8 @@ and log lines, documents become stored objects.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,40 @@ WEBHOOK_CARRIERS = ["fedex", "UPS", "dhl", "acme"]
 WEBHOOK_SECRETS = {"fedex": "fedex-test-secret", "ups": "ups-test-secret"}
 
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+# The key by which a table too small to give every core a split is spread.
+SPREAD_BY = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+             "documents": "doc_id"}
+
+
+@lru_cache(maxsize=256)
+def _few_splits(spark: SparkSession, path: str, name: str) -> bool:
+    df = spark.read.schema(SCHEMAS[name]).parquet(path)
+    return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table.  Each is one file, so small ones would keep a single core busy; a table with
+    enough splits is read as it is."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.schema(SCHEMAS[name]).parquet(path)
+    if name in SPREAD_BY and _few_splits(spark, path, name):
+        return df.repartition(spark.sparkContext.defaultParallelism, SPREAD_BY[name])
+    return df
 
 
 def _hours(n: Column | int) -> Column:
@@ -40,13 +74,14 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (F.when(F.col("o_orderstatus") == "F", "DELIVERED")
               .when(F.col("o_orderstatus") == "O", open_status)
               .when(cust % 2 == 0, "CREATED").otherwise("CANCELLED"))
-    nation = table(spark, sf_dir, "nation")
-    supplier = table(spark, sf_dir, "supplier")
-    carriers = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", "s_name", F.col("n_name").alias("origin_state"))
-    customers = table(spark, sf_dir, "customer").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", "c_name", F.col("n_name").alias("dest_state"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    origin = nation.select(F.col("n_nationkey").alias("s_nationkey"),
+                           F.col("n_name").alias("origin_state"))
+    dest = nation.select(F.col("n_nationkey").alias("c_nationkey"),
+                         F.col("n_name").alias("dest_state"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
     n_carriers = supplier.select(F.count(F.lit(1))).scalar()
     created = F.col("o_orderdate") + _hours((key % 24).cast("int"))
     promised = F.col("created_at") + _days((3 + key % 5).cast("int"))
@@ -60,8 +95,8 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("created_at", created)
         .withColumn("estimated_delivery", promised)
         .withColumn("s_suppkey", key % n_carriers)
-        .join(carriers, "s_suppkey")
-        .join(customers, F.col("c_custkey") == cust)
+        .join(supplier, "s_suppkey").join(origin, "s_nationkey")
+        .join(customer, "o_custkey").join(dest, "c_nationkey")
         .select(
             _digits("o_orderkey").alias("shipment_id"),
             F.concat(F.lit("REF-"), F.lpad(_digits("o_orderkey"), 8, "0")).alias("reference_no"),
@@ -185,8 +220,7 @@ def rate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with a timestamp a watermark can use."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.par[q]uet")
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events.par[q]uet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  test tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    timed runs per query after one warm-up (default 3; the median counts)
+BENCH_RUNS    timed runs per query after one warm-up (default 1; the median counts)
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         configure(SparkSession.builder.master(f"local[{cpus}]").appName("bench"))
         .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")

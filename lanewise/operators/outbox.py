@@ -61,7 +61,7 @@ DERIVED = {"trackingUrl", "invoiceUrl", "rateIncreased"}
 
 def event_schema() -> str:
     """All event fields a mail can need, as text."""
-    names = {"newStatus", "changePercentage", *LINKS.values()}
+    names = {"changePercentage", *LINKS.values()}
     for fields in (*VARIABLES.values(), *RECIPIENTS.values()):
         names.update(set(fields) - DERIVED)
     return ", ".join(f"{name} string" for name in sorted(names))
@@ -102,7 +102,9 @@ def outbox(events: DataFrame, base_url: str, message: str = "message",
     not deliverable, but stays listed.
     """
     event, named = F.col("event"), F.col(kind)
-    case = F.when(named == STATUS_CHANGED, F.concat(named, F.lit("/"), event["newStatus"])
+    # Only this one field decides whether there is a mail, so it is read before the full parse.
+    new_status = F.get_json_object(F.col(message), "$.newStatus")
+    case = F.when(named == STATUS_CHANGED, F.concat(named, F.lit("/"), new_status)
                   ).otherwise(named)
     template, subject, recipients, variables = F, F, F, F
     for name, (template_name, pattern) in TEMPLATES.items():
@@ -117,9 +119,9 @@ def outbox(events: DataFrame, base_url: str, message: str = "message",
     kept = [c for c in events.columns if c not in (message, "body", "readable")]
     return (
         events.filter(named.isin(list(RECIPIENTS)))
-        .withColumn("event", F.from_json(F.col(message), event_schema()))
         .withColumn("mail_case", case)
         .filter(F.col("mail_case").isin(list(TEMPLATES)))
+        .withColumn("event", F.from_json(F.col(message), event_schema()))
         .select(*kept, template.alias("template"), subject.alias("subject"),
                 usable.alias("recipients"), variables.alias("variables"))
         .withColumn("is_deliverable", F.size("recipients") > 0)

@@ -44,9 +44,9 @@ def run_scorecard(spark: SparkSession, shipments: DataFrame, invoices: DataFrame
     """Write the scorecard to ``root/date=D/lookback=Nd`` and register it."""
     _, last = timing.scorecard_window(as_of, lookback_days)
     scores = scorecard.carrier_scorecard(shipments, invoices, last, lookback_days)
-    path = results.write_partition(
-        scores, root, {"date": last.isoformat(), "lookback": f"{lookback_days}d"})
+    partition = {"date": last.isoformat(), "lookback": f"{lookback_days}d"}
+    path = results.write_partition(scores, root, partition)
     if table is not None:
         schema = f"{columns_of(scores, [])}, date string, lookback string"
-        results.register_table(spark, table, root, schema, ["date", "lookback"])
+        results.register_table(spark, table, root, schema, list(partition), partition)
     return path

@@ -38,14 +38,19 @@ def write_partitions(df: DataFrame, root: str, split_by: list[str]) -> None:
 
 
 def register_table(spark: SparkSession, name: str, root: str, schema: str,
-                   split_by: list[str]) -> None:
+                   split_by: list[str], only: dict[str, str] | None = None) -> None:
     """Declare a partitioned Parquet folder in the catalog and make its partitions known.
 
-    The partition columns are the last ones of ``schema``.  Safe to repeat.
+    The partition columns are the last ones of ``schema``.  ``only`` names the one partition that
+    was written; without it the folder is compared with the catalog.  Safe to repeat.
     """
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet "
               f"PARTITIONED BY ({', '.join(split_by)}) LOCATION '{root}'")
-    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    if only is not None:
+        spec = ", ".join(f"{column} = '{only[column]}'" for column in split_by)
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec})")
+    else:
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     spark.catalog.refreshTable(name)
 
 

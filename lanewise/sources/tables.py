@@ -23,6 +23,11 @@ def parquet_table(spark: SparkSession, path: str, schema: str | None = None) ->
     return reader.parquet(path)
 
 
+def named(df: DataFrame, key: str) -> DataFrame:
+    """A table whose key is called ``id``, with the key name the operators use."""
+    return df.withColumnsRenamed({"id": key, "textract_job_id": "ocr_job_id"})
+
+
 def jdbc_options(url: str, table: str, first: date, last: date, partitions: int,
                  user: str, password: str, split_by: str = "created_at",
                  driver: str = "org.postgresql.Driver") -> dict[str, str]:

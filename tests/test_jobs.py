@@ -242,3 +242,14 @@ def test_jdbc_options():
     assert options["upperBound"] == "2024-02-01 00:00:00"
     assert options["partitionColumn"] == "created_at" and options["numPartitions"] == "32"
     assert options["fetchsize"] == "1000"
+
+
+def test_command_line(spark, inputs, tmp_path):
+    from lanewise.plans import main
+    paths = [str(tmp_path / n) for n in ("shipments", "invoices", "out")]
+    for df, path in zip(inputs, paths):
+        df.write.parquet(path)
+    main.main(["scorecard", "--shipments", paths[0], "--invoices", paths[1], "--output", paths[2],
+               "--date", "1998-06-30", "--lookback-days", "300"])
+    written = spark.read.parquet(paths[2]).drop("date", "lookback")
+    assert same(scorecard.carrier_scorecard(*inputs, "1998-06-30", 300), written)

@@ -36,19 +36,32 @@ def quote_requests(shipments: DataFrame) -> DataFrame:
     return shipments.select(lane_id.alias("lane_id"), "weight_lbs").distinct()
 
 
-def carrier_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
+def _on_lane(requests: DataFrame, cards: DataFrame, salts: int) -> DataFrame:
+    """Different (lane, weight) pairs next to the cards of their lane.
+
+    Few input bytes make many output rows here, which adaptive execution cannot foresee: it would
+    gather everything into one task.  So both sides are spread by lane and a salt taken from the
+    weight over a fixed number of partitions, which also cuts a lane with very many weights.
+    """
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("weight_lbs"), F.lit(salts)).cast("int")
+    asked = requests.select("lane_id", "weight_lbs").distinct().withColumn("salt", salt)
+    offered = cards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key = ["lane_id", "salt"]
+    return asked.repartition(n, *key).join(offered.repartition(n, *key), key).drop("salt")
+
+
+def carrier_quotes(requests: DataFrame, rates: DataFrame, salts: int = 8) -> DataFrame:
     """What every active carrier on the lane would charge.
 
     Requests are first reduced to the different (lane, weight) pairs, so a lane with a third of all
     shipments brings no more rows than it has weights.  Cheapest first means ordering by
     ``total_rate``, then ``carrier_id``; the global order is left to the reader.
     """
-    return (
-        requests.select("lane_id", "weight_lbs").distinct()
-        .join(price_list(rates, "carrier_name", "transit_days"), "lane_id")
-        .select("lane_id", "weight_lbs", "carrier_id", "carrier_name",
-                total_rate().alias("total_rate"), "transit_days")
-    )
+    cards = price_list(rates, "carrier_name", "transit_days")
+    return _on_lane(requests, cards, salts).select(
+        "lane_id", "weight_lbs", "carrier_id", "carrier_name", total_rate().alias("total_rate"),
+        "transit_days")
 
 
 def numbered_offers(rates: DataFrame) -> DataFrame:
@@ -65,7 +78,7 @@ def numbered_offers(rates: DataFrame) -> DataFrame:
     return offers.withColumn("offer_no", fits.cast("bigint"))
 
 
-def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
+def best_quotes(requests: DataFrame, rates: DataFrame, salts: int = 8) -> DataFrame:
     """The cheapest active carrier per (lane, weight), ties to the smaller carrier id.
 
     A request meets the different price formulas of its lane and not its carriers.  Cents and offer
@@ -76,8 +89,7 @@ def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     cents = (total_rate() * 100).cast("bigint")
     packed = cents * F.lit(OFFERS_PER_LANE) + F.col("offer_no")
     winners = (
-        requests.select("lane_id", "weight_lbs").distinct()
-        .join(offers.select("lane_id", "factor", "minimum_charge", "offer_no"), "lane_id")
+        _on_lane(requests, offers.select("lane_id", "factor", "minimum_charge", "offer_no"), salts)
         .groupBy("lane_id", "weight_lbs").agg(F.min(packed).alias("best"))
         .withColumn("offer_no", F.col("best") % OFFERS_PER_LANE)
     )

@@ -17,14 +17,17 @@ INDEXED_COLUMNS = ["shipment_id", "document_type", "s3_key", "s3_bucket", "file_
 def objects(notifications: DataFrame, body: str = "body") -> DataFrame:
     """One row per object of a notification: bucket, decoded key and size (0 if not told).
 
-    Decoding also turns ``+`` into a space.  Rows of the notification are kept.
+    Decoding also turns ``+`` into a space; a percent sign that starts no escape stays.  Columns of
+    the notification are kept.
     """
+    raw = F.col("record.s3.object.key")
+    decoded = F.url_decode(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"))
     parsed = F.from_json(F.col(body), schemas.OBJECT_NOTIFICATION)
     kept = [c for c in notifications.columns if c != body]
     return (
         notifications.select(*kept, F.explode(parsed["Records"]).alias("record"))
         .select(*kept, F.col("record.s3.bucket.name").alias("s3_bucket"),
-                F.try_url_decode(F.col("record.s3.object.key")).alias("s3_key"),
+                decoded.alias("s3_key"),
                 F.coalesce("record.s3.object.size", F.lit(0)).alias("file_size_bytes"))
     )
 
@@ -36,7 +39,7 @@ def _part(key: Column, number: int) -> Column:
 def parse_keys(stored: DataFrame) -> DataFrame:
     """Document fields from ``type/shipment/document.ext``.
 
-    ``outcome`` is SKIPPED for keys with fewer than three parts, FAILED for undecodable ones.
+    ``outcome`` is SKIPPED for keys with fewer than three parts, FAILED for objects without a key.
     """
     key = F.col("s3_key")
     file_name = _part(key, 2)

@@ -508,6 +508,11 @@ def document_index(spark: SparkSession, d: str) -> DataFrame:
     return documents.index_documents(sample.document_metadata(spark, d), updates)
 
 
+def documents_of_shipment(spark: SparkSession, d: str) -> DataFrame:
+    return search.find(document_index(spark, d), shipment_id="ship 7").select(
+        "document_id", "s3_key", "content_type", "status")
+
+
 def document_register(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.lit("2024-03-11 00:00:00").cast("timestamp_ntz")
     existing = sample.document_metadata(spark, d)
@@ -724,7 +729,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     reference_numbers,
     stream_lifecycle, stream_error_counts,
     document_key_parse, document_batch_counts, document_index, document_register,
-    document_delete, ocr_jobs, ocr_batch_counts, ocr_job_documents,
+    documents_of_shipment, document_delete, ocr_jobs, ocr_batch_counts, ocr_job_documents,
     notification_outbox, display_values, places_and_lanes,
     metric_counts_per_window, duration_timers, error_counts, latest_error_lines,
     alarm_average, alarm_p99, alarm_sum, alarm_two_minutes, alarm_composite, email_counts,

@@ -893,6 +893,9 @@ SQL: dict[str, tuple[str, str]] = {
     "document_batch_counts": ("", """
         SELECT count(*) AS processed, cast(0 AS bigint) AS failed FROM documents"""),
     "document_index": ("indexed", "SELECT * FROM indexed"),
+    "documents_of_shipment": ("indexed", """
+        SELECT document_id, s3_key, content_type, status FROM indexed
+        WHERE shipment_id = 'ship 7'"""),
     "document_register": ("metadata", """
         SELECT document_id, shipment_id, document_type, uploaded_by, status, description,
                NULL AS s3_key, NULL AS content_type, cast(NULL AS timestamp) AS uploaded_at

@@ -163,7 +163,9 @@ KEYS = [  # raw key -> outcome, type, shipment, document, extension, content typ
      "application/pdf"),
     ("a/b/c.png/more", "INDEXED", "A", "b", "c", "png", "image/png"),
     ("a/b/.tiff", "INDEXED", "A", "b", "", "tiff", "image/tiff"),
-    ("a/b/x%zz", "FAILED", None, None, None, None, None),
+    ("a/b/50%+x%zz%41.png", "INDEXED", "A", "b", "50% x%zzA", "png", "image/png"),
+    ("a/b/%C3%A9.png", "INDEXED", "A", "b", "é", "png", "image/png"),
+    (None, "FAILED", None, None, None, None, None),
 ]
 
 
@@ -183,7 +185,7 @@ def test_key_parse(spark):
         assert (row.extension or "") == (ext or "")
         assert row.file_size_bytes == 0
     counts = documents.batch_counts(documents.parse_keys(stored(spark, [k[0] for k in KEYS])))
-    assert tuple(counts.first()) == (7, 1)
+    assert tuple(counts.first()) == (9, 1)
 
 
 def test_ocr_keys(spark):

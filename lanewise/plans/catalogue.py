@@ -425,8 +425,9 @@ def lifecycle_final_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
-    requests = tracking.known_shipments(_requests(spark, d), sample.shipments(spark, d))
-    return lifecycle.replay(requests)
+    """Replayed first, while rows are narrow; the shipment's columns join the outcome."""
+    return tracking.known_shipments(lifecycle.replay(_requests(spark, d)),
+                                    sample.shipments(spark, d))
 
 
 def delivery_events(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.fixed_values import DEFAULT_LOOKBACK_DAYS
 from lanewise.functions import timing
 from lanewise.plans import jobs
-from lanewise.session import configure
+from lanewise.session import configure, sized_for
 from lanewise.sources import tables
 
 
@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lookback-days", type=int, default=DEFAULT_LOOKBACK_DAYS)
     p.add_argument("--grain", choices=["invoice", "shipment"], default="invoice")
     p.add_argument("--table", help="catalog table to register the result in")
+    p.add_argument("--input-gb", type=int, help="size of the input, to choose partition counts")
     p.add_argument("--jdbc", help="JDBC URL; user and password come from DB_USER and DB_PASSWORD")
     p.add_argument("--jdbc-partitions", type=int, default=32)
     return p
@@ -45,7 +46,10 @@ def load(spark: SparkSession, args: argparse.Namespace, name: str, key: str, fir
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = configure(SparkSession.builder.appName(f"lanewise-{args.job}")).getOrCreate()
+    builder = configure(SparkSession.builder.appName(f"lanewise-{args.job}"))
+    if args.input_gb:
+        builder = sized_for(builder, args.input_gb << 30)
+    spark = builder.getOrCreate()
     if args.job == "scorecard":
         first, last = timing.scorecard_window(args.date, args.lookback_days)
     else:

@@ -27,6 +27,18 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def sized_for(builder: SparkSession.Builder, input_bytes: int) -> SparkSession.Builder:
+    """Partition counts for an input of this size.
+
+    Shuffles start with about one partition per 512 MB read, between 200 and 20,000, and adaptive
+    execution joins the small ones; beyond 10 TB the scans take 256 MB per task.
+    """
+    partitions = min(max(input_bytes // (512 << 20), 200), 20_000)
+    builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    split = "256m" if input_bytes > 10 << 40 else "128m"
+    return builder.config("spark.sql.files.maxPartitionBytes", split)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 

@@ -37,6 +37,21 @@ def write_partitions(df: DataFrame, root: str, split_by: list[str]) -> None:
      .partitionBy(*split_by).parquet(root))
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int,
+                   path: str | None = None) -> None:
+    """Store a table hashed and sorted by its join key.
+
+    Shipments and invoices stored with the same number of buckets by ``shipment_id`` meet without a
+    shuffle in the match join.  Not for a key of which one value holds a large share of the rows:
+    without a shuffle adaptive execution has nothing to cut.
+    """
+    sink = (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+            .bucketBy(buckets, key).sortBy(key))
+    if path is not None:
+        sink = sink.option("path", path)
+    sink.saveAsTable(table)
+
+
 def register_table(spark: SparkSession, name: str, root: str, schema: str,
                    split_by: list[str], only: dict[str, str] | None = None) -> None:
     """Declare a partitioned Parquet folder in the catalog and make its partitions known.

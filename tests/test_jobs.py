@@ -253,3 +253,10 @@ def test_command_line(spark, inputs, tmp_path):
                "--date", "1998-06-30", "--lookback-days", "300"])
     written = spark.read.parquet(paths[2]).drop("date", "lookback")
     assert same(scorecard.carrier_scorecard(*inputs, "1998-06-30", 300), written)
+
+
+def test_results_do_not_depend_on_partitioning(spark, inputs):
+    spread = [df.repartition(13) for df in inputs]
+    assert same(spend.spend_history(*inputs), spend.spend_history(*spread))
+    assert same(scorecard.carrier_scorecard(*inputs, "2001-12-31", 3000),
+                scorecard.carrier_scorecard(*spread, "2001-12-31", 3000))

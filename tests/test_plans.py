@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions import timing
-from lanewise.operators import scorecard, search, spend
+from lanewise.operators import matching, scorecard, search, spend
 from lanewise.plans.catalogue import QUERIES
-from lanewise.sources import sample
+from lanewise.session import sized_for
+from lanewise.sources import results, sample
 
 # The sliced replay and the stateful stream run a small Python step inside tasks.
 WITH_PYTHON = {"lifecycle_fold_sliced", "stream_lifecycle", "stream_error_counts"}
@@ -52,3 +53,34 @@ def test_spend_join_meets_one_row_per_shipment(spark, sf_small):
     plan = plan_of(spend.spend_cube(spend.daily_shipments(sample.shipments(spark, sf_small)),
                                     spend.daily_invoices(sample.invoices(spark, sf_small))))
     assert plan.count("partial_count(1)") >= 1 and "partial_sum(copies" in plan
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, sf_small):
+    results.write_bucketed(sample.shipments(spark, sf_small), "shipments_by_key", "shipment_id", 4)
+    results.write_bucketed(sample.invoices(spark, sf_small), "invoices_by_key", "shipment_id", 4)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        joined = matching.with_expected(
+            spark.table("invoices_by_key"), spark.table("shipments_by_key"),
+            F.broadcast(sample.carrier_rates(spark, sf_small)))
+        plan = plan_of(joined)
+        assert "SortMergeJoin" in plan
+        assert "hashpartitioning(shipment_id" not in plan
+        assert joined.count() == spark.table("invoices_by_key").count() > 0
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_partition_counts_follow_the_input():
+    class Builder(dict):
+        def config(self, key, value):
+            self[key] = value
+            return self
+
+    key = "spark.sql.shuffle.partitions"
+    assert sized_for(Builder(), 1 << 30)[key] == "200"
+    assert sized_for(Builder(), 1 << 40)[key] == "2048"
+    assert sized_for(Builder(), 100 << 40)[key] == "20000"
+    assert sized_for(Builder(), 100 << 40)["spark.sql.files.maxPartitionBytes"] == "256m"

@@ -1,6 +1,7 @@
 """Hand-computed money rows."""
 
-from decimal import Decimal as D
+import random
+from decimal import ROUND_HALF_UP, Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,42 @@ def test_exceeds(spark):
                                "i decimal(12,2), e decimal(12,2)")
     got = df.select(pricing.exceeds(F.col("i"), F.col("e"), "5.00")).collect()
     assert [r[0] for r in got] == [False, True, False]
+
+
+def rounded(value, places):
+    return value.quantize(D(1).scaleb(-places), ROUND_HALF_UP)
+
+
+def test_charges_equal_plain_decimals(spark):
+    """Random cards and weights against arithmetic in Python decimals."""
+    rng = random.Random(11)
+
+    def maybe(low, high, scale):
+        return None if rng.random() < 0.1 else D(rng.randint(low, high)).scaleb(-scale)
+
+    rows = [(i, maybe(0, 10**7, 2), maybe(0, 10**5, 2), maybe(0, 5000, 2), maybe(0, 10**6, 2))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, w decimal(10,2), r decimal(10,4), f decimal(6,2), "
+                                     "m decimal(10,2)")
+    got = df.withColumn("got", pricing.contract_rate(*[F.col(c) for c in "wrfm"])).collect()
+    for row in got:
+        if row.w is None or row.r is None:
+            want = row.m if row.m is not None else D(0)
+        else:
+            fuel = 1 + (rounded(row.f / 100, 4) if row.f is not None else D(0))
+            exact = rounded(row.w / 100, 4) * row.r * fuel
+            want = row.m if row.m is not None and exact < row.m else rounded(exact, 2)
+        assert row.got == want, row
+        assert row.m is None or row.got >= row.m
+
+
+def test_percentages_equal_plain_decimals(spark):
+    rng = random.Random(12)
+    rows = [(D(rng.randint(1, 10**6)).scaleb(-2), D(rng.randint(1, 10**6)).scaleb(-2),
+             rng.randint(0, 400), rng.randint(1, 400)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "i decimal(12,2), e decimal(12,2), part bigint, whole bigint")
+    got = df.withColumns({"off": pricing.discrepancy_percent(F.col("i"), F.col("e")),
+                          "share": pricing.percent_of(F.col("part"), F.col("whole"))}).collect()
+    for row in got:
+        assert row.off == rounded((row.i - row.e) / row.e, 4) * 100
+        assert row.share == rounded(D(row.part) * 100 / row.whole, 2)

@@ -94,6 +94,11 @@ def percent_of(part: Column, whole: Column, scale: int = 2) -> Column:
 
 
 def rate_from_text(text: Column, default: str | None = None) -> Column:
-    """Decimal from a carrier's text field, with a default for an absent one."""
-    value = text.cast("decimal(10,4)")
-    return value if default is None else F.coalesce(value, decimal_lit(default, 10, 4))
+    """Decimal from a carrier's text field, with a default for an absent one.
+
+    Text that is no number gives NULL and does not fail the job.
+    """
+    value = text.try_cast("decimal(10,4)")
+    if default is None:
+        return value
+    return F.when(text.isNull(), decimal_lit(default, 10, 4)).otherwise(value)

@@ -126,18 +126,26 @@ def upsert_rates(existing: DataFrame, incoming: DataFrame, order: list[str]) ->
     return newest_rates(existing.unionByName(incoming), order)
 
 
-def refreshed(cards: DataFrame, now: str) -> DataFrame:
-    """Cards as a refresh stores them: typed, active, stamped; minimum and transit default to 0."""
-    stamp = F.lit(now).cast("timestamp")
+def typed(cards: DataFrame) -> DataFrame:
+    """Text cards with decimal prices; ``readable`` is false if a price is no number.
+
+    Minimum and transit time default to 0 when absent.
+    """
     return cards.withColumns({
         "rate_per_cwt": pricing.rate_from_text(F.col("rate_per_cwt")),
         "fuel_surcharge_percent": pricing.rate_from_text(F.col("fuel_surcharge_percent")),
         "minimum_charge": pricing.rate_from_text(F.col("minimum_charge"), "0"),
         "transit_days": F.coalesce(F.col("transit_days").cast("int"), F.lit(0)),
-        "active": F.lit(True),
-        "effective_date": F.to_date(stamp),
-        "last_refreshed_at": stamp,
-    })
+    }).withColumn("readable", F.col("rate_per_cwt").isNotNull()
+                  & F.col("fuel_surcharge_percent").isNotNull()
+                  & F.col("minimum_charge").isNotNull())
+
+
+def refreshed(cards: DataFrame, now: str) -> DataFrame:
+    """Readable cards as a refresh stores them: typed, active, stamped."""
+    stamp = F.lit(now).cast("timestamp")
+    return typed(cards).filter("readable").drop("readable").withColumns({
+        "active": F.lit(True), "effective_date": F.to_date(stamp), "last_refreshed_at": stamp})
 
 
 def literal_cards(spark: SparkSession) -> DataFrame:
@@ -166,13 +174,15 @@ def with_fallback(carriers: DataFrame, fresh: DataFrame, literal: DataFrame) ->
     return sent.unionByName(backup)
 
 
-def refresh_counts(carriers: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored cards, carriers looked at, and carriers that ended up without a card."""
-    cards = stored.groupBy("carrier_id").agg(F.count(F.lit(1)).alias("cards"))
-    return carriers.select("carrier_id").distinct().join(cards, "carrier_id", "left").agg(
-        F.coalesce(F.sum("cards"), F.lit(0)).alias("updated"),
-        F.count(F.lit(1)).alias("carriers_processed"),
-        F.count_if(F.col("cards").isNull()).alias("carriers_without_cards"))
+def refresh_counts(carriers: DataFrame, cards: DataFrame) -> DataFrame:
+    """Stored cards, carriers processed and carriers failed: those with an unreadable card."""
+    per_carrier = typed(cards).groupBy("carrier_id").agg(
+        F.count_if("readable").alias("updated"), F.bool_and("readable").alias("fine"))
+    joined = carriers.select("carrier_id").distinct().join(per_carrier, "carrier_id", "left")
+    fine = F.coalesce(F.col("fine"), F.lit(True))
+    return joined.agg(
+        F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
+        F.count_if(fine).alias("carriers_processed"), F.count_if(~fine).alias("carriers_failed"))
 
 
 def rate_changes(history: DataFrame, max_rows: int = 1_000_000,

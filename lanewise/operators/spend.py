@@ -67,13 +67,13 @@ def spend_cube(shipments: DataFrame, invoices: DataFrame,
     copies = F.lit(1).cast("bigint")
     if invoice_grain == "invoice":
         copies = F.greatest(F.coalesce(F.col("invoice_count"), F.lit(1)), F.lit(1))
-    times = F.col("copies").cast("decimal(10,0)")
+    times = F.col("copies").cast("decimal(13,0)")
     cube = (
         joined.withColumn("copies", copies).groupBy(*KEYS)
         .agg(
             F.sum("copies").alias("shipment_count"),
-            F.sum(F.col("weight_lbs") * times).cast("decimal(20,2)").alias("total_weight_lbs"),
-            F.sum(F.col("negotiated_rate") * times).cast("decimal(22,2)")
+            F.sum(F.col("weight_lbs") * times).cast("decimal(28,2)").alias("total_weight_lbs"),
+            F.sum(F.col("negotiated_rate") * times).cast("decimal(28,2)")
             .alias("total_negotiated_rate"),
             F.sum("approved_amount").cast("decimal(22,2)").alias("total_invoiced_amount"),
             F.sum(F.when(F.col("weight_lbs").isNotNull(), F.col("copies"))).alias("weighed"),

@@ -225,15 +225,16 @@ def _refresh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .otherwise(nth).alias("carrier_id"))
     fresh = rates.active(sample.carrier_rates(spark, d)).select(
         "carrier_id", "lane_id", "origin_state", "dest_state", "shipment_type",
-        F.col("rate_per_cwt").cast("string").alias("rate_per_cwt"),
+        F.when((F.col("carrier_id") == "7") & (F.col("shipment_type") == "FTL"), "n/a")
+        .otherwise(F.col("rate_per_cwt").cast("string")).alias("rate_per_cwt"),
         F.col("fuel_surcharge_percent").cast("string").alias("fuel_surcharge_percent"),
         F.col("minimum_charge").cast("string").alias("minimum_charge"), "transit_days")
-    cards = rates.with_fallback(carriers, fresh, rates.literal_cards(spark))
-    return carriers, rates.refreshed(cards, "1998-01-01 06:00:00")
+    return carriers, rates.with_fallback(carriers, fresh, rates.literal_cards(spark))
 
 
 def rate_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return plain(_refresh(spark, d)[1].drop("last_refreshed_at"))
+    stored = rates.refreshed(_refresh(spark, d)[1], "1998-01-01 06:00:00")
+    return plain(stored.drop("last_refreshed_at"))
 
 
 def rate_refresh_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -686,7 +686,7 @@ SQL: dict[str, tuple[str, str]] = {
                cast(fuel_surcharge_percent AS double) AS fuel_surcharge_percent,
                coalesce(cast(minimum_charge AS double), 0) AS minimum_charge, transit_days,
                'fresh' AS card_source, true AS active, date '1998-01-01' AS effective_date
-        FROM rates WHERE active
+        FROM rates WHERE active AND NOT (carrier_id = '7' AND shipment_type = 'FTL')
         UNION ALL
         SELECT c.carrier_id, v.lane_id, split_part(v.lane_id, '-', 1),
                split_part(v.lane_id, '-', 2), split_part(v.lane_id, '-', 3), v.rate, v.fuel, v.least,
@@ -701,12 +701,12 @@ SQL: dict[str, tuple[str, str]] = {
                      ('dhl', 'NY-FL-LTL', 14.8, 19, 310, 2)) v(carrier, lane_id, rate, fuel, least, days)
           ON v.carrier = c.carrier_id"""),
     "rate_refresh_counts": ("rates", """
-        SELECT cast((SELECT count(*) FROM rates WHERE active)
+        SELECT cast((SELECT count(*) FROM rates
+                     WHERE active AND NOT (carrier_id = '7' AND shipment_type = 'FTL'))
                     + sum(CASE s_suppkey WHEN 0 THEN 4 WHEN 10 THEN 2 ELSE 0 END) AS bigint)
                    AS updated,
-               count(*) AS carriers_processed,
-               count(*) FILTER (s_suppkey % 10 = 0 AND s_suppkey NOT IN (0, 10))
-                   AS carriers_without_cards
+               count(*) FILTER (s_suppkey <> 7) AS carriers_processed,
+               count(*) FILTER (s_suppkey = 7) AS carriers_failed
         FROM supplier"""),
     "rate_event_messages": ("rates", """
         SELECT 'CarrierRateUpdatedEvent' AS event_type, carrier_id, lane_id,

@@ -206,6 +206,11 @@ def test_fallback(spark):
     stored = rates.refreshed(got.withColumn("minimum_charge", F.lit(None).cast("string")),
                              "2024-01-01 00:00:00").first()
     assert stored.minimum_charge == 0 and stored.active
+    dirty = got.withColumn("fuel_surcharge_percent", F.when(
+        F.col("lane_id") != "TX-CA-LTL", F.col("fuel_surcharge_percent")).otherwise("soon"))
+    dirty = dirty.filter("carrier_id = 'FedEx'")
+    assert tuple(rates.refresh_counts(carriers, dirty).first()) == (3, 2, 1)
+    assert rates.refreshed(dirty, "2024-01-01 00:00:00").count() == 3
 
 
 def test_alarm_runs(spark):

@@ -112,7 +112,7 @@ def ocr_messages(candidates: DataFrame, job_id: Column, started_at: Column) -> D
     """Job-started messages for the invoices among the objects; the job id comes from outside."""
     kind = F.lit(OCR_EVENT)
     body = messages.to_body(
-        kind.alias("eventType"), F.col("job_id").alias("ocrJobId"),
+        kind.alias("eventType"), F.col("job_id").alias("textractJobId"),
         F.col("document_id").alias("documentId"), F.col("shipment_id").alias("shipmentId"),
         F.col("s3_key").alias("s3Key"), F.col("s3_bucket").alias("s3Bucket"),
         F.col("started_at").alias("startedAt"))

@@ -9,6 +9,7 @@ from lanewise import schemas
 from lanewise.fixed_values import SUBSCRIPTIONS, TRACKING_EVENT
 from lanewise.functions import messages, status
 from lanewise.functions.text import or_empty
+from lanewise.operators.skew import earliest
 
 SIGNATURE_HEADER = "x-hub-signature-256"
 EVENT_FIELDS = ["shipment_id", "carrier_tracking_number", "carrier_status", "status_description",
@@ -161,9 +162,14 @@ def route(events: DataFrame, topic: str = "topic", kind: str = "event_type") ->
     return events.withColumn("queue", F.explode(reached))
 
 
-def once(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """At-least-once to once: one row per key (``event_id`` unless told otherwise)."""
-    return events.dropDuplicates(keys or ["event_id"])
+def once(events: DataFrame, keys: list[str] | None = None,
+         order: list[str] | None = None) -> DataFrame:
+    """At-least-once to once: one row per key (``event_id`` unless told otherwise).
+
+    Copies are taken to be equal.  If they may differ, ``order`` says which one stays: the first.
+    """
+    keys = keys or ["event_id"]
+    return earliest(events, keys, order) if order else events.dropDuplicates(keys)
 
 
 def status_requests(events: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ def shipment_with_legs(spark: SparkSession, d: str) -> DataFrame:
     nested = search.shipment_with_legs(parents, sample.legs(spark, d))
     shown = F.transform("legs", lambda leg: F.concat_ws(
         ":", leg["sequence"].cast("string"), leg["carrier_id"]))
-    return nested.select("shipment_id", "status", "part", F.size("legs").cast("bigint").alias("leg_count"),
+    return nested.select("shipment_id", "status", "part",
+                         F.size("legs").cast("bigint").alias("leg_count"),
                          F.array_join(shown, ";").alias("legs"))
 
 
@@ -325,7 +326,8 @@ def line_rollup(spark: SparkSession, d: str) -> DataFrame:
 def manual_approval(spark: SparkSession, d: str) -> DataFrame:
     invoices = sample.invoices(spark, d)
     approvals = invoices.filter(F.col("status") == "DISPUTED").select(
-        "invoice_id", F.col("created_at").alias("approved_at"), F.lit("ap-team").alias("approved_by"))
+        "invoice_id", F.col("created_at").alias("approved_at"),
+        F.lit("ap-team").alias("approved_by"))
     done = matching.approve(invoices, approvals)
     return plain(done.select("invoice_id", "status", "approved_amount", "approved_by",
                              "approved_at"))
@@ -382,7 +384,7 @@ def event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_dedup(spark: SparkSession, d: str) -> DataFrame:
-    once = tracking.once(sample.redelivered_events(spark, d).drop("delivery"))
+    once = tracking.once(sample.redelivered_events(spark, d), order=["delivery"])
     return once.select("event_id", "shipment_id", "carrier_status", "ts")
 
 

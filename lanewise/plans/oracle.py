@@ -327,7 +327,8 @@ def half_up(top: str, bottom: str, scale: int, width: int = 18) -> str:
     ten = 10 ** scale
     whole = f"((2 * abs({top}) * {ten} + abs({bottom})) // (2 * abs({bottom})))"
     sign = f"(CASE WHEN ({top} < 0) <> ({bottom} < 0) THEN -1 ELSE 1 END)"
-    return f"(cast({sign} * {whole} AS decimal({width},0)) * cast({1 / ten:.{scale}f} AS decimal({scale + 1},{scale})))"
+    unit = f"cast({1 / ten:.{scale}f} AS decimal({scale + 1},{scale}))"
+    return f"(cast({sign} * {whole} AS decimal({width},0)) * {unit})"
 
 
 def whole_days(start: str, end: str) -> str:
@@ -384,8 +385,10 @@ def cube(copies: str) -> str:
 
 def scores(first: str, last: str, lookback: int) -> str:
     otr = half_up("100 * on_time_deliveries", "total_shipments", 2)
-    dr = (f"CASE WHEN total_invoices > 0 THEN {half_up('100 * disputed_invoices', 'total_invoices', 2)}"
-          " ELSE 0 END")
+    disputes = half_up("100 * disputed_invoices", "total_invoices", 2)
+    dr = f"CASE WHEN total_invoices > 0 THEN {disputes} ELSE 0 END"
+    variance = half_up("(cast(ad AS hugeint) * cn - cast(cd AS hugeint) * an)",
+                       "(cast(an AS hugeint) * cn)", 1)
     return f"""
         , m AS (
             SELECT carrier_id, carrier_name, count(*) AS total_shipments,
@@ -426,8 +429,7 @@ def scores(first: str, last: str, lookback: int) -> str:
                cast(otr AS double) AS on_time_rate_pct, cast(dr AS double) AS dispute_rate_pct,
                CASE WHEN w > 0 THEN cast({half_up(cents('approved'), cents('w'), 4)} AS double) END
                    AS cost_per_lb,
-               CASE WHEN an > 0 THEN cast({half_up('(cast(ad AS hugeint) * cn - cast(cd AS hugeint) * an)', '(cast(an AS hugeint) * cn)', 1)} AS double) END
-                   AS transit_days_variance,
+               CASE WHEN an > 0 THEN cast({variance} AS double) END AS transit_days_variance,
                cast(score AS double) AS overall_score,
                CASE WHEN score >= 90 THEN 'PREFERRED' WHEN score >= 75 THEN 'STANDARD'
                     WHEN score >= 60 THEN 'WATCH' ELSE 'REVIEW_REQUIRED' END AS carrier_tier,

@@ -28,8 +28,9 @@ def once(events: DataFrame) -> DataFrame:
 def tracking_requests(queue: DataFrame) -> DataFrame:
     """Status requests from a stream of raw messages, each event once.
 
-    The event time is the message's own, or its arrival if it has none; the id is the correlation id.  Repeats are dropped as long
-    as they come within the watermark, which also bounds the state kept for it.
+    The event time is the message's own, or its arrival if it has none; the id is the correlation
+    id.  Repeats are dropped as long as they come within the watermark, which also bounds the state
+    kept for it.
     """
     event = messages.good(messages.parse(queue, schemas.TRACKING_MESSAGE)).select("event.*")
     rows = event.select(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lanewise.llm import exact, near
+from lanewise.llm import bpe, contamination, exact, language, near
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op5_decontamination": contamination.op5_decontamination,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_minhash_dedup": near.op7_minhash_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
-ORACLE = {**exact.ORACLE}
+ORACLE = {**contamination.ORACLE, **exact.ORACLE}

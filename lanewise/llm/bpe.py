@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lanewise.llm import words
 from lanewise.llm.common import table
@@ -280,50 +279,49 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def _encoder(file, digests: bool):
-    kinds = ([pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()])
-    names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+OUTPUTS = {
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, decoded: [int(i) for i in ids.split()]),
+    "decoded": ("string", pa.string(), lambda ids, decoded: decoded),
+    "ids_sha256": ("string", pa.string(), lambda ids, decoded: _digest(ids)),
+    "decoded_sha256": ("string", pa.string(), lambda ids, decoded: _digest(decoded)),
+}
 
+
+def _encoder(file, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(file.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             sizes = column.cast(pa.binary()).to_pylist()
             for begin, end in words.batches(sizes):
-                counts, first, second = [], [], []
+                counts, made = [], [[] for _ in outputs]
                 texts = [t or "" for t in column.slice(begin, end - begin).to_pylist()]
                 for found in tokenizer.encode(texts):
                     counts.append(sum([w[2] for w in found]))
-                    decoded = " ".join([w[1] for w in found])
                     ids = " ".join([w[0] for w in found])
-                    if digests:
-                        first.append(_digest(ids))
-                        second.append(_digest(decoded))
-                    else:
-                        first.append([int(i) for i in ids.split()])
-                        second.append(decoded)
+                    decoded = " ".join([w[1] for w in found])
+                    for name, values in zip(outputs, made, strict=True):
+                        values.append(OUTPUTS[name][2](ids, decoded))
                 own = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(counts, pa.int64()), pa.array(first, kinds[0]),
-                     pa.array(second, kinds[1])],
-                    names=[*own.schema.names, "n_tokens", *names])
+                    [*own.columns, pa.array(counts, pa.int64()),
+                     *(pa.array(v, OUTPUTS[n][1]) for n, v in zip(outputs, made, strict=True))],
+                    names=[*own.schema.names, "n_tokens", *outputs])
     return run
 
 
-def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """``docs`` (with a column text) plus n_tokens, and either ids and the decoded text, or the
-    sha256 of both (ids as decimals joined by blanks)."""
+def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``docs`` (with a column text) plus n_tokens and the ``outputs`` asked for: ids, the decoded
+    text, and the sha256 of both (ids as decimals joined by blanks)."""
     with open(path, "rb") as given:
         file = given.read(MAX_FILE + 1)
     if len(file) > MAX_FILE:
         raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
-    made = {"n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}
-    docs = docs.select([c for c in docs.columns if c not in made])
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    result = ("ids_sha256 string, decoded_sha256 string" if digests
-              else "ids array<int>, decoded string")
-    return docs.mapInArrow(_encoder(docs.sparkSession.sparkContext.broadcast(file), digests),
-                           f"{columns}, n_tokens long, {result}")
+    docs = docs.select([c for c in docs.columns if c not in {"n_tokens", *outputs}])
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    columns += ["n_tokens long", *(f"{name} {OUTPUTS[name][0]}" for name in outputs)]
+    sent = docs.sparkSession.sparkContext.broadcast(file)
+    return docs.mapInArrow(_encoder(sent, outputs), ", ".join(columns))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,4 +329,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return encoded(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
+    return encoded(docs, public_tokenizers.path("word_bpe_49k.json"),
+                   ("ids_sha256", "decoded_sha256")).drop("text")

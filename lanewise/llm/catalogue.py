@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, contamination, exact, language, near
+from lanewise.llm import bpe, contamination, exact, language, near, passages
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op5_decontamination": contamination.op5_decontamination,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_minhash_dedup": near.op7_minhash_dedup,

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from lanewise.llm import bpe, contamination, exact, language, near, passages
+from lanewise.llm import (
+    bpe, contamination, exact, language, licenses, lines, near, pages, passages, toxicity,
+)
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_substring_dedup": passages.op2_substring_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_decontamination": contamination.op5_decontamination,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_minhash_dedup": near.op7_minhash_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_text": pages.op9_html_text,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE = {**contamination.ORACLE, **exact.ORACLE}
+ORACLE = {**licenses.ORACLE, **lines.ORACLE, **contamination.ORACLE, **exact.ORACLE}

@@ -2,8 +2,9 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text.  A text is parsed
 greedily into phrases, each the longest string that occurs somewhere in the language's sample: the
-automaton follows the text until it cannot go on, which ends a phrase.  The sample that resembles the
-text most gives long matches, hence few phrases.  Counts are normalised by the logarithm of the
+automaton follows the text until it cannot go on, which ends a phrase (a letter that the sample does
+not hold opens the next one).  The sample that resembles the text most gives long matches, hence few
+phrases.  Counts are normalised by the logarithm of the
 sample's length (c phrases cost about c * log2 n bits) and by the text's length; the language needing
 fewest normalised phrases wins, ties going to the alphabetically first.
 

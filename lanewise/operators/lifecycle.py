@@ -2,117 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
-from lanewise.fixed_values import SHIPMENT_STATUSES, TRANSITIONS
+from lanewise.fixed_values import SHIPMENT_STATUSES
 from lanewise.functions import messages, status, timing
-from lanewise.operators.skew import ordered_slices, split
+from lanewise.operators.skew import on_slices
 
 ORDER = ["ts", "event_id"]
 DEFAULT_START = "CARRIER_ASSIGNED"
 
 
-def replay(requests: DataFrame, max_rows: int = 1000, slices: int | None = None) -> DataFrame:
+def replay(requests: DataFrame, unit: str = "hour") -> DataFrame:
     """Apply status requests per shipment in ``(ts, event_id)`` order.
 
     Needs ``shipment_id, event_id, ts, requested_status`` and optionally ``start_status``, the same
     for all rows of a shipment.  Every input row comes back with ``old_status``, ``new_status`` and
     ``accepted``; a request the state machine forbids changes nothing and is not an error.
 
-    Shipments with up to ``max_rows`` requests are folded in one array each.  The state machine is a
-    function from status to status and such functions compose, so a hot shipment is cut into
-    slices, each slice is reduced to its function, and the slices are replayed side by side.
+    The state machine is a function from status to status and such functions compose.  Every
+    shipment is cut into slices of one ``unit`` of time, each slice is reduced to its function, the
+    functions of a shipment are chained, and the slices are replayed side by side.
     """
     if "start_status" not in requests.columns:
         requests = requests.withColumn("start_status", F.lit(DEFAULT_START))
-    requests = requests.filter(F.col("shipment_id").isNotNull())
-    ordinary, hot = split(requests, ["shipment_id"], max_rows)
-    done = _fold(ordinary)
-    if hot is None:
-        return done
-    return done.unionByName(_replay_slices(ordered_slices(hot, ["shipment_id"], ORDER, slices)))
-
-
-def _fold(requests: DataFrame) -> DataFrame:
+    cut = requests.filter(F.col("shipment_id").isNotNull()).withColumn(
+        "slice", F.date_trunc(unit, F.col("ts")))
     carried = [c for c in requests.columns if c not in ("shipment_id", *ORDER)]
     history = F.array_sort(F.collect_list(F.struct(*ORDER, *carried)))
+    sliced = cut.groupBy("shipment_id", "slice").agg(history.alias("history"))
     empty = F.array().cast(ArrayType(StringType()))
-    start = F.struct(F.get("history", F.lit(0))["start_status"].alias("status"),
-                     empty.alias("trail"))
 
     def step(state: Column, request: Column) -> Column:
         moved = status.next_status(state["status"], request["requested_status"])
         return F.struct(moved.alias("status"),
                         F.array_append(state["trail"], state["status"]).alias("trail"))
 
+    start = F.struct(F.col("slice_start").alias("status"), empty.alias("trail"))
     trail = F.aggregate("history", start, step, lambda state: state["trail"])
-    paired = F.arrays_zip("history", trail.alias("old_status"))
     replayed = (
-        requests.groupBy("shipment_id").agg(history.alias("history"))
-        .select("shipment_id", F.explode(paired).alias("step"))
+        on_slices(sliced, _slice_starts(cut), ["shipment_id"])
+        .select("shipment_id", F.explode(F.arrays_zip("history", trail.alias("old_status")))
+                .alias("step"))
         .select("shipment_id", "step.history.*", "step.old_status")
     )
-    return _judged(replayed).select(*requests.columns, "old_status", "new_status", "accepted")
+    old, wanted = F.col("old_status"), F.col("requested_status")
+    return (
+        replayed.withColumn("accepted", status.may_move(old, wanted))
+        .withColumn("new_status", status.next_status(old, wanted))
+        .select(*requests.columns, "old_status", "new_status", "accepted")
+    )
 
 
-def _judged(replayed: DataFrame) -> DataFrame:
-    old, wanted = F.col("old_status"), F.col("requested_status")
-    return (replayed.withColumn("accepted", status.may_move(old, wanted))
-            .withColumn("new_status", status.next_status(old, wanted)))
-
-
-def _moves() -> dict[tuple[str, str], str]:
-    return {(a, b): b if b in TRANSITIONS[a] else a
-            for a in SHIPMENT_STATUSES for b in SHIPMENT_STATUSES}
-
-
-def _slice_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per slice and shipment the composed function, as the end status of every start status."""
-    moves = _moves()
-    key, ends = None, tuple(SHIPMENT_STATUSES)
-    for batch in batches:
-        found = []
-        for shipment, number, wanted in zip(batch["shipment_id"], batch["slice"],
-                                            batch["requested_status"]):
-            if (shipment, number) != key:
-                if key is not None:
-                    found.append((*key, list(ends)))
-                key, ends = (shipment, number), tuple(SHIPMENT_STATUSES)
-            ends = tuple(moves.get((s, wanted), s) for s in ends)
-        yield pd.DataFrame(found, columns=["shipment_id", "slice", "ends"])
-    if key is not None:
-        yield pd.DataFrame([(*key, list(ends))], columns=["shipment_id", "slice", "ends"])
-
-
-def _replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Old status of every row; rows arrive sorted by shipment, slice and order."""
-    moves = _moves()
-    key, now = None, None
-    for batch in batches:
-        before = []
-        for shipment, number, start, wanted in zip(batch["shipment_id"], batch["slice"],
-                                                   batch["slice_start"],
-                                                   batch["requested_status"]):
-            if (shipment, number) != key:
-                key, now = (shipment, number), start
-            before.append(now)
-            now = moves.get((now, wanted), now)
-        yield batch.drop(columns=["slice", "slice_start"]).assign(old_status=before)
-
-
-def _replay_slices(cut: DataFrame) -> DataFrame:
-    columns = [c for c in cut.columns if c != "slice"]
-    functions = cut.select("shipment_id", "slice", "requested_status").mapInPandas(
-        _slice_functions, "shipment_id string, slice int, ends array<string>")
-    # One entry per slice a shipment touches: never more than there are partitions.
+def _slice_starts(cut: DataFrame) -> DataFrame:
+    """The status every (shipment, slice) begins with."""
     statuses = F.array(*map(F.lit, SHIPMENT_STATUSES))
-    chain = F.array_sort(F.collect_list(F.struct("slice", "ends")))
-    empty = F.array().cast("array<struct<slice:int,slice_start:string>>")
+    wanted = F.array_sort(F.collect_list(F.struct(*ORDER, "requested_status")))
+    ends = F.aggregate(
+        wanted, statuses, lambda now, request: F.transform(
+            now, lambda one: status.next_status(one, request["requested_status"])))
+    functions = cut.groupBy("shipment_id", "slice").agg(
+        ends.alias("ends"), F.first("start_status", ignorenulls=True).alias("start_status"))
+    # One entry per slice that a shipment touches.
+    chain = F.array_sort(F.collect_list(F.struct("slice", "ends", "start_status")))
+    empty = F.array().cast("array<struct<slice:timestamp,slice_start:string>>")
 
     def step(state: Column, link: Column) -> Column:
         here = F.struct(link["slice"].alias("slice"), state["now"].alias("slice_start"))
@@ -120,25 +74,14 @@ def _replay_slices(cut: DataFrame) -> DataFrame:
         after = F.coalesce(F.get(link["ends"], position), state["now"])
         return F.struct(after.alias("now"), F.array_append(state["starts"], here).alias("starts"))
 
-    starts = (
+    first = F.get("chain", F.lit(0))["start_status"]
+    return (
         functions.groupBy("shipment_id").agg(chain.alias("chain"))
-        .join(cut.groupBy("shipment_id").agg(F.first("start_status").alias("start_status")),
-              "shipment_id")
         .select("shipment_id", F.explode(F.aggregate(
-            "chain", F.struct(F.col("start_status").alias("now"), empty.alias("starts")), step,
+            "chain", F.struct(first.alias("now"), empty.alias("starts")), step,
             lambda state: state["starts"])).alias("begin"))
         .select("shipment_id", "begin.*")
     )
-    placed = (
-        cut.join(starts, ["shipment_id", "slice"])
-        .repartition("shipment_id", "slice")
-        .sortWithinPartitions("shipment_id", "slice", *ORDER)
-        .select(*columns, "slice", "slice_start")
-    )
-    schema = StructType([*[cut.schema[c] for c in columns],
-                         StructField("old_status", StringType())])
-    replayed = placed.mapInPandas(_replay_sorted, schema)
-    return _judged(replayed).select(*columns, "old_status", "new_status", "accepted")
 
 
 def final_status(replayed: DataFrame) -> DataFrame:

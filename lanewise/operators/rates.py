@@ -185,14 +185,13 @@ def refresh_counts(carriers: DataFrame, cards: DataFrame) -> DataFrame:
         F.count_if(fine).alias("carriers_processed"), F.count_if(~fine).alias("carriers_failed"))
 
 
-def rate_changes(history: DataFrame, max_rows: int = 1_000_000,
-                 slices: int | None = None) -> DataFrame:
+def rate_changes(history: DataFrame, unit: str = "day") -> DataFrame:
     """Old rate, new rate and signed change in percent for every refresh of a card.
 
     The history must have unique (``refreshed_at``, ``refresh_id``) per card.
     """
     before = previous_value(history, RATE_KEY, ["refreshed_at", "refresh_id"], "rate_per_cwt",
-                            "previous_rate", max_rows, slices)
+                            "previous_rate", unit)
     new, old = F.col("rate_per_cwt"), F.col("previous_rate")
     change = pricing.discrepancy_percent(new.cast(pricing.MONEY), old.cast(pricing.MONEY))
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanewise.fixed_values import (
     ACTIVE_DELIVERY_STATUSES, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE,
 )
-from lanewise.operators.skew import nested
+from lanewise.operators.skew import pages
 
 SHIPMENT_FIELDS = [
     "shipment_id", "reference_no", "shipper_id", "shipper_name", "consignee_name",
@@ -115,14 +115,14 @@ def shipment_view(shipments: DataFrame) -> DataFrame:
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str],
-                  alias: str, max_rows: int = 10_000) -> DataFrame:
-    """Parents with their children as a sorted array of structs; an empty array if there are none.
+                  alias: str, page_rows: int = 10_000) -> DataFrame:
+    """Parents with their children as sorted arrays of structs, in pages of ``page_rows``.
 
-    ``fields`` name the children's columns in sort order.  A parent with far more than ``max_rows``
-    children comes out as several rows, numbered by ``part``, that together hold all of them; every
-    other parent is one row with part 0.
+    ``fields`` name the children's columns in sort order.  Every parent has a page 0 (``part``),
+    empty if it has no children; a parent with more children than a page holds has further pages,
+    each going on where the one before ends.
     """
-    arrays = nested(children, key, fields, alias, max_rows)
+    arrays = pages(children, key, fields, alias, page_rows)
     child_type = arrays.schema[alias].dataType
     return (
         parents.join(arrays, key, "left")
@@ -131,11 +131,12 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, fields: lis
     )
 
 
-def shipment_with_legs(shipments: DataFrame, legs: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def shipment_with_legs(shipments: DataFrame, legs: DataFrame,
+                       page_rows: int = 10_000) -> DataFrame:
     fields = ["sequence", "carrier_id", "origin_city", "estimated_departure", "status"]
-    return with_children(shipments, legs, "shipment_id", fields, "legs", max_rows)
+    return with_children(shipments, legs, "shipment_id", fields, "legs", page_rows)
 
 
 def invoice_with_lines(invoices: DataFrame, lines: DataFrame,
-                       max_rows: int = 10_000) -> DataFrame:
-    return with_children(invoices, lines, "invoice_id", LINE_FIELDS, "line_items", max_rows)
+                       page_rows: int = 10_000) -> DataFrame:
+    return with_children(invoices, lines, "invoice_id", LINE_FIELDS, "line_items", page_rows)

@@ -1,66 +1,66 @@
-"""Handling groups too large for one task, without dropping a row."""
+"""Ordered work per key, for keys of any size: lazy, native, the same at every size.
+
+A key's rows are cut into slices by a coarse value of the first sort column (an hour, a thousand, the
+first letters), so the cuts need no sampling and follow the order.  Windows run inside slices; what
+passes from slice to slice is one small row per slice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from lanewise.session import reliable
-
-# A set of keys of at most this many rows is small enough to broadcast.
-BROADCAST_KEYS = 100_000
-
-
-def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows, or None.
-
-    One pass over the key columns with map-side counting.  There are at most ``rows / max_rows``
-    such keys; the set is broadcast when it was counted to be small and joined otherwise.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
-    hot = reliable(counted.filter(F.col("key_rows") > max_rows))
-    n = hot.count()
-    if n == 0:
-        return None
-    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
-
-
-def split(df: DataFrame, keys: list[str], max_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys (None if there are none)."""
-    hot = hot_keys(df, keys, max_rows)
-    if hot is None:
-        return df, None
-    hot = hot.select(*keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
-def ordered_slices(df: DataFrame, keys: list[str], order: list[str],
-                   slices: int | None = None) -> DataFrame:
-    """Globally sorted rows with a ``slice`` number that grows along the order.
-
-    Range partitioning on keys *and* order cuts a single hot key into many even slices.  The sorted
-    rows are written to the shared folder, so every later use sees the same cuts.
-    """
-    columns = [*keys, *order]
-    ranged = (df.repartitionByRange(slices, *columns) if slices
-              else df.repartitionByRange(*columns))
-    ordered = reliable(ranged.sortWithinPartitions(*columns))
-    return ordered.withColumn("slice", F.spark_partition_id())
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
+
+NUMBERS_PER_SLICE = 1024
+LETTERS_PER_SLICE = 3
+
+
+def coarse(df: DataFrame, column: str, unit: str = "hour") -> Column:
+    """A value that grows with the column and is shared by a stretch of it."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, TimestampType):
+        return F.date_trunc(unit, value)
+    if isinstance(kind, NumericType):
+        return F.floor(value / NUMBERS_PER_SLICE)
+    if isinstance(kind, StringType):
+        return F.substring(value, 1, LETTERS_PER_SLICE)
+    if isinstance(kind, DateType):
+        return value
+    return F.lit(0)
+
+
+def on_slices(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys and slice; a slice may be null."""
+    names = [*keys, "slice"]
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c)
+                           for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return left.join(other, same, "left").drop(*[f"_{c}" for c in names])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with their ``ordinal`` per key, from 1, in the given order."""
+    cut = df.withColumn("slice", coarse(df, order[0]))
+    inside = Window.partitionBy(*keys, "slice").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n")).select(
+        *keys, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_earlier"))
+    return (
+        on_slices(cut.withColumn("n_here", F.row_number().over(inside)), sizes, keys)
+        .withColumn("ordinal", F.col("n_earlier") + F.col("n_here"))
+        .drop("slice", "n_here", "n_earlier")
+    )
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, alias: str,
-                   max_rows: int = 1_000_000, slices: int | None = None) -> DataFrame:
+                   unit: str = "day") -> DataFrame:
     """The value of the row before, per key; ``order`` must be unique within a key.
 
-    Ordinary keys use a plain window.  A hot key is cut into slices: a window looks back inside each
-    slice, and the first row of a slice takes the last value of the slice before.
+    A window looks back inside each slice, and the first row of a slice takes the last value of the
+    slice before.
     """
-    look_back = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    ordinary, hot = split(df, keys, max_rows)
-    done = ordinary.withColumn(alias, look_back)
-    if hot is None:
-        return done
-    cut = ordered_slices(hot, keys, order, slices)
+    cut = df.withColumn("slice", coarse(df, order[0], unit))
     inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("slice")
     ends = (
@@ -68,45 +68,28 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
         .agg(F.max_by(F.struct(value), F.struct(*order)).alias("last_row"))
         .select(*keys, "slice", F.lag(f"last_row.{value}").over(across).alias("carried"))
     )
-    filled = (
-        cut.withColumn("first_here", F.row_number().over(inside) == 1)
-        .withColumn("inside", F.lag(value).over(inside))
-        .join(ends, [*keys, "slice"], "left")
-        .withColumn(alias, F.when(F.col("first_here"), F.col("carried"))
+    looked = cut.withColumn("n_here", F.row_number().over(inside)).withColumn(
+        "inside", F.lag(value).over(inside))
+    return (
+        on_slices(looked, ends, keys)
+        .withColumn(alias, F.when(F.col("n_here") == 1, F.col("carried"))
                     .otherwise(F.col("inside")))
+        .drop("slice", "n_here", "inside", "carried")
     )
-    return done.unionByName(filled.select(*done.columns))
 
 
-def nested(df: DataFrame, key: str, fields: list[str], alias: str, max_rows: int) -> DataFrame:
-    """Rows per key as sorted arrays of structs, in parts of about ``max_rows``.
+def pages(df: DataFrame, key: str, fields: list[str], alias: str, page_rows: int) -> DataFrame:
+    """Rows per key as sorted arrays of structs, in pages of ``page_rows`` rows, from page 0.
 
-    Ordinary keys give one array, part 0.  A hot key is spread over parts by a hash of its rows;
-    equal rows are counted first and laid out again only inside their part, so that even a key with
-    nothing but copies never meets in one task.
+    Pages are contiguous: page 1 goes on where page 0 ends.
     """
-    item = F.struct(*fields)
-    ordinary, hot = split(df.filter(F.col(key).isNotNull()), [key], max_rows)
-    done = (
-        ordinary.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(alias))
-        .select(key, F.lit(0).alias("part"), alias)
-    )
-    if hot is None:
-        return done
-    counted = hot.groupBy(key, item.alias("item")).agg(F.count(F.lit(1)).alias("copies"))
-    parts = counted.groupBy(key).agg(
-        F.ceil(F.sum("copies") / max_rows).cast("int").alias("parts"))
-    last_block = F.floor((F.col("copies") - 1) / max_rows).cast("int")
-    here = F.least(F.lit(max_rows), F.col("copies") - F.col("block") * max_rows).cast("int")
-    blocks = (
-        counted.withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
-        .join(parts, key)
-        .withColumn("part", F.pmod(F.xxhash64("item", "block"), "parts").cast("int"))
-        .withColumn("rows", F.array_repeat("item", here))
+    rows = numbered(df.filter(F.col(key).isNotNull()), [key], fields)
+    item = F.struct("ordinal", F.struct(*fields).alias("item"))
+    return (
+        rows.withColumn("part", F.floor((F.col("ordinal") - 1) / page_rows).cast("int"))
+        .groupBy(key, "part").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .select(key, "part", F.col("items.item").alias(alias))
     )
-    spread = blocks.groupBy(key, "part").agg(
-        F.array_sort(F.flatten(F.collect_list("rows"))).alias(alias))
-    return done.unionByName(spread)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

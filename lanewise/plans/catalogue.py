@@ -418,7 +418,7 @@ def lifecycle_fold(spark: SparkSession, d: str) -> DataFrame:
 
 def lifecycle_fold_sliced(spark: SparkSession, d: str) -> DataFrame:
     """The same result with every shipment treated as a hot one."""
-    return lifecycle.replay(_requests(spark, d), max_rows=1).select(
+    return lifecycle.replay(_requests(spark, d), unit="minute").select(
         "event_id", "shipment_id", "ts", "requested_status", "old_status", "new_status",
         "accepted")
 

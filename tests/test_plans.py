@@ -12,7 +12,7 @@ from lanewise.session import sized_for
 from lanewise.sources import results, sample
 
 # The sliced replay and the stateful stream run a small Python step inside tasks.
-WITH_PYTHON = {"lifecycle_fold_sliced", "stream_lifecycle", "stream_error_counts"}
+WITH_PYTHON = {"stream_lifecycle", "stream_error_counts"}
 
 
 def plan_of(df):

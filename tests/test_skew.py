@@ -1,7 +1,6 @@
 """Hot groups give the same rows as brute force, in pieces no task has to hold whole."""
 
 import random
-from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -34,27 +33,28 @@ def test_previous_value(spark):
     for c, lane, _, n, rate in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
         want[n] = last.get((c, lane))
         last[c, lane] = rate
-    for options in ({"max_rows": 10**6}, {"max_rows": 500, "slices": 6},
-                    {"max_rows": 0, "slices": 9}):
-        got = rates.rate_changes(df, **options).collect()
+    for unit in ("minute", "hour", "day", "year"):
+        got = rates.rate_changes(df, unit).collect()
         assert {r.refresh_id: r.previous_rate for r in got} == want
         assert len(got) == len(rows)
 
 
-def test_nested_parts_hold_every_row(spark):
+def test_pages_are_contiguous_and_hold_every_row(spark):
     rng = random.Random(1)
     rows = [("copies", 7)] * 2500 + [("many", rng.randint(0, 10**6)) for _ in range(2500)] + [
-        (f"k{i % 50}", i) for i in range(500)]
+        (f"k{i % 50}", i) for i in range(500)] + [("none", None)] * 3 + [(None, 1)]
     df = spark.createDataFrame(rows, "invoice_id string, line int")
-    got = skew.nested(df, "invoice_id", ["line"], "lines", max_rows=400).collect()
-    seen = Counter()
-    for r in got:
-        values = [x.line for x in r.lines]
-        assert values == sorted(values)
-        assert len(values) <= 1200
-        seen.update((r.invoice_id, v) for v in values)
-    assert seen == Counter(rows)
-    assert len([r for r in got if r.invoice_id == "copies"]) > 1
+    got = skew.pages(df, "invoice_id", ["line"], "lines", page_rows=400).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.invoice_id, r.part)):
+        assert len(r.lines) <= 400
+        found.setdefault(r.invoice_id, []).extend(x.line for x in r.lines)
+    want = {}
+    for key, line in rows:
+        if key is not None:
+            want.setdefault(key, []).append(line)
+    assert found == {k: sorted(v, key=lambda x: (x is not None, x)) for k, v in want.items()}
+    assert {r.part for r in got if r.invoice_id == "many"} == set(range(7))
     assert {r.part for r in got if r.invoice_id.startswith("k")} == {0}
 
 

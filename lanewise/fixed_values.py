@@ -117,3 +117,9 @@ RATE_CARDS = [
     ("dhl", "TX-CA-LTL", "TX", "CA", "LTL", "13.10", "19.0", "260.00", 3),
     ("dhl", "NY-FL-LTL", "NY", "FL", "LTL", "14.80", "19.0", "310.00", 2),
 ]
+
+# How match decisions are worded.
+MISSING_REFERENCE_TEXT = "No matching shipment found for reference: "
+RATE_NOT_FOUND_TEXT = "Could not find contracted rate for carrier "
+MISSING_AMOUNT_TEXT = "Invoice has no amount"
+WITHIN_TOLERANCE_TEXT = "Within tolerance (diff=$"

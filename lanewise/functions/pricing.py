@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanewise.fixed_values import DOLLAR_TOLERANCE, PERCENT_TOLERANCE
 
 MONEY = "decimal(12,2)"
+CHARGE = "decimal(14,4)"
 
 
 def decimal_lit(text: str, precision: int, scale: int) -> Column:
@@ -33,16 +34,17 @@ def charge_factor(rate_per_cwt: Column, fuel_percent: Column) -> Column:
 def charge(weight_lbs: Column, factor: Column, minimum: Column) -> Column:
     """Hundredweights x factor, but never below the minimum.
 
-    The comparison uses the unrounded charge.  Without a weight or a factor only the minimum is left
+    The comparison uses the unrounded charge.  Only a computed charge is rounded to cents; a minimum
+    is charged as it stands, at four decimals.  Without a weight or a factor only the minimum is left
     (0 if none).
     """
     cwt = F.round(weight_lbs.cast("decimal(12,4)") * _hundredth(), 4).cast("decimal(12,4)")
     exact = cwt * factor
-    floor = minimum.cast(MONEY)
+    floor = minimum.cast(CHARGE)
     return (
-        F.when(exact.isNull(), F.coalesce(floor, decimal_lit("0", 12, 2)))
+        F.when(exact.isNull(), F.coalesce(floor, decimal_lit("0", 14, 4)))
         .when(exact < floor, floor)
-        .otherwise(F.round(exact, 2).cast(MONEY))
+        .otherwise(F.round(exact, 2).cast(CHARGE))
     )
 
 
@@ -77,9 +79,13 @@ def exceeds(invoiced: Column, expected: Column, threshold: Column | str) -> Colu
 
 def within_tolerance(invoiced: Column, expected: Column,
                      dollars: str = DOLLAR_TOLERANCE, percent: str = PERCENT_TOLERANCE) -> Column:
-    """Close enough to pay: by amount or by percent, whichever lets more through."""
+    """Close enough to pay: by amount or by percent, whichever lets more through.
+
+    An unknown amount is never close.
+    """
     close = F.abs(invoiced - expected) <= decimal_lit(dollars, 12, 2)
-    return close | (F.abs(discrepancy_percent(invoiced, expected)) <= decimal_lit(percent, 6, 2))
+    share = F.abs(discrepancy_percent(invoiced, expected)) <= decimal_lit(percent, 6, 2)
+    return invoiced.isNotNull() & expected.isNotNull() & (close | share)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.fixed_values import (
-    DEFAULT_CURRENCY, DOLLAR_TOLERANCE, PAYMENT_TERMS_DAYS, PERCENT_TOLERANCE,
+    DEFAULT_CURRENCY, DOLLAR_TOLERANCE, MISSING_AMOUNT_TEXT, MISSING_REFERENCE_TEXT,
+    PAYMENT_TERMS_DAYS, PERCENT_TOLERANCE, RATE_NOT_FOUND_TEXT, WITHIN_TOLERANCE_TEXT,
 )
 from lanewise.functions import pricing, text, timing
 from lanewise.operators.rates import RATE_KEY, price_list, total_rate
@@ -25,7 +26,8 @@ def expected_amounts(shipments: DataFrame, rates: DataFrame) -> DataFrame:
         shipments.select("shipment_id", "carrier_id", lane_id.alias("lane_id"), "weight_lbs")
         .join(cards, RATE_KEY, "left")
         .select("shipment_id", F.lit(True).alias("shipment_found"),
-                F.when(F.col("has_card"), total_rate()).alias("contract_amount"))
+                F.when(F.col("has_card"), total_rate().cast(pricing.MONEY))
+                .alias("contract_amount"))
     )
 
 
@@ -44,19 +46,22 @@ def with_expected(invoices: DataFrame, shipments: DataFrame, rates: DataFrame) -
 
 
 def three_way_match(invoices: DataFrame, dollars: str = DOLLAR_TOLERANCE,
-                    percent: str = PERCENT_TOLERANCE) -> DataFrame:
+                    percent: str = PERCENT_TOLERANCE, now: Column | str | None = None) -> DataFrame:
     """Decide every invoice; needs ``expected_amount`` and ``shipment_found``.
 
-    A close enough invoice is approved at the *expected* amount.  A missing shipment or rate is
-    disputed too, but leaves the row in status MATCHING without a dispute reason of its own; the
-    decision is in ``match_outcome``, ``match_reason`` and ``match_description``.
+    A close enough invoice is approved at the *expected* amount, at the time ``now``.  A missing
+    shipment, rate or invoiced amount is disputed too, but leaves the row in status MATCHING without
+    a dispute reason of its own; the decision is in ``match_outcome``, ``match_reason`` and
+    ``match_description``.
     """
+    invoices = _with_approval(invoices)
     invoiced, expected = F.col("invoiced_amount"), F.col("expected_amount")
     gap = pricing.discrepancy(invoiced, expected)
     percent_off = pricing.discrepancy_percent(invoiced, expected)
     reason = (
         F.when(~F.col("shipment_found"), "MISSING_REFERENCE")
         .when(expected.isNull(), "RATE_NOT_FOUND")
+        .when(invoiced.isNull(), "MISSING_AMOUNT")
         .when(pricing.within_tolerance(invoiced, expected, dollars, percent),
               F.lit(None).cast("string"))
         .when(gap > 0, "OVERCHARGE").otherwise("UNDERCHARGE")
@@ -69,13 +74,13 @@ def three_way_match(invoices: DataFrame, dollars: str = DOLLAR_TOLERANCE,
         F.round(F.abs(percent_off), 1).cast("decimal(18,1)").cast("string"), F.lit("%)"))
     why = (
         F.when(F.col("match_reason") == "MISSING_REFERENCE",
-               F.concat(F.lit("No matching shipment found for reference: "),
+               F.concat(F.lit(MISSING_REFERENCE_TEXT),
                         F.coalesce(F.col("shipment_reference_number"), F.lit("null"))))
         .when(F.col("match_reason") == "RATE_NOT_FOUND",
               F.concat(F.lit("Could not find contracted rate for carrier "),
                        F.col("carrier_id")))
         .when(F.col("match_reason").isNull(),
-              F.concat(F.lit("Within tolerance (diff=$"), money(F.abs(gap)), F.lit(")")))
+              F.concat(F.lit(WITHIN_TOLERANCE_TEXT), money(F.abs(gap)), F.lit(")")))
         .otherwise(differs)
     )
     approved = F.col("match_reason").isNull()
@@ -89,12 +94,25 @@ def three_way_match(invoices: DataFrame, dollars: str = DOLLAR_TOLERANCE,
                       .otherwise("MATCHING"),
             "auto_approved": F.when(approved, True).otherwise(F.col("auto_approved")),
             "approved_amount": F.when(approved, expected).otherwise(F.col("approved_amount")),
+            "approved_at": F.when(approved, _moment(now)).otherwise(F.col("approved_at")),
             "dispute_reason": F.when(disputed, F.col("match_reason")),
             "dispute_description": F.when(disputed, F.col("match_description")),
         })
     )
 
 
+def _with_approval(invoices: DataFrame) -> DataFrame:
+    """Invoices with the approval columns of the declared schema."""
+    missing = {name: F.lit(None).cast(kind) for name, kind in
+               (("approved_at", "timestamp"), ("approved_by", "string"))
+               if name not in invoices.columns}
+    return invoices.withColumns(missing) if missing else invoices
+
+
+def _moment(now: Column | str | None) -> Column:
+    return (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
+
+
 def match_on_delivery(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
     """Match the invoices of shipments that were just delivered.
 
@@ -119,6 +137,7 @@ def invoice_events(matched: DataFrame) -> DataFrame:
         F.when(approved, F.col("invoice_date")).alias("invoice_date"),
         F.when(approved, F.col("payment_due_date")).alias("payment_due_date"),
         F.when(approved, F.col("auto_approved")).alias("auto_approved"),
+        F.when(approved, F.col("approved_at")).alias("approved_at"),
         F.when(~approved, invoiced).alias("invoiced_amount"),
         F.when(~approved, expected).alias("expected_amount"),
         F.when(~approved, pricing.discrepancy(invoiced, expected)).alias("discrepancy_amount"),
@@ -191,19 +210,38 @@ def line_rollup(lines: DataFrame) -> DataFrame:
 def approve(invoices: DataFrame, approvals: DataFrame) -> DataFrame:
     """Approve by hand: full invoiced amount, whoever and whenever; from any status.
 
-    ``approvals`` has ``invoice_id, approved_by, approved_at``; the earliest approval counts.
+    ``approvals`` has ``invoice_id, approved_by, approved_at``; the earliest approval counts, and
+    ``approved_now`` marks the invoices it concerns.  An invoice without an amount has nothing to
+    approve and stays as it is.
     """
     chosen = earliest(approvals.select("invoice_id", "approved_at", "approved_by"),
-                      ["invoice_id"], ["approved_at", "approved_by"])
-    hit = F.col("approved_at").isNotNull()
+                      ["invoice_id"], ["approved_at", "approved_by"]).select(
+        "invoice_id", F.col("approved_at").alias("new_approved_at"),
+        F.col("approved_by").alias("new_approved_by"))
+    hit = F.col("approved_now")
     return (
-        invoices.join(chosen, "invoice_id", "left")
-        .withColumn("status", F.when(hit, "APPROVED").otherwise(F.col("status")))
-        .withColumn("approved_amount", F.when(hit, F.col("invoiced_amount"))
-                    .otherwise(F.col("approved_amount")))
+        _with_approval(invoices).join(chosen, "invoice_id", "left")
+        .withColumn("approved_now", F.col("new_approved_at").isNotNull()
+                    & F.col("invoiced_amount").isNotNull())
+        .withColumns({
+            "status": F.when(hit, "APPROVED").otherwise(F.col("status")),
+            "approved_amount": F.when(hit, F.col("invoiced_amount"))
+            .otherwise(F.col("approved_amount")),
+            "approved_at": F.when(hit, F.col("new_approved_at")).otherwise(F.col("approved_at")),
+            "approved_by": F.when(hit, F.col("new_approved_by")).otherwise(F.col("approved_by")),
+        })
+        .drop("new_approved_at", "new_approved_by")
     )
 
 
+def approval_events(approved: DataFrame) -> DataFrame:
+    """The approved event of every invoice that ``approve`` has just approved."""
+    now = approved.filter("approved_now").withColumns({
+        "match_outcome": F.lit("APPROVED"), "dispute_reason": F.lit(None).cast("string"),
+        "dispute_description": F.lit(None).cast("string")})
+    return invoice_events(now)
+
+
 def mark_paid(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """Mark as paid, from any status.  ``payments`` has ``invoice_id, paid_at``."""
     paid = payments.groupBy("invoice_id").agg(F.max("paid_at").alias("new_paid_at"))

@@ -101,19 +101,21 @@ def best_quotes(requests: DataFrame, rates: DataFrame, salts: int = 8) -> DataFr
 
 
 def rates_on(rates: DataFrame, requests: DataFrame, on: str, request_key: str) -> DataFrame:
-    """For each request the latest card of its carrier and lane that is valid on its date."""
+    """For each request the latest card of its carrier and lane that is valid on its date.
+
+    The versions of a card are gathered once per (carrier, lane); a request meets that one row, picks
+    its card there and needs no second shuffle.  A request without a valid card stays, with nulls.
+    Of cards that become effective on one day, the one with the larger prices counts.
+    """
     day = F.to_date(F.col(on))
-    valid = (F.col("effective_date") <= day) & (
-        F.col("expiration_date").isNull() | (F.col("expiration_date") >= day))
-    card = F.struct("effective_date", *CARD)
-    return (
-        requests.join(rates.select(*RATE_KEY, "effective_date", "expiration_date", *CARD),
-                      RATE_KEY)
-        .filter(valid)
-        .groupBy(request_key)
-        .agg(F.max_by(card, F.col("effective_date")).alias("card"))
-        .select(request_key, "card.*")
-    )
+    version = F.struct("effective_date", *CARD, "expiration_date")
+    versions = rates.filter(F.col("effective_date").isNotNull()).groupBy(*RATE_KEY).agg(
+        F.collect_set(version).alias("versions"))
+    valid = F.filter("versions", lambda v: (v["effective_date"] <= day) & (
+        v["expiration_date"].isNull() | (v["expiration_date"] >= day)))
+    card = F.array_max(valid)
+    return requests.join(versions, RATE_KEY, "left").select(
+        request_key, *[card[c].alias(c) for c in ("effective_date", *CARD)])
 
 
 def newest_rates(rates: DataFrame, order: list[str]) -> DataFrame:

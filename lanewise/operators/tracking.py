@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,9 +169,13 @@ def once(events: DataFrame, keys: list[str] | None = None,
     """At-least-once to once: one row per key (``event_id`` unless told otherwise).
 
     Copies are taken to be equal.  If they may differ, ``order`` says which one stays: the first.
+    Rows without a key are no copies of each other; all of them stay.
     """
     keys = keys or ["event_id"]
-    return earliest(events, keys, order) if order else events.dropDuplicates(keys)
+    named = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    known = events.filter(named)
+    unique = earliest(known, keys, order) if order else known.dropDuplicates(keys)
+    return unique.unionByName(events.filter(~named))
 
 
 def status_requests(events: DataFrame) -> DataFrame:

@@ -282,7 +282,10 @@ def match_on_delivery(spark: SparkSession, d: str) -> DataFrame:
 
 
 def invoice_events(spark: SparkSession, d: str) -> DataFrame:
-    events = matching.invoice_events(matching.three_way_match(_matchable(spark, d)))
+    matched = matching.three_way_match(
+        _matchable(spark, d),
+        now=F.col("payment_due_date").cast("timestamp") + F.make_dt_interval(hours=F.lit(1)))
+    events = matching.invoice_events(matched)
     return plain(events.drop("carrier_name", "shipment_reference_number", "dispute_description"))
 
 
@@ -333,6 +336,27 @@ def manual_approval(spark: SparkSession, d: str) -> DataFrame:
                              "approved_at"))
 
 
+def approval_events(spark: SparkSession, d: str) -> DataFrame:
+    """Disputed invoices approved by hand; stored approvals of others do not count again."""
+    invoices = sample.invoices(spark, d).withColumns({
+        "approved_at": F.lit("2001-01-01").cast("timestamp"), "approved_by": F.lit("before")})
+    approvals = invoices.filter(F.col("status") == "DISPUTED").select(
+        "invoice_id", F.col("created_at").alias("approved_at"),
+        F.lit("ap-team").alias("approved_by"))
+    events = matching.approval_events(matching.approve(invoices, approvals))
+    return plain(events.select("event_type", "invoice_id", "carrier_id", "shipment_id",
+                               "approved_amount", "gl_code", "auto_approved", "approved_at"))
+
+
+def undecided_invoices(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices whose amount is unknown are never approved."""
+    unknown = _matchable(spark, d).withColumn(
+        "invoiced_amount", F.lit(None).cast("decimal(12,2)"))
+    matched = matching.three_way_match(unknown, now="2001-01-01")
+    return plain(matched.select("invoice_id", "match_outcome", "match_reason", "status",
+                                "auto_approved", "approved_amount", "approved_at"))
+
+
 def paid_invoices(spark: SparkSession, d: str) -> DataFrame:
     invoices = sample.invoices(spark, d)
     paid = invoices.filter(F.col("auto_approved")).select(
@@ -488,8 +512,9 @@ def stream_error_counts(spark: SparkSession, d: str) -> DataFrame:
     logs = sample.log_lines(spark, d, sample.event_stream(spark, d))
     samples = metrics.samples(metrics.error_lines(logs), "ts", "ErrorCount",
                               service=F.col("service"))
-    closed = pipeline.drain(pipeline.live_counters(samples))
-    return closed.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+    counted = pipeline.drain_latest(pipeline.live_counters(samples),
+                                    ["period_start", "metric", "tags"])
+    return counted.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
 # Documents
@@ -725,6 +750,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     rate_refresh_counts, rate_event_messages,
     three_way_match, contract_match, match_on_delivery, invoice_events, discrepancy_flags,
     invoice_intake, intake_line_items, duplicate_invoices, line_rollup, manual_approval,
+    approval_events, undecided_invoices,
     paid_invoices,
     webhook_intake, webhook_outcomes, tracking_messages, message_types, quarantine,
     event_routing, event_dedup, status_mapping, known_and_unknown_shipments,

@@ -748,6 +748,7 @@ SQL: dict[str, tuple[str, str]] = {
                CASE WHEN ok THEN invoice_date END AS invoice_date,
                CASE WHEN ok THEN payment_due_date END AS payment_due_date,
                CASE WHEN ok THEN true END AS auto_approved,
+               CASE WHEN ok THEN payment_due_date + interval 1 hour END AS approved_at,
                CASE WHEN NOT ok THEN cast(invoiced_amount AS double) END AS invoiced_amount,
                CASE WHEN NOT ok THEN cast(expected_amount AS double) END AS expected_amount,
                CASE WHEN NOT ok THEN cast(gap AS double) END AS discrepancy_amount,
@@ -791,6 +792,17 @@ SQL: dict[str, tuple[str, str]] = {
                CASE WHEN status = 'DISPUTED' THEN 'ap-team' END AS approved_by,
                CASE WHEN status = 'DISPUTED' THEN created_at END AS approved_at
         FROM invoices"""),
+    "approval_events": ("invoices", """
+        SELECT 'InvoiceApprovedEvent' AS event_type, invoice_id, carrier_id, shipment_id,
+               cast(invoiced_amount AS double) AS approved_amount, gl_code, auto_approved,
+               created_at AS approved_at
+        FROM invoices WHERE status = 'DISPUTED'"""),
+    "undecided_invoices": ("invoices", """
+        SELECT invoice_id, 'DISPUTED' AS match_outcome,
+               CASE WHEN expected_amount IS NULL THEN 'RATE_NOT_FOUND' ELSE 'MISSING_AMOUNT' END
+                   AS match_reason, 'MATCHING' AS status, auto_approved, approved_amount::double AS approved_amount,
+               cast(NULL AS timestamp) AS approved_at
+        FROM invoices"""),
     "paid_invoices": ("invoices", """
         SELECT invoice_id, CASE WHEN auto_approved THEN 'PAID' ELSE status END AS status,
                CASE WHEN auto_approved THEN created_at + interval 20 day ELSE paid_at END
@@ -880,14 +892,10 @@ SQL: dict[str, tuple[str, str]] = {
                        AS varchar), 6, '0')) AS reference_number
         FROM shipments"""),
     "stream_lifecycle": ("fold", FOLD_COLUMNS),
-    # Windows that end after the last event less ten minutes are still open.
     "stream_error_counts": ("logs", f"""
-        SELECT * FROM (
-            SELECT {PERIOD.format('ts')} AS period_start, 'ErrorCount' AS metric,
-                   concat('service=', service) AS tags, count(*) AS value
-            FROM logs WHERE level LIKE 'ERROR%' GROUP BY 1, 2, 3)
-        WHERE period_start + interval 1 minute <=
-              (SELECT max(ts) FROM logs WHERE level LIKE 'ERROR%') - interval 10 minute"""),
+        SELECT {PERIOD.format('ts')} AS period_start, 'ErrorCount' AS metric,
+               concat('service=', service) AS tags, count(*) AS value
+        FROM logs WHERE level LIKE 'ERROR%' GROUP BY 1, 2, 3"""),
     "document_key_parse": ("parsed", """
         SELECT doc_id, s3_bucket, s3_key, file_size_bytes, outcome, file_name, document_type,
                shipment_id, document_id, extension, content_type

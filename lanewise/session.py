@@ -30,13 +30,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def sized_for(builder: SparkSession.Builder, input_bytes: int) -> SparkSession.Builder:
     """Partition counts for an input of this size.
 
-    Shuffles start with about one partition per 512 MB read, between 200 and 20,000, and adaptive
-    execution joins the small ones; beyond 10 TB the scans take 256 MB per task.
+    Shuffles start with one partition per 512 MB read, at least 200; adaptive execution joins the
+    small ones.
     """
-    partitions = min(max(input_bytes // (512 << 20), 200), 20_000)
-    builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    split = "256m" if input_bytes > 10 << 40 else "128m"
-    return builder.config("spark.sql.files.maxPartitionBytes", split)
+    return builder.config("spark.sql.shuffle.partitions",
+                          str(max(input_bytes // (512 << 20), 200)))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +61,9 @@ def reliable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of our own, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

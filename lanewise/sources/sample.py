@@ -34,25 +34,11 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
 }
-# The key by which a table too small to give every core a split is spread.
-SPREAD_BY = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
-             "documents": "doc_id"}
-
-
-@lru_cache(maxsize=256)
-def _few_splits(spark: SparkSession, path: str, name: str) -> bool:
-    df = spark.read.schema(SCHEMAS[name]).parquet(path)
-    return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  Each is one file, so small ones would keep a single core busy; a table with
-    enough splits is read as it is."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.schema(SCHEMAS[name]).parquet(path)
-    if name in SPREAD_BY and _few_splits(spark, path, name):
-        return df.repartition(spark.sparkContext.defaultParallelism, SPREAD_BY[name])
-    return df
+    """A test table, read as it is."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hours(n: Column | int) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lanewise import schemas
 from lanewise.operators import lifecycle, matching, metrics, tracking
+from lanewise.operators.skew import latest
 from lanewise.sources import messages, results
-from lanewise.session import ROCKSDB, shared_dir
+from lanewise.session import ROCKSDB, delete_folder, shared_dir
 from lanewise.streaming.state import replay_stream
 
 WATERMARK = "10 minutes"
@@ -21,8 +22,10 @@ STATE_ORDER = ["ts", "event_id"]
 
 
 def once(events: DataFrame) -> DataFrame:
-    """Drop repeats of an event id that come within the watermark."""
-    return events.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+    """Drop repeats of an event id that come within the watermark; rows without an id all stay."""
+    timed = events.withWatermark("ts", WATERMARK)
+    unique = timed.filter("event_id is not null").dropDuplicatesWithinWatermark(["event_id"])
+    return unique.unionByName(timed.filter("event_id is null"))
 
 
 def tracking_requests(queue: DataFrame) -> DataFrame:
@@ -42,23 +45,29 @@ def tracking_requests(queue: DataFrame) -> DataFrame:
 
 
 def judged_requests(requests: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Requests for known shipments with the state machine's verdict."""
+    """Requests with the state machine's verdict; ``known`` is false for shipments we do not have,
+    whose requests are turned down and keep no state."""
     current = shipments.select(
         "shipment_id", F.col("status").alias("start_status"), "reference_no", "carrier_id",
         "carrier_name", "estimated_delivery", "shipper_email", "consignee_email",
-        "declared_value")
-    return replay_stream(requests.join(current, "shipment_id"))
+        "declared_value", F.lit(True).alias("known"))
+    joined = requests.join(current, "shipment_id", "left")
+    return replay_stream(joined.withColumn("known", F.coalesce("known", F.lit(False))))
 
 
 def fan_out(judged: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Write each micro-batch to the state table, the two event tables and the rejects.
+    """Write each micro-batch to the state table, the two event tables, the rejects and the requests
+    for unknown shipments: every row of the batch ends up in the states or the unknown ones.
 
     A batch that is repeated after a failure replaces its own files, so nothing is written twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        everything = batch.persist()
         spark = batch.sparkSession
+        batch = everything.filter("known")
         outputs = {
+            "unknown": everything.filter("not known").select(
+                "shipment_id", "event_id", "ts", "requested_status"),
             "delivered": lifecycle.delivered_events(batch),
             "status_changed": lifecycle.status_changed_events(batch),
             "rejected": batch.filter(~F.col("accepted")).select(
@@ -68,25 +77,28 @@ def fan_out(judged: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
             results.write_partition(rows, f"{root}/{name}", {"batch": str(batch_id)})
         states = batch.select("shipment_id", F.col("new_status").alias("status"), *STATE_ORDER)
         results.upsert_table(spark, f"{root}/states", states, ["shipment_id"], STATE_ORDER)
-        batch.unpersist()
+        everything.unpersist()
 
     return judged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def quarantine(queue: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Write the raw messages that cannot be read, with the reason, beside the other outputs."""
+    bad = messages.unreadable(messages.parse(queue, schemas.TRACKING_MESSAGE))
+    return messages.append_stream(bad, f"{root}/unreadable", checkpoint)
+
+
 def matches_on_delivery(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
     """Stream of delivered shipments against the stored invoices."""
     return matching.match_on_delivery(delivered, invoices)
 
 
 @contextmanager
-def _state_settings(spark: SparkSession) -> Iterator[None]:
-    """Settings for a stateful run: RocksDB state, and no more state stores than cores."""
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(min(
-            int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism)),
-    }
+def _state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Settings for a stateful run: RocksDB state, and a number of state stores if one is given."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {key: spark.conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -97,17 +109,43 @@ def _state_settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def drain(stream: DataFrame) -> DataFrame:
+def _finish(writer: DataStreamWriter, spark: SparkSession, checkpoint: str,
+            partitions: int | None) -> None:
+    """Run a stream over all it can read now; its own checkpoint is of no use afterwards."""
+    with _state_settings(spark, partitions):
+        writer.option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    delete_folder(spark, checkpoint)
+
+
+def drain(stream: DataFrame, partitions: int | None = None) -> DataFrame:
     """Run a stream over all it can read now and give what it wrote to the shared folder."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/drain-{uuid4().hex}"
-    with _state_settings(spark):
-        query = (messages.append_stream(stream, f"{root}/out", f"{root}/checkpoint")
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
+    _finish(messages.append_stream(stream, f"{root}/out", f"{root}/checkpoint"), spark,
+            f"{root}/checkpoint", partitions)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def drain_latest(stream: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Run an aggregation over all its stream can read now and give every group's last value.
+
+    Groups are written whenever they change, so windows that the watermark has not passed when the
+    input ends are there as well.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/drain-{uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        results.write_partition(batch, f"{root}/out", {"batch": str(batch_id)})
+
+    _finish(stream.writeStream.outputMode("update").foreachBatch(write), spark,
+            f"{root}/checkpoint", partitions)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int"
+    changes = spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
+    return latest(changes, keys, ["batch"]).select(*stream.columns)
+
+
 def live_counters(samples: DataFrame, step: str = metrics.METRIC_STEP) -> DataFrame:
     """Counters over a stream of samples; rows later than the watermark are left out and show up in
     the query's ``numRowsDroppedByWatermark``."""

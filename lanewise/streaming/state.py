@@ -31,11 +31,12 @@ class StatusProcessor(StatefulProcessor):
         batch = pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
         old, new = [], []
         for start, wanted in zip(batch["start_status"], batch["requested_status"]):
-            now = now or start
+            now = now or (start if isinstance(start, str) else None)
             old.append(now)
             now = wanted if wanted in TRANSITIONS.get(now, []) else now
             new.append(now)
-        self.status.update((now,))
+        if now is not None:
+            self.status.update((now,))
         verdict = batch.assign(old_status=old, new_status=new)
         yield verdict.assign(accepted=verdict["old_status"] != verdict["new_status"])
 

@@ -38,7 +38,8 @@ def run_daily_spend(spark: SparkSession, shipments: DataFrame, invoices: DataFra
     log.info("wrote %d rows to %s", seen.get["rows"], path)
     if table is not None:
         schema = f"{columns_of(cube, ['carrier_id'])}, date string, carrier_id string"
-        results.register_table(spark, table, root, schema, ["date", "carrier_id"])
+        results.register_table(spark, table, root, schema, ["date", "carrier_id"],
+                               {"date": chosen.isoformat()})
     return path
 
 

@@ -1,0 +1,108 @@
+"""Keyed tables in Parquet: versions that are never overwritten, and changes on top of them.
+
+    path/version=7/         a whole table, one row per key, with a _SUCCESS marker once complete
+    path/changes/batch=12/  rows of one micro-batch, not yet in any version
+
+The newest complete version is the table; a write that dies half-way leaves a folder without marker,
+which readers ignore and the next write replaces.  What is read is never written to, so nothing can be
+lost and readers see no holes.  Old versions stay until ``vacuum`` removes them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lanewise.operators.skew import latest
+from lanewise.session import delete_folder
+from lanewise.sources.results import write_partition
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Numbered folders below ``path`` by number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return {int(n.removeprefix(prefix)): f"{path}/{n}" for n in names if n.startswith(prefix)}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions, oldest first."""
+    return sorted(n for n, folder in _folders(spark, path, "version=").items()
+                  if _exists(spark, f"{folder}/_SUCCESS"))
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str, keys: list[str],
+               order: list[str]) -> DataFrame:
+    """The table now: its newest version and the changes since, per key the last in ``order``."""
+    known = versions(spark, path)
+    table = spark.createDataFrame([], schema)
+    if known:
+        table = spark.read.schema(schema).parquet(f"{path}/version={known[-1]}")
+    changes = _folders(spark, f"{path}/changes", "batch=")
+    if not changes:
+        return table
+    read = spark.read.schema(schema).parquet(*(changes[n] for n in sorted(changes)))
+    return latest(table.unionByName(read), keys, order)
+
+
+def write_version(table: DataFrame, path: str) -> int:
+    """Store a whole table as the next version."""
+    number = max(versions(table.sparkSession, path), default=0) + 1
+    table.hint("rebalance").write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def upsert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str],
+                 order: list[str]) -> int:
+    """Write rows into the table; per key the last in ``order`` stays.  Safe to repeat."""
+    old = read_table(spark, path, rows.schema, keys, order)
+    return write_version(latest(old.unionByName(rows), keys, order), path)
+
+
+def append_changes(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add a micro-batch; repeating it replaces its own rows.  Costs what the batch holds."""
+    write_partition(rows, f"{path}/changes", {"batch": str(batch_id)})
+
+
+def compact(spark: SparkSession, path: str, schema: StructType | str, keys: list[str],
+            order: list[str]) -> int:
+    """Fold the changes into a new version.
+
+    Changes are removed only after the version is complete; those that a crash leaves behind are
+    folded in again, to the same result.
+    """
+    done = _folders(spark, f"{path}/changes", "batch=")
+    number = write_version(read_table(spark, path, schema, keys, order), path)
+    for folder in done.values():
+        delete_folder(spark, folder)
+    return number
+
+
+def retain(spark: SparkSession, path: str, schema: StructType | str, keys: list[str], order: list[str],
+           keep: str) -> int:
+    """A new version with the rows for which the condition ``keep`` holds (null counts as true)."""
+    table = read_table(spark, path, schema, keys, order)
+    number = write_version(table.filter(F.coalesce(F.expr(keep), F.lit(True))), path)
+    for folder in _folders(spark, f"{path}/changes", "batch=").values():
+        delete_folder(spark, folder)
+    return number
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest ``keep`` complete versions, and incomplete older ones."""
+    known = versions(spark, path)
+    if not known:
+        return
+    staying = set(known[-keep:])
+    for number, folder in _folders(spark, path, "version=").items():
+        if number not in staying and number < known[-1]:
+            delete_folder(spark, folder)

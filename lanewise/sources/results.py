@@ -1,12 +1,8 @@
-"""Partitioned results in the catalog, and keyed tables kept in Parquet."""
+"""Partitioned results in Parquet and in the catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
-from lanewise.operators.skew import latest
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -52,51 +48,60 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int,
     sink.saveAsTable(table)
 
 
+def written_partitions(spark: SparkSession, path: str, split_by: list[str]) -> list[dict[str, str]]:
+    """The partitions found below ``path``: one listing per level, of that folder only."""
+    if not split_by:
+        return [{}]
+    escaping = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith(f"{split_by[0]}="):
+            value = escaping.unescapePathName(name.split("=", 1)[1])
+            found += [{split_by[0]: value} | rest for rest in written_partitions(
+                spark, f"{path}/{name}", split_by[1:])]
+    return found
+
+
 def register_table(spark: SparkSession, name: str, root: str, schema: str,
                    split_by: list[str], only: dict[str, str] | None = None) -> None:
     """Declare a partitioned Parquet folder in the catalog and make its partitions known.
 
-    The partition columns are the last ones of ``schema``.  ``only`` names the one partition that
-    was written; without it the folder is compared with the catalog.  Safe to repeat.
+    The partition columns are the last ones of ``schema``.  ``only`` names the values of the first of
+    them that were just written: partitions below are added, those that a rerun no longer wrote are
+    dropped, and no other partition is looked at.  Without it the whole folder is compared with the
+    catalog.  Safe to repeat.
     """
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet "
               f"PARTITIONED BY ({', '.join(split_by)}) LOCATION '{root}'")
-    if only is not None:
-        spec = ", ".join(f"{column} = '{only[column]}'" for column in split_by)
-        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec})")
-    else:
+    if only is None:
         spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+        spark.catalog.refreshTable(name)
+        return
+
+    def spec(partition: dict[str, str]) -> str:
+        return ", ".join(f"{c} = {_quoted(partition[c])}" for c in split_by if c in partition)
+
+    path = "/".join([root, *(f"{c}={v}" for c, v in only.items())])
+    written = [only | rest for rest in written_partitions(spark, path, split_by[len(only):])]
+    for begin in range(0, len(written), 100):
+        specs = " ".join(f"PARTITION ({spec(p)})" for p in written[begin:begin + 100])
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {specs}")
+    if len(only) < len(split_by):
+        escaping = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        listed = spark.sql(f"SHOW PARTITIONS {name} PARTITION ({spec(only)})").collect()
+        for row in listed:
+            known = {c: escaping.unescapePathName(v) for c, v in (
+                part.split("=", 1) for part in row[0].split("/"))}
+            if known not in written:
+                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec(known)})")
     spark.catalog.refreshTable(name)
 
 
-def bucket_of(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return None
-        raise
-
-
-def upsert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str],
-                 order: list[str], buckets: int = 64) -> None:
-    """Write rows into a keyed Parquet table; per key the last in ``order`` stays.
-
-    Only buckets that receive rows are rewritten.  Dynamic overwrite stages the new files and moves
-    them in when the job has finished, so reading the same table meanwhile is safe, and so is
-    running the same upsert again.
-    """
-    incoming = latest(rows, keys, order).withColumn("bucket", bucket_of(keys, buckets))
-    table = _existing(spark, path, incoming)
-    if table is not None:
-        # At most ``buckets`` small numbers come to the driver; they prune the scan below.
-        touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        old = table.filter(F.col("bucket").isin(touched))
-        incoming = latest(old.unionByName(incoming), [*keys, "bucket"], order)
-    write_partitions(incoming, path, ["bucket"])
+def _quoted(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

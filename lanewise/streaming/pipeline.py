@@ -13,12 +13,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from lanewise import schemas
 from lanewise.operators import lifecycle, matching, metrics, tracking
 from lanewise.operators.skew import latest
-from lanewise.sources import messages, results
+from lanewise.sources import keyed, messages, results
 from lanewise.session import ROCKSDB, delete_folder, shared_dir
 from lanewise.streaming.state import replay_stream
 
 WATERMARK = "10 minutes"
 STATE_ORDER = ["ts", "event_id"]
+STATES = "shipment_id string, status string, ts timestamp, event_id string"
 
 
 def once(events: DataFrame) -> DataFrame:
@@ -63,7 +64,6 @@ def fan_out(judged: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         everything = batch.persist()
-        spark = batch.sparkSession
         batch = everything.filter("known")
         outputs = {
             "unknown": everything.filter("not known").select(
@@ -76,12 +76,22 @@ def fan_out(judged: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
         for name, rows in outputs.items():
             results.write_partition(rows, f"{root}/{name}", {"batch": str(batch_id)})
         states = batch.select("shipment_id", F.col("new_status").alias("status"), *STATE_ORDER)
-        results.upsert_table(spark, f"{root}/states", states, ["shipment_id"], STATE_ORDER)
+        keyed.append_changes(latest(states, ["shipment_id"], STATE_ORDER), f"{root}/states",
+                             batch_id)
         everything.unpersist()
 
     return judged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def states(spark: SparkSession, root: str) -> DataFrame:
+    """The status of every shipment that ``fan_out`` has seen; ``compact_states`` keeps it short."""
+    return keyed.read_table(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER)
+
+
+def compact_states(spark: SparkSession, root: str) -> int:
+    return keyed.compact(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER)
+
+
 def quarantine(queue: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
     """Write the raw messages that cannot be read, with the reason, beside the other outputs."""
     bad = messages.unreadable(messages.parse(queue, schemas.TRACKING_MESSAGE))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -44,6 +46,10 @@ class StatusProcessor(StatefulProcessor):
         pass
 
 
+# Workers get this module with the plan, so that they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def replay_stream(requests: DataFrame) -> DataFrame:
     """The streaming form of ``lifecycle.replay``; needs ``start_status`` for unseen shipments."""
     schema = StructType([*requests.schema.fields, *VERDICT])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import timing
 from lanewise.operators import matching, metrics, quality, rates, reports, scorecard, spend, upsert
 from lanewise.plans import jobs
-from lanewise.sources import results, sample, tables
+from lanewise.sources import keyed, results, sample, tables
 
 
 def same(a, b):
@@ -152,19 +152,60 @@ def test_report_days(spark, inputs, days, fine):
             reports.spend_report(facts, "1998-01-01", days)
 
 
+KEYED = "k string, at int, v string"
+
+
+def keyed_rows(spark, path):
+    found = keyed.read_table(spark, path, KEYED, ["k"], ["at"]).collect()
+    assert len(found) == len({r.k for r in found})
+    return {r.k: r.v for r in found}
+
+
 def test_upsert_table(spark, tmp_path):
     path = str(tmp_path / "keyed")
-    schema = "k string, at int, v string"
     first = spark.createDataFrame([(f"k{i}", 1, "old") for i in range(200)] + [("k1", 0, "older")],
-                                  schema)
+                                  KEYED)
     second = spark.createDataFrame([("k1", 2, "new"), ("k1", 3, "newest"), ("z", 1, "z"),
-                                    ("k2", 0, "late")], schema)
-    results.upsert_table(spark, path, first, ["k"], ["at"], buckets=8)
+                                    ("k2", 0, "late")], KEYED)
+    assert keyed_rows(spark, path) == {}
+    keyed.upsert_table(spark, path, first, ["k"], ["at"])
     for _ in range(2):
-        results.upsert_table(spark, path, second, ["k"], ["at"], buckets=8)
-    got = {r.k: r.v for r in spark.read.parquet(path).collect()}
-    assert len(got) == 201 == spark.read.parquet(path).count()
+        keyed.upsert_table(spark, path, second, ["k"], ["at"])
+    got = keyed_rows(spark, path)
+    assert len(got) == 201 and keyed.versions(spark, path) == [1, 2, 3]
     assert (got["k1"], got["z"], got["k2"], got["k3"]) == ("newest", "z", "old", "old")
+    keyed.vacuum(spark, path, keep=1)
+    assert keyed.versions(spark, path) == [3] and keyed_rows(spark, path) == got
+
+
+def test_a_write_that_dies_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    keyed.upsert_table(spark, path, spark.createDataFrame([("a", 1, "kept")], KEYED), ["k"], ["at"])
+    broken = spark.createDataFrame([("a", 2, "x"), ("b", 1, "y")], KEYED).withColumn(
+        "v", F.when(F.col("k") == "b", F.raise_error(F.lit("dies"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="dies"):
+        keyed.upsert_table(spark, path, broken, ["k"], ["at"])
+    half = tmp_path / "keyed" / "version=2"
+    half.mkdir(exist_ok=True)
+    (half / "part-00000.parquet").write_bytes(b"half a file")
+    assert keyed_rows(spark, path) == {"a": "kept"}
+    keyed.upsert_table(spark, path, spark.createDataFrame([("b", 1, "new")], KEYED), ["k"], ["at"])
+    assert keyed_rows(spark, path) == {"a": "kept", "b": "new"}
+
+
+def test_changes_compaction_and_retention(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    for batch, rows in enumerate([[("a", 1, "a1"), ("b", 1, "b1")], [("a", 2, "a2")], [("c", 9, None)]]):
+        for _ in range(2):  # a batch that is repeated replaces itself
+            keyed.append_changes(spark.createDataFrame(rows, KEYED), path, batch)
+    want = {"a": "a2", "b": "b1", "c": None}
+    assert keyed_rows(spark, path) == want
+    keyed.compact(spark, path, KEYED, ["k"], ["at"])
+    assert keyed_rows(spark, path) == want and not list((tmp_path / "keyed" / "changes").iterdir())
+    keyed.append_changes(spark.createDataFrame([("b", 0, "late")], KEYED), path, 3)
+    assert keyed_rows(spark, path) == want
+    keyed.retain(spark, path, KEYED, ["k"], ["at"], "at < 9")
+    assert keyed_rows(spark, path) == {"a": "a2", "b": "b1"}
 
 
 def test_update_columns(spark):

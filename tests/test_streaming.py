@@ -66,13 +66,33 @@ def test_pipeline_from_messages(spark, sf_small, tmp_path):
     assert spark.read.parquet(f"{root}/delivered").count() == 1
     rejected = spark.read.parquet(f"{root}/rejected").collect()
     assert [(r.old_status, r.requested_status) for r in rejected] == [("DELIVERED", "DELIVERED")]
-    states = spark.read.parquet(f"{root}/states").collect()
-    assert [(r.shipment_id, r.status) for r in states] == [("5", "DELIVERED")]
+    unknown = spark.read.parquet(f"{root}/unknown").collect()
+    assert [(r.shipment_id, r.requested_status) for r in unknown] == [("nobody", "PICKED_UP")]
+    for _ in range(2):
+        states = pipeline.states(spark, root).collect()
+        assert [(r.shipment_id, r.status) for r in states] == [("5", "DELIVERED")]
+        pipeline.compact_states(spark, root)
+    run(pipeline.quarantine(messages.text_stream(spark, str(src)), root, str(tmp_path / "qk")))
+    assert [r.body for r in spark.read.parquet(f"{root}/unreadable").collect()] == ["not json"]
     bad = messages.unreadable(messages.parse(spark.read.text(str(src)).withColumnRenamed(
         "value", "body"), "shipmentId string"))
     assert [r.body for r in bad.collect()] == ["not json"]
 
 
+def test_requests_without_id_all_stay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"shipmentId": str(i), "carrierStatus": "PICKED_UP",
+                         "timestamp": "2024-01-01T00:00:00Z"}) for i in range(5)]
+    lines += [json.dumps({"shipmentId": "9", "carrierStatus": "PICKED_UP", "correlationId": "c",
+                          "timestamp": "2024-01-01T00:00:00Z"})] * 3
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines))
+    requests = pipeline.tracking_requests(messages.text_stream(spark, str(tmp_path / "in")))
+    found = pipeline.drain(requests).collect()
+    assert sorted(r.shipment_id for r in found) == ["0", "1", "2", "3", "4", "9"]
+    batch = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 3)], "event_id string, n int")
+    assert tracking.once(batch).count() == 3
+
+
 def test_live_counters_equal_batch(spark, sf_small, tmp_path):
     logs = sample.log_lines(spark, sf_small).withColumn("ts", F.col("ts").cast("timestamp"))
     src = str(tmp_path / "in")

@@ -15,9 +15,10 @@ context gives its windows, counted once over all contexts.  A window is repeated
 several places, or several contexts hold it.  Repeated windows that overlap or touch join to maximal
 repeats, the removed spans.
 
-Hashes decide: 64 bits for rows and anchors, 128 for contexts and windows.  No step gathers the places
-of an anchor or a window: they are counted with map-side aggregation, and the joins' other sides are
-unique, so that adaptive execution may split a hot one.  Texts are shuffled once.
+Hashes decide: 64 bits for rows, anchors and contexts, 128 for windows.  No step gathers the places of
+an anchor, a context or a window: they are counted with map-side aggregation, and the joins' other
+sides are unique and their results dealt anew, so that adaptive execution may split a hot one.  Texts
+are shuffled once.
 
 Defined cases: null, empty and wordless texts, and texts shorter than a window, keep all their words;
 repeated rows are places like any other, so each loses what the other holds; a null doc_id is carried;
@@ -97,9 +98,9 @@ def _place_finder(length: int):
             for begin, end in words.batches(texts):
                 split = words.split(texts[begin:end])
                 owner, at, low, high, anchor = _places(split.hashes, split.first, length)
-                context = _Runs(split.hashes).get(low, high + length, 1)
                 shape = (at - low) << _BITS | (high - low)
-                context = words.mix(context + shape.astype(np.uint64))
+                context = _Runs(split.hashes).get(low, high + length, 1)
+                context = words.mix((context ^ anchor) + shape.astype(np.uint64))
                 place = (at - split.first[owner]) << 2 * _BITS | shape
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[begin:end][owner]), pa.array(place),
@@ -179,11 +180,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"),
                         F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = keyed.select("row_key", "text").mapInArrow(
-        _place_finder(length), "row_key long, place long, anchor long, context long")
+        _place_finder(length), "row_key long, place long, anchor long, context long"
+    ).filter("row_key is not null and anchor is not null and context is not null")  # always true
     repeated = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seeded = places.join(repeated.select("anchor"), "anchor")
-    contexts = seeded.groupBy("anchor", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "place")).alias("one"))
+    contexts = seeded.groupBy("context").agg(
+        F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"),
+        F.min(F.struct("row_key", "place")).alias("one"),
+    ).filter("n > 0 and one is not null")  # always true; so one exchange serves all uses
     mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
 
     def span(first, n_words):
@@ -192,8 +196,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     mask = (1 << _BITS) - 1
     at = F.shiftright("place", 2 * _BITS)
     before, more = F.shiftright("place", _BITS).bitwiseAND(mask), F.col("place").bitwiseAND(mask)
-    whole = seeded.join(contexts.filter("n > 1").select("anchor", "context"),
-                        ["anchor", "context"]).select(
+    whole = seeded.join(contexts.filter("n > 1").select("context"), "context").select(
         "row_key", span(at - before, more + length).alias("span"))
 
     marks = (

@@ -8,15 +8,16 @@
    high similarities: J = 1 + n / (4 k) * ln(1 - 2 odd / n) for n bits and k samples.
 3. Classes that share a band are candidates.  First each one meets its bucket's hub.  Candidates
    whose sketches agree are confirmed on their full shingle sets; links are joined to components.
-4. Buckets that still hold several components are compared in blocks, sketch against sketch; each
-   member's partners in other components go on for confirmation in the order of their estimate:
-   first the best few, then the next, until none is left.  Partners already in the member's
-   component need no check, so tight groups cost little, and no pair is left out.
+4. Buckets that still hold several components are compared in blocks: pairs of different components
+   whose sketches agree are confirmed on their full sets right there, the likeliest first, until
+   the block knows how its components hang together.  A block emits a forest, never all pairs, and
+   pairs within a component need no check, so tight groups cost little and no pair is left out.
 
 A pair at a similarity of 0.8 shares no band with probability (1 - 0.8**6)**42 < 3e-6 (a pair at 0.85
 with 1e-9), and fails the sketch's cut-off with a probability of about 1e-6.
 
-Blocks hold ``BLOCK`` members, so a bucket of any size is spread over many tasks.
+Blocks hold about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles, so a bucket of any size is spread
+over many tasks.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and keep their own
 id as component; fewer words than a shingle form one shingle; repeated rows and equal sets share a
@@ -40,8 +41,7 @@ from lanewise.llm.graph import components
 
 SAMPLES, BANDS, ROWS = 256, 42, 6
 BITS = 512
-BLOCK = 512
-RANKS = (4, 32, 1 << 31)
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 SIGNED = ("row_key struct<doc_id:bigint,text_hash:bigint>, n_shingles long, node long, "
           "bands array<bigint>, sketch array<bigint>")
 
@@ -134,26 +134,33 @@ def _row_key():
                     F.xxhash64("text").alias("text_hash"))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are as similar as asked."""
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    found: list[np.ndarray] = []
+    for begin, end in words.batches(texts):
+        values, first = words.shingle_sets(words.split(texts[begin:end], lower=True), size)
+        found += [values[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
+    return found
+
+
 def _confirmer(size: int, percent: int):
     """Pairs whose full shingle sets are as similar as asked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-            links = []
-            for begin, end in words.batches([a + b for a, b in zip(left, right, strict=True)]):
-                a, a_first = words.shingle_sets(words.split(left[begin:end], lower=True), size)
-                b, b_first = words.shingle_sets(words.split(right[begin:end], lower=True), size)
-                for i in range(end - begin):
-                    x, y = a[a_first[i]:a_first[i + 1]], b[b_first[i]:b_first[i + 1]]
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        links.append(begin + i)
-            yield pa.RecordBatch.from_pydict(
-                {"u": pa.array([us[i] for i in links], pa.int64()),
-                 "v": pa.array([vs[i] for i in links], pa.int64())})
+            texts = [batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)]
+            sizes = [a + b for a, b in zip(*texts, strict=True)]
+            linked = []
+            for begin, end in words.batches(sizes):
+                left, right = (_sets(t[begin:end], size) for t in texts)
+                linked += [_similar(a, b, percent) for a, b in zip(left, right, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
     return run
 
 
@@ -169,54 +176,72 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
-def _block_matcher(low: int, high: int, cut: int):
-    """Per block pair: each member's partners of other components, by estimate from low to high."""
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(
-            np.uint64).reshape(len(node), BITS // 64)
+def _block_linker(size: int, percent: int, cut: int):
+    """How the components of two blocks (or of one block with itself) are linked: a forest."""
+    def run(block: pa.Table) -> pa.Table:
+        node, root = block.column("node").to_numpy(), block.column("root").to_numpy()
         order = np.argsort(node, kind="stable")
-        side, node, root, sketch = side[order], node[order], root[order], sketch[order]
-        # side 2: both sides of the comparison, when a block meets itself
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found_u, found_v = [], []
-        for a, b in ((left, right), (right, left)):
-            for i in a:
-                odd = np.bitwise_count(sketch[b] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                rank = np.argsort(odd, kind="stable")[low + (low > 0):high + 1]
-                near = b[rank[(odd[rank] <= cut)]]
-                near = near[root[near] != root[i]]
-                found_u.append(np.maximum(node[near], node[i]))
-                found_v.append(np.minimum(node[near], node[i]))
-            if len(side) and side[0] == 2:
-                break
-        u = np.concatenate(found_u) if found_u else np.zeros(0, np.int64)
-        v = np.concatenate(found_v) if found_v else np.zeros(0, np.int64)
-        return pa.table({"u": u, "v": v})
+        root, side = root[order], block.column("side").to_numpy()[order]
+        sketch = block.column("sketch").combine_chunks().flatten().to_numpy().view(
+            np.uint64).reshape(len(node), BITS // 64)[order]
+        pairs = []
+        for i in np.flatnonzero(side != 1):
+            others = np.flatnonzero((side != 0) & (root != root[i]))
+            if side[i] == 2:
+                others = others[others > i]
+            odd = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = odd <= cut
+            pairs += zip(odd[near].tolist(), [int(i)] * int(near.sum()), others[near].tolist(),
+                         strict=True)
+        pairs.sort()
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        texts = block.column("text")
+        links = []
+        for _, i, j in pairs:
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a == b:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    text = texts[int(order[k])].as_py().encode("utf-8")
+                    sets[k] = _sets([text], size)[0]
+            if _similar(sets[i], sets[j], percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((max(a, b), min(a, b)))
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()),
+                         "v": pa.array([x[1] for x in links], pa.int64())})
     return run
 
 
-def _mixed_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def _mixed_blocks(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt to pairs of blocks."""
     labelled = buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (
         labelled.groupBy("band")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"),
-             F.count(F.lit(1)).alias("members"))
+             F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
         .filter("low <> high")
-        .select("band", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
+        .select("band", F.ceil(F.greatest(F.col("members") / BLOCK,
+                                          F.col("shingles") / BLOCK_SHINGLES))
+                .cast("long").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return (
-        labelled.join(mixed, "band").withColumn("block", block).join(sketches, "node")
-        .withColumn("other", other)
+        labelled.join(mixed, "band").withColumn("block", block).withColumn("other", other)
         .select("band", (low * F.col("blocks") + high).alias("pair"),
                 F.when(F.col("block") == F.col("other"), 2)
                 .when(F.col("block") == low, 0).otherwise(1).alias("side"),
-                "node", "root", "sketch")
+                "node", "root")
+        .join(texts, "node").select("band", "pair", "side", "node", "root", "sketch", "text")
     )
 
 
@@ -227,18 +252,20 @@ def near_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = reliable(
         signed.filter("node is not null").groupBy("node")
         .agg(F.min("row_key.doc_id").alias("first_id"), F.min("row_key").alias("row_key"),
+             F.any_value("n_shingles").alias("n_shingles"),
              F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     sketches = classes.select("node", "sketch")
-    members = classes.select("node", F.explode("bands").alias("band"))
+    members = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
     buckets = reliable(members.join(shared.select("band", "hub"), "band"))
     active = buckets.select("node").distinct()
-    chosen = classes.join(active, "node", "left_semi").select("node", "row_key")
+    chosen = classes.join(active, "node", "left_semi").select("node", "row_key", "sketch")
     texts = reliable(
-        keyed.join(chosen, "row_key").dropDuplicates(["row_key"]).select("node", "text"))
+        keyed.join(chosen, "row_key").dropDuplicates(["row_key"]).select("node", "sketch", "text"))
 
     cut = most_odd_bits(percent)
+    sketches = classes.select("node", "sketch")
     odd = F.aggregate(
         F.zip_with("u_sketch", "v_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
         F.lit(0), lambda total, n: total + n)
@@ -249,21 +276,17 @@ def near_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("v_sketch")), "v")
         .filter(odd <= cut).select("u", "v")
     )
-    links = reliable(confirm(stars, texts, size, percent))
-    labels = components(links)
-    members = buckets.select("band", "node")
-    low = 0
-    for high in RANKS:
-        found = reliable(
-            _mixed_blocks(members, labels, sketches).groupBy("band", "pair")
-            .applyInArrow(_block_matcher(low, high, cut), "u long, v long").distinct())
-        if not found.isEmpty():
-            links = reliable(links.union(confirm(found, texts, size, percent)))
-            labels = components(links)
-        low = high
-
-    rooted = classes.join(labels, "node", "left").select(
-        "node", "first_id", F.coalesce("root", "node").alias("root"))
+    labels = components(confirm(reliable(stars), texts, size, percent))
+    bridges = _mixed_blocks(buckets.drop("hub"), labels, texts).groupBy("band", "pair").applyInArrow(
+        _block_linker(size, percent, cut), "u long, v long")
+    bridged = components(bridges)
+
+    rooted = (
+        classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        .join(bridged.select(F.col("node").alias("root"), F.col("root").alias("top")),
+              "root", "left")
+        .select("node", "first_id", F.coalesce("top", "root").alias("root"))
+    )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = rooted.join(smallest, "root").select("node", "component_id")
     return signed.join(component, "node", "left").select(

@@ -88,6 +88,11 @@ def request_rules(request: str) -> dict[str, Column]:
             "weight_positive": positive("weight_lbs"),
             "declared_value_not_negative": not_negative("declared_value"),
             "gl_code_length": at_most("gl_code", 20),
+            "consignee_name_length": at_most("consignee_name", 200),
+            "consignee_email_valid": matches("consignee_email", EMAIL),
+            "origin_zip_length": at_most("origin_zip", 20),
+            "dest_zip_length": at_most("dest_zip", 20),
+            "special_instructions_length": at_most("special_instructions", 1000),
         }
     if request == "update_status":
         allowed = [s for s in SHIPMENT_STATUSES if s != "CREATED"]

@@ -11,8 +11,7 @@ from lanewise.operators.skew import latest, previous_value
 
 CARD = ["rate_per_cwt", "fuel_surcharge_percent", "minimum_charge"]
 RATE_KEY = ["carrier_id", "lane_id"]
-# Room for the offer number beside the cents in one 64-bit integer.
-OFFERS_PER_LANE = 1 << 22
+WEIGHTS_PER_CUT = 10_000
 
 
 def active(rates: DataFrame) -> DataFrame:
@@ -36,62 +35,89 @@ def quote_requests(shipments: DataFrame) -> DataFrame:
     return shipments.select(lane_id.alias("lane_id"), "weight_lbs").distinct()
 
 
-def _on_lane(requests: DataFrame, cards: DataFrame, salts: int) -> DataFrame:
+def _on_lane(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """Different (lane, weight) pairs next to the cards of their lane.
 
-    Few input bytes make many output rows here, which adaptive execution cannot foresee: it would
-    gather everything into one task.  So both sides are spread by lane and a salt taken from the
-    weight over a fixed number of partitions, which also cuts a lane with very many weights.
+    Few input bytes make many output rows here, so a lane is cut by its measured number of weights:
+    ``WEIGHTS_PER_CUT`` of them meet one copy of the lane's cards.
     """
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("weight_lbs"), F.lit(salts)).cast("int")
-    asked = requests.select("lane_id", "weight_lbs").distinct().withColumn("salt", salt)
-    offered = cards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    key = ["lane_id", "salt"]
-    return asked.repartition(n, *key).join(offered.repartition(n, *key), key).drop("salt")
-
-
-def carrier_quotes(requests: DataFrame, rates: DataFrame, salts: int = 8) -> DataFrame:
+    asked = requests.select("lane_id", "weight_lbs").distinct()
+    cuts = asked.groupBy("lane_id").agg(
+        F.ceil(F.count(F.lit(1)) / WEIGHTS_PER_CUT).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("weight_lbs"), F.col("cuts")).cast("int")
+    left = asked.join(cuts, "lane_id").withColumn("cut", cut).drop("cuts")
+    right = cards.join(cuts, "lane_id").withColumn(
+        "cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    key = ["lane_id", "cut"]
+    return left.repartition(n, *key).join(right.repartition(n, *key), key).drop("cut")
+
+
+def carrier_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """What every active carrier on the lane would charge.
 
     Requests are first reduced to the different (lane, weight) pairs, so a lane with a third of all
-    shipments brings no more rows than it has weights.  Cheapest first means ordering by
-    ``total_rate``, then ``carrier_id``; the global order is left to the reader.
+    shipments brings no more rows than it has weights.  ``ranked_quotes`` orders them.
     """
     cards = price_list(rates, "carrier_name", "transit_days")
-    return _on_lane(requests, cards, salts).select(
+    return _on_lane(requests, cards).select(
         "lane_id", "weight_lbs", "carrier_id", "carrier_name", total_rate().alias("total_rate"),
         "transit_days")
 
 
+def ranked_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
+    """The quotes of each request, numbered from the cheapest, ties by carrier id.
+
+    A request has as many quotes as its lane has carriers, however many shipments ask for it.
+    """
+    cheapest = Window.partitionBy("lane_id", "weight_lbs").orderBy("total_rate", "carrier_id")
+    return carrier_quotes(requests, rates).withColumn("rank", F.row_number().over(cheapest))
+
+
 def numbered_offers(rates: DataFrame) -> DataFrame:
-    """Cards that price alike reduced to their smallest carrier id, numbered in carrier order."""
+    """The offers that can be the cheapest, numbered per lane in carrier order.
+
+    Cards that price alike are reduced to their smallest carrier id.  An offer goes if one of a
+    smaller carrier id has neither a higher factor nor a higher minimum: it never costs less and
+    loses ties.  The two such offers looked at are the one with the least factor so far and the one
+    with the least minimum so far.
+    """
     offers = (
         price_list(rates, "carrier_name", "transit_days")
         .groupBy("lane_id", "factor", "minimum_charge")
         .agg(F.min(F.struct("carrier_id", "carrier_name", "transit_days")).alias("offer"))
-        .select("lane_id", "factor", "minimum_charge", "offer.*")
+        .select("lane_id", "factor", "minimum_charge", "offer.*",
+                F.coalesce("factor", F.lit(0)).alias("slope"),
+                F.coalesce("minimum_charge", F.lit(0)).alias("floor"))
+    )
+    lane = Window.partitionBy("lane_id").orderBy("carrier_id", "slope", "floor")
+    before = lane.rowsBetween(Window.unboundedPreceding, -1)
+    flattest = F.min(F.struct("slope", "floor")).over(before)
+    lowest = F.min(F.struct("floor", "slope")).over(before)
+    seen = offers.withColumn("flattest", flattest).withColumn("lowest", lowest)
+    beaten = ((F.col("flattest.slope") <= F.col("slope")) & (F.col("flattest.floor") <= F.col("floor"))
+              | (F.col("lowest.floor") <= F.col("floor")) & (F.col("lowest.slope") <= F.col("slope")))
+    return (
+        seen.filter(~F.coalesce(beaten, F.lit(False))).drop("slope", "floor", "flattest", "lowest")
+        .withColumn("offer_no", F.row_number().over(
+            Window.partitionBy("lane_id").orderBy("carrier_id", "factor", "minimum_charge")))
     )
-    number = F.row_number().over(Window.partitionBy("lane_id").orderBy("carrier_id"))
-    fits = F.when(number < OFFERS_PER_LANE, number).otherwise(
-        F.raise_error(F.lit("too many different prices on one lane")))
-    return offers.withColumn("offer_no", fits.cast("bigint"))
 
 
-def best_quotes(requests: DataFrame, rates: DataFrame, salts: int = 8) -> DataFrame:
+def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """The cheapest active carrier per (lane, weight), ties to the smaller carrier id.
 
-    A request meets the different price formulas of its lane and not its carriers.  Cents and offer
-    number are packed into one integer, so the minimum is a plain hash aggregation that combines
-    before the shuffle; the winner's columns are looked up afterwards.
+    A request meets the offers of its lane that can win.  Price and offer number are packed into one
+    exact number, so the minimum is a plain hash aggregation that combines before the shuffle; the
+    winner's columns are looked up afterwards.
     """
     offers = numbered_offers(rates)
-    cents = (total_rate() * 100).cast("bigint")
-    packed = cents * F.lit(OFFERS_PER_LANE) + F.col("offer_no")
+    whole = (total_rate() * 10_000).cast("decimal(20,0)")
+    packed = (whole * F.lit(1 << 32).cast("decimal(11,0)")).cast("decimal(38,0)") + F.col("offer_no")
     winners = (
-        _on_lane(requests, offers.select("lane_id", "factor", "minimum_charge", "offer_no"), salts)
-        .groupBy("lane_id", "weight_lbs").agg(F.min(packed).alias("best"))
-        .withColumn("offer_no", F.col("best") % OFFERS_PER_LANE)
+        _on_lane(requests, offers.select("lane_id", "factor", "minimum_charge", "offer_no"))
+        .groupBy("lane_id", "weight_lbs").agg(F.min(packed.cast("decimal(38,0)")).alias("best"))
+        .withColumn("offer_no", (F.col("best") % F.lit(1 << 32).cast("decimal(11,0)")).cast("int"))
     )
     return (
         winners.join(offers, ["lane_id", "offer_no"])

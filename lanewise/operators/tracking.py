@@ -130,14 +130,19 @@ def receive_webhooks(requests: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def tracking_messages(webhooks: DataFrame) -> DataFrame:
-    """Messages for accepted webhook calls.  The body itself carries no event type."""
+    """Messages for accepted webhook calls, stamped with the time the call came in (``received_at``).
+
+    The body itself carries no event type.
+    """
     ok = webhooks.filter(F.col("outcome") == "OK")
+    stamp = F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     body = messages.to_body(
         F.col("shipment_id").alias("shipmentId"),
         F.col("carrier_tracking_number").alias("carrierTrackingNumber"),
         F.col("carrier_status").alias("carrierStatus"),
         F.col("status_description").alias("statusDescription"), "location",
-        F.col("carrier_id").alias("carrierId"), F.col("correlation_id").alias("correlationId"))
+        F.col("carrier_id").alias("carrierId"), F.col("correlation_id").alias("correlationId"),
+        stamp.alias("timestamp"))
     return ok.select(F.lit(TRACKING_EVENT).alias("event_type"), "carrier_id", "correlation_id",
                      body.alias("body"))
 

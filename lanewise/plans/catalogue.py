@@ -178,6 +178,12 @@ def best_quote(spark: SparkSession, d: str) -> DataFrame:
     return plain(rates.best_quotes(requests, sample.carrier_rates(spark, d)))
 
 
+def ranked_quotes(spark: SparkSession, d: str) -> DataFrame:
+    requests = rates.quote_requests(sample.shipments(spark, d))
+    return plain(rates.ranked_quotes(requests, sample.carrier_rates(spark, d)).drop(
+        "carrier_name", "transit_days"))
+
+
 def rate_lookup(spark: SparkSession, d: str) -> DataFrame:
     cards = rates.active(sample.carrier_rates(spark, d))
     return plain(search.find(cards, carrier_id="7", shipment_type="LTL"))
@@ -369,7 +375,7 @@ def paid_invoices(spark: SparkSession, d: str) -> DataFrame:
 def webhook_intake(spark: SparkSession, d: str) -> DataFrame:
     keys = tracking.signing_keys(spark, sample.WEBHOOK_SECRETS)
     seen = tracking.receive_webhooks(sample.webhook_requests(spark, d), keys)
-    return seen.drop("body", "correlation_id")
+    return seen.drop("body", "correlation_id", "received_at")
 
 
 def webhook_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -382,10 +388,11 @@ def tracking_messages(spark: SparkSession, d: str) -> DataFrame:
     keys = tracking.signing_keys(spark, sample.WEBHOOK_SECRETS)
     sent = tracking.tracking_messages(
         tracking.receive_webhooks(sample.webhook_requests(spark, d), keys))
+    fields = ["shipmentId", "carrierTrackingNumber", "carrierStatus", "statusDescription",
+              "location", "carrierId", "correlationId", "timestamp"]
     return sent.select(
         "event_type", "carrier_id", "correlation_id",
-        F.get_json_object("body", "$.shipmentId").alias("shipment_id"),
-        F.get_json_object("body", "$.carrierStatus").alias("carrier_status"),
+        *[F.get_json_object("body", f"$.{name}").alias(f"body_{name}") for name in fields],
         messages.event_type(F.col("body")).alias("body_event_type"))
 
 
@@ -745,7 +752,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     shipment_search, shipment_search_page, shipment_page_after, page_totals, shipper_history,
     invoice_listing, carrier_invoices, overdue_shipments, overdue_invoices, status_counts_since,
     invoice_with_lines, shipment_with_legs,
-    multi_carrier_quote, best_quote, rate_lookup, weight_buckets, rate_changes,
+    multi_carrier_quote, best_quote, ranked_quotes, rate_lookup, weight_buckets, rate_changes,
     latest_rate_per_key, rate_upsert, rate_valid_on_date, rate_fallback,
     rate_refresh_counts, rate_event_messages,
     three_way_match, contract_match, match_on_delivery, invoice_events, discrepancy_flags,

@@ -313,7 +313,8 @@ VIEWS = {
     "asked": ("shipments", """
         SELECT shipment_id, k % 17 = 0 AS bad_mail, k % 23 = 0 AS blank_city,
                k % 29 = 0 AS long_state, k % 31 = 0 AND weight_lbs IS NOT NULL AS bad_weight,
-               k % 37 = 0 AS bad_value
+               k % 37 = 0 AS bad_value, k % 43 = 0 AS long_name, k % 41 = 0 AS bad_other_mail,
+               k % 47 = 0 AS long_from_zip, k % 53 = 0 AS long_to_zip, k % 59 = 0 AS long_note
         FROM shipments"""),
 }
 
@@ -537,7 +538,12 @@ CREATE_RULES = """concat_ws(',',
     CASE WHEN blank_city THEN 'origin_city_not_blank' END,
     CASE WHEN long_state THEN 'origin_state_length' END,
     CASE WHEN bad_weight THEN 'weight_positive' END,
-    CASE WHEN bad_value THEN 'declared_value_not_negative' END)"""
+    CASE WHEN bad_value THEN 'declared_value_not_negative' END,
+    CASE WHEN long_name THEN 'consignee_name_length' END,
+    CASE WHEN bad_other_mail THEN 'consignee_email_valid' END,
+    CASE WHEN long_from_zip THEN 'origin_zip_length' END,
+    CASE WHEN long_to_zip THEN 'dest_zip_length' END,
+    CASE WHEN long_note THEN 'special_instructions_length' END)"""
 
 FOLD_COLUMNS = """SELECT event_id, shipment_id, ts, requested_status, old_status, new_status,
     accepted FROM fold"""
@@ -654,6 +660,15 @@ SQL: dict[str, tuple[str, str]] = {
                                      AS lane_id, weight_lbs FROM shipments) q
                     JOIN rates r ON r.lane_id = q.lane_id WHERE r.active))
         WHERE nth = 1"""),
+    "ranked_quotes": ("shipments rates", f"""
+        SELECT lane_id, cast(weight_lbs AS double) AS weight_lbs, carrier_id,
+               cast(total AS double) AS total_rate,
+               row_number() OVER (PARTITION BY lane_id, weight_lbs ORDER BY total, carrier_id)
+                   AS rank
+        FROM (SELECT q.lane_id, weight_lbs, carrier_id, {contract('weight_lbs')} AS total
+              FROM (SELECT DISTINCT concat(origin_state, '-', dest_state, '-', shipment_type)
+                               AS lane_id, weight_lbs FROM shipments) q
+              JOIN rates r ON r.lane_id = q.lane_id WHERE r.active)"""),
     "rate_lookup": ("rates", """
         SELECT carrier_id, carrier_name, lane_id, origin_state, dest_state, shipment_type,
                cast(rate_per_cwt AS double) AS rate_per_cwt,
@@ -818,9 +833,14 @@ SQL: dict[str, tuple[str, str]] = {
         FROM webhooks GROUP BY outcome"""),
     "tracking_messages": ("normalised", """
         SELECT 'TrackingEventReceivedEvent' AS event_type, carrier_id,
-               concat('req-', event_id) AS correlation_id, shipment_id, carrier_status,
-               '' AS body_event_type
-        FROM normalised WHERE outcome = 'OK'"""),
+               concat('req-', event_id) AS correlation_id, shipment_id AS "body_shipmentId",
+               carrier_tracking_number AS "body_carrierTrackingNumber",
+               carrier_status AS "body_carrierStatus",
+               status_description AS "body_statusDescription", location AS body_location,
+               carrier_id AS "body_carrierId", concat('req-', event_id) AS "body_correlationId",
+               strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS body_timestamp, '' AS body_event_type
+        FROM normalised JOIN (SELECT event_id, ts FROM tracking) USING (event_id)
+        WHERE outcome = 'OK'"""),
     "message_types": ("queue", "SELECT event_id, body_event_type, readable FROM queue"),
     "quarantine": ("queue", "SELECT readable, count(*) AS messages FROM queue GROUP BY readable"),
     "event_routing": ("queue", """
@@ -1010,7 +1030,8 @@ SQL: dict[str, tuple[str, str]] = {
         FROM mails GROUP BY ALL"""),
     "quality_violations": ("asked", f"""
         SELECT shipment_id, {CREATE_RULES} AS violations FROM asked
-        WHERE bad_mail OR blank_city OR long_state OR bad_weight OR bad_value"""),
+        WHERE bad_mail OR blank_city OR long_state OR bad_weight OR bad_value OR long_name
+           OR bad_other_mail OR long_from_zip OR long_to_zip OR long_note"""),
     "quality_counts": ("legs shipments", """
         SELECT 'status_known' AS rule, count(*) AS rows, 'legs' AS "table"
         FROM legs WHERE suppkey % 5 = 0

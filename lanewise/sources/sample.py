@@ -313,6 +313,16 @@ def shipment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("weight_lbs"),
         F.when(key % 37 == 0, F.lit(-1).cast("decimal(12,2)")).otherwise(F.col("declared_value"))
         .alias("declared_value"),
+        F.when(key % 43 == 0, F.repeat(F.lit("n"), 201)).otherwise(F.lit("Consignee"))
+        .alias("consignee_name"),
+        F.when(key % 41 == 0, "two@@signs").when(key % 3 != 0, "dock@example.org")
+        .alias("consignee_email"),
+        F.when(key % 47 == 0, F.repeat(F.lit("9"), 21)).otherwise(F.lit("90210"))
+        .alias("origin_zip"),
+        F.when(key % 53 == 0, F.repeat(F.lit("9"), 21)).when(key % 2 == 0, "10001")
+        .alias("dest_zip"),
+        F.when(key % 59 == 0, F.repeat(F.lit("s"), 1001)).when(key % 2 == 0, "ring twice")
+        .alias("special_instructions"),
         "gl_code", "status")
 
 
@@ -366,7 +376,7 @@ def webhook_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(eid % 53 == 0, "sha256=forged").when(eid % 7 != 0, signed)
     return (
         e.select("event_id", F.when(eid % 59 != 0, carrier).alias("carrier_id"),
-                 _made_once(body))
+                 F.col("ts").cast("timestamp").alias("received_at"), _made_once(body))
         .withColumn("headers", F.create_map(F.lit("Content-Type"), F.lit("application/json"),
                                             F.lit("X-Hub-Signature-256"), header))
         .withColumn("correlation_id", F.concat(F.lit("req-"), eid.cast("string")))

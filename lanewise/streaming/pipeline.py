@@ -32,14 +32,17 @@ def once(events: DataFrame) -> DataFrame:
 def tracking_requests(queue: DataFrame) -> DataFrame:
     """Status requests from a stream of raw messages, each event once.
 
-    The event time is the message's own, or its arrival if it has none; the id is the correlation
-    id.  Repeats are dropped as long as they come within the watermark, which also bounds the state
+    The event time is the message's own, or its arrival (``received_at``, where the source tells it),
+    so that a rerun gives the same; the id is the correlation id.  Repeats are dropped as long as they come within the watermark, which also bounds the state
     kept for it.
     """
-    event = messages.good(messages.parse(queue, schemas.TRACKING_MESSAGE)).select("event.*")
+    if "received_at" not in queue.columns:
+        queue = queue.withColumn("received_at", F.lit(None).cast("timestamp"))
+    event = messages.good(messages.parse(queue, schemas.TRACKING_MESSAGE)).select(
+        "event.*", "received_at")
     rows = event.select(
         F.col("correlationId").alias("event_id"),
-        F.coalesce(F.col("timestamp").try_cast("timestamp"), F.current_timestamp()).alias("ts"),
+        F.coalesce(F.col("timestamp").try_cast("timestamp"), "received_at").alias("ts"),
         F.col("shipmentId").alias("shipment_id"), F.col("carrierStatus").alias("carrier_status"),
         F.col("statusDescription").alias("status_reason"), "location")
     return tracking.status_requests(once(rows))

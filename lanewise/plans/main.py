@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+if not __package__:  # run as a file: the package is two folders up
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
 from lanewise.fixed_values import DEFAULT_LOOKBACK_DAYS
 from lanewise.functions import timing
 from lanewise.plans import jobs
-from lanewise.session import configure, sized_for
+from lanewise.session import configure, ship, sized_for
 from lanewise.sources import tables
 
 
@@ -50,6 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.input_gb:
         builder = sized_for(builder, args.input_gb << 30)
     spark = builder.getOrCreate()
+    ship(spark)
     if args.job == "scorecard":
         first, last = timing.scorecard_window(args.date, args.lookback_days)
     else:

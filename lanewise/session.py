@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +65,17 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, as a zip that Spark hands out, unless they have it already."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        bundle = Path(folder) / "lanewise.zip"
+        with zipfile.ZipFile(bundle, "w") as zipped:
+            for file in sorted(root.rglob("*.py")):
+                zipped.write(file, Path(root.name) / file.relative_to(root))
+        spark.sparkContext.addPyFile(str(bundle))
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of our own, wherever it is stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,5 +1,8 @@
 """Jobs, sinks and keyed writes: same result again, nothing lost, right dates."""
 
+import os
+import subprocess
+import sys
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -306,3 +309,26 @@ def test_results_do_not_depend_on_partitioning(spark, inputs):
     assert same(spend.spend_history(*inputs), spend.spend_history(*spread))
     assert same(scorecard.carrier_scorecard(*inputs, "2001-12-31", 3000),
                 scorecard.carrier_scorecard(*spread, "2001-12-31", 3000))
+
+
+def test_jobs_run_from_another_folder(tmp_path, sf_small):
+    """The command line as a file, from elsewhere, without the package on any path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    helped = subprocess.run([sys.executable, f"{root}/lanewise/plans/main.py", "--help"],
+                            cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert helped.returncode == 0 and "scorecard" in helped.stdout
+    script = tmp_path / "stream.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from lanewise.plans import catalogue
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate())
+print("ROWS", catalogue.stream_lifecycle(spark, {sf_small!r}).count())
+""")
+    ran = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=300)
+    assert "ROWS" in ran.stdout, ran.stderr[-2000:]

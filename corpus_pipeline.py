@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm import bpe, contamination, exact, language, near
 from lanewise.llm.common import table
-from lanewise.session import shared_dir
+from lanewise.session import delete_folder, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,11 +60,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; a stage's rows are deleted once the next stage's are written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -74,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before:
-            _delete(spark, before)
+            delete_folder(spark, before)
         before = out
     return docs

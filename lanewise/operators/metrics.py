@@ -22,6 +22,24 @@ def samples(rows: DataFrame, ts: str, metric: str, value: Column | int = 1,
                        tag_map.alias("tags"), amount.cast("bigint").alias("value"))
 
 
+def with_common_tags(metric_samples: DataFrame, service: str, environment: str) -> DataFrame:
+    """The two tags that every metric of a service carries; a sample's own tag of that name wins."""
+    common = F.create_map(F.lit("service"), F.lit(service), F.lit("environment"),
+                          F.lit(environment))
+    missing = F.map_filter(common, lambda k, v: ~F.array_contains(F.map_keys("tags"), k))
+    return metric_samples.withColumn("tags", F.map_concat("tags", missing))
+
+
+def email_samples(attempts: DataFrame, ts: str = "ts") -> DataFrame:
+    """One sample per attempt to send a mail; ``failed`` tells whether it went wrong.
+
+    Mails without a usable recipient are not attempted and count as neither.
+    """
+    tried = attempts.filter("is_deliverable")
+    return samples(tried.filter("NOT failed"), ts, "email.sent.count").unionByName(
+        samples(tried.filter("failed"), ts, "email.failure.count"))
+
+
 def tag_text(tags: Column) -> Column:
     """Tags as ``a=1,b=2`` in key order, which can be grouped by."""
     entries = F.array_sort(F.map_entries(tags))

@@ -7,6 +7,7 @@ that another engine can be compared with them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from lanewise.operators import (
     documents, lifecycle, matching, metrics, outbox, quality, rates, reports, scorecard, search,
     spend, tracking, upsert,
 )
-from lanewise.sources import sample
+from lanewise.plans import jobs
+from lanewise.session import shared_dir
+from lanewise.sources import keyed, sample
 from lanewise.streaming import pipeline, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SCORECARD_DAY = "1998-06-30"
 REPORT_DAY = "1998-07-01"
 AVERAGE_MS, P99_MS, SUM_MS = 500.0, 2000.0, 2500.0
+SHIPMENT_SERVICE, NOTIFIER, ENVIRONMENT = "shipment-service", "notification-service", "test"
 BASE_URL = "https://freight.example.com"
 
 
@@ -526,21 +530,21 @@ def stream_error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # Documents
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
+def _stored_objects(spark: SparkSession, d: str) -> DataFrame:
     return documents.objects(sample.object_notifications(spark, d))
 
 
 def document_key_parse(spark: SparkSession, d: str) -> DataFrame:
-    return documents.parse_keys(_stored(spark, d))
+    return documents.parse_keys(_stored_objects(spark, d))
 
 
 def document_batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return documents.batch_counts(documents.parse_keys(_stored(spark, d)))
+    return documents.batch_counts(documents.parse_keys(_stored_objects(spark, d)))
 
 
 def document_index(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.lit("2024-03-10 00:00:00").cast("timestamp_ntz")
-    updates = documents.index_updates(documents.parse_keys(_stored(spark, d)), stamp)
+    updates = documents.index_updates(documents.parse_keys(_stored_objects(spark, d)), stamp)
     return documents.index_documents(sample.document_metadata(spark, d), updates)
 
 
@@ -572,7 +576,7 @@ def document_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_jobs(spark: SparkSession, d: str) -> DataFrame:
-    candidates = documents.ocr_candidates(_stored(spark, d))
+    candidates = documents.ocr_candidates(_stored_objects(spark, d))
     job = F.concat(F.lit("job-"), F.col("doc_id").cast("string"))
     stamp = F.lit("2024-03-10 00:00:00").cast("timestamp_ntz")
     return documents.ocr_messages(candidates, job, stamp).select(
@@ -581,11 +585,11 @@ def ocr_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return documents.ocr_counts(documents.ocr_candidates(_stored(spark, d)))
+    return documents.ocr_counts(documents.ocr_candidates(_stored_objects(spark, d)))
 
 
 def ocr_job_documents(spark: SparkSession, d: str) -> DataFrame:
-    candidates = documents.ocr_candidates(_stored(spark, d))
+    candidates = documents.ocr_candidates(_stored_objects(spark, d))
     jobs = candidates.filter(F.col("ocr_outcome") == "STARTED").select(
         F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), "document_id",
         F.regexp_replace("shipment_id", "^ship ", "").alias("shipment_id"))
@@ -644,7 +648,8 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_counts_per_window(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.counters(_samples(spark, d))
+    return metrics.counters(metrics.with_common_tags(
+        _samples(spark, d), SHIPMENT_SERVICE, ENVIRONMENT))
 
 
 def duration_timers(spark: SparkSession, d: str) -> DataFrame:
@@ -692,11 +697,44 @@ def alarm_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def email_counts(spark: SparkSession, d: str) -> DataFrame:
     mails = _mails(spark, d)
-    sent = metrics.samples(mails.filter("is_deliverable"), "ts", "email.sent.count",
-                           template=F.col("template"))
-    skipped = metrics.samples(mails.filter("NOT is_deliverable"), "ts", "email.skipped.count",
-                              template=F.col("template"))
-    return metrics.counters(sent.unionByName(skipped), "1 day")
+    attempts = mails.withColumn("failed", F.col("event_id") % 13 == 0)
+    return metrics.counters(metrics.with_common_tags(
+        metrics.email_samples(attempts), NOTIFIER, ENVIRONMENT), "1 day")
+
+
+# Results written and read back
+
+def _stored(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def stored_spend_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The backfill job's cube, read back from its (date, carrier) partitions."""
+    tables = sample.shipments(spark, d), sample.invoices(spark, d)
+    root, schema = _stored(spark, "spend"), spend.spend_history(*tables).schema
+    jobs.run_spend_backfill(*tables, root)
+    return plain(spark.read.schema(schema).parquet(root).select(schema.names))
+
+
+def stored_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Newest card per key after two writes and a batch of changes, read back."""
+    cards = sample.rate_history(spark, d).select(
+        "carrier_id", "lane_id", "refreshed_at", "refresh_id", "rate_per_cwt")
+    path, keys, order = _stored(spark, "rates"), rates.RATE_KEY, ["refreshed_at", "refresh_id"]
+    day = F.col("refreshed_at")
+    keyed.upsert_table(spark, path, cards.filter(day < "1997-01-01"), keys, order)
+    keyed.upsert_table(spark, path, cards.filter(day >= "1999-01-01"), keys, order)
+    keyed.append_changes(cards.filter((day >= "1997-01-01") & (day < "1999-01-01")), path, 0)
+    table = keyed.read_table(spark, path, cards.schema, keys, order)
+    return plain(table.select("carrier_id", "lane_id", "refresh_id", "rate_per_cwt"))
+
+
+def stored_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Created events as messages in JSON files, read back."""
+    events = lifecycle.created_events(sample.shipments(spark, d))
+    path = _stored(spark, "messages")
+    events.write.json(path)
+    return spark.read.schema("event_type string, shipment_id string").json(path)
 
 
 # Quality and retention
@@ -771,5 +809,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     metric_counts_per_window, duration_timers, error_counts, latest_error_lines,
     alarm_average, alarm_p99, alarm_sum, alarm_two_minutes, alarm_composite, email_counts,
     quality_violations, quality_counts, duplicate_keys, orphan_children, retention_filter,
-    partial_upsert,
+    partial_upsert, stored_spend_cube, stored_rates, stored_messages,
 )}

@@ -985,15 +985,17 @@ SQL: dict[str, tuple[str, str]] = {
         FROM shipments GROUP BY ALL"""),
     "metric_counts_per_window": ("shipments fold", f"""
         SELECT {PERIOD.format('created_at')} AS period_start, 'shipment.created.count' AS metric,
-               '' AS tags, count(*) AS value
+               'environment=test,service=shipment-service' AS tags, count(*) AS value
         FROM shipments GROUP BY ALL
         UNION ALL
         SELECT {PERIOD.format('actual_delivery')}, 'shipment.delivered.count',
-               concat('on_time=', actual_delivery <= estimated_delivery), count(*)
+               concat('environment=test,on_time=', actual_delivery <= estimated_delivery,
+                      ',service=shipment-service'), count(*)
         FROM shipments WHERE actual_delivery IS NOT NULL GROUP BY ALL
         UNION ALL
         SELECT {PERIOD.format('ts')}, 'shipment.status.change.count',
-               concat('new=', new_status, ',old=', old_status), count(*)
+               concat('environment=test,new=', new_status, ',old=', old_status,
+                      ',service=shipment-service'), count(*)
         FROM fold WHERE accepted GROUP BY ALL"""),
     "duration_timers": ("logs", f"""
         SELECT {PERIOD.format('ts')} AS period_start, service, environment,
@@ -1025,9 +1027,10 @@ SQL: dict[str, tuple[str, str]] = {
         GROUP BY period_start"""),
     "email_counts": ("mails", """
         SELECT date_trunc('day', ts)::timestamp AS period_start,
-               CASE WHEN recipients <> '' THEN 'email.sent.count' ELSE 'email.skipped.count' END
-                   AS metric, concat('template=', template) AS tags, count(*) AS value
-        FROM mails GROUP BY ALL"""),
+               CASE WHEN event_id % 13 = 0 THEN 'email.failure.count' ELSE 'email.sent.count' END
+                   AS metric, 'environment=test,service=notification-service' AS tags,
+               count(*) AS value
+        FROM mails WHERE recipients <> '' GROUP BY ALL"""),
     "quality_violations": ("asked", f"""
         SELECT shipment_id, {CREATE_RULES} AS violations FROM asked
         WHERE bad_mail OR blank_city OR long_state OR bad_weight OR bad_value OR long_name
@@ -1053,6 +1056,12 @@ SQL: dict[str, tuple[str, str]] = {
 }
 
 
+SQL["stored_spend_cube"] = SQL["freight_spend_daily"]
+SQL["stored_rates"] = SQL["latest_rate_per_key"]
+SQL["stored_messages"] = ("shipments", """
+    SELECT 'ShipmentCreatedEvent' AS event_type, shipment_id FROM shipments""")
+
+
 def _needed(names: str) -> list[str]:
     """Views in dependency order."""
     found: list[str] = []

@@ -292,8 +292,7 @@ def _encoder(file, outputs: tuple[str, ...]):
         tokenizer = _tokenizer(file.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            sizes = column.cast(pa.binary()).to_pylist()
-            for begin, end in words.batches(sizes):
+            for begin, end in words.batches(words.sizes(column)):
                 counts, made = [], [[] for _ in outputs]
                 texts = [t or "" for t in column.slice(begin, end - begin).to_pylist()]
                 for found in tokenizer.encode(texts):

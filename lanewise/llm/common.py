@@ -1,18 +1,14 @@
-"""What the operators share: reading a table, running a function over batches, cutting lineage."""
+"""What the operators share: reading a table, folds, cutting lineage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.session import reliable  # noqa: F401  (cuts lineage by a checkpoint in the shared folder)
+from lanewise.session import reliable  # noqa: F401
 
 # White space of all contracts: blank and the five ASCII controls; other white space is text.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,26 +21,3 @@ def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")),
                   F.lit(folds))
-
-
-def map_batches(df: DataFrame, function: Callable[[dict[str, list]], Iterable[dict[str, list]]],
-                schema: str) -> DataFrame:
-    """Run ``function`` over Arrow batches; it takes and yields columns as lists.
-
-    Rows move in batches that Spark bounds by rows and bytes; a function yields as often as it likes
-    so that its output need not be held either.
-    """
-    target = df.sparkSession.createDataFrame([], schema).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(target)
-        for batch in batches:
-            columns = {name: column.to_pylist()
-                       for name, column in zip(batch.schema.names, batch.columns, strict=True)}
-            for out in function(columns):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[field.name], field.type) for field in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)

@@ -98,10 +98,10 @@ def _shingles(split: words.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(owners)
 
 
-def find(texts: list[bytes | None], items: Items, size: int) -> Iterator[tuple[int, int, int]]:
+def find(texts: pa.Array, items: Items, size: int) -> Iterator[tuple[int, int, int]]:
     """(text, item, shingles in common) for all that reach the threshold."""
-    for begin, end in words.batches(texts):
-        split = words.split(texts[begin:end], words.NOT_ALPHANUMERIC, lower=True)
+    for begin, _, part in words.parts(texts):
+        split = words.split(part, words.NOT_ALPHANUMERIC, lower=True)
         values, owner = _shingles(split, size)
         place, sample = items.samples_in(values)
         hit = np.unique(np.stack([owner[place], sample]), axis=1)
@@ -124,9 +124,9 @@ def _finder(block, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*block.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            ids = batch.column(0).to_pylist()
             found = [(ids[t], items.ids[i], len(items.sets[i]), common)
-                     for t, i, common in find(texts, items, size)]
+                     for t, i, common in find(batch.column(1), items, size)]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*found, strict=True)],
@@ -139,9 +139,9 @@ def _item_sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            for begin, end in words.batches(texts):
-                split = words.split(texts[begin:end], words.NOT_ALPHANUMERIC, lower=True)
+            ids = batch.column(0)
+            for begin, end, texts in words.parts(batch.column(1)):
+                split = words.split(texts, words.NOT_ALPHANUMERIC, lower=True)
                 values, first = words.shingle_sets(split, size)
                 sets = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(

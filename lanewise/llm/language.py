@@ -229,7 +229,7 @@ def _predictor(samples):
         languages = _languages(samples.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            for begin, end in words.batches(column.cast(pa.binary()).to_pylist(), 4 << 20):
+            for begin, end in words.batches(words.sizes(column), 4 << 20):
                 own = batch.slice(begin, end - begin)
                 names, scores = languages.predict(column.slice(begin, end - begin).to_pylist())
                 yield pa.RecordBatch.from_arrays(

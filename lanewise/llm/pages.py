@@ -240,7 +240,7 @@ def _extractor(tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = batch.column(2)
-            for begin, end in words.batches(pages.cast(pa.binary()).to_pylist()):
+            for begin, end in words.batches(words.sizes(pages)):
                 texts = [main_text(p or "", tree)
                          for p in pages.slice(begin, end - begin).to_pylist()]
                 own = batch.slice(begin, end - begin)

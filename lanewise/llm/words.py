@@ -8,10 +8,12 @@ all workers and runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
@@ -162,14 +164,27 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def batches(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``limit`` bytes together, or one longer text."""
+def sizes(*columns: pa.Array) -> list[int]:
+    """Bytes of text in each row, without turning the texts into Python objects."""
+    found = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in columns]
+    return sum(found).tolist() if found else []
+
+
+def batches(texts: Sequence[bytes | int | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, given as such or by their sizes, that hold about ``limit`` bytes together,
+    or one longer text."""
     begin, held = 0, 0
     for i, text in enumerate(texts):
-        size = len(text or b"") + 1
+        size = 1 + (text if isinstance(text, int) else len(text or b""))
         if held and held + size > limit:
             yield begin, i
             begin, held = i, 0
         held += size
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def parts(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """A column of texts in such ranges: only one range at a time is held as Python objects."""
+    for begin, end in batches(sizes(column), limit):
+        yield begin, end, column.slice(begin, end - begin).cast(pa.binary()).to_pylist()

@@ -11,7 +11,7 @@ from lanewise.plans.catalogue import QUERIES
 from lanewise.session import sized_for
 from lanewise.sources import results, sample
 
-# The sliced replay and the stateful stream run a small Python step inside tasks.
+# The stateful stream runs a small Python step inside tasks; the other hands batches to a writer.
 WITH_PYTHON = {"stream_lifecycle", "stream_error_counts"}
 
 

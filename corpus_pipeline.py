@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digest and that of the decoded text."""
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"),
-                       ("ids", "ids_sha256", "decoded_sha256")).drop("text")
+                       ("ids", "ids_sha256", "decoded_sha256"), with_text=False)
 
 
 STAGES = [

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm import words
 from lanewise.llm.common import table
 
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 MAX_FILE = 64 << 20
 _NO_PAIR = 1 << 62
 _POSITION_BITS = 32
@@ -287,7 +287,7 @@ OUTPUTS = {
 }
 
 
-def _encoder(file, outputs: tuple[str, ...]):
+def _encoder(file, outputs: tuple[str, ...], kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(file.value)
         for batch in batches:
@@ -301,7 +301,7 @@ def _encoder(file, outputs: tuple[str, ...]):
                     decoded = " ".join([w[1] for w in found])
                     for name, values in zip(outputs, made, strict=True):
                         values.append(OUTPUTS[name][2](ids, decoded))
-                own = batch.slice(begin, end - begin)
+                own = batch.slice(begin, end - begin).select(kept)
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(counts, pa.int64()),
                      *(pa.array(v, OUTPUTS[n][1]) for n, v in zip(outputs, made, strict=True))],
@@ -309,18 +309,20 @@ def _encoder(file, outputs: tuple[str, ...]):
     return run
 
 
-def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"),
+            with_text: bool = True) -> DataFrame:
     """``docs`` (with a column text) plus n_tokens and the ``outputs`` asked for: ids, the decoded
-    text, and the sha256 of both (ids as decimals joined by blanks)."""
+    text, and the sha256 of both (ids as decimals joined by blanks); the text itself may go."""
     with open(path, "rb") as given:
         file = given.read(MAX_FILE + 1)
     if len(file) > MAX_FILE:
         raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
     docs = docs.select([c for c in docs.columns if c not in {"n_tokens", *outputs}])
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    kept = [c for c in docs.columns if with_text or c != "text"]
+    columns = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
     columns += ["n_tokens long", *(f"{name} {OUTPUTS[name][0]}" for name in outputs)]
     sent = docs.sparkSession.sparkContext.broadcast(file)
-    return docs.mapInArrow(_encoder(sent, outputs), ", ".join(columns))
+    return docs.mapInArrow(_encoder(sent, outputs, kept), ", ".join(columns))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,4 +331,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return encoded(docs, public_tokenizers.path("word_bpe_49k.json"),
-                   ("ids_sha256", "decoded_sha256")).drop("text")
+                   ("ids_sha256", "decoded_sha256"), with_text=False)

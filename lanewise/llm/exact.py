@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.llm import words
 from lanewise.llm.common import SPACE, table
 
-SPILL_BYTES = 96 << 20
+SPILL_BYTES = 48 << 20
 NO_ID = (1 << 63) - 1
 
 Owner = tuple[int, int, int]  # minus the code points of the original, doc_id, rows
@@ -157,7 +158,10 @@ def _terminal_batches(found: Iterator[tuple[int, int, bytes, Owner]]) -> Iterato
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(column.to_pylist() for column in batch.columns), strict=True)
+    """Rows of terminals; few are held as Python objects at a time."""
+    for begin, end in words.batches(words.sizes(batch.column(2))):
+        part = batch.slice(begin, end - begin)
+        yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
 def _combine(spill_bytes: int):

@@ -113,10 +113,9 @@ class Languages:
         self.width = len(chosen) + 1
         self.other = len(chosen)
         code = {letter: i for i, letter in enumerate(chosen)}
-        self.codes = np.full(0x10000, self.other, np.uint8)
+        self.codes = np.full(max(map(ord, chosen), default=0) + 2, self.other, np.uint8)
         for letter, i in code.items():
-            if ord(letter) < 0x10000:
-                self.codes[ord(letter)] = i
+            self.codes[ord(letter)] = i
         parts, self.roots, self.bits, offset = [], [], [], 0
         for name in self.names:
             sequence = []
@@ -141,7 +140,7 @@ class Languages:
         """Phrases (texts x languages) of texts of letters."""
         found = np.zeros((len(texts), len(self.names)), np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        codes = np.where(points < 0x10000, self.codes[points & 0xFFFF], self.other).astype(np.uint8)
+        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -229,7 +228,7 @@ def _predictor(samples):
         languages = _languages(samples.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            for begin, end in words.batches(words.sizes(column), 4 << 20):
+            for begin, end in words.batches(words.sizes(column)):
                 own = batch.slice(begin, end - begin)
                 names, scores = languages.predict(column.slice(begin, end - begin).to_pylist())
                 yield pa.RecordBatch.from_arrays(

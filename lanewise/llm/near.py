@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import words
@@ -41,7 +41,7 @@ from lanewise.llm.graph import components
 
 SAMPLES, BANDS, ROWS = 256, 42, 6
 BITS = 512
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SIGNED = ("row_key struct<doc_id:bigint,text_hash:bigint>, n_shingles long, node long, "
           "bands array<bigint>, sketch array<bigint>")
 
@@ -74,29 +74,27 @@ def most_odd_bits(percent: int) -> int:
     return math.ceil(expected)
 
 
-def sign(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of texts: shingles of each; class, bands and sketch of each that has shingles."""
-    for begin, end in words.batches(texts):
-        values, first = words.shingle_sets(words.split(texts[begin:end], lower=True), size)
-        counts = np.diff(first)
-        full = np.flatnonzero(counts)
-        if not len(full):
-            none = np.zeros((0, 1), np.uint64)
-            yield counts, none[:, 0], none, none
-            continue
-        at = first[:-1][full]
-        node = np.add.reduceat(words.mix(values ^ np.uint64(0x5851F42D4C957F2D)), at)
-        node = words.mix(node + counts[full].astype(np.uint64))
-        short = (values >> np.uint64(32)).astype(np.uint32)
-        samples = np.empty((SAMPLES, len(full)), np.uint32)
-        for i in range(SAMPLES):
-            samples[i] = np.minimum.reduceat((short ^ _XOR[i]) * _TIMES[i], at)
-        banded = samples[:BANDS * ROWS].reshape(BANDS, ROWS, len(full)).astype(np.uint64)
-        bands = np.zeros((len(full), BANDS), np.uint64)
-        for row in range(ROWS):
-            bands = words.mix(bands * np.uint64(0x9E3779B97F4A7C15) + banded[:, row].T)
-        bands = words.mix(bands + np.arange(BANDS, dtype=np.uint64))
-        yield counts, node, bands, odd_sketches(samples)
+def sign(texts: list[bytes | None], size: int) -> tuple[np.ndarray, ...]:
+    """The number of shingles of each text; class, bands and sketch of each that has shingles."""
+    values, first = words.shingle_sets(words.split(texts, lower=True), size)
+    counts = np.diff(first)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        none = np.zeros((0, 1), np.uint64)
+        return counts, none[:, 0], none, none
+    at = first[:-1][full]
+    node = np.add.reduceat(words.mix(values ^ np.uint64(0x5851F42D4C957F2D)), at)
+    node = words.mix(node + counts[full].astype(np.uint64))
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    samples = np.empty((SAMPLES, len(full)), np.uint32)
+    for i in range(SAMPLES):
+        samples[i] = np.minimum.reduceat((short ^ _XOR[i]) * _TIMES[i], at)
+    banded = samples[:BANDS * ROWS].reshape(BANDS, ROWS, len(full)).astype(np.uint64)
+    bands = np.zeros((len(full), BANDS), np.uint64)
+    for row in range(ROWS):
+        bands = words.mix(bands * np.uint64(0x9E3779B97F4A7C15) + banded[:, row].T)
+    bands = words.mix(bands + np.arange(BANDS, dtype=np.uint64))
+    return counts, node, bands, odd_sketches(samples)
 
 
 _ARROW_KEY = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64())])
@@ -115,17 +113,15 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
 def _signer(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            at = 0
-            for counts, node, bands, sketches in sign(texts, size):
+            for begin, end, texts in words.parts(batch.column(1)):
+                counts, node, bands, sketches = sign(texts, size)
                 full = counts > 0
                 nodes = np.zeros(len(counts), np.int64)
                 nodes[full] = node.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, len(counts)).cast(_ARROW_KEY), pa.array(counts, pa.int64()),
-                     pa.array(nodes, mask=~full), _lists(bands, full), _lists(sketches, full)],
-                    schema=_ARROW_SIGNED)
-                at += len(counts)
+                    [batch.column(0).slice(begin, end - begin).cast(_ARROW_KEY),
+                     pa.array(counts, pa.int64()), pa.array(nodes, mask=~full),
+                     _lists(bands, full), _lists(sketches, full)], schema=_ARROW_SIGNED)
     return run
 
 
@@ -143,22 +139,20 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    found: list[np.ndarray] = []
-    for begin, end in words.batches(texts):
-        values, first = words.shingle_sets(words.split(texts[begin:end], lower=True), size)
-        found += [values[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
-    return found
+    values, first = words.shingle_sets(words.split(texts, lower=True), size)
+    return [values[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
 
 
 def _confirmer(size: int, percent: int):
     """Pairs whose full shingle sets are as similar as asked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)]
-            sizes = [a + b for a, b in zip(*texts, strict=True)]
+            columns = batch.column(2), batch.column(3)
             linked = []
-            for begin, end in words.batches(sizes):
-                left, right = (_sets(t[begin:end], size) for t in texts)
+            for begin, end in words.batches(words.sizes(*columns)):
+                left, right = (
+                    _sets(c.slice(begin, end - begin).cast(pa.binary()).to_pylist(), size)
+                    for c in columns)
                 linked += [_similar(a, b, percent) for a, b in zip(left, right, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
     return run
@@ -221,26 +215,46 @@ def _block_linker(size: int, percent: int, cut: int):
 
 
 def _mixed_blocks(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, dealt to pairs of blocks."""
+    """Members of buckets that hold several components, dealt to pairs of blocks.
+
+    Members of a bucket's largest component need not meet each other: its blocks meet only the
+    blocks of the others, which also meet among themselves.  So a row is copied as often as the
+    others have blocks, however large the component is.
+    """
     labelled = buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("long")
+
     mixed = (
-        labelled.groupBy("band")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"),
-             F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-        .filter("low <> high")
-        .select("band", F.ceil(F.greatest(F.col("members") / BLOCK,
-                                          F.col("shingles") / BLOCK_SHINGLES))
-                .cast("long").alias("blocks"))
+        labelled.groupBy("band", "root")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+        .groupBy("band")
+        .agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"),
+             F.sum("s").alias("s"))
+        .filter(F.col("n") > F.col("top.n"))
+        .select("band", F.col("top.root").alias("top"),
+                blocks(F.col("top.n"), F.col("top.s")).alias("top_blocks"),
+                blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+                .alias("other_blocks"))
+    )
+    in_top, others = F.col("root") == F.col("top"), F.col("other_blocks")
+    block = F.pmod(F.xxhash64("node"), F.when(in_top, F.col("top_blocks")).otherwise(others))
+    meets = F.when(in_top, others).otherwise(F.col("top_blocks") + others)
+    across = F.col("met") < F.col("top_blocks")
+    met = F.col("met") - F.col("top_blocks")
+    low, high = F.least("block", met), F.greatest("block", met)
+    pair = (
+        F.when(in_top, F.col("block") * others + F.col("met"))
+        .when(across, F.col("met") * others + F.col("block"))
+        .otherwise(F.col("top_blocks") * others + low * others + high)
     )
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = (F.when(in_top, 0).when(across, 1).when(F.col("block") == met, 2)
+            .when(F.col("block") == low, 0).otherwise(1))
     return (
-        labelled.join(mixed, "band").withColumn("block", block).withColumn("other", other)
-        .select("band", (low * F.col("blocks") + high).alias("pair"),
-                F.when(F.col("block") == F.col("other"), 2)
-                .when(F.col("block") == low, 0).otherwise(1).alias("side"),
-                "node", "root")
+        labelled.join(mixed, "band").withColumn("block", block)
+        .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
+        .select("band", pair.alias("pair"), side.alias("side"), "node", "root")
         .join(texts, "node").select("band", "pair", "side", "node", "root", "sketch", "text")
     )
 
@@ -276,10 +290,11 @@ def near_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("v_sketch")), "v")
         .filter(odd <= cut).select("u", "v")
     )
-    labels = components(confirm(reliable(stars), texts, size, percent))
+    # Links are written out before they are contracted: a task then needs one Python worker, not two.
+    labels = components(reliable(confirm(reliable(stars), texts, size, percent)))
     bridges = _mixed_blocks(buckets.drop("hub"), labels, texts).groupBy("band", "pair").applyInArrow(
         _block_linker(size, percent, cut), "u long, v long")
-    bridged = components(bridges)
+    bridged = components(reliable(bridges))
 
     rooted = (
         classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

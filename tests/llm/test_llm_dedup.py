@@ -118,7 +118,7 @@ def test_odd_sketches_estimate_high_similarities():
         for _ in range(10):
             texts = [" ".join(map(str, shared + [rng.getrandbits(64) for _ in range(n - len(shared))]))
                      .encode() for _ in range(2)]
-            _, _, _, sketch = next(near.sign(texts, 1))
+            _, _, _, sketch = near.sign(texts, 1)
             odd = sum(int(x).bit_count() for x in sketch[0] ^ sketch[1])
             estimates.append(float(near.similarity(odd)))
             assert odd <= near.most_odd_bits(80)

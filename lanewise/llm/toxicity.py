@@ -20,7 +20,7 @@ regression).  Counting runs on the executors; the counts of word beginnings foun
 sample rows, and one row of features per sample row, reach the driver.
 
 Scoring reads every whole text in place: the insult and threat words are found by an Aho-Corasick
-automaton, and the grammar runs over the clauses that hold one.
+automaton, and the grammar runs over the clauses that hold one, each once from its beginning to its end.
 
 Defined cases: null, empty and wordless texts match nothing and get the score of such texts; without
 labelled rows of both kinds the prior lexicon and weights are used; repeated rows get equal scores; a
@@ -72,7 +72,7 @@ THREATS = (
     "te voy a matar", "voy a pegarte")
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_CLAUSE_END = ".!?;:\n"
+_CLAUSE_END = re.compile("[.!?;:\n。！？；：｡؟।]")
 PLAIN, TARGETED, NEGATED, REPORTED = range(4)
 
 
@@ -167,12 +167,13 @@ class Grammar:
         n_words = text.count(" ") + text.count("\n") + 1
         found = self.hits(text)
         sums, clauses, places = [0.0] * 4, 0, sorted(found)
-        at = 0
+        at = first = 0
+        ends = (m.start() for m in _CLAUSE_END.finditer(text))
         while at < len(places):
-            first = max(text.rfind(c, 0, places[at]) for c in _CLAUSE_END) + 1
-            ends = [e for c in _CLAUSE_END if (e := text.find(c, places[at], places[at] + 4000)) >= 0]
-            last = min(ends, default=min(len(text), places[at] + 4000))
-            first = max(first, places[at] - 4000)
+            last = next(ends, len(text))
+            if last <= places[at]:
+                first = last + 1
+                continue
             clauses += 1
             state = 0
             for word in _WORD.finditer(text, first, last):
@@ -182,6 +183,7 @@ class Grammar:
                     sums[_CASE[state]] += weight
             while at < len(places) and places[at] < last:
                 at += 1
+            first = last + 1
         weights = sorted(found.values(), reverse=True)
         total = sum(weights)
         return [1.0, math.log1p(total), math.log1p(sums[PLAIN]), math.log1p(sums[TARGETED]),

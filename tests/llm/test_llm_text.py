@@ -186,6 +186,16 @@ def test_clauses_are_scored_by_what_holds_in_them():
     assert case["stem"][0] == math.log1p(3.0) and not any(case["inside"])
 
 
+def test_long_clauses_are_read_whole_and_once():
+    grammar = toxicity.Grammar({"idiot ": 2.0})
+    far = "word " * 3000
+    assert grammar.features(f"she said {far} idiot")[5] == math.log1p(2.0)
+    assert grammar.features(f"you {far} idiot")[3] == math.log1p(2.0)
+    many = grammar.features(f"idiot {'word ' * 900} idiot {'word ' * 900} idiot")
+    assert many[2] == math.log1p(6.0) and many[9] == math.log1p(1)
+    assert grammar.features("她 said 了。 idiot")[2] == math.log1p(2.0)
+
+
 def test_toxicity_of_hard_rows(spark, edge, none):
     model = toxicity.learned(none.withColumn("label", F.lit(1)))
     found = toxicity.scored(edge, model).collect()

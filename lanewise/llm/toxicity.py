@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word:
+Five small transducers read a text word by word:
 
 * *insult*: a trie over the beginnings of words (and whole words), with learned weights;
-* *threat*: sequences such as "i will hurt you";
+* *threat*: sequences of inflected words such as "kill ... you", with up to ``INSERTED`` words between
+  two of them, of the fixed weight ``THREAT``;
 * *target*: a person is spoken to or of in the clause;
 * *negation*: a negated word does not hurt for the next few words;
 * *reported speech*: from "he said" on, the clause is somebody else's.
 
 Their composition is one automaton whose state says what holds at a word; an insult or threat emits its
-weight under that state.  A text's features are sums over its *matched clauses*: weights that are
-plain, targeted, negated or reported, their density, how many clauses match.  A word outside of a
-matching clause has no weight.
+weight under that state, a threat under all that held at one of its words.  End marks of clauses and line
+breaks are symbols, too: they begin a new clause, but a threat goes on over a single line break.  Words
+are parted at apostrophes ("l'idiot", "you'll"), but for the English "n't".
+
+A text's features are made of what the automaton emits and of nothing else: sums of weights that are
+plain, targeted, negated or reported; the sum, density and maximum of those that are asserted (plain or
+targeted); how many clauses emit, and the number of words.
 
 What is learned, all from labelled rows of the folds not held out and all from a sample of at most
 about ``TRAINING_ROWS`` rows drawn by a hash of the id: the insult trie (beginnings of words that occur
@@ -19,8 +24,9 @@ in far more toxic than other texts, by a likelihood ratio) and the weights of th
 regression).  Counting runs on the executors; the counts of word beginnings found in enough toxic
 sample rows, and one row of features per sample row, reach the driver.
 
-Scoring reads every whole text in place: the insult and threat words are found by an Aho-Corasick
-automaton, and the grammar runs over the clauses that hold one, each once from its beginning to its end.
+Scoring reads every word of every whole text once, and keeps the automaton's state only.  States are made
+when a text first needs them; there are finitely many, and ``MOST_STATES`` are kept before they are made
+anew.
 
 Defined cases: null, empty and wordless texts match nothing and get the score of such texts; without
 labelled rows of both kinds the prior lexicon and weights are used; repeated rows get equal scores; a
@@ -35,7 +41,6 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +71,34 @@ REPORTS = frozenset(
     "sagte sagt behauptet schrieb nannte dit disait affirme écrit appelé dijo dice afirma escribió "
     "llamó".split())
 INSULTS = "idiot stupid moron scum trash pathetic loser worthless disgusting clown".split()
-THREATS = (
-    "kill you", "hurt you", "beat you", "destroy you", "find you and", "you will die",
-    "you will pay", "you are dead", "bring dich um", "mach dich fertig", "te tuer", "vais te frapper",
-    "te voy a matar", "voy a pegarte")
-
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_CLAUSE_END = re.compile("[.!?;:\n。！？；：｡؟।]")
+# Threats, each a sequence of classes of words.
+_YOU = "you u ya yall yourself yourselves"
+_DICH = "dich euch"
+THREATS = tuple(tuple(frozenset(part.split()) for part in threat) for threat in (
+    ("kill kills killed killing hurt hurts hurting beat beats beaten beating destroy destroys destroyed "
+     "destroying murder murders murdered murdering", _YOU),
+    ("find finds finding", _YOU, "and"),
+    (_YOU, "will ll shall gonna", "die pay"),
+    (_YOU, "are re r", "dead"),
+    ("bring bringe bringen bringt brachte", _DICH, "um"),
+    (_DICH, "umbringen umbringe umzubringen töten töte"),
+    ("töte töten tötet", _DICH),
+    ("mach mache machen macht", _DICH, "fertig"),
+    (_DICH, "fertigmachen fertigzumachen"),
+    ("te t vous", "tuer tue tuerai tuerons tuons"),
+    ("vais va allons", "te vous", "frapper"),
+    ("te vous", "frapperai frapperons"),
+    ("te os", "voy vamos", "a", "matar"),
+    ("te os", "mataré mataremos mato"),
+    ("voy vamos", "a", "matarte mataros pegarte pegaros"),
+    ("te os", "voy vamos", "a", "pegar")))
+INSERTED = 2  # words that may stand between two words of a threat
+THREAT = 3.0
+MOST_STATES, MOST_WORDS = 100_000, 200_000  # kept by a worker; more are made anew
+
+_WORD = re.compile(r"[^\W_]+(?:['’]t\b)?")
+_TOKEN = re.compile(_WORD.pattern + r"|\n\s*?\n|\n|[.!?;:。！？；：｡؟।]")
+_NOTHING: frozenset[str] = frozenset()
 PLAIN, TARGETED, NEGATED, REPORTED = range(4)
 
 
@@ -84,6 +110,11 @@ class Transducer(NamedTuple):
     says: dict[int, str]
 
 
+def insult() -> Transducer:
+    return Transducer({(0, "insult"): 1, (1, "insult"): 1, (0, None): 0, (1, None): 0},
+                      {0: "", 1: "insult"})
+
+
 def target() -> Transducer:
     return Transducer({(0, "target"): 1, (0, None): 0, (1, None): 1}, {0: "", 1: "target"})
 
@@ -99,29 +130,106 @@ def reported() -> Transducer:
     return Transducer({(0, "report"): 1, (0, None): 0, (1, None): 1}, {0: "", 1: "report"})
 
 
-def composed(parts: list[Transducer], kinds: tuple[str, ...]) -> tuple[list[dict], list[frozenset]]:
-    """The product automaton: steps by kind for each state, and what holds in each state."""
-    start = (0,) * len(parts)
-    number, steps, says, todo = {start: 0}, [], [], [start]
-    for state in todo:
-        says.append(frozenset(p.says[s] for p, s in zip(parts, state, strict=True)) - {""})
-        row = {}
-        for kind in (*kinds, None):
-            after = tuple(p.step.get((s, kind), p.step[s, None])
-                          for p, s in zip(parts, state, strict=True))
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            row[kind] = number[after]
-        steps.append(row)
-    return steps, says
+PARTS = {"insult": insult(), "target": target(), "negation": negation(), "report": reported()}
+
+
+class Begun(NamedTuple):
+    """A threat whose first ``done`` words were read, the last of them ``gap`` words ago."""
+
+    threat: int
+    done: int
+    gap: int
+    held: frozenset[str]  # what held at one of its words
+
+
+def threatened(begun: frozenset[Begun], word_of: frozenset[tuple[int, int]],
+               holds: frozenset[str]) -> tuple[frozenset[Begun], list[frozenset[str]]]:
+    """The threat transducer's step: it reads what the others say at a word, and where in threats the
+    word may stand; the threats begun after it, and what held at those that it ends."""
+    after, ended = set(), {}
+    for item in (*begun, *(Begun(threat, 0, 0, _NOTHING) for threat, at in word_of if at == 0)):
+        if (item.threat, item.done) in word_of:
+            held = item.held | holds
+            if item.done + 1 == len(THREATS[item.threat]):
+                ended.setdefault(item.threat, []).append(held)
+            else:
+                after.add(Begun(item.threat, item.done + 1, 0, held))
+        if item.done and item.gap < INSERTED:
+            after.add(item._replace(gap=item.gap + 1))
+    return (frozenset(x for x in after if x.threat not in ended),
+            [held for found in ended.values() for held in found])
+
+
+def case(holds: frozenset[str]) -> int:
+    return (REPORTED if "report" in holds else NEGATED if "negation" in holds
+            else TARGETED if "target" in holds else PLAIN)
+
+
+CLAUSE_END, LINE_BREAK = 0, 1
+
+
+class Composed:
+    """The product of the five transducers, its states made as they are needed.
+
+    A symbol is all that the transducers can tell of a word: its kinds, and its places in threats.
+    ``step(state, symbol)`` is the next state; ``emits[state]`` is None, or the cases under which an
+    insult and a threat are emitted there (None for none).
+    """
+
+    def __init__(self):
+        self.symbols: dict = {"end": CLAUSE_END, "break": LINE_BREAK}
+        self.known = [(_NOTHING, _NOTHING)] * 2
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.tuples, self.rows, self.emits = {}, [], [], []
+        self._state((0,) * len(PARTS), _NOTHING, None)
+
+    def _state(self, plain: tuple[int, ...], begun: frozenset[Begun], emitted) -> int:
+        key = plain, begun, emitted
+        if key not in self.number:
+            self.number[key] = len(self.tuples)
+            self.tuples.append((plain, begun))
+            self.rows.append({})
+            self.emits.append(emitted)
+        return self.number[key]
+
+    def symbol(self, kinds: frozenset[str], places: frozenset[tuple[int, int]]) -> int:
+        key = kinds, places
+        if key not in self.symbols:
+            self.symbols[key] = len(self.known)
+            self.known.append(key)
+        return self.symbols[key]
+
+    def step(self, state: int, symbol: int) -> int:
+        plain, begun = self.tuples[state]
+        if symbol < 2:
+            return self._stepped(state, symbol, (0,) * len(PARTS),
+                                 begun if symbol == LINE_BREAK else _NOTHING, None)
+        kinds, places = self.known[symbol]
+        plain = tuple(part.step.get((s, kind if kind in kinds else None), part.step[s, None])
+                      for s, (kind, part) in zip(plain, PARTS.items(), strict=True))
+        says = frozenset(part.says[s] for s, part in zip(plain, PARTS.values(), strict=True)) - {""}
+        holds = says - {"insult"}
+        begun, ended = threatened(begun, places, holds)
+        hurt = case(holds) if "insult" in says else None
+        threat = min(map(case, ended), default=None)
+        return self._stepped(state, symbol, plain, begun,
+                             None if hurt is None and threat is None else (hurt, threat))
+
+    def _stepped(self, state, symbol, plain, begun, emitted) -> int:
+        row = self.rows[state]
+        row[symbol] = self._state(plain, begun, emitted)
+        return row[symbol]
 
 
 _KIND = ({w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS}
          | {w: "report" for w in REPORTS})
-_STEPS, _SAYS = composed([target(), negation(), reported()], ("target", "negation", "report"))
-_CASE = [REPORTED if "report" in s else NEGATED if "negation" in s
-         else TARGETED if "target" in s else PLAIN for s in _SAYS]
+_PLACES: dict[str, set[tuple[int, int]]] = {}
+for _threat, _parts in enumerate(THREATS):
+    for _at, _words in enumerate(_parts):
+        for _word in _words:
+            _PLACES.setdefault(_word, set()).add((_threat, _at))
 
 
 def arcs_of(word: str) -> Iterator[str]:
@@ -132,65 +240,73 @@ def arcs_of(word: str) -> Iterator[str]:
         yield word + " "
 
 
-class Grammar:
-    """The insult trie with its weights, the threats, and the composed automaton."""
+class Tokens(dict):
+    """Symbol and insult weight of each token, worked out when it is first read."""
 
-    def __init__(self, arcs: dict[str, float]):
-        self.find = ahocorasick.Automaton()
-        for arc, weight in arcs.items():
-            self.find.add_word(arc.rstrip(" "), None)
+    def __init__(self, arcs: dict[str, float], automaton: Composed):
+        super().__init__()
         self.whole = {a.rstrip(" "): w for a, w in arcs.items() if a.endswith(" ")}
         self.begun = {a: w for a, w in arcs.items() if not a.endswith(" ")}
-        for phrase in THREATS:
-            self.find.add_word(phrase, None)
-            self.whole.setdefault(phrase, 3.0)
-        for key in list(self.find.keys()):
-            self.find.add_word(key, (key, self.whole.get(key), self.begun.get(key)))
-        self.find.make_automaton()
-
-    def hits(self, text: str) -> dict[int, float]:
-        """Weights of matching words, by the place where they begin."""
-        found: dict[int, float] = {}
-        for end, (key, whole, begun) in self.find.iter(text):
-            start = end + 1 - len(key)
-            if start and (text[start - 1].isalnum()):
-                continue
-            weight = begun or 0.0
-            if whole is not None and (end + 1 == len(text) or not text[end + 1].isalnum()):
-                weight = max(weight, whole)
-            if weight > found.get(start, 0.0):
-                found[start] = weight
+        self.sizes = sorted(set(map(len, self.begun)))
+        self.automaton = automaton
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        if token[0] == "\n":
+            found = (LINE_BREAK if len(token) == 1 else CLAUSE_END), 0.0
+        elif not token[0].isalnum():
+            found = CLAUSE_END, 0.0
+        else:
+            word = token.replace("’", "'")
+            weight = max([self.whole.get(word, 0.0),
+                          *(self.begun.get(word[:n], 0.0) for n in self.sizes if n <= len(word))])
+            kinds = {"insult"} if weight > 0 else set()
+            if word in _KIND:
+                kinds.add(_KIND[word])
+            found = self.automaton.symbol(frozenset(kinds),
+                                          frozenset(_PLACES.get(word, ()))), weight
+        if len(token) <= 64:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[token] = found
         return found
 
+
+class Grammar:
+    """The insult trie with its weights, and the composed automaton."""
+
+    def __init__(self, arcs: dict[str, float]):
+        self.automaton = Composed()
+        self.tokens = Tokens(arcs, self.automaton)
+
     def features(self, text: str) -> list[float]:
-        text = text.lower()
-        n_words = text.count(" ") + text.count("\n") + 1
-        found = self.hits(text)
-        sums, clauses, places = [0.0] * 4, 0, sorted(found)
-        at = first = 0
-        ends = (m.start() for m in _CLAUSE_END.finditer(text))
-        while at < len(places):
-            last = next(ends, len(text))
-            if last <= places[at]:
-                first = last + 1
+        if len(self.automaton.tuples) > MOST_STATES:
+            self.automaton.clear()
+        tokens, rows = self.tokens, self.automaton.rows
+        emits, step = self.automaton.emits, self.automaton.step
+        sums, clauses, n_words, most, state, matched = [0.0] * 4, 0, 1, 0.0, 0, False
+        for token in _TOKEN.finditer(text.lower()):
+            symbol, insulting = tokens[token[0]]
+            after = rows[state].get(symbol)
+            state = step(state, symbol) if after is None else after
+            if symbol < 2:
+                clauses += matched
+                matched = False
                 continue
-            clauses += 1
-            state = 0
-            for word in _WORD.finditer(text, first, last):
-                state = _STEPS[state][_KIND.get(word[0])]
-                weight = found.get(word.start())
-                if weight:
-                    sums[_CASE[state]] += weight
-            while at < len(places) and places[at] < last:
-                at += 1
-            first = last + 1
-        weights = sorted(found.values(), reverse=True)
-        total = sum(weights)
-        return [1.0, math.log1p(total), math.log1p(sums[PLAIN]), math.log1p(sums[TARGETED]),
+            n_words += 1
+            emitted = emits[state]
+            if emitted:
+                matched = True
+                for at, weight in zip(emitted, (insulting, THREAT), strict=True):
+                    if at is not None:
+                        sums[at] += weight
+                        if at in (PLAIN, TARGETED):
+                            most = max(most, weight)
+        clauses += matched
+        asserted = sums[PLAIN] + sums[TARGETED]
+        return [1.0, math.log1p(asserted), math.log1p(sums[PLAIN]), math.log1p(sums[TARGETED]),
                 math.log1p(sums[NEGATED]), math.log1p(sums[REPORTED]),
-                total / math.sqrt(n_words), 100 * total / (n_words + 20),
-                weights[0] if weights else 0.0, math.log1p(clauses), math.log1p(n_words),
-                min(1.0, total)]
+                asserted / math.sqrt(n_words), 100 * asserted / (n_words + 20),
+                most, math.log1p(clauses), math.log1p(n_words), min(1.0, asserted)]
 
 
 # Used where nothing is labelled: every feature of matched clauses counts a little.
@@ -254,7 +370,7 @@ def _count_arcs(only: frozenset[str] | None):
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                    strict=True):
-                found = {arc for word in set(_WORD.findall((text or "").lower()))
+                found = {arc for word in set(_WORD.findall((text or "").lower().replace("’", "'")))
                          for arc in arcs_of(word)}
                 counts[label].update(found if only is None else found & only)
         arcs = list(counts[0].keys() | counts[1].keys())

@@ -196,6 +196,26 @@ def test_long_clauses_are_read_whole_and_once():
     assert grammar.features("她 said 了。 idiot")[2] == math.log1p(2.0)
 
 
+@pytest.mark.parametrize("text", [
+    "I will kill you", "kill\nyou", "I will kill  you", "kill all of you", "he is killing you", "you'll pay",
+    "you will surely die", "ich bringe dich noch um", "je vais vous frapper", "te voy a matar", "voy a matarte"])
+def test_threats_are_sequences_of_words(text):
+    found = toxicity.Grammar({}).features(text)
+    assert sum(found[2:4]) == found[1] == math.log1p(toxicity.THREAT) and found[9] == math.log1p(1)
+
+
+def test_features_come_from_what_holds():
+    grammar = toxicity.Grammar({"idiot ": 2.0})
+    none = grammar.features("he word word")
+    for text, at in {"said he will kill you": 5, "not kill all of you": 4, "not idiot he": 4,
+                     "said word idiot": 5, "said we kill\nyou": 5}.items():
+        found = grammar.features(text)
+        assert found[at] > 0 and [found[k] for k in (1, 6, 7, 8, 11)] == [0.0] * 5, text
+    assert grammar.features("l'idiot")[2] == math.log1p(2.0) and none[1] == 0
+    for text in ("kill. you", "kill\n\nyou", "kill one two three you", "skill you"):
+        assert not any(grammar.features(text)[1:6]), text
+
+
 def test_toxicity_of_hard_rows(spark, edge, none):
     model = toxicity.learned(none.withColumn("label", F.lit(1)))
     found = toxicity.scored(edge, model).collect()

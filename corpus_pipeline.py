@@ -21,8 +21,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language: those without any letter, or without text, go."""
-    samples = language.sampled(language.training_rows(docs))
+    """Documents in some language: those without any letter, or without text, go.
+
+    All others stay, also where no language could be learned: they are in one without a name then.
+    """
+    named = docs.filter(docs["lang"] != language.UNKNOWN)
+    samples = language.sampled(language.training_rows(named)) or {"": []}
     found = language.predicted(docs, samples)
     return found.filter(found["lang_pred"] != language.UNKNOWN).select(*docs.columns)
 

@@ -366,6 +366,15 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in found)
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_documents_stay_where_no_language_is_learned(spark, lang):
+    rows = [(1, PROSE["en"], lang), (2, PROSE["de"], lang), (3, "...", lang), (4, None, lang),
+            (5, "漢字", lang), (6, "", lang), (None, "x", lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = corpus_pipeline.language_id(spark, docs, "")
+    assert {r.doc_id for r in found.collect()} == {1, 2, 5, None} and found.columns == docs.columns
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long") \
         .write.parquet(str(tmp_path / "documents.parquet"))

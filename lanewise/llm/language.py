@@ -15,7 +15,7 @@ of every text is parsed.
 
 Bounds: ``PIECES`` pieces of ``PIECE`` characters per language are sampled for learning, chosen by a
 hash of the id, so 64 KB of text per language reach the driver and, broadcast, the workers, which
-build the automata.  Nothing else is bounded.
+build the automata.  Every letter of the samples takes part.  Nothing else is bounded.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if
 nothing is labelled; rows with null id or null lang are predicted but null langs are never learned;
@@ -41,7 +41,7 @@ PIECES, PIECE = 256, 256
 BLOCK = 2048
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
-ALPHABET = 62  # letters with a code of their own; rarer ones share a code that no sample holds
+DENSE = 62  # letters with a column in the table of steps; steps by rarer ones are kept sparsely
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _END = np.uint32(1 << 31)
@@ -100,6 +100,10 @@ class Languages:
 
     ``steps[state + code]`` is the next state (as an offset into the table); where the automaton
     cannot go on, the state after a new phrase began with the code, marked by ``_END``.
+
+    Every letter of the samples has a code.  The ``DENSE`` commonest have columns, the next code is that
+    of letters no sample holds, and the rest are rare letters: ``after`` has their steps, in the order of
+    ``keys`` (state and letter), and ``begin`` the states after a new phrase, by language and letter.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -109,32 +113,53 @@ class Languages:
             for piece in pieces:
                 for letter in piece:
                     counts[letter] = counts.get(letter, 0) + 1
-        chosen = sorted(counts, key=lambda x: (-counts[x], x))[:ALPHABET]
-        self.width = len(chosen) + 1
-        self.other = len(chosen)
-        code = {letter: i for i, letter in enumerate(chosen)}
-        self.codes = np.full(max(map(ord, chosen), default=0) + 2, self.other, np.uint8)
+        chosen = sorted(counts, key=lambda x: (-counts[x], x))
+        self.other = min(DENSE, len(chosen))
+        self.width, self.rare = self.other + 1, len(chosen) - self.other
+        code = {letter: i + (i >= self.other) for i, letter in enumerate(chosen)}
+        self.codes = np.full(max(map(ord, chosen), default=0) + 2, self.other,
+                             np.min_scalar_type(len(chosen)))
         for letter, i in code.items():
             self.codes[ord(letter)] = i
         parts, self.roots, self.bits, offset = [], [], [], 0
-        for name in self.names:
+        keys, afters = [], []
+        self.begin = np.zeros((len(self.names), self.rare), np.uint32)
+        for k, name in enumerate(self.names):
             sequence = []
             for piece in samples[name]:
-                sequence += [-1 if code.get(x, -1) < 0 else code[x] for x in piece] + [-1]
+                sequence += [code[x] for x in piece] + [-1]
             automaton = SuffixAutomaton(sequence)
             n, width = len(automaton.next), self.width
             root = np.full(width, offset, np.uint32)
+            self.begin[k] = offset
             for c, state in automaton.next[0].items():
-                root[c] = offset + state * width
+                if c < width:
+                    root[c] = offset + state * width
+                else:
+                    self.begin[k, c - width] = offset + state * width
             steps = np.tile(root | _END, (n, 1))
             for state, following in enumerate(automaton.next):
                 for c, after in following.items():
-                    steps[state, c] = offset + after * width
+                    if c < width:
+                        steps[state, c] = offset + after * width
+                    else:
+                        keys.append((offset + state * width) * self.rare + c - width)
+                        afters.append(offset + after * width)
             parts.append(steps.ravel())
             self.roots.append(offset)
             self.bits.append(math.log2(len(sequence) + 2))
             offset += n * width
         self.steps = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.begin |= _END
+        self.keys = np.array(keys, np.uint64)
+        order = np.argsort(self.keys)
+        self.keys, self.after = self.keys[order], np.array(afters, np.uint32)[order]
+
+    def _rare_steps(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The steps (languages x lanes) by rare letters."""
+        key = state.astype(np.uint64) * np.uint64(self.rare) + letter.astype(np.uint64)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.after[place], self.begin[:, letter])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases (texts x languages) of texts of letters."""
@@ -152,7 +177,7 @@ class Languages:
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
         width = int(length[0])
-        lanes = np.zeros((width, len(owner)), np.uint8)
+        lanes = np.zeros((width, len(owner)), self.codes.dtype)
         for lane, (a, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
             lanes[:n, lane] = codes[a:a + n]
         active = np.searchsorted(-length, -np.arange(1, width + 1), side="right")
@@ -160,7 +185,14 @@ class Languages:
         counts = np.ones(state.shape, np.uint32)
         for t in range(width):
             n = int(active[t])
-            step = self.steps[state[:, :n] + lanes[t, :n]]
+            if self.rare:
+                letter = lanes[t, :n]
+                step = self.steps[state[:, :n] + np.minimum(letter, self.other)]
+                at = np.flatnonzero(letter > self.other)
+                if len(at):
+                    step[:, at] = self._rare_steps(state[:, at], letter[at] - self.width)
+            else:
+                step = self.steps[state[:, :n] + lanes[t, :n]]
             counts[:, :n] += step >> np.uint32(31)
             state[:, :n] = step & ~_END
         for language in range(len(self.names)):

@@ -62,6 +62,25 @@ def test_phrases_are_longest_matches():
             assert row[k] == brute_phrases(text, samples[name][0]), (text, name)
 
 
+def test_every_letter_of_the_samples_counts():
+    rng = random.Random(4)
+    scripts = {"el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "en": range(97, 123),
+               "zh": range(0x4E00, 0x4E00 + 900), "ja": range(0x3041, 0x3097), "xx": range(0x20000, 0x20040)}
+    samples = {}
+    for name, points in scripts.items():
+        words = ["".join(chr(rng.choice(points)) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+        samples[name] = [language.letters(" ".join(rng.choices(words, k=400 if name != "el" else 20)))]
+    built = language.Languages(samples)
+    texts = [samples[k][0][:700] for k in scripts] + [samples["zh"][0] * 3, " 漢 \U00020500 "]
+    texts += ["".join(rng.choice("".join(s[0] for s in samples.values())) for _ in range(300))
+              for _ in range(10)]
+    for row, text in zip(built.phrases(texts), texts, strict=True):
+        for k, name in enumerate(built.names):
+            assert row[k] == brute_phrases(text, samples[name][0]), (text, name)
+    names, _ = built.predict([samples[k][0][40:90] for k in scripts])
+    assert names == list(scripts)
+
+
 def test_matches_never_cross_a_gap():
     automaton = language.SuffixAutomaton([0, 1, -1, 0, 2, -1, 0, 1, 2])
 

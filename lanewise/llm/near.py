@@ -14,7 +14,7 @@
    pairs within a component need no check, so tight groups cost little and no pair is left out.
 
 A pair at a similarity of 0.8 shares no band with probability (1 - 0.8**6)**42 < 3e-6 (a pair at 0.85
-with 1e-9), and fails the sketch's cut-off with a probability of about 1e-6.
+with 1e-9), and fails the sketch's cut-off, worked out exactly, with a probability of 7.7e-9.
 
 Blocks hold about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles, so a bucket of any size is spread
 over many tasks.
@@ -41,6 +41,7 @@ from lanewise.llm.graph import components
 
 SAMPLES, BANDS, ROWS = 256, 42, 6
 BITS = 512
+SKETCH_LOSS = 1e-8  # probability that sketches drop a pair at the threshold
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SIGNED = ("row_key struct<doc_id:bigint,text_hash:bigint>, n_shingles long, node long, "
           "bands array<bigint>, sketch array<bigint>")
@@ -66,12 +67,25 @@ def similarity(odd_bits: np.ndarray | int) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(free)
 
 
+def odd_bits_beyond(similarity: float) -> np.ndarray:
+    """At k, the probability that the sketches of a pair of that similarity differ in more than k bits.
+
+    Each sample differs with a probability of 1 - similarity and then flips two bits drawn alike.
+    """
+    differ = 1 - similarity
+    bits = np.arange(BITS + 1)
+    now, odd = (bits == 0).astype(float), np.zeros(BITS + 1)
+    for n in range(SAMPLES + 1):
+        odd += math.comb(SAMPLES, n) * differ**n * similarity**(SAMPLES - n) * now
+        for _ in range(2):
+            up, down = now * (BITS - bits) / BITS, now * bits / BITS
+            now = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    return np.append(np.cumsum(odd[::-1])[::-1][1:], 0)
+
+
 def most_odd_bits(percent: int) -> int:
-    """The cut-off: odd bits of a pair six standard deviations of its samples below the threshold."""
-    j = percent / 100
-    low = j - 6 * math.sqrt(j * (1 - j) / SAMPLES)
-    expected = BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - low) / BITS))
-    return math.ceil(expected)
+    """The cut-off: the least that drops a pair at the threshold with at most ``SKETCH_LOSS``."""
+    return int(np.argmax(odd_bits_beyond(percent / 100) <= SKETCH_LOSS))
 
 
 def sign(texts: list[bytes | None], size: int) -> tuple[np.ndarray, ...]:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import (
     EDGE, LONG, SCHEMA, exact_groups, near_groups, ordered, without_repeated_lines, without_repeats,
@@ -109,6 +110,17 @@ def test_one_of_each_keeps_columns(spark, edge):
     assert 6 not in {r.doc_id for r in left.collect()}
 
 
+def test_sketches_lose_far_less_than_bands():
+    bands = (1 - 0.8 ** near.ROWS) ** near.BANDS
+    assert near.odd_bits_beyond(0.8)[near.most_odd_bits(80)] < bands / 100
+    rng = np.random.default_rng(5)
+    same = rng.integers(0, 1 << 32, (near.SAMPLES, 2000))
+    other = np.where(rng.random(same.shape) < 0.2, rng.integers(0, 1 << 32, same.shape), same)
+    odd = np.bitwise_count(near.odd_sketches(same) ^ near.odd_sketches(other)).sum(axis=1)
+    for k in (70, 80, 90):
+        assert abs((odd > k).mean() - near.odd_bits_beyond(0.8)[k]) < 0.05
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = random.Random(3)
     for j in (0.8, 0.9, 0.95):

@@ -1,8 +1,9 @@
 """Licence scans over a positional index of rare tokens, in DataFrame functions only.
 
 The templates are short word sequences with mandatory key phrases.  One pass counts in how many
-documents each licence word occurs; the words with the highest inverse document frequency (IDF) of a
-template become its anchors.  A second pass looks each file's anchors up: an anchor at word p proposes
+documents each licence word occurs; the mandatory word with the highest inverse document frequency (IDF)
+of a template becomes its anchor: every place that counts holds it, so none is missed.  A second pass looks
+each file's anchors up: an anchor at word p proposes
 a start of p minus the anchor's place in the template, the postings of the other words are
 intersected by their position relative to that start, and a proposal counts if all key phrases stand
 where they should and the words found there weigh (by IDF) ``SHARE`` of the template or more.  The
@@ -29,7 +30,7 @@ from lanewise.llm.common import LOWER, UPPER, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.7
-ANCHORS = 2
+ANCHORS = 2  # words, mandatory or not, that propose places in the SQL for comparison
 
 
 class Template(NamedTuple):
@@ -94,24 +95,21 @@ def word_weights(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str,
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
-def anchors(t: Template, weights: dict[str, float]) -> list[int]:
-    """The places of the words with the highest IDF."""
-    return sorted(range(len(t.words)), key=lambda i: (-weights[t.words[i]], i))[:ANCHORS]
+def anchor(t: Template, weights: dict[str, float]) -> int:
+    """The place of the mandatory word with the highest IDF."""
+    return min(t.mandatory, key=lambda i: (-weights[t.words[i]], i))
 
 
 def _places(t: Template, weights: dict[str, float]) -> Column:
     """Where the template stands in a row's ``words``, from its ``postings``."""
-    chosen, n = anchors(t, weights), len(t.words)
+    at, n = anchor(t, weights), len(t.words)
     total = sum(weights[w] for w in t.words)
 
     def is_there(start: Column, i: int) -> Column:
         return F.get("words", start + i) == t.words[i]
 
-    def proposed(i: int) -> Column:
-        mine = F.filter("postings", lambda p: p["word"] == t.words[i])
-        return F.transform(mine, lambda p: p["at"] - i)
-
-    starts = F.array_distinct(F.concat(*(proposed(i) for i in chosen)))
+    mine = F.filter("postings", lambda p: p["word"] == t.words[at])
+    starts = F.transform(mine, lambda p: p["at"] - at)
     inside = F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("words")))
     verified = F.filter(inside, lambda s: reduce(
         Column.__and__, (is_there(s, i) for i in t.mandatory)))
@@ -126,7 +124,7 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, and ``places``, an array of
     (label, base, start, share) of all templates found."""
     weights = word_weights(docs.select("text"), templates)
-    wanted = sorted({t.words[i] for t in templates for i in anchors(t, weights)})
+    wanted = sorted({t.words[anchor(t, weights)] for t in templates})
     indexed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select(
         "doc_id", "words",
         F.filter(F.transform("words", lambda w, i: F.when(

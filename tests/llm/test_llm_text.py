@@ -159,6 +159,14 @@ def test_key_phrases_are_mandatory(spark):
     assert {r.doc_id for r in found.collect() if r.places} == {1, 3}
 
 
+def test_optional_words_may_be_altered_however_rare(spark):
+    notice = "the gnu general public license version 3"
+    rows = [(i, f"licensed under {notice}") for i in range(8)] + [(8, f"given with {notice}"),
+            (9, f"given with {notice}"), (10, "licensed under the mit license version 3")]
+    found = licenses.scanned(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in found if "gpl-3.0" in {p.label for p in r.places}} == set(range(10))
+
+
 # Decontamination
 
 def test_contained_items(spark, edge, none):

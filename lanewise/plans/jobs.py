@@ -5,8 +5,7 @@ from __future__ import annotations
 import logging
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.fixed_values import DEFAULT_LOOKBACK_DAYS
 from lanewise.functions import timing
@@ -17,10 +16,9 @@ from lanewise.sources import results
 log = logging.getLogger(__name__)
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Count the rows while they are written; no second run over the data."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+def written_rows(df: DataFrame, path: str) -> int:
+    """Rows below ``path``, from the files' footers; also where a day had none."""
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def columns_of(df: DataFrame, leave_out: list[str]) -> str:
@@ -33,9 +31,9 @@ def run_daily_spend(spark: SparkSession, shipments: DataFrame, invoices: DataFra
                     invoice_grain: str = "invoice") -> str:
     """Write the cube of a day to ``root/date=D``, split by carrier, and register it."""
     chosen = timing.spend_day(day)
-    cube, seen = counted(spend.daily_spend(shipments, invoices, chosen, invoice_grain), "spend")
+    cube = spend.daily_spend(shipments, invoices, chosen, invoice_grain)
     path = results.write_partition(cube, root, {"date": chosen.isoformat()}, ["carrier_id"])
-    log.info("wrote %d rows to %s", seen.get["rows"], path)
+    log.info("wrote %d rows to %s", written_rows(cube, path), path)
     if table is not None:
         schema = f"{columns_of(cube, ['carrier_id'])}, date string, carrier_id string"
         results.register_table(spark, table, root, schema, ["date", "carrier_id"],
@@ -56,11 +54,10 @@ def run_scorecard(spark: SparkSession, shipments: DataFrame, invoices: DataFrame
                   table: str | None = None) -> str:
     """Write the scorecard to ``root/date=D/lookback=Nd`` and register it."""
     _, last = timing.scorecard_window(as_of, lookback_days)
-    scores, seen = counted(
-        scorecard.carrier_scorecard(shipments, invoices, last, lookback_days), "scorecard")
+    scores = scorecard.carrier_scorecard(shipments, invoices, last, lookback_days)
     partition = {"date": last.isoformat(), "lookback": f"{lookback_days}d"}
     path = results.write_partition(scores, root, partition)
-    log.info("wrote %d rows to %s", seen.get["rows"], path)
+    log.info("wrote %d rows to %s", written_rows(scores, path), path)
     if table is not None:
         schema = f"{columns_of(scores, [])}, date string, lookback string"
         results.register_table(spark, table, root, schema, list(partition), partition)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -65,15 +68,38 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bundle() -> bytes:
+    """This package as a zip; equal sources give equal bytes."""
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as zipped:
+        for file in sorted(root.rglob("*.py")):
+            entry = zipfile.ZipInfo(str(Path(root.name) / file.relative_to(root)))
+            zipped.writestr(entry, file.read_bytes())
+    return held.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, as a zip that Spark hands out, unless they have it already."""
-    root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        bundle = Path(folder) / "lanewise.zip"
-        with zipfile.ZipFile(bundle, "w") as zipped:
-            for file in sorted(root.rglob("*.py")):
-                zipped.write(file, Path(root.name) / file.relative_to(root))
-        spark.sparkContext.addPyFile(str(bundle))
+    """Give the executors this package, as a zip that they fetch from the shared folder.
+
+    The zip stays there, because executors that start later fetch it too; its name is the hash of
+    its content, so it is written once however many jobs ship it.
+    """
+    content = _bundle()
+    name = f"lanewise-{hashlib.sha256(content).hexdigest()[:16]}.zip"
+    context = spark.sparkContext
+    if any(added.endswith(f"/{name}") for added in context.listFiles):
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(shared_dir(spark), name)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        part = hadoop.Path(shared_dir(spark), f"{name}.{uuid.uuid4().hex}")
+        stream = system.create(part)
+        stream.write(content)
+        stream.close()
+        if not system.rename(part, path):  # another job was first
+            system.delete(part, False)
+    context.addPyFile(system.makeQualified(path).toString())
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

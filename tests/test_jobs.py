@@ -304,6 +304,13 @@ def test_command_line(spark, inputs, tmp_path):
     assert same(scorecard.carrier_scorecard(*inputs, "1998-06-30", 300), written)
 
 
+def test_shipped_package_serves_later_tasks(spark):
+    from lanewise.session import ship
+    ship(spark)
+    ship(spark)
+    assert spark.range(100).repartition(5).mapInPandas(lambda parts: parts, "id long").count() == 100
+
+
 def test_results_do_not_depend_on_partitioning(spark, inputs):
     spread = [df.repartition(13) for df in inputs]
     assert same(spend.spend_history(*inputs), spend.spend_history(*spread))
@@ -311,13 +318,23 @@ def test_results_do_not_depend_on_partitioning(spark, inputs):
                 scorecard.carrier_scorecard(*spread, "2001-12-31", 3000))
 
 
-def test_jobs_run_from_another_folder(tmp_path, sf_small):
+def test_jobs_run_from_another_folder(inputs, tmp_path, sf_small):
     """The command line as a file, from elsewhere, without the package on any path."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     helped = subprocess.run([sys.executable, f"{root}/lanewise/plans/main.py", "--help"],
                             cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert helped.returncode == 0 and "scorecard" in helped.stdout
+    for df, name in zip(inputs, ("shipments", "invoices")):
+        df.write.parquet(str(tmp_path / name))
+    job = subprocess.run(
+        [sys.executable, f"{root}/lanewise/plans/main.py", "spend", "--shipments",
+         str(tmp_path / "shipments"), "--invoices", str(tmp_path / "invoices"), "--output",
+         str(tmp_path / "out"), "--date", "1995-03-10"],
+        cwd=tmp_path, env=env | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false "
+                                 "pyspark-shell"}, capture_output=True, text=True, timeout=300)
+    assert job.returncode == 0, job.stderr[-2000:]
+    assert os.path.isdir(tmp_path / "out")
     script = tmp_path / "stream.py"
     script.write_text(f"""
 import sys

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lanewise.llm import (
-    bpe, contamination, exact, language, licenses, lines, near, pages, passages, toxicity,
+    bpe, contamination, conversations, exact, language, licenses, lines, near, pages, passages, ranked,
+    suffixes, toxicity,
 )
 
 QUERIES = {
@@ -17,5 +18,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_text": pages.op9_html_text,
     "op10_bpe": bpe.op10_bpe,
+    "op11_suffix_array_dedup": suffixes.op11_suffix_array_dedup,
+    "op12_ranked_search": ranked.op12_ranked_search,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
-ORACLE = {**licenses.ORACLE, **lines.ORACLE, **contamination.ORACLE, **exact.ORACLE}
+ORACLE = {**licenses.ORACLE, **lines.ORACLE, **contamination.ORACLE, **exact.ORACLE,
+          **ranked.ORACLE}

@@ -13,6 +13,6 @@ def test_query_as_its_sql(spark, sf, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in catalogue.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalogue.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "near_dedup", "decontamination", "bpe"]

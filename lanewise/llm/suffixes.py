@@ -40,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm import words
-from lanewise.llm.common import reliable, table
+from lanewise.llm.common import table
 
 LENGTH, SEED = 200, 32
 PIECE = 1 << 19
@@ -183,48 +183,42 @@ def _chunk_finder(length: int, seed: int):
     return run
 
 
-def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted order of the rows of ``keys``, and which of them equal the row before.
+def multikey_quicksort(keys: np.ndarray, order: np.ndarray,
+                       size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``order``, segment by segment (of ``size`` rows) in the order of their ``keys``, and
+    which of them equal the row before in their segment.
 
-    Segments of rows that agree on their first ``depth`` keys are parted in three by the next key of
-    their middle row: less, equal (one key deeper from here on) and greater.  All segments of a round
-    are parted at once; those of one row, or without another key, are done.
+    A segment goes to the first key in which its rows differ; one without such a key is done.  Its rows
+    are parted in three by that key of their middle row: less, equal and greater, which are segments
+    again.  All segments of a round are looked at together.
     """
-    n, width = keys.shape
-    order, same = np.arange(n), np.zeros(n, bool)
-    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    order, same = order.copy(), np.zeros(len(order), bool)
+    start = np.cumsum(size) - size
     while True:
-        open_ = size > 1
-        done = open_ & (depth == width)
-        if done.any():
-            where = _ranges(start[done] + 1, size[done] - 1)
-            same[where] = True
-        going = open_ & ~done
-        start, size, depth = start[going], size[going], depth[going]
+        start, size = start[size > 1], size[size > 1]
         if not len(start):
             return order, same
-        at = _ranges(start, size)
+        at, begin = _ranges(start, size), np.cumsum(size) - size
+        rows, segment = order[at], np.repeat(np.arange(len(start)), size)
+        pivot = rows[begin + size // 2]
+        differs = keys[rows] != keys[pivot[segment]]
+        depth = np.minimum.reduceat(
+            np.where(differs.any(axis=1), differs.argmax(axis=1), keys.shape[1]), begin)
+        equal = depth == keys.shape[1]
+        same[_ranges(start[equal] + 1, size[equal] - 1)] = True
+        going = ~equal[segment]
+        start, size, depth, pivot = start[~equal], size[~equal], depth[~equal], pivot[~equal]
+        if not len(start):
+            return order, same
+        at, rows, begin = at[going], rows[going], np.cumsum(size) - size
         segment = np.repeat(np.arange(len(start)), size)
-        rows = order[at]
-        key = keys[rows, depth[segment]]
-        begin = np.cumsum(size) - size
-        pivot = key[begin + size // 2][segment]
-        less, equal = key < pivot, key == pivot
-        n_less, n_equal = np.add.reduceat(less, begin), np.add.reduceat(equal, begin)
-        offset = np.empty(len(at), np.int64)
-        passed = np.arange(len(at)) - begin[segment]
-        counts = []
-        for which in (less, equal):
-            total = np.cumsum(which)
-            counts.append(total - (total[begin] - which[begin])[segment])
-        offset[less] = (counts[0] - 1)[less]
-        offset[equal] = (n_less[segment] + counts[1] - 1)[equal]
-        greater = ~(less | equal)
-        offset[greater] = ((n_less + n_equal)[segment] + passed - counts[0] - counts[1])[greater]
-        order[start[segment] + offset] = rows
-        start = np.concatenate((start, start + n_less, start + n_less + n_equal))
-        depth = np.concatenate((depth, depth + 1, depth))
-        size = np.concatenate((n_less, n_equal, size - n_less - n_equal))
+        key, middle = keys[rows, depth[segment]], keys[pivot, depth][segment]
+        part = (key > middle).astype(np.int64) + (key >= middle)
+        order[at] = rows[np.argsort(segment * 3 + part, kind="stable")]
+        size = np.bincount(segment * 3 + part, minlength=3 * len(start))
+        start = np.repeat(start, 3) + np.concatenate(
+            [np.zeros((len(start), 1), np.int64), np.cumsum(size.reshape(-1, 3), axis=1)[:, :2]],
+            axis=1).ravel()
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -289,11 +283,12 @@ class _Bucket:
         heads = np.zeros((len(at), padded), np.uint8)
         heads[:, :self.length] = np.lib.stride_tricks.sliding_window_view(
             self.data, self.length)[at]
-        keys = np.empty((len(at), 1 + padded // 8), np.uint64)
-        keys[:, 0] = (self.group[context].astype(np.uint64) << np.uint64(_BITS)
-                      | (self.before[context] - window).astype(np.uint64))
-        keys[:, 1:] = heads.view(">u8")
-        return multikey_quicksort(keys)
+        unit = self.group[context] << _BITS | (self.before[context] - window)
+        order = np.argsort(unit, kind="stable")
+        unit = unit[order]
+        ends = np.append(np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit))
+        keys = heads.view(">u8").astype(np.uint64)
+        return multikey_quicksort(keys, order, np.diff(ends, prepend=0))
 
 
 def _bucket_sorter(length: int, together: int):
@@ -335,8 +330,11 @@ def _found(bucket: _Bucket, context: np.ndarray, window: np.ndarray, size: np.nd
     """Spans, or, with ``open_``, windows of boundary tokens and whether they still need a twin."""
     columns = [pa.array(bucket.key_a[context]), pa.array(bucket.key_b[context]),
                pa.array(bucket.first[context] + window), pa.array(size.astype(np.int64))]
-    if open_ is None:
-        columns += [pa.nulls(len(context), pa.int64())] * 2 + [pa.nulls(len(context), pa.bool_())]
+    if open_ is None:  # a print of their own keeps spans apart, and evenly dealt
+        own = words.mix(bucket.key_a[context].view(np.uint64)) ^ words.mix(
+            (bucket.first[context] + window).astype(np.uint64))
+        columns += [pa.array(own.view(np.int64)), pa.array(bucket.key_b[context]),
+                    pa.nulls(len(context), pa.bool_())]
     else:
         prints = _window_prints(bucket, context, window)
         columns += [*(pa.array(p.view(np.int64)) for p in prints), pa.array(open_)]
@@ -438,19 +436,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, pie
                     "token binary, spread long, chunk binary, shape long, key_a long, key_b long, "
                     "first long, alone boolean")
     )
-    found = reliable(
-        chunks.repartitionByRange("token", "spread").drop("spread")
-        .mapInArrow(_bucket_sorter(length, together),
-                    "key_a long, key_b long, first long, length long, print_a long, print_b long, "
-                    "open boolean"))
-    part = found.filter("open is null").select(*key, span(F.col("first"), F.col("length")).alias("span"))
-    edges = found.filter("open is not null")
-    twins = edges.groupBy("print_a", "print_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    across = edges.filter("open").join(twins.drop("n"), ["print_a", "print_b"]).select(
+    found = chunks.repartitionByRange("token", "spread").drop("spread").mapInArrow(
+        _bucket_sorter(length, together),
+        "key_a long, key_b long, first long, length long, print_a long, print_b long, open boolean")
+    twins = F.count("open").over(Window.partitionBy("print_a", "print_b"))  # a row per bucket at most
+    part = found.withColumn("n", twins).filter("open is null or open and n > 1").select(
         *key, span(F.col("first"), F.col("length")).alias("span"))
 
-    spans = (whole.union(part).union(across)
-             .groupBy(*key).agg(F.collect_set("span").alias("spans")))
+    spans = whole.union(part).groupBy(*key).agg(F.collect_set("span").alias("spans"))
     return keyed.join(spans, key, "left").select("doc_id", "text", "spans").mapInArrow(
         _remover, "doc_id long, n_bytes long, kept binary, removed array<struct<first:bigint,last:bigint>>")
 

@@ -25,10 +25,17 @@ def test_multikey_quicksort():
     draw = np.random.default_rng(3)
     for n, width, values in ((0, 3, 2), (1, 2, 2), (500, 4, 2), (2000, 3, 50), (300, 5, 1)):
         keys = draw.integers(0, values, (n, width)).astype(np.uint64)
-        order, same = suffixes.multikey_quicksort(keys)
-        assert keys[order].tolist() == sorted(keys.tolist())
-        assert same.tolist() == [i > 0 and keys[order[i]].tolist() == keys[order[i - 1]].tolist()
-                                 for i in range(n)]
+        for parts in (1, 7):
+            size = np.diff(np.linspace(0, n, parts + 1).astype(int))
+            order, same = suffixes.multikey_quicksort(keys, np.arange(n), size)
+            begin = 0
+            for part in size.tolist():
+                rows = [keys[i].tolist() for i in order[begin:begin + part]]
+                assert sorted(order[begin:begin + part]) == list(range(begin, begin + part))
+                assert rows == sorted(rows)
+                assert same[begin:begin + part].tolist() == [
+                    k > 0 and rows[k] == rows[k - 1] for k in range(part)]
+                begin += part
 
 
 def repeats():

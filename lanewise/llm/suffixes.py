@@ -406,13 +406,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, pie
                         F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = keyed.select(*key, "text").mapInArrow(
         _place_finder(length, seed, piece), ", ".join(f"{f.name} long" for f in _PLACES)
-    ).filter("key_a is not null and token is not null and context_a is not null")  # always true
+    ).filter(" and ".join(f"{f.name} is not null" for f in _PLACES))  # always true
     repeated = places.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seeded = places.join(repeated.select("token"), "token")
     contexts = seeded.groupBy(*context).agg(
         F.count(F.lit(1)).alias("n"), F.min("token").alias("token"),
         F.min(F.struct(*key, "place")).alias("one"),
-    ).filter("n > 0 and one is not null")  # always true; so one exchange serves all uses
+    ).filter("n > 0 and one is not null and token is not null"  # always true, so that one
+             " and context_a is not null and context_b is not null")  # exchange serves all uses
     mixed = contexts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
 
     def span(first, size):

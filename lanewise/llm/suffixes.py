@@ -49,7 +49,7 @@ from lanewise.llm.common import table
 LENGTH, SEED = 200, 32
 PIECE = 1 << 19
 # Suffixes sorted at a time (208 bytes each), unless one token has more at one distance.
-SORTED = 1 << 15
+SORTED = 1 << 13
 
 # A place in one number: the token's byte, how far before it the first window starts, and how many
 # windows follow the first.
@@ -252,8 +252,9 @@ class _Bucket:
             c.to_numpy() for c in (self.key_a, self.key_b, self.first))
         self.alone = self.alone.to_numpy(zero_copy_only=False)
 
-    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(context, window within it) of whole units: a token and a distance from it."""
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(context, window within it) of whole units, a token and a distance from it, and whether
+        these contexts end here."""
         order = np.argsort(self.group, kind="stable")
         weight = np.cumsum((self.more + 1)[order])
         begin = 0
@@ -266,16 +267,16 @@ class _Bucket:
             yield from self._units(order[begin:end])
             begin = end
 
-    def _units(self, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _units(self, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         if int((self.more[contexts] + 1).sum()) <= 4 * self.together:
             yield (np.repeat(contexts, self.more[contexts] + 1),
-                   _ranges(np.zeros(len(contexts), np.int64), self.more[contexts] + 1))
+                   _ranges(np.zeros(len(contexts), np.int64), self.more[contexts] + 1), True)
             return
-        for distance in range(_MASK + 1):  # a frequent token: one distance after the other
+        last = int(self.before[contexts].max())
+        for distance in range(last + 1):  # a frequent token: one distance after the other
             window = self.before[contexts] - distance
             held = (window >= 0) & (window <= self.more[contexts])
-            if held.any():
-                yield contexts[held], window[held]
+            yield contexts[held], window[held], distance == last
 
     def sorted(self, context: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.begin[context] + window
@@ -293,72 +294,65 @@ class _Bucket:
 
 def _bucket_sorter(length: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
-        bucket = _Bucket(held, length, together)
-        held.clear()
-        edges = {0, len(bucket.names) - 1}
-        for context, window in bucket.pieces():
+        bucket = _Bucket(rows, length, together)
+        rows.clear()
+        edges, held, found = [0, len(bucket.names) - 1], [], []
+        for context, window, ended in bucket.pieces():
             order, same = bucket.sorted(context, window)
             context, window = context[order], window[order]
             repeated = same.copy()
             repeated[:-1] |= same[1:]
             alone = bucket.alone[context]
-            spans = _joined(context[repeated & alone], window[repeated & alone], length)
-            edge = np.isin(bucket.group[context], list(edges)) & ~same
-            yield _found(bucket, *spans)
-            if edge.any():
-                context, window, open_ = context[edge], window[edge], (alone & ~repeated)[edge]
-                yield _found(bucket, context, window, np.full(len(context), length), open_)
+            edge = np.isin(bucket.group[context], edges) & ~same
+            held.append((context[edge], window[edge], (alone & ~repeated)[edge]))
+            found.append((context[repeated & alone], window[repeated & alone]))
+            if ended:
+                yield _spans(bucket, *map(np.concatenate, zip(*found, strict=True)))
+                found = []
+        yield from _boundary(bucket, *map(np.concatenate, zip(*held, strict=True)))
     return run
 
 
-def _joined(context: np.ndarray, window: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Windows of a context that follow each other as one span: context, first window, bytes."""
+def _spans(bucket: _Bucket, context: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
+    """Windows of a context that follow each other as one span.
+
+    Prints of their own keep spans apart, and evenly dealt.
+    """
     order = np.lexsort((window, context))
     context, window = context[order], window[order]
     new = np.ones(len(context), bool)
     new[1:] = (context[1:] != context[:-1]) | (window[1:] != window[:-1] + 1)
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(context))[:len(begin)] - 1
-    return context[begin], window[begin], window[end] - window[begin] + length
-
-
-def _found(bucket: _Bucket, context: np.ndarray, window: np.ndarray, size: np.ndarray,
-           open_: np.ndarray | None = None) -> pa.RecordBatch:
-    """Spans, or, with ``open_``, windows of boundary tokens and whether they still need a twin."""
-    columns = [pa.array(bucket.key_a[context]), pa.array(bucket.key_b[context]),
-               pa.array(bucket.first[context] + window), pa.array(size.astype(np.int64))]
-    if open_ is None:  # a print of their own keeps spans apart, and evenly dealt
-        own = words.mix(bucket.key_a[context].view(np.uint64)) ^ words.mix(
-            (bucket.first[context] + window).astype(np.uint64))
-        columns += [pa.array(own.view(np.int64)), pa.array(bucket.key_b[context]),
-                    pa.nulls(len(context), pa.bool_())]
-    else:
-        prints = _window_prints(bucket, context, window)
-        columns += [*(pa.array(p.view(np.int64)) for p in prints), pa.array(open_)]
-    return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
-
-
-def _window_prints(bucket: _Bucket, context: np.ndarray, window: np.ndarray) -> list[np.ndarray]:
-    """Both hashes of windows; of the contexts' bytes only as much as SORTED windows need at a time."""
+    context, window, more = context[begin], window[begin], window[end] - window[begin]
+    first = bucket.first[context] + window
+    own = words.mix(bucket.key_a[context].view(np.uint64)) ^ words.mix(first.astype(np.uint64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket.key_a[context]), pa.array(bucket.key_b[context]), pa.array(first),
+         pa.array(more + bucket.length), pa.array(own.view(np.int64)),
+         pa.array(bucket.key_b[context]), pa.nulls(len(context), pa.bool_())], schema=_FOUND)
+
+
+def _boundary(bucket: _Bucket, context: np.ndarray, window: np.ndarray,
+              open_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of boundary tokens with their prints, and whether they still need a twin."""
     at = bucket.begin[context] + window
-    found = [np.empty(len(at), np.uint64) for _ in range(2)]
     order = np.argsort(at, kind="stable")
-    for a in range(0, len(order), SORTED):
-        some = order[a:a + SORTED]
-        spots, inverse = np.unique(at[some], return_inverse=True)
-        # cut where windows are far apart, so that the bytes between them are not read
-        cuts = np.flatnonzero(np.diff(spots) > bucket.length) + 1
-        for block in np.split(np.arange(len(spots)), cuts[::64]):
-            begin = spots[block[0]]
-            prints = _Prints(bucket.data[begin:spots[block[-1]] + bucket.length])
-            mine = np.flatnonzero((inverse >= block[0]) & (inverse <= block[-1]))
-            offset = at[some[mine]] - begin
-            for i in (0, 1):
-                found[i][some[mine]] = prints.get(offset, offset + bucket.length, i)
-    return found
+    at, context, window, open_ = at[order], context[order], window[order], open_[order]
+    a = 0
+    while a < len(at):  # about PIECE bytes of the bucket at a time
+        b = int(np.searchsorted(at, at[a] + PIECE))
+        prints = _Prints(bucket.data[at[a]:at[b - 1] + bucket.length])
+        begin, own = at[a:b] - at[a], context[a:b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket.key_a[own]), pa.array(bucket.key_b[own]),
+             pa.array(bucket.first[own] + window[a:b]), pa.array(np.full(b - a, bucket.length)),
+             *(pa.array(prints.get(begin, begin + bucket.length, i).view(np.int64)) for i in (0, 1)),
+             pa.array(open_[a:b])], schema=_FOUND)
+        a = b
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

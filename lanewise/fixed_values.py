@@ -56,6 +56,9 @@ PERCENT_TOLERANCE = "2.0"
 PAYMENT_TERMS_DAYS = 30
 DEFAULT_CURRENCY = "USD"
 
+# Queues: receives of a message before it is put aside.
+MAX_RECEIVES = 3
+
 # Reports, paging, retention, metrics.
 REPORT_MIN_DAYS = 1
 REPORT_MAX_DAYS = 365

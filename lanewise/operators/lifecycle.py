@@ -168,8 +168,16 @@ def created_events(shipments: DataFrame) -> DataFrame:
         messages.to_body(kind.alias("eventType"), *payload).alias("body"))
 
 
+def number_text(prefix: str, day: Column, place: Column) -> Column:
+    """``PREFIX-yyyyMMdd-000001``; numbers of more than six digits are not cut."""
+    digits = place.cast("string")
+    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
+    return F.concat(F.lit(prefix), F.lit("-"), F.date_format(day, "yyyyMMdd"), F.lit("-"), number)
+
+
 def reference_numbers(shipments: DataFrame, prefix: str) -> DataFrame:
-    """Human-readable numbers ``PREFIX-yyyyMMdd-000001``, counted from 1 within each day.
+    """Human-readable numbers ``PREFIX-yyyyMMdd-000001``, counted from 1 within each day;
+    ``numbering.next_numbers`` goes on where an earlier batch ended.
 
     Numbers follow the creation hour and, inside an hour, a hash of the id.  The hash cuts even a
     single busy hour into 65,536 slices; a slice is numbered on its own and shifted by the size of
@@ -185,11 +193,8 @@ def reference_numbers(shipments: DataFrame, prefix: str) -> DataFrame:
         .withColumn("before", F.sum("n").over(within_day) - F.col("n")).drop("n")
     )
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("shipment_id"))
-    digits = (F.col("before") + F.col("place")).cast("string")
-    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
     return (
         placed.withColumn("place", inside).join(offsets, key)
-        .select("shipment_id", F.concat(F.lit(prefix), F.lit("-"),
-                                        F.date_format("day", "yyyyMMdd"), F.lit("-"), number)
+        .select("shipment_id", number_text(prefix, F.col("day"), F.col("before") + F.col("place"))
                 .alias("reference_number"))
     )

@@ -12,6 +12,7 @@ from lanewise.operators.skew import latest, previous_value
 CARD = ["rate_per_cwt", "fuel_surcharge_percent", "minimum_charge"]
 RATE_KEY = ["carrier_id", "lane_id"]
 WEIGHTS_PER_CUT = 10_000
+BIN_DAYS = 64
 
 
 def active(rates: DataFrame) -> DataFrame:
@@ -126,22 +127,47 @@ def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
+def validity_bins(rates: DataFrame, last_day: Column) -> DataFrame:
+    """Cards cut at the borders of bins of ``BIN_DAYS`` days, from their first day to ``last_day``.
+
+    In a bin a card counts from its first day there to its last.  Of cards with the same days in a bin one
+    can win: the latest, then the dearest.  That is an aggregation which combines before the shuffle, so a
+    bin of a (carrier, lane) holds at most ``BIN_DAYS`` squared over two rows, however many versions the
+    card has had.
+    """
+    first, last = F.col("effective_date"), F.least(
+        F.coalesce(F.col("expiration_date"), last_day), last_day)
+    bins = F.sequence(*(F.floor(F.unix_date(d) / BIN_DAYS) for d in (first, last)))
+    begin = F.col("bin") * BIN_DAYS
+    return (
+        rates.filter(first.isNotNull() & (first <= last))
+        .withColumn("bin", F.explode(bins))
+        .withColumn("from_day", F.greatest(F.unix_date(first).cast("long"), begin))
+        .withColumn("to_day", F.least(F.unix_date(last).cast("long"), begin + BIN_DAYS - 1))
+        .groupBy(*RATE_KEY, "bin", "from_day", "to_day")
+        .agg(F.max(F.struct("effective_date", *CARD)).alias("card"))
+    )
+
+
 def rates_on(rates: DataFrame, requests: DataFrame, on: str, request_key: str) -> DataFrame:
     """For each request the latest card of its carrier and lane that is valid on its date.
 
-    The versions of a card are gathered once per (carrier, lane); a request meets that one row, picks
-    its card there and needs no second shuffle.  A request without a valid card stays, with nulls.
-    Of cards that become effective on one day, the one with the larger prices counts.
+    An interval join: requests meet the cards of their (carrier, lane, bin) only, on the left, where
+    adaptive execution can split a hot card; ``max`` over what is valid combines before the shuffle.  A
+    request without a valid card stays, with nulls.  Of cards that become effective on one day, the one
+    with the larger prices counts.  ``request_key`` names a request.
     """
-    day = F.to_date(F.col(on))
-    version = F.struct("effective_date", *CARD, "expiration_date")
-    versions = rates.filter(F.col("effective_date").isNotNull()).groupBy(*RATE_KEY).agg(
-        F.collect_set(version).alias("versions"))
-    valid = F.filter("versions", lambda v: (v["effective_date"] <= day) & (
-        v["expiration_date"].isNull() | (v["expiration_date"] >= day)))
-    card = F.array_max(valid)
-    return requests.join(versions, RATE_KEY, "left").select(
-        request_key, *[card[c].alias(c) for c in ("effective_date", *CARD)])
+    day = F.unix_date(F.to_date(F.col(on))).cast("long")
+    asked = requests.select(request_key, *RATE_KEY, day.alias("asked_day")).withColumn(
+        "bin", F.floor(F.col("asked_day") / BIN_DAYS))
+    last_day = requests.select(F.to_date(F.max(on))).scalar()
+    versions = validity_bins(rates, last_day)
+    valid = F.col("asked_day").between(F.col("from_day"), F.col("to_day"))
+    return (
+        asked.join(versions, [*RATE_KEY, "bin"], "left")
+        .groupBy(request_key).agg(F.max(F.when(valid, F.col("card"))).alias("card"))
+        .select(request_key, *[F.col("card")[c].alias(c) for c in ("effective_date", *CARD)])
+    )
 
 
 def newest_rates(rates: DataFrame, order: list[str]) -> DataFrame:

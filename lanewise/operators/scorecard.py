@@ -18,11 +18,15 @@ def window_shipments(shipments: DataFrame, first: date, last: date) -> DataFrame
 
     Undelivered ones stay in and count as late.
     """
+    return scored_shipments(shipments.filter(
+        timing.within_days(F.col("created_at"), first, last)))
+
+
+def scored_shipments(shipments: DataFrame) -> DataFrame:
     actual, promised, created = (
         F.col("actual_delivery"), F.col("estimated_delivery"), F.col("created_at"))
     return (
-        shipments.filter(timing.within_days(created, first, last)
-                         & F.col("status").isin(SCORED_STATUSES))
+        shipments.filter(F.col("status").isin(SCORED_STATUSES))
         .select("shipment_id", "carrier_id", "carrier_name", "origin_state", "dest_state",
                 "weight_lbs", "negotiated_rate",
                 timing.on_time(actual, promised, "date").alias("on_time"),
@@ -33,40 +37,50 @@ def window_shipments(shipments: DataFrame, first: date, last: date) -> DataFrame
 
 
 def window_invoices(invoices: DataFrame, first: date, last: date) -> DataFrame:
+    return scored_invoices(invoices.filter(
+        timing.within_days(F.col("created_at"), first, last)))
+
+
+def scored_invoices(invoices: DataFrame) -> DataFrame:
     return (
-        invoices.filter(timing.within_days(F.col("created_at"), first, last))
-        .select("shipment_id", "carrier_id", "invoiced_amount", "approved_amount",
-                (F.col("status") == "DISPUTED").alias("disputed"))
+        invoices.select("shipment_id", "carrier_id", "invoiced_amount", "approved_amount",
+                        (F.col("status") == "DISPUTED").alias("disputed"),
+                        F.to_date("created_at").alias("invoice_day"))
     )
 
 
+def shipment_sums() -> list[Column]:
+    """Sums and counts are kept beside the averages so that rounding stays exact."""
+    return [F.count("shipment_id").alias("total_shipments"),
+            F.count_if("on_time").alias("on_time_deliveries"),
+            F.sum("transit_days_actual").alias("actual_days"),
+            F.count("transit_days_actual").alias("actual_n"),
+            F.sum("transit_days_committed").alias("committed_days"),
+            F.count("transit_days_committed").alias("committed_n"),
+            F.sum("weight_lbs").alias("total_weight_lbs"),
+            F.count("weight_lbs").alias("weighed"),
+            F.sum("negotiated_rate").alias("total_negotiated_cost")]
+
+
+def invoice_sums() -> list[Column]:
+    """Invoices without a shipment do not count, but their amounts do."""
+    return [F.count("shipment_id").alias("total_invoices"),
+            F.count_if("disputed").alias("disputed_invoices"),
+            F.sum("invoiced_amount").alias("total_invoiced_amount"),
+            F.sum("approved_amount").alias("total_approved_amount"),
+            F.count("invoiced_amount").alias("invoiced_n")]
+
+
 def shipment_metrics(shipments: DataFrame) -> DataFrame:
-    """Per carrier.  Sums and counts are kept beside the averages so that rounding stays exact."""
-    return (
-        shipments.groupBy("carrier_id", "carrier_name")
-        .agg(F.count("shipment_id").alias("total_shipments"),
-             F.count_if("on_time").alias("on_time_deliveries"),
-             F.sum("transit_days_actual").alias("actual_days"),
-             F.count("transit_days_actual").alias("actual_n"),
-             F.sum("transit_days_committed").alias("committed_days"),
-             F.count("transit_days_committed").alias("committed_n"),
-             F.sum("weight_lbs").alias("total_weight_lbs"),
-             F.count("weight_lbs").alias("weighed"),
-             F.sum("negotiated_rate").alias("total_negotiated_cost"),
-             F.count_distinct("origin_state", "dest_state").alias("distinct_lanes_served"))
-    )
+    """Per carrier."""
+    return shipments.groupBy("carrier_id", "carrier_name").agg(
+        *shipment_sums(), F.count_distinct("origin_state", "dest_state")
+        .alias("distinct_lanes_served"))
 
 
 def invoice_metrics(invoices: DataFrame) -> DataFrame:
-    """Per carrier id; invoices without a shipment do not count, but their amounts do."""
-    return (
-        invoices.groupBy("carrier_id")
-        .agg(F.count("shipment_id").alias("total_invoices"),
-             F.count_if("disputed").alias("disputed_invoices"),
-             F.sum("invoiced_amount").alias("total_invoiced_amount"),
-             F.sum("approved_amount").alias("total_approved_amount"),
-             F.count("invoiced_amount").alias("invoiced_n"))
-    )
+    """Per carrier id."""
+    return invoices.groupBy("carrier_id").agg(*invoice_sums())
 
 
 def transit_variance() -> Column:
@@ -93,8 +107,13 @@ def carrier_scorecard(shipments: DataFrame, invoices: DataFrame, as_of: date | s
     told apart by id and name, invoices only by id: a renamed carrier sees its invoices twice.
     """
     first, last = timing.scorecard_window(as_of, lookback_days)
-    left = shipment_metrics(window_shipments(shipments, first, last))
-    right = invoice_metrics(window_invoices(invoices, first, last))
+    return scored(shipment_metrics(window_shipments(shipments, first, last)),
+                  invoice_metrics(window_invoices(invoices, first, last)), first, last, lookback_days)
+
+
+def scored(left: DataFrame, right: DataFrame, first: date, last: date,
+           lookback_days: int) -> DataFrame:
+    """Rates, averages, score and tier from the sums of both sides."""
     weight = F.col("total_weight_lbs")
     cost = F.col("total_approved_amount").cast("decimal(22,2)") / weight.cast("decimal(20,2)")
     disputes = pricing.percent_of(F.col("disputed_invoices"), F.col("total_invoices"))

@@ -18,7 +18,7 @@ from lanewise.operators import (
     documents, lifecycle, matching, metrics, outbox, quality, rates, reports, scorecard, search,
     spend, tracking, upsert,
 )
-from lanewise.plans import jobs
+from lanewise.plans import jobs, live
 from lanewise.session import shared_dir
 from lanewise.sources import keyed, sample
 from lanewise.streaming import pipeline, state
@@ -811,3 +811,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     quality_violations, quality_counts, duplicate_keys, orphan_children, retention_filter,
     partial_upsert, stored_spend_cube, stored_rates, stored_messages,
 )}
+QUERIES |= live.QUERIES

@@ -302,6 +302,37 @@ VIEWS = {
                    w.before AS old_status, w.after AS new_status, w.accepted, r.status_reason,
                    r.location
             FROM walk w JOIN requests r ON r.shipment_id = w.shipment_id AND r.nth = w.nth)"""),
+    "delivered_requests": ("tracking", """
+        SELECT *, ts < max(newest) OVER (ORDER BY delivery RANGE BETWEEN UNBOUNDED PRECEDING
+                                         AND 1 PRECEDING) - interval 21 day IS TRUE AS late
+        FROM (SELECT *, max(ts) OVER (PARTITION BY delivery) AS newest
+              FROM (SELECT *, greatest(0, floor((cast(ts AS date) - date '2024-01-01') / 7)
+                              + CASE WHEN event_id % 97 = 0 THEN 6 ELSE event_id % 3 END)
+                              AS delivery
+                    FROM tracking WHERE wanted IS NOT NULL))"""),
+    "ordered_fold": ("delivered_requests allowed", """
+        SELECT * FROM (
+            WITH RECURSIVE timely AS (
+                SELECT *, row_number() OVER (PARTITION BY shipment_id
+                                             ORDER BY ts, cast(event_id AS varchar)) AS nth
+                FROM delivered_requests WHERE NOT late),
+            walk AS (
+                SELECT shipment_id, cast(0 AS bigint) AS nth, 'CARRIER_ASSIGNED' AS before,
+                       'CARRIER_ASSIGNED' AS after, false AS accepted
+                FROM timely GROUP BY shipment_id
+                UNION ALL
+                SELECT r.shipment_id, r.nth, w.after,
+                       CASE WHEN a.new_status IS NULL THEN w.after ELSE r.wanted END,
+                       a.new_status IS NOT NULL
+                FROM walk w
+                JOIN timely r ON r.shipment_id = w.shipment_id AND r.nth = w.nth + 1
+                LEFT JOIN allowed a ON a.old_status = w.after AND a.new_status = r.wanted)
+            SELECT r.event_id, r.shipment_id, r.ts, r.wanted AS requested_status,
+                   w.before AS old_status, w.after AS new_status, w.accepted, false AS late
+            FROM walk w JOIN timely r ON r.shipment_id = w.shipment_id AND r.nth = w.nth
+            UNION ALL
+            SELECT event_id, shipment_id, ts, wanted, NULL, NULL, false, true
+            FROM delivered_requests WHERE late)"""),
     "logs": ("", """
         SELECT event_id, ts,
                CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'ERROR'
@@ -911,6 +942,27 @@ SQL: dict[str, tuple[str, str]] = {
                        ORDER BY hour(created_at), substr(md5(shipment_id), 1, 4), shipment_id)
                        AS varchar), 6, '0')) AS reference_number
         FROM shipments"""),
+    "lifecycle_in_event_time": ("ordered_fold", "SELECT * FROM ordered_fold"),
+    "requests_before_shipments": ("requests shipments", """
+        SELECT r.event_id, r.shipment_id, s.k % 4 <> 0 AND s.k IS NOT NULL
+                   OR abs(epoch(s.arrives) - epoch(r.ts)) <= 864000 IS TRUE AS known,
+               CASE WHEN s.k % 4 = 0 AND abs(epoch(s.arrives) - epoch(r.ts)) <= 864000
+                    THEN s.arrives END AS arrived_at
+        FROM requests r
+        LEFT JOIN (SELECT shipment_id, k, CASE WHEN k % 4 = 0 THEN
+                          timestamp '2024-01-01' + interval 1 hour * (k * 7 % 720) END AS arrives
+                   FROM shipments) s
+               ON s.shipment_id = r.shipment_id"""),
+    "message_attempts": ("queue", """
+        SELECT cast(event_id AS varchar) AS message_id, readable AND n > busy AS handled,
+               cast(n AS int) AS attempt,
+               CASE WHEN readable AND n > busy THEN 'done' WHEN n = 3 THEN 'dead_letter'
+                    ELSE 'retry' END AS place
+        FROM (SELECT event_id, readable,
+                     CASE WHEN event_id % 77 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END
+                         AS busy
+              FROM queue) q
+        JOIN (VALUES (1), (2), (3)) t(n) ON n <= CASE WHEN readable THEN busy + 1 ELSE 3 END"""),
     "stream_lifecycle": ("fold", FOLD_COLUMNS),
     "stream_error_counts": ("logs", f"""
         SELECT {PERIOD.format('ts')} AS period_start, 'ErrorCount' AS metric,
@@ -1056,6 +1108,22 @@ SQL: dict[str, tuple[str, str]] = {
 }
 
 
+SQL["scorecard_from_days"] = SQL["carrier_scorecard"]
+SQL["lanes_from_sketches"] = ("shipments", """
+    SELECT carrier_id, count(DISTINCT concat(origin_state, '>', dest_state)) AS distinct_lanes_served,
+           true AS within_error
+    FROM shipments
+    WHERE status IN ('DELIVERED', 'IN_TRANSIT', 'OUT_FOR_DELIVERY')
+      AND cast(created_at AS date) BETWEEN date '1993-10-14' AND date '2001-12-31'
+    GROUP BY carrier_id, carrier_name""")
+SQL["numbers_in_batches"] = ("shipments", """
+    SELECT shipment_id, concat('SH-', strftime(created_at, '%Y%m%d'), '-',
+               lpad(cast(row_number() OVER (PARTITION BY cast(created_at AS date)
+                   ORDER BY k % 3, hour(created_at), substr(md5(shipment_id), 1, 4), shipment_id)
+                   AS varchar), 6, '0')) AS reference_number
+    FROM shipments""")
+SQL["stored_page"] = ("shipments", f"""
+    SELECT {DTO} FROM shipments ORDER BY created_at DESC, shipment_id LIMIT 100 OFFSET 13000""")
 SQL["stored_spend_cube"] = SQL["freight_spend_daily"]
 SQL["stored_rates"] = SQL["latest_rate_per_key"]
 SQL["stored_messages"] = ("shipments", """

@@ -178,10 +178,15 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, size: int = SIZE,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE,
                    percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with equal id are judged together."""
-    leaks = contained_items(docs, benchmark, size, percent).select(
-        F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("leaking_id")),
+    """The rows of ``docs`` that hold no item.
+
+    Rows are judged by themselves: they are told apart by a hash of id and text, so one without an id, or
+    with an id that others have too, goes for what it holds itself.
+    """
+    row = F.xxhash64("doc_id", "text")
+    leaks = contained_items(docs.select(row.alias("doc_id"), "text"), benchmark, size, percent).select(
+        F.col("doc_id").alias("leaking_row")).distinct()
+    return docs.join(leaks, F.xxhash64(docs["doc_id"], docs["text"]) == leaks["leaking_row"],
                      "left_anti")
 
 

@@ -14,8 +14,10 @@ are parsed side by side, one character of each at a time, for all languages at o
 of every text is parsed.
 
 Bounds: ``PIECES`` pieces of ``PIECE`` characters per language are sampled for learning, chosen by a
-hash of the id, so 64 KB of text per language reach the driver and, broadcast, the workers, which
-build the automata.  Every letter of the samples takes part.  Nothing else is bounded.
+hash of id and text, so 64 KB of text per language reach the driver and, broadcast, the workers, which
+build the automata.  Every letter of the samples takes part.  Nothing else is bounded: a worker's table
+grows with the number of languages, and one that outgrows the 31 bits of an offset (several hundred
+languages) is an error.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if
 nothing is labelled; rows with null id or null lang are predicted but null langs are never learned;
@@ -130,6 +132,8 @@ class Languages:
                 sequence += [code[x] for x in piece] + [-1]
             automaton = SuffixAutomaton(sequence)
             n, width = len(automaton.next), self.width
+            if offset + n * width >= int(_END):
+                raise ValueError(f"{len(self.names)} languages need more steps than 31 bits can number")
             root = np.full(width, offset, np.uint32)
             self.begin[k] = offset
             for c, state in automaton.next[0].items():
@@ -219,21 +223,22 @@ class Languages:
 def sampled(labelled: DataFrame) -> dict[str, list[str]]:
     """At most ``PIECES`` pieces of ``PIECE`` characters per language of (doc_id, lang, text).
 
-    One count per language sets the share of rows whose hash is low enough; the pieces lie at a
-    hashed place of the text.
+    One count per language sets the share of rows whose hash of id and text is low enough, and the
+    row with the lowest is always among them; equal rows count as one, so about twice ``PIECES`` rows
+    per language are collected however ids and rows repeat.  The pieces lie at a hashed place of the text.
     """
-    labelled = labelled.filter("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .collect()}
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 40))
+    labelled = labelled.filter("lang is not null and text is not null").withColumn("draw", draw)
+    counts = labelled.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items()
-                           for x in (lang, min(1.0, 2.0 * PIECES / n))))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id")), F.lit(1 << 30))
-    place = F.pmod(F.xxhash64(F.lit("place"), F.col("doc_id")),
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (
+        r.lang, max(r.least, int(min(1.0, 2.0 * PIECES / r.n) * (1 << 40))))))
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id", "text"),
                    F.greatest(F.char_length("text") - PIECE, F.lit(1))).cast("int")
-    rows = labelled.filter(draw < share[F.col("lang")] * float(1 << 30)).select(
-        "lang", draw.alias("draw"), F.substring(F.col("text"), place + 1, F.lit(PIECE)).alias("piece"))
+    rows = labelled.filter(F.col("draw") <= limit[F.col("lang")]).select(
+        "lang", "draw", F.substring(F.col("text"), place + 1, F.lit(PIECE)).alias("piece")).distinct()
     found: dict[str, list[str]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.piece)):
         pieces = found.setdefault(r.lang, [])

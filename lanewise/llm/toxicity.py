@@ -19,10 +19,13 @@ plain, targeted, negated or reported; the sum, density and maximum of those that
 targeted); how many clauses emit, and the number of words.
 
 What is learned, all from labelled rows of the folds not held out and all from a sample of at most
-about ``TRAINING_ROWS`` rows drawn by a hash of the id: the insult trie (beginnings of words that occur
-in far more toxic than other texts, by a likelihood ratio) and the weights of the features (logistic
-regression).  Counting runs on the executors; the counts of word beginnings found in enough toxic
-sample rows, and one row of features per sample row, reach the driver.
+about ``TRAINING_ROWS`` rows, half of either label, drawn by a hash of id and text (equal rows count as
+one): the insult trie (beginnings of words, and whole words of up to 24 letters, that occur in far more
+toxic than other texts, by a likelihood ratio) and the weights of the features (logistic regression; the
+constant is set right for the labels' shares before the draw).  The model is bounded, too: a beginning must be
+in ``LEAST_SHARE`` (1 %) of the toxic sample rows, and the trie has ``MOST_ARCS`` (4,000) arcs at most.
+Counting runs on the executors; the counts of word beginnings found in enough toxic sample rows, and one
+row of features per sample row, reach the driver.
 
 Scoring reads every word of every whole text once, and keeps the automaton's state only.  States are made
 when a text first needs them; there are finitely many, and ``MOST_STATES`` are kept before they are made
@@ -388,7 +391,8 @@ def _measurer(arcs: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(arcs)
         for batch in batches:
-            features = [grammar.features(t or "") for t in batch.column(0).to_pylist()]
+            features = [grammar.features((t or b"").decode()) for _, _, part in words.parts(batch.column(0))
+                        for t in part]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).cast(pa.int32()), pa.array(features, schema[1].type)],
                 schema=schema)
@@ -401,20 +405,22 @@ class Model(NamedTuple):
 
 
 def learned(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Learn from (doc_id, text, label 0 or 1); about ``rows`` rows are drawn by hash."""
+    """Learn from (doc_id, text, label 0 or 1); about half of ``rows`` rows of each label are drawn."""
     prior = {w + " ": 2.0 for w in INSULTS}
-    known = labelled.filter("label in (0, 1)")
-    total = known.count()
-    if not total:
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", "text"), F.lit(1 << 40))
+    known = labelled.filter("label in (0, 1)").withColumn("draw", draw)
+    counts = {r.label: r for r in known.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()}
+    if len(counts) < 2:
         return Model(prior, PRIOR)
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 30))
-    sample = reliable(known.filter(draw < int(min(1.0, rows / total) * (1 << 30)))
+    limit = F.create_map(*(F.lit(x) for label, r in counts.items() for x in (
+        label, max(r.least, int(min(1.0, rows / 2 / r.n) * (1 << 40))))))
+    sample = reliable(known.filter(F.col("draw") <= limit[F.col("label")])
+                      .dropDuplicates(["label", "draw"])
                       .select("text", F.col("label").cast("int").alias("label")))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
              .collect()}
-    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not other:
-        return Model(prior, PRIOR)
+    toxic, other = sizes[1], sizes[0]
 
     def counted(given: DataFrame, only: frozenset[str] | None) -> DataFrame:
         return (given.mapInArrow(_count_arcs(only), "arc string, toxic long, other long")
@@ -423,23 +429,23 @@ def learned(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     frequent = counted(sample.filter("label = 1"), None).filter(
         F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic))
     candidates = frozenset(r.arc for r in frequent.select("arc").collect())
-    counts = {r.arc: (r.toxic, r.other) for r in counted(sample, candidates).collect()}
-    arcs = prior | chosen_arcs(counts, toxic, other)
+    found = {r.arc: (r.toxic, r.other) for r in counted(sample, candidates).collect()}
+    arcs = prior | chosen_arcs(found, toxic, other)
     measured = sample.mapInArrow(_measurer(arcs), "label int, features array<double>").collect()
     x = np.array([r.features for r in measured])
     y = np.array([r.label for r in measured], float)
     order = np.lexsort((*x.T, y))  # rows arrive in any order; sums must not depend on it
-    return Model(arcs, fitted(x[order], y[order]).tolist())
+    weights = fitted(x[order], y[order])
+    weights[0] += math.log(counts[1].n / counts[0].n) - math.log(toxic / other)
+    return Model(arcs, weights.tolist())
 
 
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, weights = Grammar(model.value.arcs), np.array(model.value.weights)
         for batch in batches:
-            texts = batch.column(1)
-            for begin, end in words.batches(texts.cast(pa.binary()).to_pylist()):
-                x = np.array([grammar.features(t or "")
-                              for t in texts.slice(begin, end - begin).to_pylist()])
+            for begin, end, texts in words.parts(batch.column(1)):
+                x = np.array([grammar.features((t or b"").decode()) for t in texts])
                 score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(score)],

@@ -252,6 +252,31 @@ def test_toxicity_of_hard_rows(spark, edge, none):
     assert toxicity.scored(bad, model).first().score > 0.7
 
 
+def test_repeated_ids_are_learned_from(spark):
+    """Rows that share an id, or have none, are drawn one by one; equal rows count as one."""
+    rows = [(k % 3 or None, "de" if k % 2 else "fr", f"{'der die das' if k % 2 else 'le la les'} x{'y' * (k % 50)}")
+            for k in range(4000)]
+    found = language.sampled(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert {lang: 0 < len(p) <= language.PIECES for lang, p in found.items()} == {"de": True, "fr": True}
+    same = spark.createDataFrame([(2, "de", "der die das")] * 3000, "doc_id long, lang string, text string")
+    assert language.sampled(same) == {"de": [" der die das "]}
+    texts = [(7, f"you are an idiot number {k}" if k % 10 == 0 else f"a fine day number {k}", int(k % 10 == 0))
+             for k in range(3000)]
+    model = toxicity.learned(spark.createDataFrame(texts, "doc_id long, text string, label int"), rows=400)
+    scores = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(
+        [(1, "you idiot"), (2, "a fine evening")], SCHEMA), model).collect()}
+    assert scores[1] > 0.7 > 0.3 > scores[2]
+
+
+def test_rows_are_decontaminated_by_themselves(spark):
+    leak = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, leak), (None, "clean text"), (5, leak), (5, "also clean"), (6, None)],
+                                 SCHEMA)
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = contamination.decontaminated(docs, items).collect()
+    assert sorted(r.text or "" for r in kept) == ["", "also clean", "clean text"]
+
+
 def test_held_out_toxicity(spark):
     sf_dir = "/root/testdata/sf0.1"
     found = toxicity.op8_toxicity(spark, sf_dir).join(
@@ -294,6 +319,37 @@ def test_tree_fits_its_table():
     assert all((pages.share(tree, row[:-1]) > 0.5) == bool(row[-1]) for row in pages.LABELLED)
 
 
+ARTICLE = ("<article><h1 class='post-header'>Title of it</h1><p>A paragraph with quite some words in it, "
+           "so it is text.</p><p><a href=x>A paragraph that is wholly a link here</a></p><p>And another "
+           "paragraph of the article that goes on for a while.</p></article>")
+ARTICLE_TEXT = ("Title of it\n\nA paragraph with quite some words in it, so it is text.\n\nA paragraph that is "
+                "wholly a link here\n\nAnd another paragraph of the article that goes on for a while.")
+
+
+@pytest.mark.parametrize("wrapper, kept", [
+    ("div class='overflow-hidden'", True), ("div data-hidden='x'", True),
+    ("div class='content has-sidebar'", True), ("div class='comments-open single-post'", True),
+    ("div class='social-news'", True), ("div class=sidebar", True), ("div", True),
+    ("div hidden", False), ("div style='display: none'", False), ("aside", False)])
+def test_wrappers_of_the_article(wrapper, kept):
+    page = (f"<body><nav><a>Home</a></nav><{wrapper}>{ARTICLE}</{wrapper.split()[0]}>"
+            "<footer>Imprint and more</footer></body>")
+    assert pages.main_text(page, pages.trained()) == (ARTICLE_TEXT if kept else "")
+
+
+def test_comments_short_pages_and_long_pages():
+    tree = pages.trained()
+    comment = "<article><p>I like this very much, thank you all for writing it down.</p></article>"
+    assert pages.main_text(f"{ARTICLE}<div class='comment-list'>{comment}</div>", tree) == ARTICLE_TEXT
+    assert pages.main_text("<nav><a>Home</a></nav><p>Two short words.</p><p>And three more here.</p>",
+                           tree) == "Two short words.\n\nAnd three more here."
+    links = "".join(f"<li><a>Item number {k}</a></li>" for k in range(9))
+    assert pages.main_text(ARTICLE.replace("</article>", f"<ul>{links}</ul></article>"), tree) \
+        == ARTICLE_TEXT
+    long = "".join(f"<div><p>Paragraph {k} of a page that goes on and on.</p>" for k in range(20_000))
+    assert pages.main_text(f"<main>{long}", tree).count("\n\n") == 19_999
+
+
 def test_every_article_of_the_pages(spark, sf):
     import html
     import re

@@ -29,8 +29,9 @@ def find(df: DataFrame, **equals: object) -> DataFrame:
 
 
 def contains_text(col: Column, query: str) -> Column:
-    """Case-insensitive contains; ``%`` and ``_`` in the query stay wildcards."""
-    return F.lower(col).like(f"%{query.lower()}%")
+    """Case-insensitive contains; ``%`` and ``_`` in the query stay wildcards, a backslash is itself."""
+    pattern = query.lower().replace("\\", "\\\\")
+    return F.lower(col).like(f"%{pattern}%")
 
 
 def search_shipments(shipments: DataFrame, shipper_id: str | None = None,

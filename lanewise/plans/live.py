@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.operators import lifecycle, numbering, partials, ranked_pages, search, tracking
+from lanewise.operators import lifecycle, numbering, partials, ranked_pages, search, tracking, trigrams
 from lanewise.session import shared_dir
 from lanewise.sources import results, sample
 from lanewise.streaming import arrivals, ordered, pipeline, redelivery
@@ -150,6 +150,14 @@ def stored_page(spark: SparkSession, d: str) -> DataFrame:
     return _plain(found)
 
 
+def search_by_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices whose number contains a text with a wildcard, found by stored trigrams."""
+    path = f"{shared_dir(spark)}/trigrams-{uuid4().hex}"
+    trigrams.store(sample.invoices(spark, d).select("invoice_id", "invoice_number", "status"),
+                   "invoice_number", path)
+    return trigrams.search(spark, path, invoice_number="INV-12_4-")
+
+
 QUERIES = {f.__name__: f for f in (
     lifecycle_in_event_time, requests_before_shipments, message_attempts, scorecard_from_days,
-    lanes_from_sketches, numbers_in_batches, stored_page)}
+    lanes_from_sketches, numbers_in_batches, stored_page, search_by_trigrams)}

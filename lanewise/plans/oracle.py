@@ -1124,6 +1124,9 @@ SQL["numbers_in_batches"] = ("shipments", """
     FROM shipments""")
 SQL["stored_page"] = ("shipments", f"""
     SELECT {DTO} FROM shipments ORDER BY created_at DESC, shipment_id LIMIT 100 OFFSET 13000""")
+SQL["search_by_trigrams"] = ("invoices", """
+    SELECT invoice_id, invoice_number, status FROM invoices
+    WHERE lower(invoice_number) LIKE '%inv-12_4-%'""")
 SQL["stored_spend_cube"] = SQL["freight_spend_daily"]
 SQL["stored_rates"] = SQL["latest_rate_per_key"]
 SQL["stored_messages"] = ("shipments", """

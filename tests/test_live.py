@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import lifecycle, numbering, partials, ranked_pages, rates, scorecard, search
+from lanewise.operators import lifecycle, numbering, partials, ranked_pages, rates, scorecard, search, trigrams
 from lanewise.plans import live
 from lanewise.sources import sample
 from lanewise.streaming import ordered, pipeline, redelivery
@@ -155,3 +155,18 @@ def test_deep_page_reads_its_ranges_only(spark, sf_small, tmp_path):
 def test_receives_expire_by_the_clock_only_when_asked():
     assert redelivery.ReceiveCounter(3, None).keep_millis is None
     assert redelivery.ReceiveCounter(3, 4).keep_millis == 4 * 86_400_000
+
+
+def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(
+        [f"Nation_{k} City {k * 37 % 101}" for k in range(3000)]
+        + ["", "ab", None, "100% a\\b", "ÀÉÎ town", "aaa", "under_score"])], "id int, place string")
+    path = str(tmp_path)
+    trigrams.store(rows, "place", path)
+    for query in ("nation_7", "TION%city 5", "a\\b", "%", "", "ab", "àéî", "aaaa", "nothing here", "r_s", "0%"):
+        got = sorted(r.id for r in trigrams.search(spark, path, place=query).collect())
+        want = sorted(r.id for r in rows.filter(search.contains_text(F.col("place"), query)).collect())
+        assert got == want, query
+    groups = trigrams.candidate_groups(spark, path, "under_score")
+    assert 1 <= len(groups) < 10 and trigrams.candidate_groups(spark, path, "nothing here") == []
+    assert trigrams.literal_grams("ab%cdef_gh") == ["cde", "def"]

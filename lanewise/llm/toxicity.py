@@ -404,20 +404,34 @@ class Model(NamedTuple):
     weights: list[float]
 
 
-def learned(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Learn from (doc_id, text, label 0 or 1); about half of ``rows`` rows of each label are drawn."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """Rows with a hash of id and text, by which they are drawn."""
+    return docs.withColumn("row_hash", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
+
+
+def learned(labelled: DataFrame, rows: int = TRAINING_ROWS, texts: DataFrame | None = None) -> Model:
+    """Learn from (doc_id, text, label 0 or 1); about half of ``rows`` rows of each label are drawn.
+
+    ``labelled`` may have ``row_hash`` in place of the text, and ``texts`` (row_hash, text) be given: then
+    no text is shuffled, and the drawn hashes, bounded by ``rows``, go round to find theirs.
+    """
     prior = {w + " ": 2.0 for w in INSULTS}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", "text"), F.lit(1 << 40))
-    known = labelled.filter("label in (0, 1)").withColumn("draw", draw)
+    if "row_hash" not in labelled.columns:
+        labelled = hashed(labelled)
+    known = labelled.filter("label in (0, 1)").withColumn(
+        "draw", F.pmod("row_hash", F.lit(1 << 40)))
     counts = {r.label: r for r in known.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()}
     if len(counts) < 2:
         return Model(prior, PRIOR)
     limit = F.create_map(*(F.lit(x) for label, r in counts.items() for x in (
         label, max(r.least, int(min(1.0, rows / 2 / r.n) * (1 << 40))))))
-    sample = reliable(known.filter(F.col("draw") <= limit[F.col("label")])
-                      .dropDuplicates(["label", "draw"])
-                      .select("text", F.col("label").cast("int").alias("label")))
+    drawn = known.filter(F.col("draw") <= limit[F.col("label")]).withColumn(
+        "label", F.col("label").cast("int")).dropDuplicates(["label", "row_hash"])
+    if texts is not None:
+        drawn = texts.join(F.broadcast(reliable(drawn.select("row_hash", "label"))),
+                           "row_hash").dropDuplicates(["label", "row_hash"])
+    sample = reliable(drawn.select("text", "label"))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
              .collect()}
     toxic, other = sizes[1], sizes[0]
@@ -465,7 +479,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(
         held_out(F.col("doc_id"), FOLDS) != HELD_OUT)
-    model = learned(docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id"))
+    texts = hashed(docs)
+    model = learned(texts.drop("text").join(labels.withColumnRenamed("toxic", "label"), "doc_id"),
+                    texts=texts.select("row_hash", "text"))
     return scored(docs, model).select(
         "doc_id", (held_out(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.operators import lifecycle, numbering, partials, ranked_pages, search, tracking, trigrams
+from lanewise.plans import jobs
 from lanewise.session import shared_dir
 from lanewise.sources import results, sample
 from lanewise.streaming import arrivals, ordered, pipeline, redelivery
@@ -158,6 +159,19 @@ def search_by_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return trigrams.search(spark, path, invoice_number="INV-12_4-")
 
 
+def registered_spend_day(spark: SparkSession, d: str) -> DataFrame:
+    """A day's cube as the catalog has it after the job ran for all carriers and again for every second
+    one: a rerun drops the partitions that it no longer writes."""
+    shipments, invoices = sample.shipments(spark, d), sample.invoices(spark, d)
+    name = f"spend_{uuid4().hex}"
+    root = f"{shared_dir(spark)}/{name}"
+    fewer = shipments.filter(F.col("carrier_id").cast("bigint") % 2 == 0)
+    for rows in (shipments, fewer):
+        jobs.run_daily_spend(spark, rows, invoices, root, "1998-03-15", name)
+    return _plain(spark.table(name).drop("date"))
+
+
 QUERIES = {f.__name__: f for f in (
     lifecycle_in_event_time, requests_before_shipments, message_attempts, scorecard_from_days,
-    lanes_from_sketches, numbers_in_batches, stored_page, search_by_trigrams)}
+    lanes_from_sketches, numbers_in_batches, stored_page, search_by_trigrams,
+    registered_spend_day)}

@@ -1127,6 +1127,8 @@ SQL["stored_page"] = ("shipments", f"""
 SQL["search_by_trigrams"] = ("invoices", """
     SELECT invoice_id, invoice_number, status FROM invoices
     WHERE lower(invoice_number) LIKE '%inv-12_4-%'""")
+SQL["registered_spend_day"] = ("shipments invoices", cube("1").format(
+    where="AND cast(s.created_at AS date) = date '1998-03-15' AND s.s_suppkey % 2 = 0"))
 SQL["stored_spend_cube"] = SQL["freight_spend_daily"]
 SQL["stored_rates"] = SQL["latest_rate_per_key"]
 SQL["stored_messages"] = ("shipments", """

@@ -122,6 +122,30 @@ def match_on_delivery(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
     return three_way_match(told.join(invoices, "shipment_id"))
 
 
+def attempted(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Match the invoices of delivered shipments one by one: ``error`` names what stopped an invoice.
+
+    Amounts may be text, as they come from outside.  One that holds something else than an amount, or
+    more than an amount's digits, stops its own invoice only: its decision columns are null.
+    """
+    amounts = [name for name in ("invoiced_amount", "expected_amount", "approved_amount")
+               if name in invoices.columns]
+    unread = [F.when(F.col(name).isNotNull() & F.col(name).try_cast(pricing.MONEY).isNull(), F.lit(name))
+              for name in amounts]
+    errors = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
+    read = invoices.withColumn("error", F.when(
+        F.size(errors) > 0, F.concat(F.lit("no amount: "), F.array_join(errors, ","))))
+    read = read.withColumns({name: F.col(name).try_cast(pricing.MONEY) for name in amounts})
+    decided = match_on_delivery(delivered, read)
+    kept = {*invoices.columns, "error", "shipment_found"}
+    failed, by_name = F.col("error").isNotNull(), {f.name: f.dataType for f in decided.schema}
+    before = {"status": F.lit("MATCHING"), "auto_approved": F.lit(False)}
+    return decided.withColumns({
+        name: F.when(~failed, F.col(name)).otherwise(
+            before.get(name, F.lit(None).cast(by_name[name])))
+        for name in decided.columns if name not in kept or name in before})
+
+
 def invoice_events(matched: DataFrame) -> DataFrame:
     """Approved and disputed events of decided invoices, one row each."""
     approved = F.col("match_outcome") == "APPROVED"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.fixed_values import ERROR_LOG_LINES, METRIC_STEP
+from lanewise.operators import skew
 
 
 def samples(rows: DataFrame, ts: str, metric: str, value: Column | int = 1,
@@ -105,29 +106,43 @@ def period_statistic(rows: DataFrame, value: str, by: list[str], statistic: str,
     )
 
 
+def seconds_of(step: str) -> int:
+    """A step such as ``1 minute`` in seconds."""
+    number, unit = step.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
+
+
 def threshold_alarm(statistics: DataFrame, by: list[str], threshold: float, periods: int = 2,
                     step: str = METRIC_STEP, missing: str = "not_breaching") -> DataFrame:
     """``in_alarm`` per period: the statistic met the threshold ``periods`` times in a row.
 
     A period without data ends a run when ``missing="not_breaching"`` and is passed over when
-    ``missing="missing"``.
+    ``missing="missing"``.  Every series has one row per period.
+
+    A breaching period counts towards itself and the ``periods - 1`` after it, so the runs come out of
+    an aggregation by period: no task holds a series' whole history.
     """
-    seconds = F.unix_timestamp(F.col("period_start").cast("timestamp"))
-    breach = (F.col("statistic") >= threshold).cast("int")
-    ordered = Window.partitionBy(*by).orderBy("at")
     if missing == "not_breaching":
-        length = int(step.split()[0]) * {"second": 1, "minute": 60, "hour": 3600}[
-            step.split()[1].rstrip("s")]
-        frame = ordered.rangeBetween(-(periods - 1) * length, 0)
+        placed = statistics.withColumn(
+            "at", F.unix_timestamp(F.col("period_start").cast("timestamp")))
+        apart = seconds_of(step)
     elif missing == "missing":
-        frame = ordered.rowsBetween(-(periods - 1), 0)
+        placed = skew.numbered(statistics, by, ["period_start"]).withColumnRenamed("ordinal", "at")
+        apart = 1
     else:
         raise ValueError(f"unknown missing-data rule {missing!r}")
+    placed = placed.withColumn("breaching", (F.col("statistic") >= threshold).cast("int"))
+    reached = F.sequence(F.col("at"), F.col("at") + (periods - 1) * apart, F.lit(apart).cast("bigint"))
+    counted = placed.withColumn("towards", F.explode(
+        F.when(F.col("breaching") == 1, reached).otherwise(F.array("at"))))
+    own = F.col("towards") == F.col("at")
+    row = F.struct("period_start", "statistic", "breaching")
     return (
-        statistics.withColumn("at", seconds).withColumn("breaching", breach)
-        .withColumn("in_alarm", F.sum("breaching").over(frame) == periods)
-        .select("period_start", *by, "statistic", (F.col("breaching") == 1).alias("breaching"),
-                "in_alarm")
+        counted.groupBy(*by, "towards")
+        .agg(F.max(F.when(own, row)).alias("own"), F.sum("breaching").alias("breaches"))
+        .filter(F.col("own").isNotNull())
+        .select("own.period_start", *by, "own.statistic", (F.col("own.breaching") == 1).alias("breaching"),
+                (F.col("breaches") == periods).alias("in_alarm"))
     )
 
 

@@ -68,6 +68,26 @@ def table_rules(table: str) -> dict[str, Column]:
     raise ValueError(f"no rules for {table!r}")
 
 
+def unique_keys(table: str) -> dict[str, list[str]]:
+    """Keys that no two stored rows may share."""
+    keys = {
+        "shipments": {"shipment_id_unique": ["shipment_id"], "reference_no_unique": ["reference_no"]},
+        "shipment_legs": {"shipment_sequence_unique": ["shipment_id", "sequence"]},
+        "invoices": {"invoice_id_unique": ["invoice_id"],
+                     "invoice_number_unique": ["invoice_number"]},
+        "invoice_line_items": {"id_unique": ["id"]},
+    }
+    if table not in keys:
+        raise ValueError(f"no keys for {table!r}")
+    return keys[table]
+
+
+def parent_of(table: str) -> tuple[str, str] | None:
+    """The table whose rows this table's rows belong to, and the key that says so."""
+    return {"shipment_legs": ("shipments", "shipment_id"),
+            "invoice_line_items": ("invoices", "invoice_id")}.get(table)
+
+
 def request_rules(request: str) -> dict[str, Column]:
     """Rules an incoming request must keep."""
     if request == "create_shipment":
@@ -135,3 +155,33 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent does not exist."""
     return children.join(parents.select(key), key, "left_anti")
+
+
+def surplus(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows are too many for ``keys`` to be unique; rows with a null key are equal to none."""
+    known = rows.dropna(subset=keys)
+    return duplicates(known, keys).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("rows"))
+
+
+def audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every broken rule of stored tables, with the number of rows: row rules, unique keys, and parents
+    that are missing (where the parent's table is given).
+
+    A table is read once for its row rules and once per key; counts are combined before each shuffle.
+    """
+    found = []
+    for name, rows in tables.items():
+        found.append(violation_counts(rows, table_rules(name)).withColumn("table", F.lit(name)))
+        for rule, keys in unique_keys(name).items():
+            if set(keys) <= set(rows.columns):
+                found.append(surplus(rows, keys).select(
+                    F.lit(rule).alias("rule"), "rows", F.lit(name).alias("table")))
+        parent, key = parent_of(name) or (None, None)
+        if parent in tables:
+            alone = orphans(rows.dropna(subset=[key]), tables[parent], key)
+            found.append(alone.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(f"{key}_exists").alias("rule"), "rows", F.lit(name).alias("table")))
+    total = found[0]
+    for more in found[1:]:
+        total = total.unionByName(more)
+    return total.filter(F.col("rows") > 0)

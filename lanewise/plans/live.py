@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.operators import lifecycle, numbering, partials, ranked_pages, search, tracking, trigrams
+from lanewise.operators import (lifecycle, metrics, numbering, partials, quality, ranked_pages, search,
+                                tracking, trigrams)
 from lanewise.plans import jobs
 from lanewise.session import shared_dir
 from lanewise.sources import results, sample
-from lanewise.streaming import arrivals, ordered, pipeline, redelivery
+from lanewise.streaming import alarms, arrivals, ordered, pipeline, redelivery
+
 
 def _plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles."""
@@ -171,7 +173,78 @@ def registered_spend_day(spark: SparkSession, d: str) -> DataFrame:
     return _plain(spark.table(name).drop("date"))
 
 
+ALARMS = {"average": alarms.Alarm("average", 500.0), "p99": alarms.Alarm("p99", 2000.0),
+          "sum": alarms.Alarm("sum", 2500.0)}
+
+
+def _alarms(spark: SparkSession, d: str, asked: dict[str, alarms.Alarm]) -> DataFrame:
+    """Hourly alarms over log lines that come in week by week."""
+    logs = sample.log_lines(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "service",
+                                             "duration_ms")
+    week = F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int")
+    # A null would be left out, and with it the time that moves the watermark.
+    closing = _closing(logs, "ts").withColumn("duration_ms", F.lit(0).cast("bigint"))
+    stream = _delivered(logs.withColumn("week", F.greatest(week, F.lit(0))), "week", closing)
+    told = alarms.live_alarms(stream, "duration_ms", ["service"], asked, "1 hour", "1 hour")
+    return pipeline.drain(told, 8).withColumn("period_start",
+                                              F.col("period_start").cast("timestamp_ntz"))
+
+
+def live_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Three alarms per service, with the first hour without data after each hour with data."""
+    return _alarms(spark, d, ALARMS)
+
+
+def live_composite_alarm(spark: SparkSession, d: str) -> DataFrame:
+    """Hours in which one of two live alarms of some service is on, gaps included."""
+    return metrics.composite_alarm([_alarms(spark, d, {n: ALARMS[n] for n in ("average", "p99")})])
+
+
+def matches_one_by_one(spark: SparkSession, d: str) -> DataFrame:
+    """Every invoice of shipments that are delivered on a stream; some hold amounts that are none."""
+    number = F.col("shipment_id").cast("bigint")
+    invoices = sample.invoices(spark, d).withColumns({
+        "invoiced_amount": F.when(number % 41 == 0, "n/a").otherwise(
+            F.col("invoiced_amount").cast("string")),
+        "expected_amount": F.when(number % 43 == 0, "USD 12").otherwise(
+            F.col("expected_amount").cast("string"))})
+    delivered = sample.shipments(spark, d).filter(F.col("status") == "DELIVERED").select("shipment_id")
+    root = f"{shared_dir(spark)}/matches-{uuid4().hex}"
+    delivered.repartition(4).write.parquet(f"{root}/in")
+    stream = (spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 2)
+              .parquet(f"{root}/in"))
+    pipeline.match_each(stream, invoices, root, f"{root}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    keys = "invoice_id string, shipment_id string"
+    matched = spark.read.schema(
+        f"{keys}, status string, match_outcome string, match_reason string").parquet(f"{root}/matched")
+    failed = spark.read.schema(f"{keys}, error string").parquet(f"{root}/failed")
+    return matched.drop("batch").unionByName(failed.drop("batch"), allowMissingColumns=True)
+
+
+def stored_table_audit(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of the four stored tables over rows of which some were damaged."""
+    def every(n: int, name: str, damaged: Column, key: str = "shipment_id") -> Column:
+        number = F.regexp_extract(key, r"^(\d+)", 1).cast("bigint")
+        return F.when(number % n == 0, damaged).otherwise(F.col(name))
+
+    nothing = F.lit(None).cast("string")
+    shipments, legs = sample.shipments(spark, d), sample.legs(spark, d)
+    invoices, lines = sample.invoices(spark, d), sample.line_items(spark, d)
+    number = F.col("shipment_id").cast("bigint")
+    shipments = shipments.filter(number % 101 != 0).withColumns({
+        "reference_no": every(10, "reference_no", F.concat(F.lit("REF-"), (number % 100).cast("string"))),
+        "dest_city": every(13, "dest_city", nothing)})
+    legs = legs.unionByName(legs.filter(number % 7 == 0))
+    invoices = invoices.filter(number % 97 != 0).withColumns({
+        "currency": every(11, "currency", nothing), "status": every(17, "status", F.lit("LOST"))})
+    lines = lines.withColumns({"description": every(19, "description", nothing, "invoice_id")})
+    return quality.audit({"shipments": shipments, "shipment_legs": legs, "invoices": invoices,
+                          "invoice_line_items": lines})
+
+
 QUERIES = {f.__name__: f for f in (
     lifecycle_in_event_time, requests_before_shipments, message_attempts, scorecard_from_days,
     lanes_from_sketches, numbers_in_batches, stored_page, search_by_trigrams,
-    registered_spend_day)}
+    registered_spend_day, live_alarms, live_composite_alarm, matches_one_by_one,
+    stored_table_audit)}

@@ -5,7 +5,7 @@ Runs on the raw test tables.  ``VIEWS`` restates the sample tables; a query name
 
 from __future__ import annotations
 
-from lanewise.plans import catalogue
+from lanewise.plans import catalogue, live
 
 SECONDS_PER_DAY = 86400
 
@@ -1108,6 +1108,68 @@ SQL: dict[str, tuple[str, str]] = {
 }
 
 
+def live_alarm(name: str, statistic: str, threshold: float) -> str:
+    """The batch alarm, and the first hour without data after each hour with data."""
+    return f"""
+        SELECT period_start, service, '{name}' AS alarm, statistic, breaching, in_alarm
+        FROM ({hourly_alarm(statistic, threshold)})
+        UNION ALL
+        SELECT period_start + interval 1 hour, service, '{name}', NULL, false, false
+        FROM ({hourly(statistic)}) a
+        WHERE NOT EXISTS (SELECT 1 FROM ({hourly(statistic)}) b WHERE b.service = a.service
+                          AND b.period_start = a.period_start + interval 1 hour)"""
+
+
+LIVE_ALARMS = {name: live_alarm(name, a.statistic, a.threshold) for name, a in live.ALARMS.items()}
+SQL["live_alarms"] = ("logs", " UNION ALL ".join(f"({text})" for text in LIVE_ALARMS.values()))
+SQL["live_composite_alarm"] = ("logs", f"""
+    SELECT period_start, bool_or(in_alarm) AS in_alarm
+    FROM ({LIVE_ALARMS["average"]} UNION ALL {LIVE_ALARMS["p99"]}) GROUP BY period_start""")
+SQL["matches_one_by_one"] = ("shipments invoices", f"""
+    SELECT invoice_id, shipment_id,
+           CASE WHEN bad <> '' THEN NULL WHEN match_reason IS NULL THEN 'APPROVED'
+                WHEN match_reason IN ('OVERCHARGE', 'UNDERCHARGE') THEN 'DISPUTED' ELSE 'MATCHING'
+                END AS status,
+           CASE WHEN bad <> '' THEN NULL WHEN match_reason IS NULL THEN 'APPROVED'
+                ELSE 'DISPUTED' END AS match_outcome,
+           CASE WHEN bad = '' THEN match_reason END AS match_reason,
+           CASE WHEN bad <> '' THEN concat('no amount: ', bad) END AS error
+    FROM (SELECT *, concat_ws(',', CASE WHEN k % 41 = 0 THEN 'invoiced_amount' END,
+                                   CASE WHEN k % 43 = 0 THEN 'expected_amount' END) AS bad
+          FROM ({matched('''SELECT i.*, s.k, true AS shipment_found FROM invoices i
+                             JOIN shipments s ON s.shipment_id = i.shipment_id
+                             WHERE s.status = 'DELIVERED' ''')}))""")
+SQL["stored_table_audit"] = ("shipments legs invoices incoming", """
+    SELECT * FROM (
+        SELECT 'dest_city_present' AS rule, count(*) AS rows, 'shipments' AS "table"
+        FROM shipments WHERE k % 101 <> 0 AND k % 13 = 0
+        UNION ALL
+        SELECT 'reference_no_unique', count(*) - count(DISTINCT k % 100), 'shipments'
+        FROM shipments WHERE k % 101 <> 0 AND k % 10 = 0
+        UNION ALL
+        SELECT 'status_known', count(*) + count(*) FILTER (cast(shipment_id AS bigint) % 7 = 0),
+               'shipment_legs' FROM legs WHERE suppkey % 5 = 0
+        UNION ALL
+        SELECT 'shipment_sequence_unique', count(*), 'shipment_legs' FROM legs
+        WHERE cast(shipment_id AS bigint) % 7 = 0
+        UNION ALL
+        SELECT 'shipment_id_exists',
+               count(*) + count(*) FILTER (cast(shipment_id AS bigint) % 7 = 0), 'shipment_legs'
+        FROM legs WHERE shipment_id NOT IN (SELECT shipment_id FROM shipments WHERE k % 101 <> 0)
+        UNION ALL
+        SELECT 'currency_present', count(*), 'invoices' FROM invoices
+        WHERE cast(shipment_id AS bigint) % 97 <> 0 AND cast(shipment_id AS bigint) % 11 = 0
+        UNION ALL
+        SELECT 'status_known', count(*), 'invoices' FROM invoices
+        WHERE cast(shipment_id AS bigint) % 97 <> 0 AND cast(shipment_id AS bigint) % 17 = 0
+        UNION ALL
+        SELECT 'description_present', count(*), 'invoice_line_items' FROM incoming
+        WHERE cast(split_part(invoice_id, '-', 1) AS bigint) % 19 = 0
+        UNION ALL
+        SELECT 'invoice_id_exists', count(*), 'invoice_line_items' FROM incoming
+        WHERE invoice_id NOT IN (SELECT invoice_id FROM invoices
+                                 WHERE cast(shipment_id AS bigint) % 97 <> 0))
+    WHERE rows > 0""")
 SQL["scorecard_from_days"] = SQL["carrier_scorecard"]
 SQL["lanes_from_sketches"] = ("shipments", """
     SELECT carrier_id, count(DISTINCT concat(origin_state, '>', dest_state)) AS distinct_lanes_served,

@@ -106,6 +106,24 @@ def matches_on_delivery(delivered: DataFrame, invoices: DataFrame) -> DataFrame:
     return matching.match_on_delivery(delivered, invoices)
 
 
+def match_each(delivered: DataFrame, invoices: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Write each micro-batch's decisions to ``matched`` and the invoices that could not be decided, with
+    the reason, to ``failed``: one bad invoice stops neither the others nor the stream.
+
+    A batch that is repeated after a failure replaces its own files.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        told = batch.select("shipment_id").distinct()
+        rows = matching.attempted(told, invoices).persist()
+        for name, some in (("matched", rows.filter("error IS NULL").drop("error")),
+                           ("failed", rows.filter("error IS NOT NULL")
+                            .select("invoice_id", "shipment_id", "error"))):
+            results.write_partition(some, f"{root}/{name}", {"batch": str(batch_id)})
+        rows.unpersist()
+
+    return delivered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 @contextmanager
 def _state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
     """Settings for a stateful run: RocksDB state, and a number of state stores if one is given."""

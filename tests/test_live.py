@@ -6,10 +6,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import lifecycle, numbering, partials, ranked_pages, rates, scorecard, search, trigrams
+from lanewise.operators import (lifecycle, matching, metrics, numbering, partials, quality, ranked_pages,
+                                rates, scorecard, search, trigrams)
 from lanewise.plans import live
 from lanewise.sources import sample
-from lanewise.streaming import ordered, pipeline, redelivery
+from lanewise.streaming import alarms, ordered, pipeline, redelivery
 
 REQUESTS = ("shipment_id string, event_id string, ts timestamp, requested_status string, "
             "start_status string")
@@ -170,3 +171,111 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     groups = trigrams.candidate_groups(spark, path, "under_score")
     assert 1 <= len(groups) < 10 and trigrams.candidate_groups(spark, path, "nothing here") == []
     assert trigrams.literal_grams("ab%cdef_gh") == ["cde", "def"]
+
+
+def measured(spark, path, batches):
+    """A stream of batches of (series, minute, value)."""
+    schema = "ts timestamp, service string, ms bigint"
+    for rows in batches:
+        full = [(datetime(2024, 1, 1 + m // 1440, m % 1440 // 60, m % 60, 30), s, v) for s, m, v in rows]
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+MEASURED = [
+    [("a", 0, 10), ("a", 1, 10), ("b", 0, 10), ("c", 0, None), ("c", 1, 1)],
+    [("a", 2, 10), ("b", 2, 10), ("b", 1, 10), ("b", 3, 9)],        # b's minute 1 comes late, in time
+    [("a", 9, 10), ("b", 9, 10), ("a", 10, 4), ("a", 10, 6)],       # gaps; a sum over two rows
+    [("a", 30, 10)],
+    [("a", 1, 99)],                                                 # minute 1 was told: left out
+    [("z", 1000, 0)]]
+
+
+def test_live_alarm_runs_and_gaps(spark, tmp_path):
+    asked = {"two": alarms.Alarm("sum", 10.0), "three": alarms.Alarm("sum", 10.0, 3)}
+    told = alarms.live_alarms(measured(spark, str(tmp_path / "in"), MEASURED), "ms", ["service"], asked,
+                              "2 minutes").withColumn("m", F.expr("hour(period_start) * 60 + minute(period_start)"))
+    rows = pipeline.drain(told, 3).collect()
+    two = {(r.service, r.m): (r.statistic, r.breaching, r.in_alarm) for r in rows if r.alarm == "two"}
+    assert len(two) == len([r for r in rows if r.alarm == "two"])  # every period once
+    gap = (None, False, False)
+    assert two == {
+        ("a", 0): (10.0, True, False), ("a", 1): (10.0, True, True), ("a", 2): (10.0, True, True),
+        ("a", 3): gap, ("a", 9): (10.0, True, False), ("a", 10): (10.0, True, True), ("a", 11): gap,
+        ("a", 30): (10.0, True, False), ("a", 31): gap,
+        ("b", 0): (10.0, True, False), ("b", 1): (10.0, True, True), ("b", 2): (10.0, True, True),
+        ("b", 3): (9.0, False, False), ("b", 4): gap, ("b", 9): (10.0, True, False), ("b", 10): gap,
+        ("c", 1): (1.0, False, False), ("c", 2): gap}
+    assert {(r.service, r.m) for r in rows if r.alarm == "three" and r.in_alarm} == {("a", 2), ("b", 2)}
+
+
+def test_live_alarm_passes_gaps_over(spark, tmp_path):
+    told = alarms.live_alarms(measured(spark, str(tmp_path / "in"), MEASURED), "ms", ["service"],
+                              {"two": alarms.Alarm("p99", 10.0)}, "2 minutes", missing="missing")
+    got = {(r.service, r.period_start): (r.breaching, r.in_alarm)
+           for r in pipeline.drain(told, 3).collect()}
+    kept = [row for batch in MEASURED[:4] for row in batch if row[2] is not None]
+    rows = spark.createDataFrame([(datetime(2024, 1, 1, 0, m), s, v) for s, m, v in kept],
+                                 "ts timestamp, service string, ms bigint")
+    batch = metrics.threshold_alarm(metrics.period_statistic(rows, "ms", ["service"], "p99"), ["service"],
+                                    10.0, missing="missing").collect()
+    assert got == {(r.service, r.period_start): (r.breaching, r.in_alarm) for r in batch}
+    with pytest.raises(ValueError):
+        alarms.live_alarms(rows, "ms", ["service"], {}, "2 minutes", missing="breaching")
+
+
+def test_three_periods_in_a_row(spark):
+    values = {0: 10.0, 1: 11.0, 2: 12.0, 3: 9.0, 4: 10.0, 6: 10.0, 7: 10.0, 8: 10.0, 9: None}
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 0, m), None, v) for m, v in values.items()],
+                               "period_start timestamp, service string, statistic double")
+
+    def on(missing):
+        found = metrics.threshold_alarm(df, ["service"], 10.0, 3, missing=missing).collect()
+        assert len(found) == len(values)
+        return sorted(r.period_start.minute for r in found if r.in_alarm)
+
+    assert on("not_breaching") == [2, 8] and on("missing") == [2, 7, 8]
+
+
+def test_one_bad_invoice_stops_only_itself(spark, tmp_path):
+    delivered = spark.createDataFrame([("s",), ("s",), ("t",)], "shipment_id string")
+    raw = spark.createDataFrame(
+        [("1", "s", "100.00", "101"), ("2", "s", "ten", "100"), ("3", "s", "99999999999999", "x"),
+         ("4", "s", None, "100"), ("5", "u", "1", "1")],
+        "invoice_id string, shipment_id string, invoiced_amount string, expected_amount string"
+    ).withColumns({"status": F.lit("RECEIVED"), "auto_approved": F.lit(False), "currency": F.lit("USD"),
+                   "approved_amount": F.lit(None).cast("string"), "carrier_id": F.lit("c"),
+                   "shipment_reference_number": F.lit("R")})
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    delivered.write.parquet(src)
+    stream = spark.readStream.schema(delivered.schema).parquet(src)
+    pipeline.match_each(stream, raw, root, f"{root}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    matched = spark.read.parquet(f"{root}/matched").collect()
+    assert sorted((r.invoice_id, r.match_outcome, r.status) for r in matched) == [
+        ("1", "APPROVED", "APPROVED"), ("4", "DISPUTED", "MATCHING")]
+    failed = spark.read.parquet(f"{root}/failed").collect()
+    assert sorted((r.invoice_id, r.error) for r in failed) == [
+        ("2", "no amount: invoiced_amount"), ("3", "no amount: invoiced_amount,expected_amount")]
+    rows = {r.invoice_id: r for r in matching.attempted(delivered.distinct(), raw).collect()}
+    assert rows["2"].status == "MATCHING" and rows["2"].match_outcome is None
+
+
+def test_audit_of_stored_tables(spark):
+    shipments = spark.createDataFrame([("1", "R"), ("2", "R"), ("2", None)],
+                                      "shipment_id string, reference_no string")
+    others = {c: F.lit("x") for c in ("shipper_id", "shipper_name", "shipper_email", "origin_city",
+                                      "origin_state", "dest_city", "dest_state", "created_at")}
+    shipments = shipments.withColumns({**others, "status": F.lit("CREATED"), "weight_lbs": F.lit(1),
+                                       "declared_value": F.lit(0)})
+    legs = spark.createDataFrame([("1", 1), ("1", 1), ("1", 1), ("9", 1), (None, 2)],
+                                 "shipment_id string, sequence int").withColumns(
+        {"carrier_id": F.lit("c"), "origin_city": F.lit("x"), "status": F.lit("IN_TRANSIT")})
+    found = quality.audit({"shipments": shipments, "shipment_legs": legs}).collect()
+    assert {(r.table, r.rule): r["rows"] for r in found} == {
+        ("shipments", "reference_no_present"): 1, ("shipments", "shipment_id_unique"): 1,
+        ("shipments", "reference_no_unique"): 1, ("shipment_legs", "shipment_id_present"): 1,
+        ("shipment_legs", "shipment_sequence_unique"): 2, ("shipment_legs", "shipment_id_exists"): 1}
+    with pytest.raises(ValueError):
+        quality.unique_keys("nothing")

@@ -3,10 +3,11 @@
 The templates are short word sequences with mandatory key phrases.  One pass counts in how many
 documents each licence word occurs; the mandatory word with the highest inverse document frequency (IDF)
 of a template becomes its anchor: every place that counts holds it, so none is missed.  A second pass looks
-each file's anchors up: an anchor at word p proposes
-a start of p minus the anchor's place in the template, the postings of the other words are
-intersected by their position relative to that start, and a proposal counts if all key phrases stand
-where they should and the words found there weigh (by IDF) ``SHARE`` of the template or more.  The
+each file's anchors up.  A file with an anchor gets the postings of all mandatory words; a posting at word p
+proposes a start of p minus the word's place in the template, and the proposals of a template's mandatory
+words, the anchor's first, are intersected: what is left are the starts at which all key phrases stand.  Such
+a place counts if the words found there, optional ones included, weigh (by IDF) ``SHARE`` of the template
+or more; optional words are looked up at their place, which takes one step whatever the file holds.  The
 base phrases are templates that are mandatory throughout, so they are found exactly.
 
 The words of a file stay in its row: nothing is shuffled but the counts, one per licence word and
@@ -30,7 +31,6 @@ from lanewise.llm.common import LOWER, UPPER, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.7
-ANCHORS = 2  # words, mandatory or not, that propose places in the SQL for comparison
 
 
 class Template(NamedTuple):
@@ -100,19 +100,28 @@ def anchor(t: Template, weights: dict[str, float]) -> int:
     return min(t.mandatory, key=lambda i: (-weights[t.words[i]], i))
 
 
+def _postings(words: Column, wanted: list[str]) -> Column:
+    """Every place of the wanted words, as (word, at)."""
+    places = F.transform(words, lambda w, i: F.when(
+        w.isin(wanted), F.struct(w.alias("word"), i.alias("at"))))
+    return F.filter(places, lambda p: p.isNotNull())
+
+
 def _places(t: Template, weights: dict[str, float]) -> Column:
-    """Where the template stands in a row's ``words``, from its ``postings``."""
-    at, n = anchor(t, weights), len(t.words)
+    """Where the template stands in a row's ``words``, from its ``anchors`` and ``postings``."""
+    first, n = anchor(t, weights), len(t.words)
     total = sum(weights[w] for w in t.words)
 
+    def starts(postings: str, i: int) -> Column:
+        mine = F.filter(postings, lambda p: p["word"] == t.words[i])
+        return F.transform(mine, lambda p: p["at"] - i)
+
     def is_there(start: Column, i: int) -> Column:
         return F.get("words", start + i) == t.words[i]
 
-    mine = F.filter("postings", lambda p: p["word"] == t.words[at])
-    starts = F.transform(mine, lambda p: p["at"] - at)
-    inside = F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("words")))
-    verified = F.filter(inside, lambda s: reduce(
-        Column.__and__, (is_there(s, i) for i in t.mandatory)))
+    others = sorted((i for i in t.mandatory if i != first), key=lambda i: (-weights[t.words[i]], i))
+    met = reduce(F.array_intersect, (starts("postings", i) for i in others), starts("anchors", first))
+    verified = F.filter(met, lambda s: (s >= 0) & (s + n <= F.size("words")))
     found = F.transform(verified, lambda s: F.struct(
         F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"),
         (sum((F.when(is_there(s, i), weights[t.words[i]]).otherwise(0.0) for i in range(n)),
@@ -125,16 +134,16 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     (label, base, start, share) of all templates found."""
     weights = word_weights(docs.select("text"), templates)
     wanted = sorted({t.words[anchor(t, weights)] for t in templates})
+    mandatory = sorted({t.words[i] for t in templates for i in t.mandatory})
     indexed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select(
-        "doc_id", "words",
-        F.filter(F.transform("words", lambda w, i: F.when(
-            w.isin(wanted), F.struct(w.alias("word"), i.alias("at")))),
-            lambda p: p.isNotNull()).alias("postings"))
+        "doc_id", "words", _postings(F.col("words"), wanted).alias("anchors")).select(
+        "doc_id", "words", "anchors",
+        F.when(F.size("anchors") > 0, _postings(F.col("words"), mandatory)).alias("postings"))
     empty = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double>>")
     places = F.concat(*(_places(t, weights) for t in templates))
     return indexed.select(
         "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.when(F.size("postings") > 0, places).otherwise(empty).alias("places"))
+        F.when(F.size("anchors") > 0, places).otherwise(empty).alias("places"))
 
 
 def _joined(labels: Column) -> Column:
@@ -173,14 +182,14 @@ def _oracle() -> str:
         SELECT v.w, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT r) + 1)) + 1 AS idf
         FROM (SELECT DISTINCT w FROM template) v LEFT JOIN word ON word.w = v.w GROUP BY v.w),
     weighed AS (
-        SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, i) AS n
+        SELECT *, row_number() OVER (PARTITION BY t, mandatory ORDER BY idf DESC, i) AS n
         FROM template JOIN weight USING (w)),
     size AS (
         SELECT t, label, base, count(*) AS n_words, sum(idf) AS total,
                count(*) FILTER (WHERE mandatory) AS n_mandatory
         FROM weighed GROUP BY t, label, base),
     proposed AS (
-        SELECT DISTINCT r, t, pos - i AS start FROM weighed JOIN word USING (w) WHERE n <= {ANCHORS}),
+        SELECT r, t, pos - i AS start FROM weighed JOIN word USING (w) WHERE mandatory AND n = 1),
     place AS (
         SELECT p.r, size.label, size.base, p.start, sum(idf) / any_value(total) AS share
         FROM proposed p JOIN size USING (t) JOIN split USING (r) JOIN weighed x USING (t)

@@ -1,6 +1,6 @@
 """Line dedup over overlapping windows of three lines, in DataFrame functions only.
 
-Every three consecutive lines are hashed (128 bit).  Windows that occur more than once anywhere keep
+Every three consecutive lines are hashed (128 bit), and so is every row.  Windows that occur more than once anywhere keep
 their first occurrence, by (doc_id, hash of the text, line); the lines covered by any later occurrence
 go, overlapping windows merged.  Windows are judged on the input.
 
@@ -30,7 +30,8 @@ def _lines(text: Column) -> Column:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, kept_text."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"),
+    keyed = docs.select(F.struct(F.xxhash64("doc_id", "text").alias("low"),
+                                 F.xxhash64(F.lit(SIZE), "text", "doc_id").alias("high")).alias("row_key"),
                         F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = F.size("lines")
 

@@ -4,10 +4,12 @@ import math
 import random
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import EDGE, LOWER, SCHEMA, TOKEN, contained, ordered, sha
+from compare import compare
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -167,6 +169,48 @@ def test_optional_words_may_be_altered_however_rare(spark):
     assert {r.doc_id for r in found if "gpl-3.0" in {p.label for p in r.places}} == set(range(10))
 
 
+def test_altered_notices_as_brute_force_and_sql(spark, tmp_path):
+    """Notices of all templates with words altered, both of the rarest among them, and cut at either end."""
+    rng, rows = random.Random(5), []
+    for t in licenses.TEMPLATES:
+        optional = [i for i in range(len(t.words)) if i not in t.mandatory]
+        for k in range(12):
+            words = list(t.words)
+            changed = rng.sample(optional, min(k % 5, len(optional)))
+            if k == 11:
+                changed = [rng.choice(t.mandatory)]
+            for i in changed:
+                words[i] = f"odd{rng.randrange(3)}"
+            around = [f"w{rng.randrange(5)}" for _ in range(k % 3)]
+            text = around + words * (1 + k % 2) + around
+            rows.append((len(rows), " ".join(text[1:] if k == 7 else text[:-1] if k == 8 else text)))
+    rows += [(2000, None), (2001, ""), (2002, "license " * 3000 + "apache license")]
+    path = f"{tmp_path}/documents.parquet"
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.coalesce(1).write.parquet(path)
+
+    weights = licenses.word_weights(docs.select("text"), licenses.TEMPLATES)
+    expected = {}
+    for doc_id, text in rows:
+        w = TOKEN.findall((text or "").translate(LOWER))
+        places = set()
+        for t in licenses.TEMPLATES:
+            for at in range(len(w) - len(t.words) + 1):
+                same = [i for i, word in enumerate(t.words) if w[at + i] == word]
+                share = sum(weights[t.words[i]] for i in same) / sum(weights[x] for x in t.words)
+                if set(t.mandatory) <= set(same) and share >= licenses.SHARE:
+                    places.add((at, t.label, round(share, 6)))
+        expected[doc_id] = places
+    found = licenses.scanned(docs).collect()
+    assert {r.doc_id: {(p.start, p.label, round(p.share, 6)) for p in r.places} for r in found} == expected
+    assert all(len(r.places) == len(expected[r.doc_id]) for r in found)
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert compare(spark, con, licenses.op3_license_scan, licenses.ORACLE["op3_license_scan"],
+                   str(tmp_path)) is None
+
+
 # Decontamination
 
 def test_contained_items(spark, edge, none):

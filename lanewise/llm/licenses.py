@@ -81,14 +81,11 @@ def words_of(text: Column) -> Column:
                                 F.lit(WORDS), F.lit(0))
 
 
-def _array(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
-
-
 def word_weights(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, float]:
     """The IDF of every template word, over all rows of ``docs`` (text)."""
     vocabulary = sorted({w for t in templates for w in t.words})
-    found = docs.select(F.array_intersect(words_of(F.col("text")), _array(vocabulary)).alias("w"))
+    found = docs.select(F.array_distinct(F.filter(
+        words_of(F.col("text")), lambda w: w.isin(vocabulary))).alias("w"))
     counts = {r.w: r.n for r in found.select(F.explode("w").alias("w")).groupBy("w").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     total = docs.count()

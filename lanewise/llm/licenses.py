@@ -86,7 +86,8 @@ def word_weights(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str,
     vocabulary = sorted({w for t in templates for w in t.words})
     found = docs.select(F.array_distinct(F.filter(
         words_of(F.col("text")), lambda w: w.isin(vocabulary))).alias("w"))
-    counts = {r.w: r.n for r in found.select(F.explode("w").alias("w")).groupBy("w").agg(
+    # The outer form: before the plain one Spark puts a filter that would take every text apart twice.
+    counts = {r.w: r.n for r in found.select(F.explode_outer("w").alias("w")).groupBy("w").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     total = docs.count()
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}

@@ -20,7 +20,7 @@ from lanewise.operators import (
 )
 from lanewise.plans import jobs, live
 from lanewise.session import shared_dir
-from lanewise.sources import keyed, sample
+from lanewise.sources import batches, sample
 from lanewise.streaming import pipeline, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -717,15 +717,17 @@ def stored_spend_cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Newest card per key after two writes and a batch of changes, read back."""
+    """Newest card per key after two batches, folded into a new path, and a late third, read back."""
     cards = sample.rate_history(spark, d).select(
         "carrier_id", "lane_id", "refreshed_at", "refresh_id", "rate_per_cwt")
-    path, keys, order = _stored(spark, "rates"), rates.RATE_KEY, ["refreshed_at", "refresh_id"]
+    keys, order = rates.RATE_KEY, ["refreshed_at", "refresh_id"]
+    path, folded = _stored(spark, "rates"), _stored(spark, "rates")
     day = F.col("refreshed_at")
-    keyed.upsert_table(spark, path, cards.filter(day < "1997-01-01"), keys, order)
-    keyed.upsert_table(spark, path, cards.filter(day >= "1999-01-01"), keys, order)
-    keyed.append_changes(cards.filter((day >= "1997-01-01") & (day < "1999-01-01")), path, 0)
-    table = keyed.read_table(spark, path, cards.schema, keys, order)
+    batches.append(cards.filter(day < "1997-01-01"), path, 0)
+    batches.append(cards.filter(day >= "1999-01-01"), path, 1)
+    batches.fold(spark, path, cards.schema, keys, order, folded)
+    batches.append(cards.filter((day >= "1997-01-01") & (day < "1999-01-01")), folded, 2)
+    table = batches.current(spark, folded, cards.schema, keys, order)
     return plain(table.select("carrier_id", "lane_id", "refresh_id", "rate_per_cwt"))
 
 

@@ -1 +1 @@
-"""Reading and writing: tables, messages, partitioned results, keyed tables."""
+"""Reading and writing: tables, messages, partitioned results, keyed batches."""

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from lanewise import schemas
 from lanewise.operators import lifecycle, matching, metrics, tracking
 from lanewise.operators.skew import latest
-from lanewise.sources import keyed, messages, results
+from lanewise.sources import batches, messages, results
 from lanewise.session import ROCKSDB, delete_folder, shared_dir
 from lanewise.streaming.state import replay_stream
 
@@ -79,20 +79,23 @@ def fan_out(judged: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
         for name, rows in outputs.items():
             results.write_partition(rows, f"{root}/{name}", {"batch": str(batch_id)})
         states = batch.select("shipment_id", F.col("new_status").alias("status"), *STATE_ORDER)
-        keyed.append_changes(latest(states, ["shipment_id"], STATE_ORDER), f"{root}/states",
-                             batch_id)
+        batches.append(latest(states, ["shipment_id"], STATE_ORDER), f"{root}/states", batch_id)
         everything.unpersist()
 
     return judged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def states(spark: SparkSession, root: str) -> DataFrame:
-    """The status of every shipment that ``fan_out`` has seen; ``compact_states`` keeps it short."""
-    return keyed.read_table(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER)
+    """The status of every shipment that ``fan_out`` has seen; ``fold_states`` keeps it short."""
+    return batches.current(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER)
 
 
-def compact_states(spark: SparkSession, root: str) -> int:
-    return keyed.compact(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER)
+def fold_states(spark: SparkSession, root: str, to: str, keep: str = "true") -> None:
+    """Carry the states to a new root, without those for which ``keep`` is false.
+
+    The stream goes on there when it is started again with the same checkpoint.
+    """
+    batches.fold(spark, f"{root}/states", STATES, ["shipment_id"], STATE_ORDER, f"{to}/states", keep)
 
 
 def quarantine(queue: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:

@@ -1,4 +1,4 @@
-"""Jobs, sinks and keyed writes: same result again, nothing lost, right dates."""
+"""Jobs, sinks and keyed batches: same result again, nothing lost, right dates."""
 
 import os
 import subprocess
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import timing
 from lanewise.operators import matching, metrics, quality, rates, reports, scorecard, spend, upsert
 from lanewise.plans import jobs
-from lanewise.sources import keyed, results, sample, tables
+from lanewise.sources import batches, results, sample, tables
 
 
 def same(a, b):
@@ -159,56 +159,57 @@ KEYED = "k string, at int, v string"
 
 
 def keyed_rows(spark, path):
-    found = keyed.read_table(spark, path, KEYED, ["k"], ["at"]).collect()
+    found = batches.current(spark, path, KEYED, ["k"], ["at"]).collect()
     assert len(found) == len({r.k for r in found})
     return {r.k: r.v for r in found}
 
 
-def test_upsert_table(spark, tmp_path):
+def test_batches_upsert(spark, tmp_path):
     path = str(tmp_path / "keyed")
     first = spark.createDataFrame([(f"k{i}", 1, "old") for i in range(200)] + [("k1", 0, "older")],
                                   KEYED)
     second = spark.createDataFrame([("k1", 2, "new"), ("k1", 3, "newest"), ("z", 1, "z"),
-                                    ("k2", 0, "late")], KEYED)
+                                    ("k2", 0, "late"), ("k4", 1, "same time")], KEYED)
     assert keyed_rows(spark, path) == {}
-    keyed.upsert_table(spark, path, first, ["k"], ["at"])
-    for _ in range(2):
-        keyed.upsert_table(spark, path, second, ["k"], ["at"])
+    batches.append(first, path, 0)
+    for _ in range(2):  # a batch that is repeated replaces itself
+        batches.append(second, path, 1)
     got = keyed_rows(spark, path)
-    assert len(got) == 201 and keyed.versions(spark, path) == [1, 2, 3]
+    assert len(got) == 201
     assert (got["k1"], got["z"], got["k2"], got["k3"]) == ("newest", "z", "old", "old")
-    keyed.vacuum(spark, path, keep=1)
-    assert keyed.versions(spark, path) == [3] and keyed_rows(spark, path) == got
+    assert got["k4"] == "same time"
+    assert spark.read.parquet(path).count() == 206
 
 
 def test_a_write_that_dies_loses_nothing(spark, tmp_path):
     path = str(tmp_path / "keyed")
-    keyed.upsert_table(spark, path, spark.createDataFrame([("a", 1, "kept")], KEYED), ["k"], ["at"])
+    batches.append(spark.createDataFrame([("a", 1, "kept")], KEYED), path, 0)
     broken = spark.createDataFrame([("a", 2, "x"), ("b", 1, "y")], KEYED).withColumn(
         "v", F.when(F.col("k") == "b", F.raise_error(F.lit("dies"))).otherwise(F.col("v")))
     with pytest.raises(Exception, match="dies"):
-        keyed.upsert_table(spark, path, broken, ["k"], ["at"])
-    half = tmp_path / "keyed" / "version=2"
-    half.mkdir(exist_ok=True)
-    (half / "part-00000.parquet").write_bytes(b"half a file")
+        batches.append(broken, path, 1)
     assert keyed_rows(spark, path) == {"a": "kept"}
-    keyed.upsert_table(spark, path, spark.createDataFrame([("b", 1, "new")], KEYED), ["k"], ["at"])
-    assert keyed_rows(spark, path) == {"a": "kept", "b": "new"}
+    batches.append(spark.createDataFrame([("a", 2, "x"), ("b", 1, "y")], KEYED), path, 1)
+    assert keyed_rows(spark, path) == {"a": "x", "b": "y"}
 
 
-def test_changes_compaction_and_retention(spark, tmp_path):
-    path = str(tmp_path / "keyed")
-    for batch, rows in enumerate([[("a", 1, "a1"), ("b", 1, "b1")], [("a", 2, "a2")], [("c", 9, None)]]):
-        for _ in range(2):  # a batch that is repeated replaces itself
-            keyed.append_changes(spark.createDataFrame(rows, KEYED), path, batch)
+def test_folding_and_retention(spark, tmp_path):
+    path, folded, recent = (str(tmp_path / name) for name in ("keyed", "folded", "recent"))
+    for batch, rows in enumerate([[("a", 1, "a1"), ("b", 1, "b1")], [("a", 2, "a2")],
+                                  [("c", 9, None)], []]):
+        batches.append(spark.createDataFrame(rows, KEYED), path, batch)
     want = {"a": "a2", "b": "b1", "c": None}
-    assert keyed_rows(spark, path) == want
-    keyed.compact(spark, path, KEYED, ["k"], ["at"])
-    assert keyed_rows(spark, path) == want and not list((tmp_path / "keyed" / "changes").iterdir())
-    keyed.append_changes(spark.createDataFrame([("b", 0, "late")], KEYED), path, 3)
-    assert keyed_rows(spark, path) == want
-    keyed.retain(spark, path, KEYED, ["k"], ["at"], "at < 9")
-    assert keyed_rows(spark, path) == {"a": "a2", "b": "b1"}
+    for _ in range(2):  # folding again replaces the first batch of the new path
+        batches.fold(spark, path, KEYED, ["k"], ["at"], folded)
+    assert keyed_rows(spark, path) == keyed_rows(spark, folded) == want
+    batches.append(spark.createDataFrame([("b", 0, "late"), ("d", None, "undated")], KEYED), folded, 4)
+    want["d"] = "undated"
+    assert keyed_rows(spark, folded) == want and spark.read.parquet(folded).count() == 5
+    # a batch that comes in the meantime is not touched by what is folded
+    batches.append(spark.createDataFrame([("e", 1, "e1")], KEYED), path, 5)
+    batches.fold(spark, folded, KEYED, ["k"], ["at"], recent, "at < 9")
+    assert keyed_rows(spark, recent) == {"a": "a2", "b": "b1", "d": "undated"}
+    assert keyed_rows(spark, folded) == want and keyed_rows(spark, path)["e"] == "e1"
 
 
 def test_update_columns(spark):

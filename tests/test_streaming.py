@@ -68,10 +68,13 @@ def test_pipeline_from_messages(spark, sf_small, tmp_path):
     assert [(r.old_status, r.requested_status) for r in rejected] == [("DELIVERED", "DELIVERED")]
     unknown = spark.read.parquet(f"{root}/unknown").collect()
     assert [(r.shipment_id, r.requested_status) for r in unknown] == [("nobody", "PICKED_UP")]
-    for _ in range(2):
-        states = pipeline.states(spark, root).collect()
+    later = str(tmp_path / "later")
+    pipeline.fold_states(spark, root, later)
+    for place in (root, later):
+        states = pipeline.states(spark, place).collect()
         assert [(r.shipment_id, r.status) for r in states] == [("5", "DELIVERED")]
-        pipeline.compact_states(spark, root)
+    pipeline.fold_states(spark, root, later, "ts > timestamp '2024-02-01 00:00:00'")
+    assert pipeline.states(spark, later).isEmpty()
     run(pipeline.quarantine(messages.text_stream(spark, str(src)), root, str(tmp_path / "qk")))
     assert [r.body for r in spark.read.parquet(f"{root}/unreadable").collect()] == ["not json"]
     bad = messages.unreadable(messages.parse(spark.read.text(str(src)).withColumnRenamed(

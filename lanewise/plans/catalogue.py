@@ -487,7 +487,10 @@ def carrier_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def created_events(spark: SparkSession, d: str) -> DataFrame:
-    made = lifecycle.created_events(sample.shipments(spark, d))
+    return _created_fields(lifecycle.created_events(sample.shipments(spark, d)))
+
+
+def _created_fields(made: DataFrame) -> DataFrame:
     fields = ["eventType", "referenceNumber", "shipperName", "originCity", "carrierId",
               "consigneeEmail", "estimatedDelivery"]
     return made.select("event_type", "shipment_id",
@@ -732,11 +735,11 @@ def stored_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Created events as messages in JSON files, read back."""
+    """Created events as messages in JSON files, read back with the fields of their bodies."""
     events = lifecycle.created_events(sample.shipments(spark, d))
     path = _stored(spark, "messages")
     events.write.json(path)
-    return spark.read.schema("event_type string, shipment_id string").json(path)
+    return _created_fields(spark.read.schema(events.schema).json(path))
 
 
 # Quality and retention

@@ -1193,8 +1193,7 @@ SQL["registered_spend_day"] = ("shipments invoices", cube("1").format(
     where="AND cast(s.created_at AS date) = date '1998-03-15' AND s.s_suppkey % 2 = 0"))
 SQL["stored_spend_cube"] = SQL["freight_spend_daily"]
 SQL["stored_rates"] = SQL["latest_rate_per_key"]
-SQL["stored_messages"] = ("shipments", """
-    SELECT 'ShipmentCreatedEvent' AS event_type, shipment_id FROM shipments""")
+SQL["stored_messages"] = SQL["created_events"]
 
 
 def _needed(names: str) -> list[str]:

@@ -15,10 +15,10 @@ context gives its windows, counted once over all contexts.  A window is repeated
 several places, or several contexts hold it.  Repeated windows that overlap or touch join to maximal
 repeats, the removed spans.
 
-Hashes decide: 64 bits for rows, anchors and contexts, 128 for windows.  No step gathers the places of
-an anchor, a context or a window: they are counted with map-side aggregation, and the joins' other
-sides are unique and their results dealt anew, so that adaptive execution may split a hot one.  Texts
-are shuffled once.
+Hashes decide: 128 bits for rows, contexts and windows; 64 for anchors, where a false equality only adds
+a place to look at.  No step gathers the places of an anchor, a context or a window: they are counted with
+map-side aggregation, and the joins' other sides are unique and their results dealt anew, so that adaptive
+execution may split a hot one.  Texts are shuffled once.
 
 Defined cases: null, empty and wordless texts, and texts shorter than a window, keep all their words;
 repeated rows are places like any other, so each loses what the other holds; a null doc_id is carried;
@@ -86,39 +86,40 @@ class _Runs:
         return words.mix((total[end] - total[begin]) * self.down[begin])
 
 
-_PLACES = pa.schema([("row_key", pa.int64()), ("place", pa.int64()), ("anchor", pa.int64()),
-                     ("context", pa.int64())])
+_PLACES = pa.schema([(c, pa.int64()) for c in
+                     ("key_a", "key_b", "place", "anchor", "context_a", "context_b")])
 
 
 def _place_finder(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            key_a, key_b = (batch.column(i).to_numpy() for i in (0, 1))
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             for begin, end in words.batches(texts):
                 split = words.split(texts[begin:end])
                 owner, at, low, high, anchor = _places(split.hashes, split.first, length)
                 shape = (at - low) << _BITS | (high - low)
-                context = _Runs(split.hashes).get(low, high + length, 1)
-                context = words.mix((context ^ anchor) + shape.astype(np.uint64))
+                runs, mixed = _Runs(split.hashes), words.mix(shape.astype(np.uint64))
                 place = (at - split.first[owner]) << 2 * _BITS | shape
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[begin:end][owner]), pa.array(place),
-                     pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))],
-                    schema=_PLACES)
+                    [pa.array(key_a[begin:end][owner]), pa.array(key_b[begin:end][owner]),
+                     pa.array(place), pa.array(anchor.view(np.int64)),
+                     *(pa.array((runs.get(low, high + length, i) ^ mixed).view(np.int64))
+                       for i in (0, 1))], schema=_PLACES)
     return run
 
 
 _WINDOWS = pa.schema([("low_hash", pa.int64()), ("high_hash", pa.int64()),
-                      ("row_key", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_())])
+                      ("key_a", pa.int64()), ("key_b", pa.int64()), ("first", pa.int64()),
+                      ("alone", pa.bool_())])
 
 
 def _window_finder(length: int):
     """Windows of the marked places of a row: marks are places, doubled, plus 1 if alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, marks = batch.column(0).to_numpy(), batch.column(2)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            keys, marks = [batch.column(i).to_numpy() for i in (0, 1)], batch.column(3)
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             for begin, end in words.batches(texts):
                 split = words.split(texts[begin:end])
                 own = marks.slice(begin, end - begin)
@@ -135,8 +136,8 @@ def _window_finder(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(runs.get(first, first + length, i).view(np.int64))
                        for i in (0, 1)),
-                     pa.array(keys[begin:end][owner]), pa.array(first - split.first[owner]),
-                     pa.array(alone)], schema=_WINDOWS)
+                     *(pa.array(k[begin:end][owner]) for k in keys),
+                     pa.array(first - split.first[owner]), pa.array(alone)], schema=_WINDOWS)
     return run
 
 
@@ -177,17 +178,20 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, kept_text, and ``removed``, the
     maximal repeats as first and last word; ``length`` is at least SEED and at most 200."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"),
+    key, context = ["key_a", "key_b"], ["context_a", "context_b"]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key_a"),
+                        F.xxhash64(F.lit(1), "text", "doc_id").alias("key_b"),
                         F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = keyed.select("row_key", "text").mapInArrow(
-        _place_finder(length), "row_key long, place long, anchor long, context long"
-    ).filter("row_key is not null and anchor is not null and context is not null")  # always true
+    places = keyed.select(*key, "text").mapInArrow(
+        _place_finder(length), ", ".join(f"{f.name} long" for f in _PLACES)
+    ).filter(" and ".join(f"{f.name} is not null" for f in _PLACES))  # always true
     repeated = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seeded = places.join(repeated.select("anchor"), "anchor")
-    contexts = seeded.groupBy("context").agg(
+    contexts = seeded.groupBy(*context).agg(
         F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"),
-        F.min(F.struct("row_key", "place")).alias("one"),
-    ).filter("n > 0 and one is not null")  # always true; so one exchange serves all uses
+        F.min(F.struct(*key, "place")).alias("one"),
+    ).filter("n > 0 and one is not null and anchor is not null"  # always true, so that one
+             " and context_a is not null and context_b is not null")  # exchange serves all uses
     mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
 
     def span(first, n_words):
@@ -196,28 +200,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     mask = (1 << _BITS) - 1
     at = F.shiftright("place", 2 * _BITS)
     before, more = F.shiftright("place", _BITS).bitwiseAND(mask), F.col("place").bitwiseAND(mask)
-    whole = seeded.join(contexts.filter("n > 1").select("context"), "context").select(
-        "row_key", span(at - before, more + length).alias("span"))
+    whole = seeded.join(contexts.filter("n > 1").select(*context), context).select(
+        *key, span(at - before, more + length).alias("span"))
 
     marks = (
         contexts.join(mixed.select("anchor"), "anchor")
-        .select("one.row_key", (F.col("one.place") * 2 + (F.col("n") == 1).cast("long"))
-                .alias("mark"))
-        .groupBy("row_key").agg(F.collect_list("mark").alias("marks"))
+        .select("one.key_a", "one.key_b",
+                (F.col("one.place") * 2 + (F.col("n") == 1).cast("long")).alias("mark"))
+        .groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     )
     windows = (
-        keyed.join(marks, "row_key").dropDuplicates(["row_key"])
-        .select("row_key", "text", "marks", "doc_id").mapInArrow(  # doc_id: one exchange serves both
+        keyed.join(marks, key).dropDuplicates(key)
+        .select(*key, "text", "marks", "doc_id").mapInArrow(  # doc_id: one exchange serves both
             _window_finder(length),
-            "low_hash long, high_hash long, row_key long, first long, alone boolean")
+            "low_hash long, high_hash long, key_a long, key_b long, first long, alone boolean")
     )
     hashes = ["low_hash", "high_hash"]
     again = windows.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     part = windows.filter("alone").join(again.select(*hashes), hashes).select(
-        "row_key", span(F.col("first"), F.lit(length).cast("long")).alias("span"))
+        *key, span(F.col("first"), F.lit(length).cast("long")).alias("span"))
 
-    spans = whole.union(part).groupBy("row_key").agg(F.collect_set("span").alias("spans"))
-    return keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = whole.union(part).groupBy(*key).agg(F.collect_set("span").alias("spans"))
+    return keyed.join(spans, key, "left").select("doc_id", "text", "spans").mapInArrow(
         _remover, "doc_id long, n_words long, kept_text string, "
                   "removed array<struct<first:bigint,last:bigint>>")
 

@@ -76,6 +76,23 @@ def test_dead_letters(spark):
         ("slow", 1, "retry"), ("slow", 2, "retry"), ("slow", 3, "done")]
 
 
+def test_a_queue_brings_its_own_state_settings(spark):
+    """A session that was set up without ours has another state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(key, other)
+    try:
+        journal = redelivery.drained(
+            spark.createDataFrame([("good", "1")], "message_id string, body string"),
+            lambda received: received.select("message_id", "body", F.lit(True).alias("handled")),
+            partitions=2)
+        assert [(r.message_id, r.attempt, r.place) for r in journal.collect()] == [("good", 1, "done")]
+        assert spark.conf.get(key) == other
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_a_card_with_very_many_versions(spark):
     """Every bin of a card keeps a bounded number of rows, and the latest valid version wins."""
     versions = spark.range(50_000).select(

@@ -712,7 +712,7 @@ def _stored(spark: SparkSession, name: str) -> str:
 
 
 def stored_spend_cube(spark: SparkSession, d: str) -> DataFrame:
-    """The backfill job's cube, read back from its (date, carrier) partitions."""
+    """The backfill job's cube, read back from its partitions by date, in which carriers are sorted."""
     tables = sample.shipments(spark, d), sample.invoices(spark, d)
     root, schema = _stored(spark, "spend"), spend.spend_history(*tables).schema
     jobs.run_spend_backfill(*tables, root)

@@ -43,10 +43,15 @@ def run_daily_spend(spark: SparkSession, shipments: DataFrame, invoices: DataFra
 
 def run_spend_backfill(shipments: DataFrame, invoices: DataFrame, root: str,
                        invoice_grain: str = "invoice") -> None:
-    """Write the cubes of all days at once, in the layout of the daily runs."""
+    """Write the cubes of all days at once to ``root/date=D``, sorted by carrier.
+
+    The daily runs split a day by carrier too.  Over all days that would be about a file per row, and a
+    commit that renames each of them; here a carrier is found by the files' ranges, so the number of files
+    grows with days and bytes only.  The two layouts need a root each.
+    """
     cube = spend.spend_history(shipments, invoices, invoice_grain)
-    results.write_partitions(cube.withColumn("date", cube["processing_date"]), root,
-                             ["date", "carrier_id"])
+    results.write_partitions(cube.withColumn("date", cube["processing_date"]), root, ["date"],
+                             ["carrier_id"])
 
 
 def run_scorecard(spark: SparkSession, shipments: DataFrame, invoices: DataFrame, root: str,

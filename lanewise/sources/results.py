@@ -25,9 +25,19 @@ def write_partition(df: DataFrame, root: str, fixed: dict[str, str],
     return path
 
 
-def write_partitions(df: DataFrame, root: str, split_by: list[str]) -> None:
-    """Replace every partition that occurs in ``df`` and leave the others alone."""
-    (df.hint("rebalance", *split_by).write.mode("overwrite")
+def write_partitions(df: DataFrame, root: str, split_by: list[str],
+                     sort_by: list[str] | None = None) -> None:
+    """Replace every partition that occurs in ``df`` and leave the others alone.
+
+    ``sort_by`` is for many small partitions: each is one file, sorted so that a reader who wants some of
+    its values skips the rest, and the partitions are dealt to all tasks, where rebalancing would join
+    them into a few that create one file after the other.
+    """
+    rows = df.hint("rebalance", *split_by)
+    if sort_by:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(tasks, *split_by).sortWithinPartitions(*split_by, *sort_by)
+    (rows.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy(*split_by).parquet(root))

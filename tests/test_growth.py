@@ -34,6 +34,28 @@ def requests(spark):
                                  "lane_id string, weight_lbs decimal(10,2)")
 
 
+def test_quotes_in_whole_numbers_are_the_exact_ones(spark):
+    got = rates.carrier_quotes(requests(spark), cards(spark)).select(
+        "weight_lbs", "carrier_id", "total_rate")
+    price = pricing.contract_rate(*map(F.col, ("weight_lbs", "rate_per_cwt", "fuel_surcharge_percent",
+                                               "minimum_charge")))
+    want = requests(spark).join(cards(spark), "lane_id").select("weight_lbs", "carrier_id",
+                                                                price.alias("total_rate"))
+    assert got.schema["total_rate"].dataType == want.schema["total_rate"].dataType
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "whole_cwt" in plan_of(got)  # worked out before the join
+
+
+def test_ranked_quotes_are_not_sorted_across_requests(spark):
+    ranked = rates.ranked_quotes(requests(spark), cards(spark).distinct())
+    assert "Window" not in plan_of(ranked)
+    cheapest = Window.partitionBy("lane_id", "weight_lbs").orderBy("total_rate", "carrier_id")
+    want = rates.carrier_quotes(requests(spark), cards(spark).distinct()).withColumn(
+        "rank", F.row_number().over(cheapest)).select(ranked.columns)
+    assert ranked.schema["rank"].dataType == want.schema["rank"].dataType
+    assert ranked.exceptAll(want).isEmpty() and want.exceptAll(ranked).isEmpty()
+
+
 def test_backfill_writes_a_file_per_day(spark, sf_small, tmp_path):
     shipments, invoices = sample.shipments(spark, sf_small), sample.invoices(spark, sf_small)
     some = shipments.filter(F.col("created_at") < "1995-02-01")

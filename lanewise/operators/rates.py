@@ -78,7 +78,8 @@ def carrier_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """What every active carrier on the lane would charge.
 
     Requests are first reduced to the different (lane, weight) pairs, so a lane with a third of all
-    shipments brings no more rows than it has weights.  ``ranked_quotes`` orders them.
+    shipments brings no more rows than it has weights.  A quote is a few operations on whole numbers; what
+    is the request's or the card's alone is worked out before they meet.  ``ranked_quotes`` orders them.
     """
     total = pricing.quick_charge(*map(F.col, ("cwt", "whole_cwt", "factor", "minimum", "whole", "reach",
                                               "floor")))
@@ -89,7 +90,9 @@ def carrier_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
 def ranked_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """The quotes of each request, numbered from the cheapest, ties by carrier id.
 
-    A request has as many quotes as its lane has carriers, however many shipments ask for it.
+    A request has as many quotes as its lane has carriers, however many shipments ask for it.  Quotes are
+    neither shuffled nor spilled: a request meets its lane's cards as one array and sorts the prices, so a
+    task holds the quotes of one request at a time.
     """
     fields = ("carrier_id", "factor", "minimum", "whole", "reach", "floor")
     lanes = _quick_cards(rates).groupBy("lane_id").agg(F.collect_list(F.struct(
@@ -161,17 +164,19 @@ def best_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
-def validity_bins(rates: DataFrame, last_day: Column) -> DataFrame:
+def validity_bins(rates: DataFrame, last_day: Column, asked_bins: str | None = None) -> DataFrame:
     """Cards cut at the borders of bins of ``BIN_DAYS`` days, from their first day to ``last_day``.
 
     In a bin a card counts from its first day there to its last.  Of cards with the same days in a bin one
     can win: the latest, then the dearest.  That is an aggregation which combines before the shuffle, so a
     bin of a (carrier, lane) holds at most ``BIN_DAYS`` squared over two rows, however many versions the
-    card has had.
+    card has had.  ``asked_bins`` names a column with the bins that are of use; others are not made.
     """
     first, last = F.col("effective_date"), F.least(
         F.coalesce(F.col("expiration_date"), last_day), last_day)
     bins = F.sequence(*(F.floor(F.unix_date(d) / BIN_DAYS) for d in (first, last)))
+    if asked_bins is not None:
+        bins = F.array_intersect(asked_bins, bins)
     begin = F.col("bin") * BIN_DAYS
     return (
         rates.filter(first.isNotNull() & (first <= last))
@@ -186,8 +191,8 @@ def validity_bins(rates: DataFrame, last_day: Column) -> DataFrame:
 def rates_on(rates: DataFrame, requests: DataFrame, on: str, request_key: str) -> DataFrame:
     """For each request the latest card of its carrier and lane that is valid on its date.
 
-    An interval join: requests meet the cards of their (carrier, lane, bin) only, on the left, where
-    adaptive execution can split a hot card; ``max`` over what is valid combines before the shuffle.  A
+    An interval join: cards are cut for the bins that are asked for, and requests meet the cards of their
+    (carrier, lane, bin) only, on the left, where adaptive execution can split a hot card; ``max`` over what is valid combines before the shuffle.  A
     request without a valid card stays, with nulls.  Of cards that become effective on one day, the one
     with the larger prices counts.  ``request_key`` names a request.
     """
@@ -195,7 +200,9 @@ def rates_on(rates: DataFrame, requests: DataFrame, on: str, request_key: str) -
     asked = requests.select(request_key, *RATE_KEY, day.alias("asked_day")).withColumn(
         "bin", F.floor(F.col("asked_day") / BIN_DAYS))
     last_day = requests.select(F.to_date(F.max(on))).scalar()
-    versions = validity_bins(rates, last_day)
+    wanted = asked.filter(F.col("bin").isNotNull()).groupBy(*RATE_KEY).agg(
+        F.collect_set("bin").alias("asked_bins"))
+    versions = validity_bins(rates.join(wanted, RATE_KEY), last_day, "asked_bins")
     valid = F.col("asked_day").between(F.col("from_day"), F.col("to_day"))
     return (
         asked.join(versions, [*RATE_KEY, "bin"], "left")

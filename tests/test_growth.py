@@ -62,3 +62,12 @@ def test_backfill_writes_a_file_per_day(spark, sf_small, tmp_path):
     jobs.run_spend_backfill(some, invoices, str(tmp_path / "spend"))
     files = [str(f.parent) for f in (tmp_path / "spend").rglob("*.parquet")]
     assert len(files) == len(set(files)) and files and not any("carrier_id=" in f for f in files)
+
+
+def test_cards_are_cut_for_bins_that_are_asked_for(spark):
+    card = spark.createDataFrame([("c", "l", [0, 5])], "carrier_id string, lane_id string, asked array<bigint>"
+                                 ).withColumns({
+        "effective_date": F.lit("1970-01-01").cast("date"), "expiration_date": F.lit(None).cast("date"),
+        **{name: F.lit(1) for name in rates.CARD}})
+    bins = rates.validity_bins(card, F.lit("2000-01-01").cast("date"), "asked")
+    assert sorted(r.bin for r in bins.collect()) == [0, 5]

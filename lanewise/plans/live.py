@@ -32,6 +32,9 @@ def _delivered(rows: DataFrame, number: str | None, closing: DataFrame) -> DataF
     root = f"{shared_dir(spark)}/delivery-{uuid4().hex}"
     batches = [rows]
     if number:
+        # Made once, by all tasks; a batch then is a copy of its own files.
+        rows.write.partitionBy(number).parquet(f"{root}-rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{root}-rows")
         last = rows.agg(F.max(number)).first()[0]
         batches = [rows.filter(F.col(number) == n).drop(number) for n in range((last or 0) + 1)]
     for i, batch in enumerate([*batches, closing]):
@@ -40,6 +43,11 @@ def _delivered(rows: DataFrame, number: str | None, closing: DataFrame) -> DataF
             .parquet(f"{root}/batch=*"))
 
 
+def _stores(spark: SparkSession) -> int:
+    """State stores of a stream: one per core, eight at least."""
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def _closing(like: DataFrame, ts: str, name: str = "-1") -> DataFrame:
     row = like.sparkSession.range(1)
     return row.select(*[
@@ -62,7 +70,7 @@ def lifecycle_in_event_time(spark: SparkSession, d: str) -> DataFrame:
     """The life cycle of requests that come in out of order, judged when the watermark has passed."""
     requests = shuffled_requests(spark, d)
     stream = _delivered(requests, "delivery", _closing(requests.drop("delivery"), "ts"))
-    judged = pipeline.drain(ordered.replay_in_order(stream, LATENESS), 8)
+    judged = pipeline.drain(ordered.replay_in_order(stream, LATENESS), _stores(spark))
     return judged.select(F.col("event_id").cast("bigint").alias("event_id"), "shipment_id",
                          F.col("ts").cast("timestamp_ntz").alias("ts"), "requested_status",
                          "old_status", "new_status", "accepted", "late")
@@ -95,7 +103,7 @@ def message_attempts(spark: SparkSession, d: str) -> DataFrame:
         return read.select("message_id", "body",
                            (F.col("readable") & (F.col("attempt") >= busy)).alias("handled"))
 
-    return redelivery.drained(queue, handled, partitions=8)
+    return redelivery.drained(queue, handled, partitions=_stores(spark))
 
 
 def _months(days: DataFrame, path: str) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +18,7 @@ JUDGED = ("shipment_id string, event_id string, ts timestamp, requested_status s
           "old_status string, new_status string, accepted boolean, late boolean")
 COLUMNS = ["shipment_id", "event_id", "ts", "requested_status", "old_status", "new_status",
            "accepted", "late"]
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class OrderedStatusProcessor(StatefulProcessor):
@@ -42,23 +42,19 @@ class OrderedStatusProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", REQUEST)
         self.timer = handle.getValueState("timer", "millis bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark, late, waiting = timerValues.getCurrentWatermarkInMs(), [], []
-        for batch in rows:
-            for event_id, micros, wanted, start in zip(
-                    batch["event_id"], batch["at_micros"], batch["requested_status"],
-                    batch["start_status"]):
-                millis = -(-int(micros) // 1000)  # never before the request's own time
-                if millis < watermark:
-                    late.append((key[0], event_id, _moment(micros), wanted, None, None, False, True))
-                    continue
-                start = start if isinstance(start, str) else None
-                waiting.append((event_id, int(micros), wanted, start))
+        for row in rows:
+            micros, wanted = row["at_micros"], row["requested_status"]
+            if -(-micros // 1000) < watermark:  # never before the request's own time
+                late.append((key[0], row["event_id"], _moment(micros), wanted, None, None, False, True))
+            else:
+                waiting.append((row["event_id"], micros, wanted, row["start_status"]))
         if waiting:
             self.waiting.appendList(waiting)
-            self._wait_for(waiting, self.timer.get()[0] if self.timer.exists() else None)
-        if late:
-            yield pd.DataFrame(late, columns=COLUMNS)
+            timer = self.timer.get()
+            self._wait_for(waiting, timer[0] if timer else None)
+        yield from map(_judged, late)
 
     def _wait_for(self, requests: list[tuple], set_to: int | None) -> None:
         """A timer for the earliest request, unless there is one already that is no later."""
@@ -67,12 +63,12 @@ class OrderedStatusProcessor(StatefulProcessor):
             self.handle.registerTimer(millis)
             self.timer.update((millis,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         due, later = [], []
         for request in self.waiting.get():
             (due if -(-request[1] // 1000) <= watermark else later).append(tuple(request))
-        held = self.status.get() if self.status.exists() else None
+        held = self.status.get()
         if not due:
             if held and self.keep_millis and held[1] <= watermark:
                 self.status.clear()
@@ -94,14 +90,18 @@ class OrderedStatusProcessor(StatefulProcessor):
             self.status.update((now, until))
         if self.keep_millis:
             self.handle.registerTimer(until)
-        yield pd.DataFrame(judged, columns=COLUMNS)
+        yield from map(_judged, judged)
 
     def close(self) -> None:
         pass
 
 
 def _moment(micros: int) -> datetime:
-    return pd.Timestamp(int(micros), unit="us", tz=timezone.utc)
+    return EPOCH + timedelta(microseconds=micros)
+
+
+def _judged(values: tuple) -> Row:
+    return Row(**dict(zip(COLUMNS, values)))
 
 
 # Workers get this module with the plan, so that they need not have the package installed.
@@ -119,6 +119,6 @@ def replay_in_order(requests: DataFrame, lateness: str, keep_days: int = 0) -> D
     timed = requests.withWatermark("ts", lateness).select(
         "shipment_id", F.col("event_id").cast("string").alias("event_id"),
         F.unix_micros("ts").alias("at_micros"), "requested_status", "start_status")
-    return timed.groupBy("shipment_id").transformWithStateInPandas(
+    return timed.groupBy("shipment_id").transformWithState(
         statefulProcessor=OrderedStatusProcessor(keep_days), outputStructType=JUDGED,
         outputMode="Append", timeMode="EventTime")

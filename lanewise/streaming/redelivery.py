@@ -6,9 +6,8 @@ import sys
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,21 +31,19 @@ class ReceiveCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.receives = handle.getValueState("receives", "n int", self.keep_millis)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.receives.get()[0] if self.receives.exists() else 0
-        attempts, places, batch = [], [], pd.concat(rows)
-        for handled in batch["handled"]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.receives.get()
+        n = held[0] if held else 0
+        for row in rows:
             n += 1
-            place = DONE if handled else DEAD if n >= self.most else RETRY
-            attempts.append(n)
-            places.append(place)
+            place = DONE if row["handled"] else DEAD if n >= self.most else RETRY
+            yield Row(message_id=row["message_id"], body=row["body"], handled=row["handled"], attempt=n,
+                      place=place)
             n = n if place == RETRY else 0
         if n:
             self.receives.update((n,))
-        elif attempts[0] > 1:
+        elif held:
             self.receives.clear()
-        yield batch.assign(attempt=attempts, place=places)[
-            ["message_id", "body", "handled", "attempt", "place"]]
 
     def close(self) -> None:
         pass
@@ -62,7 +59,7 @@ def counted_receives(received: DataFrame, most: int = MAX_RECEIVES,
 
     Expiry goes by the clock, so a stream with ``keep_days`` runs on; one that is to end has None.
     """
-    return received.groupBy("message_id").transformWithStateInPandas(
+    return received.groupBy("message_id").transformWithState(
         statefulProcessor=ReceiveCounter(most, keep_days), outputStructType=RECEIVED,
         outputMode="Append", timeMode="None" if keep_days is None else "ProcessingTime")
 

@@ -71,3 +71,17 @@ def test_cards_are_cut_for_bins_that_are_asked_for(spark):
         **{name: F.lit(1) for name in rates.CARD}})
     bins = rates.validity_bins(card, F.lit("2000-01-01").cast("date"), "asked")
     assert sorted(r.bin for r in bins.collect()) == [0, 5]
+
+
+def test_deliveries_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        made.add(1)
+        return n % 5
+
+    rows = spark.range(20).select("id", F.lit("2024-01-01").cast("timestamp").alias("ts"),
+                                  counted("id").alias("delivery"))
+    live._delivered(rows, "delivery", live._closing(rows.drop("delivery"), "ts"))
+    assert made.value == 20

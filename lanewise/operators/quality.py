@@ -167,21 +167,50 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Every broken rule of stored tables, with the number of rows: row rules, unique keys, and parents
     that are missing (where the parent's table is given).
 
-    A table is read once for its row rules and once per key; counts are combined before each shuffle.
+    A table is read once.  Each row gives the rules that it breaks and, for each check of keys, its key as
+    text and the side it is on; one aggregation counts both sides per key, combining before the shuffle,
+    and another adds up the keys: all but one of the own rows are too many, children without an own row
+    are orphans.
     """
-    found = []
-    for name, rows in tables.items():
-        found.append(violation_counts(rows, table_rules(name)).withColumn("table", F.lit(name)))
-        for rule, keys in unique_keys(name).items():
-            if set(keys) <= set(rows.columns):
-                found.append(surplus(rows, keys).select(
-                    F.lit(rule).alias("rule"), "rows", F.lit(name).alias("table")))
-        parent, key = parent_of(name) or (None, None)
-        if parent in tables:
-            alone = orphans(rows.dropna(subset=[key]), tables[parent], key)
-            found.append(alone.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(f"{key}_exists").alias("rule"), "rows", F.lit(name).alias("table")))
+    found = [_findings(name, rows, tables) for name, rows in tables.items()]
     total = found[0]
     for more in found[1:]:
         total = total.unionByName(more)
-    return total.filter(F.col("rows") > 0)
+    per_key = total.groupBy("table", "rule", "key").agg(
+        F.sum("own").alias("own"), F.sum("children").alias("children"))
+    counted = (F.when(F.col("key").isNull(), F.col("own"))
+               .when(F.col("rule").endswith("_exists"),
+                     F.when(F.col("own") == 0, F.col("children")).otherwise(0))
+               .otherwise(F.col("own") - 1))
+    return (
+        per_key.groupBy("rule", "table").agg(F.sum(counted).alias("rows"))
+        .filter(F.col("rows") > 0).select("rule", "rows", "table")
+    )
+
+
+def _findings(name: str, rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Of one table: (table, rule) with a null key per broken row rule, and with a key per check of keys
+    the row takes part in, as itself (``own``) or as the child of another row."""
+    def said(table: str, rule: Column | str, keys: list[str], own: int) -> Column:
+        rule = rule if isinstance(rule, Column) else F.lit(rule)
+        key = F.array(*[F.col(k).cast("string") for k in keys]) if keys else F.lit(None).cast(
+            "array<string>")
+        whole = F.struct(F.lit(table).alias("table"), rule.alias("rule"), key.alias("key"),
+                         F.lit(own).alias("own"), F.lit(1 - own).alias("children"))
+        known = [F.col(k).isNotNull() for k in keys]
+        for one in known[1:]:
+            known[0] = known[0] & one
+        return F.when(known[0], whole) if known else whole
+
+    checks = [said(name, rule, keys, 1) for rule, keys in unique_keys(name).items()
+              if set(keys) <= set(rows.columns)]
+    parent, key = parent_of(name) or (None, None)
+    if parent in tables:
+        checks.append(said(name, f"{key}_exists", [key], 0))
+    for child in tables:
+        parent, key = parent_of(child) or (None, None)
+        if parent == name:
+            checks.append(said(child, f"{key}_exists", [key], 1))
+    broken = F.transform("violations", lambda rule: said(name, rule, [], 1))
+    everything = F.concat(broken, F.array_compact(F.array(*checks))) if checks else broken
+    return violations(rows, table_rules(name)).select(F.explode(everything).alias("said")).select("said.*")

@@ -85,3 +85,13 @@ def test_deliveries_are_made_once(spark):
                                   counted("id").alias("delivery"))
     live._delivered(rows, "delivery", live._closing(rows.drop("delivery"), "ts"))
     assert made.value == 20
+
+
+def test_audit_reads_a_table_once(spark, sf_small, tmp_path):
+    tables = {"shipments": sample.shipments(spark, sf_small), "shipment_legs": sample.legs(spark, sf_small),
+              "invoices": sample.invoices(spark, sf_small),
+              "invoice_line_items": sample.line_items(spark, sf_small)}
+    for name, rows in tables.items():
+        rows.limit(50).write.parquet(str(tmp_path / name))
+    found = quality.audit({name: spark.read.parquet(str(tmp_path / name)) for name in tables})
+    assert plan_of(found).count("FileScan") == 4

@@ -218,6 +218,9 @@ def matches_one_by_one(spark: SparkSession, d: str) -> DataFrame:
             F.col("expected_amount").cast("string"))})
     delivered = sample.shipments(spark, d).filter(F.col("status") == "DELIVERED").select("shipment_id")
     root = f"{shared_dir(spark)}/matches-{uuid4().hex}"
+    # A stored table, as in the real thing: what makes it up is not done again for every batch.
+    invoices.write.parquet(f"{root}/invoices")
+    invoices = spark.read.schema(invoices.schema).parquet(f"{root}/invoices")
     delivered.repartition(4).write.parquet(f"{root}/in")
     stream = (spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 2)
               .parquet(f"{root}/in"))

@@ -95,3 +95,15 @@ def test_audit_reads_a_table_once(spark, sf_small, tmp_path):
         rows.limit(50).write.parquet(str(tmp_path / name))
     found = quality.audit({name: spark.read.parquet(str(tmp_path / name)) for name in tables})
     assert plan_of(found).count("FileScan") == 4
+
+
+def test_invoices_of_a_stream_are_stored_once(spark, sf_small, monkeypatch):
+    seen, match_each = [], pipeline.match_each
+
+    def watched(delivered, invoices, *rest):
+        seen.extend(invoices.inputFiles())
+        return match_each(delivered, invoices, *rest)
+
+    monkeypatch.setattr(pipeline, "match_each", watched)
+    live.matches_one_by_one(spark, sf_small)
+    assert seen and all("/matches-" in file for file in seen)

@@ -10,24 +10,30 @@ occurs once, hence every suffix that leads to it, needs no further look.  What i
 token and the windows that chose it.  Places whose whole neighbourhood is equal are one *context*; a
 context with several places is repeated as it is, and one of them stands for all from here on.
 
-*Range partition.*  Contexts of tokens with more than one context carry their bytes to buckets.  Splitters
-sampled by Spark cut the order of (leading token's bytes, context), so buckets are of equal size however
-frequent a token is.
+*Range partition.*  Contexts of tokens with more than one context carry their bytes to buckets, cut by
+splitters that Spark samples.  A token with up to ``FREQUENT`` contexts is in one bucket.  One with more is
+cut, so buckets are of equal size however frequent a token is; its contexts go to buckets twice, in the
+order of the bytes after the token (then those before, from right to left) and in that of the bytes before
+it (then those after).
 
 *Local sort.*  A bucket sorts the window suffixes of its contexts by multikey quicksort, eight bytes a key,
 and compares neighbours: equal ones are repeated.  Suffixes of different tokens, or at different distances
 from their token, cannot be equal; this cuts a bucket into pieces that are sorted one by one.
 
-*Boundaries.*  Only the first and the last token of a bucket can go on in another.  Their different
-windows, one of each, leave the bucket by fingerprint and are counted across buckets; a fingerprint has at
+*Boundaries.*  Equal windows have equal bytes on either side of their token, so in both orders their contexts
+lie between contexts that begin with the same bytes.  A window whose bytes on the leading side differ from
+those of the bucket's first and last context (where these are of its token) has all its equals in the
+bucket and is settled there.  What is settled in neither order leaves the bucket: a context has a row at
+most per order.  Its windows, one of each of a bucket, are then counted by fingerprint; a fingerprint has at
 most one row per bucket.
 
 Repeated windows that overlap or touch are one span, and the bytes of spans are removed.
 
-Hashes decide where bytes are not compared: 128 bits for rows, contexts and windows of boundary tokens; 64
-for tokens, where a false equality only adds a place to look at.  Long texts are read in pieces of
+Hashes decide where bytes are not compared: 128 bits for rows, contexts and windows that no order settles;
+64 for tokens, where a false equality only adds a place to look at.  Long texts are read in pieces of
 ``PIECE`` bytes whose windows do not overlap.  Texts are shuffled once, places twice (by token; by context
-where the token repeats).  No step gathers the places of a token, a context or a window.
+where the token repeats).  No step gathers the places of a context or a window, or more than ``FREQUENT``
+contexts of a token.
 
 Defined cases: null and empty texts, and texts shorter than a window, keep all their bytes; repeated rows
 are places like any other, so each loses what the other holds; a null doc_id is carried; an empty table
@@ -48,6 +54,8 @@ from lanewise.llm.common import table
 
 LENGTH, SEED = 200, 32
 PIECE = 1 << 19
+# A token with more contexts is cut into several buckets.
+FREQUENT = 1 << 10
 # Suffixes sorted at a time (208 bytes each), unless one token has more at one distance.
 SORTED = 1 << 13
 
@@ -150,13 +158,19 @@ def _place_finder(length: int, seed: int, size: int):
     return run
 
 
-_CHUNKS = pa.schema([("token", pa.binary()), ("spread", pa.int64()), ("chunk", pa.binary()),
-                     ("shape", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()),
-                     ("first", pa.int64()), ("alone", pa.bool_())])
+# What a token's contexts are ordered by: nothing, the bytes after the token, or those before it.
+_WHOLE, _AFTER, _BEFORE = range(3)
+_CHUNKS = pa.schema([("token", pa.binary()), ("side", pa.int64()), ("ranked", pa.binary()),
+                     ("chunk", pa.binary()), ("shape", pa.int64()), ("key_a", pa.int64()),
+                     ("key_b", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_())])
 
 
 def _chunk_finder(length: int, seed: int):
-    """The bytes of the marked places of a row: marks are places, doubled, plus 1 if alone."""
+    """The bytes of the marked places of a row, in one order or in two.
+
+    Marks are places, times 4, plus 2 if the token is frequent, plus 1 if alone.  An order holds the
+    bytes around the token, so only rows without one have the chunk as well.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, marks = [batch.column(i).to_numpy() for i in (0, 1)], batch.column(3)
@@ -164,25 +178,46 @@ def _chunk_finder(length: int, seed: int):
                 own = marks.slice(begin, end - begin)
                 mark = own.flatten().to_numpy()
                 row = np.repeat(np.arange(end - begin), np.diff(own.offsets.to_numpy()))
-                alone, place = (mark & 1).astype(bool), mark >> 1
+                twice = np.where(mark & 2, 2, 1)
+                side = np.where(mark & 2, _AFTER, _WHOLE).repeat(twice)
+                side[np.cumsum(twice)[twice == 2] - 1] = _BEFORE
+                mark, row = mark.repeat(twice), row.repeat(twice)
+                alone, place = (mark & 1).astype(bool), mark >> 2
                 at = place >> 2 * _BITS
                 low = at - (place >> _BITS & _MASK)
                 ends = low + (place & _MASK) + length
-                spots = list(zip(row.tolist(), at.tolist(), low.tolist(), ends.tolist(), strict=True))
+                spots = list(zip(row.tolist(), at.tolist(), low.tolist(), ends.tolist(), side.tolist(),
+                                 strict=True))
                 for a in range(0, len(spots), 1 << 14):
                     part = spots[a:a + (1 << 14)]
                     cut = slice(a, a + len(part))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([texts[r][p:p + seed] for r, p, _, _ in part], pa.binary()),
-                         pa.array((words.mix(keys[0][begin:end][row[cut]].view(np.uint64))
-                                   ^ at[cut].astype(np.uint64)).view(np.int64)),
-                         pa.array([texts[r][b:e] for r, _, b, e in part], pa.binary()),
+                        [pa.array([texts[r][p:p + seed] for r, p, *_ in part], pa.binary()),
+                         pa.array(side[cut]),
+                         pa.array([_ranked(s, texts[r][b:p], texts[r][p + seed:e])
+                                   for r, p, b, e, s in part], pa.binary()),
+                         pa.array([b"" if s else texts[r][b:e] for r, _, b, e, s in part], pa.binary()),
                          pa.array(place[cut] & (1 << 2 * _BITS) - 1),
                          *(pa.array(k[begin:end][row[cut]]) for k in keys),
                          pa.array(low[cut]), pa.array(alone[cut])], schema=_CHUNKS)
     return run
 
 
+def _ranked(side: int, before: bytes, after: bytes) -> bytes:
+    """What a context is ordered by, among those of its token."""
+    if side == _WHOLE:
+        return b""
+    return after + before[::-1] if side == _AFTER else before[::-1] + after
+
+
+def _unranked(side: int, ranked: bytes, token: bytes, before: int) -> bytes:
+    """The chunk of which ``before`` bytes are before the token."""
+    if side == _AFTER:
+        after = len(ranked) - before
+        return ranked[after:][::-1] + token + ranked[:after]
+    return ranked[:before][::-1] + token + ranked[before:]
+
+
 def multikey_quicksort(keys: np.ndarray, order: np.ndarray,
                        size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of ``order``, segment by segment (of ``size`` rows) in the order of their ``keys``, and
@@ -227,9 +262,14 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
 
 
+# Spans have a length; contexts that a bucket did not settle have a reach (ordered by what is after the
+# token) or a chunk and windows of it, of which some are open (ordered by what is before).
 _FOUND = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("first", pa.int64()),
-                    ("length", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()),
-                    ("open", pa.bool_())])
+                    ("length", pa.int64()), ("reach", pa.int64()), ("shape", pa.int64()),
+                    ("chunk", pa.binary()), ("windows", pa.binary()), ("open", pa.binary())])
+_WINDOWS = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("first", pa.int64()),
+                      ("length", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()),
+                      ("open", pa.bool_())])
 
 
 class _Bucket:
@@ -237,20 +277,37 @@ class _Bucket:
 
     def __init__(self, batches: list[pa.RecordBatch], length: int, together: int):
         rows = pa.Table.from_batches(batches)
-        token, chunk, shape, self.key_a, self.key_b, self.first, self.alone = (
-            rows.column(c).combine_chunks()
-            for c in ("token", "chunk", "shape", "key_a", "key_b", "first", "alone"))
+        token, side, ranked, chunk, shape, self.key_a, self.key_b, self.first, self.alone = (
+            rows.column(c).combine_chunks() for c in _CHUNKS.names)
         self.length, self.together = length, together
-        tokens = np.array(token.to_pylist(), dtype=object)
-        self.names, self.group = np.unique(tokens, return_inverse=True)
-        self.data = np.frombuffer(b"".join(chunk.to_pylist()), np.uint8)
-        sizes = np.array(words.sizes(chunk))
-        self.begin = np.cumsum(sizes) - sizes
+        side, ranked, tokens = side.to_numpy(), ranked.to_pylist(), token.to_pylist()
+        names, self.group = np.unique(
+            np.array([t + bytes([s]) for t, s in zip(tokens, side.tolist(), strict=True)], dtype=object),
+            return_inverse=True)
+        self.side = side
         shape = shape.to_numpy()
         self.before, self.more = shape >> _BITS & _MASK, shape & _MASK
+        self.after = length - len(tokens[0]) - self.before  # of the first window
+        chunks = [_unranked(s, r, t, b) if s else c for s, r, t, b, c in zip(
+            side.tolist(), ranked, tokens, self.before.tolist(), chunk.to_pylist(), strict=True)]
+        self.data = np.frombuffer(b"".join(chunks), np.uint8)
+        self.end = np.cumsum([len(c) for c in chunks])
+        self.begin = np.append(0, self.end[:-1])
         self.key_a, self.key_b, self.first = (
             c.to_numpy() for c in (self.key_a, self.key_b, self.first))
         self.alone = self.alone.to_numpy(zero_copy_only=False)
+        self.reach = np.full(len(chunks), -1)
+        for group, edge in ((0, min), (len(names) - 1, max)):
+            own = np.flatnonzero(self.group == group)
+            if side[own[0]] != _WHOLE:
+                other = edge(ranked[i] for i in own.tolist())
+                self.reach[own] = np.maximum(self.reach[own], _common(ranked, own, other))
+
+    def unsettled(self, context: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Which windows may go on in other buckets, since their bytes on the side that leads do."""
+        leading = np.where(self.side[context] == _AFTER, self.after[context] + window,
+                           self.before[context] - window)
+        return leading <= self.reach[context]
 
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(context, window within it) of whole units, a token and a distance from it, and whether
@@ -292,6 +349,19 @@ class _Bucket:
         return multikey_quicksort(keys, order, np.diff(ends, prepend=0))
 
 
+def _common(strings: list[bytes], chosen: np.ndarray, other: bytes) -> np.ndarray:
+    """How many first bytes the chosen strings have in common with another."""
+    found, width = [], len(other)
+    for a in range(0, len(chosen), 1 << 12):
+        part = [strings[i] for i in chosen[a:a + (1 << 12)].tolist()]
+        sizes = np.array([min(len(s), width) for s in part])
+        heads = np.array(part, dtype=f"S{width + 1}").view(np.uint8).reshape(len(part), width + 1)
+        differs = heads[:, :width] != np.frombuffer(other, np.uint8)
+        differs = np.concatenate([differs, np.ones((len(part), 1), bool)], axis=1)
+        found.append(np.minimum(differs.argmax(axis=1), sizes))
+    return np.concatenate(found)
+
+
 def _bucket_sorter(length: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -299,28 +369,33 @@ def _bucket_sorter(length: int, together: int):
             return
         bucket = _Bucket(rows, length, together)
         rows.clear()
-        edges, held, found = [0, len(bucket.names) - 1], [], []
+        held, found = [], []
         for context, window, ended in bucket.pieces():
             order, same = bucket.sorted(context, window)
             context, window = context[order], window[order]
             repeated = same.copy()
             repeated[:-1] |= same[1:]
             alone = bucket.alone[context]
-            edge = np.isin(bucket.group[context], edges) & ~same
-            held.append((context[edge], window[edge], (alone & ~repeated)[edge]))
+            going = bucket.unsettled(context, window) & ~same & (bucket.side[context] == _BEFORE)
+            held.append((context[going], window[going], (alone & ~repeated)[going]))
             found.append((context[repeated & alone], window[repeated & alone]))
             if ended:
                 yield _spans(bucket, *map(np.concatenate, zip(*found, strict=True)))
                 found = []
-        yield from _boundary(bucket, *map(np.concatenate, zip(*held, strict=True)))
+        yield from _contexts(bucket, *map(np.concatenate, zip(*held, strict=True)))
+        going = np.flatnonzero((bucket.side == _AFTER) & (bucket.after <= bucket.reach))
+        yield _found(bucket, going, reach=pa.array(bucket.reach[going]))
     return run
 
 
-def _spans(bucket: _Bucket, context: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
-    """Windows of a context that follow each other as one span.
+def _found(bucket: _Bucket, context: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    own = {c: pa.array(getattr(bucket, c)[context]) for c in ("key_a", "key_b", "first")} | columns
+    return pa.RecordBatch.from_arrays(
+        [own[f.name] if f.name in own else pa.nulls(len(context), f.type) for f in _FOUND], schema=_FOUND)
 
-    Prints of their own keep spans apart, and evenly dealt.
-    """
+
+def _spans(bucket: _Bucket, context: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
+    """Windows of a context that follow each other as one span."""
     order = np.lexsort((window, context))
     context, window = context[order], window[order]
     new = np.ones(len(context), bool)
@@ -328,31 +403,62 @@ def _spans(bucket: _Bucket, context: np.ndarray, window: np.ndarray) -> pa.Recor
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(context))[:len(begin)] - 1
     context, window, more = context[begin], window[begin], window[end] - window[begin]
-    first = bucket.first[context] + window
-    own = words.mix(bucket.key_a[context].view(np.uint64)) ^ words.mix(first.astype(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket.key_a[context]), pa.array(bucket.key_b[context]), pa.array(first),
-         pa.array(more + bucket.length), pa.array(own.view(np.int64)),
-         pa.array(bucket.key_b[context]), pa.nulls(len(context), pa.bool_())], schema=_FOUND)
+    return _found(bucket, context, first=pa.array(bucket.first[context] + window),
+                  length=pa.array(more + bucket.length))
 
 
-def _boundary(bucket: _Bucket, context: np.ndarray, window: np.ndarray,
+def _contexts(bucket: _Bucket, context: np.ndarray, window: np.ndarray,
               open_: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows of boundary tokens with their prints, and whether they still need a twin."""
-    at = bucket.begin[context] + window
-    order = np.argsort(at, kind="stable")
-    at, context, window, open_ = at[order], context[order], window[order], open_[order]
-    a = 0
-    while a < len(at):  # about PIECE bytes of the bucket at a time
-        b = int(np.searchsorted(at, at[a] + PIECE))
-        prints = _Prints(bucket.data[at[a]:at[b - 1] + bucket.length])
-        begin, own = at[a:b] - at[a], context[a:b]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket.key_a[own]), pa.array(bucket.key_b[own]),
-             pa.array(bucket.first[own] + window[a:b]), pa.array(np.full(b - a, bucket.length)),
-             *(pa.array(prints.get(begin, begin + bucket.length, i).view(np.int64)) for i in (0, 1)),
-             pa.array(open_[a:b])], schema=_FOUND)
-        a = b
+    """A row per context: its bytes, its windows, and whether these still need a twin."""
+    order = np.lexsort((window, context))
+    context, window, open_ = (x[order] for x in (context, window.astype(np.uint8), open_.astype(np.uint8)))
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])[:len(context)])
+    end = np.append(begin[1:], len(context))[:len(begin)]
+    for a in range(0, len(begin), 1 << 12):
+        cuts = list(zip(begin[a:a + (1 << 12)].tolist(), end[a:a + (1 << 12)].tolist(), strict=True))
+        own = context[begin[a:a + (1 << 12)]]
+        yield _found(
+            bucket, own, shape=pa.array(bucket.before[own] << _BITS | bucket.more[own]),
+            chunk=pa.array([bucket.data[b:e].tobytes() for b, e in zip(
+                bucket.begin[own].tolist(), bucket.end[own].tolist(), strict=True)], pa.binary()),
+            windows=pa.array([window[b:e].tobytes() for b, e in cuts], pa.binary()),
+            open=pa.array([open_[b:e].tobytes() for b, e in cuts], pa.binary()))
+
+
+def _window_finder(length: int, seed: int):
+    """Spans as they are, with prints of their own that keep them apart and evenly dealt; the windows
+    that no order settled with their prints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.filter(batch.column("length").is_valid())
+            key_a, key_b, first, size = (
+                whole.column(c).to_numpy() for c in ("key_a", "key_b", "first", "length"))
+            own = words.mix(key_a.view(np.uint64)) ^ words.mix(first.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key_a), pa.array(key_b), pa.array(first), pa.array(size),
+                 pa.array(own.view(np.int64)), pa.array(key_b), pa.nulls(len(size), pa.bool_())],
+                schema=_WINDOWS)
+            rest = batch.filter(batch.column("length").is_null())
+            for a, b, chunks in words.parts(rest.column("chunk"), PIECE):
+                part = rest.slice(a, b - a)
+                key_a, key_b, first, shape, reach = (
+                    part.column(c).to_numpy() for c in ("key_a", "key_b", "first", "shape", "other"))
+                windows, open_ = (part.column(c).to_pylist() for c in ("windows", "open"))
+                row = np.repeat(np.arange(b - a), [len(w) for w in windows])
+                window, open_ = (np.frombuffer(b"".join(x), np.uint8) for x in (windows, open_))
+                window = window.astype(np.int64)
+                after = length - seed - (shape >> _BITS & _MASK)[row] + window
+                going = after <= reach[row]
+                row, window, open_ = row[going], window[going], open_[going].astype(bool)
+                prints = _Prints(np.frombuffer(b"".join(chunks), np.uint8))
+                ends = np.cumsum([len(c) for c in chunks])
+                at = np.append(0, ends[:-1])[row] + window
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key_a[row]), pa.array(key_b[row]), pa.array(first[row] + window),
+                     pa.array(np.full(len(row), length)),
+                     *(pa.array(prints.get(at, at + length, i).view(np.int64)) for i in (0, 1)),
+                     pa.array(open_)], schema=_WINDOWS)
+    return run
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,12 +491,12 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, piece: int = PIECE,
-                    together: int = SORTED) -> DataFrame:
+                    together: int = SORTED, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, ``kept`` (binary) and ``removed``, the
     maximal removed spans as first and last byte.
 
     ``length`` is from ``seed`` to 255 + ``seed``; ``piece`` bytes are read and ``together`` suffixes sorted
-    at a time, which changes no result.
+    at a time, and a token with more than ``frequent`` contexts may be cut, which changes no result.
     """
     if not seed <= length <= seed + _MASK:
         raise ValueError(f"length must be from {seed} to {seed + _MASK}")
@@ -420,22 +526,29 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, pie
         *key, span(at - before, more + length).alias("span"))
 
     marks = (
-        contexts.join(mixed.select("token"), "token")
+        contexts.join(mixed, "token")
         .select("one.key_a", "one.key_b",
-                (F.col("one.place") * 2 + (F.col("n") == 1).cast("long")).alias("mark"))
+                (F.col("one.place") * 4 + (F.col("c") > frequent).cast("long") * 2
+                 + (F.col("n") == 1).cast("long")).alias("mark"))
         .groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     )
     chunks = (
         keyed.join(marks, key).select(*key, "text", "marks", "doc_id")  # doc_id: one exchange for both
         .mapInArrow(_chunk_finder(length, seed),
-                    "token binary, spread long, chunk binary, shape long, key_a long, key_b long, "
-                    "first long, alone boolean")
+                    "token binary, side long, ranked binary, chunk binary, shape long, key_a long, "
+                    "key_b long, first long, alone boolean")
     )
-    found = chunks.repartitionByRange("token", "spread").drop("spread").mapInArrow(
+    found = chunks.repartitionByRange("token", "side", "ranked").mapInArrow(
         _bucket_sorter(length, together),
+        "key_a long, key_b long, first long, length long, reach long, shape long, chunk binary, "
+        "windows binary, open binary")
+    other = F.max("reach").over(Window.partitionBy(*key, "first"))  # of one context
+    windows = found.withColumn("other", other).filter(
+        "length is not null or chunk is not null and other is not null").mapInArrow(
+        _window_finder(length, seed),
         "key_a long, key_b long, first long, length long, print_a long, print_b long, open boolean")
     twins = F.count("open").over(Window.partitionBy("print_a", "print_b"))  # a row per bucket at most
-    part = found.withColumn("n", twins).filter("open is null or open and n > 1").select(
+    part = windows.withColumn("n", twins).filter("open is null or open and n > 1").select(
         *key, span(F.col("first"), F.col("length")).alias("span"))
 
     spans = whole.union(part).groupBy(*key).agg(F.collect_set("span").alias("spans"))

@@ -66,6 +66,57 @@ def test_suffix_array_dedup(spark, length, seed, piece, together):
         brute.without_repeated_bytes(rows, length))
 
 
+@pytest.fixture
+def many_buckets(spark):
+    """Small tables are cut as large ones are: buckets are not joined again."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("length, seed, together, frequent", [
+    (60, 16, 50, 0), (61, 32, suffixes.SORTED, 3), (200, 32, 100, 1)])
+def test_suffix_array_dedup_of_cut_tokens(spark, many_buckets, length, seed, together, frequent):
+    rows = repeats() + EDGE
+    found = suffixes.without_repeats(frame(spark, rows), length, seed, 1000, together, frequent)
+    got = found.select("doc_id", "n_bytes", F.expr(
+        "aggregate(removed, 0L, (n, r) -> n + r.last - r.first + 1)"), F.size("removed"),
+        F.col("kept")).collect()
+    assert ordered((*r[:4], bytes(r[4])) for r in got) == ordered(
+        brute.without_repeated_bytes(rows, length))
+
+
+def test_suffix_array_rows_of_a_frequent_passage(spark, many_buckets, monkeypatch):
+    """Windows across the ends of a passage that many texts hold do not leave their buckets one by one."""
+    draw, made, sorter = random.Random(5), spark.sparkContext.accumulator(0), suffixes._bucket_sorter
+
+    def letters(n):
+        return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    def counting(*given):
+        def run(batches):
+            for batch in sorter(*given)(batches):
+                made.add(batch.num_rows)
+                yield batch
+        return run
+
+    monkeypatch.setattr(suffixes, "_bucket_sorter", counting)
+    passage = letters(300)
+    rows = [(i, letters(200) + passage + letters(200)) for i in range(1500)]
+    found = suffixes.without_repeats(frame(spark, rows))
+    got = found.select("doc_id", "n_bytes", F.expr(
+        "aggregate(removed, 0L, (n, r) -> n + r.last - r.first + 1)"), F.size("removed"),
+        F.col("kept")).collect()
+    assert ordered((*r[:4], bytes(r[4])) for r in got) == ordered(
+        brute.without_repeated_bytes(rows, 200))
+    # Each text has a few places near either end of the passage, with up to 169 windows each.
+    assert made.value <= 20 * len(rows)
+
+
 def test_suffix_array_dedup_of_nothing(spark):
     assert suffixes.without_repeats(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):

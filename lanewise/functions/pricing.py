@@ -62,6 +62,11 @@ def unscaled(amount: Column, scale: int) -> Column:
     return (amount * F.lit(10 ** scale).cast("decimal(9,0)")).cast("bigint")
 
 
+def amount(whole: Column) -> Column:
+    """The charge that a whole number of 10**-4 stands for."""
+    return (whole.cast("decimal(14,0)") * decimal_lit("0.0001", 4, 4)).cast(CHARGE)
+
+
 def whole_factor(factor: Column) -> Column:
     """The factor in 10**-8, for ``quick_charge``."""
     return unscaled(factor, 8)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.fixed_values import RATE_CARDS, RATE_EVENT
 from lanewise.functions import messages, pricing, text
+from lanewise.operators import price_order
 from lanewise.operators.skew import latest, previous_value
 
 CARD = ["rate_per_cwt", "fuel_surcharge_percent", "minimum_charge"]
@@ -38,21 +39,29 @@ def quote_requests(shipments: DataFrame) -> DataFrame:
     return shipments.select(lane_id.alias("lane_id"), "weight_lbs").distinct()
 
 
-def _on_lane(requests: DataFrame, cards: DataFrame,
-             prepared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Different (lane, weight) pairs next to the cards of their lane; ``prepared`` adds to the pairs.
+def _cut(requests: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different (lane, weight) pairs and cards, each with the cut of its lane where they meet.
 
     Few input bytes make many output rows here, so a lane is cut by its measured number of weights:
-    ``WEIGHTS_PER_CUT`` of them meet one copy of the lane's cards.
+    ``WEIGHTS_PER_CUT`` of them meet one copy of the lane's cards.  Only lanes with more than that are
+    listed, so the list has at most one row per ``WEIGHTS_PER_CUT`` pairs and is broadcast.
     """
+    asked = requests.select("lane_id", "weight_lbs").filter(F.col("lane_id").isNotNull()).distinct()
+    hot = F.broadcast(asked.groupBy("lane_id").agg(
+        F.ceil(F.count(F.lit(1)) / WEIGHTS_PER_CUT).cast("int").alias("cuts")).filter("cuts > 1"))
+    cuts = F.coalesce("cuts", F.lit(1))
+    left = asked.join(hot, "lane_id", "left").withColumn(
+        "cut", F.pmod(F.xxhash64("weight_lbs"), cuts).cast("int"))
+    right = cards.filter(F.col("lane_id").isNotNull()).join(hot, "lane_id", "left").withColumn(
+        "cut", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    return left.drop("cuts"), right.drop("cuts")
+
+
+def _on_lane(requests: DataFrame, cards: DataFrame,
+             prepared: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Different (lane, weight) pairs next to the cards of their lane; ``prepared`` adds to the pairs."""
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = requests.select("lane_id", "weight_lbs").distinct()
-    cuts = asked.groupBy("lane_id").agg(
-        F.ceil(F.count(F.lit(1)) / WEIGHTS_PER_CUT).cast("int").alias("cuts"))
-    cut = F.pmod(F.xxhash64("weight_lbs"), F.col("cuts")).cast("int")
-    left = asked.join(cuts, "lane_id").withColumn("cut", cut).drop("cuts")
-    right = cards.join(cuts, "lane_id").withColumn(
-        "cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    left, right = _cut(requests, cards)
     key = ["lane_id", "cut"]
     left = prepared(left) if prepared else left
     return left.repartition(n, *key).join(right.repartition(n, *key), key).drop("cut")
@@ -91,25 +100,32 @@ def ranked_quotes(requests: DataFrame, rates: DataFrame) -> DataFrame:
     """The quotes of each request, numbered from the cheapest, ties by carrier id.
 
     A request has as many quotes as its lane has carriers, however many shipments ask for it.  Quotes are
-    neither shuffled nor spilled: a request meets its lane's cards as one array and sorts the prices, so a
-    task holds the quotes of one request at a time.
+    neither shuffled nor spilled: the cards of a lane come before its requests, ``price_order`` sorts their
+    prices by the block, and what it gives back for a quote is the place of its card.
     """
-    fields = ("carrier_id", "factor", "minimum", "whole", "reach", "floor")
-    lanes = _quick_cards(rates).groupBy("lane_id").agg(F.collect_list(F.struct(
-        *fields, "carrier_name", "transit_days")).alias("cards"))
-
-    def priced(card: Column, place: Column) -> Column:
-        price = pricing.quick_charge(F.col("cwt"), F.col("whole_cwt"), *(card[f] for f in fields[1:]))
-        return F.struct(price.alias("total_rate"), card["carrier_id"].alias("carrier_id"),
-                        place.alias("place"))
-
-    quotes = F.sort_array(F.transform("cards", priced))
-    card = F.get("cards", F.col("quote.place"))
-    return _on_lane(requests, lanes, _weighed).select(
-        "lane_id", "weight_lbs", "cards", F.posexplode(quotes).alias("before", "quote")).select(
-        "lane_id", "weight_lbs", F.col("quote.carrier_id").alias("carrier_id"),
-        card["carrier_name"].alias("carrier_name"), F.col("quote.total_rate").alias("total_rate"),
-        card["transit_days"].alias("transit_days"), (F.col("before") + 1).alias("rank"))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked, offers = _cut(requests, price_list(rates, "carrier_name", "transit_days"))
+    offers = offers.select(
+        "lane_id", "cut", *price_order.OFFERED, pricing.whole_factor(F.col("factor")).alias("whole"),
+        pricing.unscaled(F.col("minimum_charge").cast(pricing.CHARGE), 4).alias("amount"))
+    asked = _weighed(asked).drop("cwt")
+    rows = offers.withColumn("asks", F.lit(False)).unionByName(
+        asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    kinds = {field.name: field.dataType.simpleString() for field in rows.schema}
+    listed = (*price_order.ASKED, *price_order.OFFERED)
+    blocks = rows.repartition(n, "lane_id", "cut").sortWithinPartitions(
+        "lane_id", "cut", "asks", "carrier_id").mapInArrow(
+        price_order.ranked, ", ".join(["lane_id string", *(f"{c} array<{kinds[c]}>" for c in listed),
+                                       "place array<int>", "price array<bigint>"]))
+    carriers = F.size("carrier_id")
+    asked_at = F.call_function("div", F.col("before"), carriers).cast("int")
+    each = blocks.select("lane_id", *listed, "price", F.posexplode("place").alias("before", "at"))
+    return each.select(
+        "lane_id", F.get("weight_lbs", asked_at).alias("weight_lbs"),
+        *(F.get(c, F.col("at")).alias(c) for c in ("carrier_id", "carrier_name")),
+        pricing.amount(F.get("price", F.col("before"))).alias("total_rate"),
+        F.get("transit_days", F.col("at")).alias("transit_days"),
+        (F.col("before") % carriers + 1).alias("rank"))
 
 
 def numbered_offers(rates: DataFrame) -> DataFrame:

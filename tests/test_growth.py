@@ -1,12 +1,14 @@
 """Work that must not grow faster than its input."""
 
+import random
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import pricing
-from lanewise.operators import quality, rates
+from lanewise.operators import price_order, quality, rates
 from lanewise.plans import jobs, live
 from lanewise.sources import sample
 from lanewise.streaming import pipeline
@@ -56,6 +58,45 @@ def test_ranked_quotes_are_not_sorted_across_requests(spark):
     assert ranked.exceptAll(want).isEmpty() and want.exceptAll(ranked).isEmpty()
 
 
+def test_ranked_quotes_are_priced_by_the_block(spark):
+    """A plain lane, a lane with prices beyond a long, one with more weights than a cut, one without cards."""
+    plain = cards(spark).filter(F.col("rate_per_cwt").isNull() | F.col("rate_per_cwt").between(0, 20))
+    lanes = [("plain", plain), ("hot", plain), ("l", cards(spark)), (None, plain)]
+    offers = [rows.distinct().withColumn("lane_id", F.lit(lane)) for lane, rows in lanes]
+    offers = offers[0].unionByName(offers[1]).unionByName(offers[2]).unionByName(offers[3])
+    asked = requests(spark).withColumn("lane_id", F.explode(F.array(*map(F.lit, ("plain", "l", "none", None)))))
+    many = spark.range(rates.WEIGHTS_PER_CUT * 2 + 1).select(
+        F.lit("hot").alias("lane_id"), (F.col("id") / 3).cast("decimal(10,2)").alias("weight_lbs"))
+    asked = asked.select("lane_id", "weight_lbs").unionByName(many)
+    ranked = rates.ranked_quotes(asked, offers)
+    assert "lambda" not in plan_of(ranked)  # a function that is read again for each quote
+    cheapest = Window.partitionBy("lane_id", "weight_lbs").orderBy("total_rate", "carrier_id")
+    price = pricing.contract_rate(*map(F.col, ("weight_lbs", "rate_per_cwt", "fuel_surcharge_percent",
+                                               "minimum_charge"))).alias("total_rate")
+    want = asked.distinct().join(offers, "lane_id").select("*", price).withColumn(
+        "rank", F.row_number().over(cheapest)).select(ranked.columns)
+    assert [f.dataType for f in ranked.schema] == [f.dataType for f in want.schema]
+    ranked = ranked.cache()
+    assert ranked.filter("lane_id = 'hot'").select("weight_lbs").distinct().count() > rates.WEIGHTS_PER_CUT
+    assert ranked.exceptAll(want).isEmpty() and want.exceptAll(ranked).isEmpty()
+    ranked.unpersist()
+
+
+def test_cards_in_whole_numbers_are_priced_as_decimals():
+    """Random cards against the exact form, with nulls and numbers on both sides of a long."""
+    rng = random.Random(7)
+    some = [None, 0, 1, 10 ** 9, 3 * 10 ** 9 + 7, 10 ** 17]
+    for _ in range(200):
+        n = rng.randint(1, 30)
+        whole = [rng.choice(some[:rng.choice((5, 5, 6))] + [rng.randint(0, 10 ** 10)]) for _ in range(n)]
+        amount = [rng.choice([None, 0, -5, 71234, 10 ** 13, rng.randint(0, 10 ** 7)]) for _ in range(n)]
+        kept = price_order.Cards(pa.array(whole, pa.int64()), pa.array(amount, pa.int64()))
+        cwt = [None, -3, 0, 1, rng.randint(0, 10 ** 6), 10 ** 9, 10 ** 12]
+        places, prices = kept.quotes(pa.array(cwt, pa.int64()))
+        for i, weight in enumerate(cwt):
+            assert (places[i].tolist(), prices[i].tolist()) == kept._exact(weight)
+
+
 def test_backfill_writes_a_file_per_day(spark, sf_small, tmp_path):
     shipments, invoices = sample.shipments(spark, sf_small), sample.invoices(spark, sf_small)
     some = shipments.filter(F.col("created_at") < "1995-02-01")

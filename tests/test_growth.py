@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input."""
 
 import random
+import re
 from decimal import Decimal
 
 import pyarrow as pa
@@ -48,6 +49,20 @@ def test_quotes_in_whole_numbers_are_the_exact_ones(spark):
     assert "whole_cwt" in plan_of(got)  # worked out before the join
 
 
+def test_cards_are_shuffled_once_and_bare(spark):
+    """Where cards meet requests they come from one shuffle, and what is derived from them is made after it."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quoted = rates.carrier_quotes(requests(spark), cards(spark))
+        plan = plan_of(quoted)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("SortMergeJoin") == 1
+    made, shuffles = plan.index("AS whole#"), [m.start() for m in re.finditer("REPARTITION_BY_NUM", plan)]
+    assert len(shuffles) == 2 and made < shuffles[1]  # the plan is printed from its end
+
+
 def test_ranked_quotes_are_not_sorted_across_requests(spark):
     ranked = rates.ranked_quotes(requests(spark), cards(spark).distinct())
     assert "Window" not in plan_of(ranked)
